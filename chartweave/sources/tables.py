@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-PATIENTS = T.StructType.fromDDL("subject_id bigint, gender string")
-ADMISSIONS = T.StructType.fromDDL(
-    "subject_id bigint, admission_id bigint, insurance string, ethnicity string"
-)
-NOTES = T.StructType.fromDDL(
-    "subject_id bigint, note_id bigint, charttime timestamp, category string, text string"
-)
-
-
-def read_gz_csv(spark: SparkSession, path: str, schema: T.StructType, parts: int | None = None) -> DataFrame:
+PATIENTS = {"subject_id": "bigint", "gender": "string"}
+ADMISSIONS = {
+    "subject_id": "bigint",
+    "admission_id": "bigint",
+    "insurance": "string",
+    "ethnicity": "string",
+}
+NOTES = {
+    "subject_id": "bigint",
+    "note_id": "bigint",
+    "charttime": "timestamp",
+    "category": "string",
+    "text": "string",
+}
+
+
+def read_gz_csv(spark: SparkSession, path: str, columns: Mapping[str, str], parts: int | None = None) -> DataFrame:
     """Header CSV in gzip with multi-line text, columns by name in any case.
 
     A gzip file is one task however large, so the rows are spread right after the
@@ -32,7 +39,7 @@ def read_gz_csv(spark: SparkSession, path: str, schema: T.StructType, parts: int
     )
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return raw.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        *[F.col(name).cast(kind).alias(name) for name, kind in columns.items()]
     ).repartition(n)
 
 

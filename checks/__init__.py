@@ -1,6 +1,11 @@
 """Registered queries and the SQL they are checked against."""
 
-from checks import cohort_queries, text_queries  # noqa: F401
+from checks import (  # noqa: F401
+    cohort_queries,
+    feature_queries,
+    metric_queries,
+    text_queries,
+)
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
