@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +22,10 @@ def bow_bin(docs: DataFrame, key: str, items: Column) -> DataFrame:
     return bow_freq(docs, key, items).select(key, "token", F.lit(1).cast("bigint").alias("n"))
 
 
-def _dims(vectors: DataFrame, vec: str) -> int:
-    row = vectors.select(F.size(vec)).first()
-    return row[0] if row else 0
-
-
-def _sum_vectors(rows: DataFrame, by: Sequence[str], vec: Column, dims: int, *more) -> DataFrame:
-    """Element-wise sums as plain column sums: generated code with map-side combine."""
-    sums = [F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dims)]
-    out = rows.groupBy(*by).agg(*sums, *more)
-    names = {f"_{i}" for i in range(dims)}
-    rest = [c for c in out.columns if c not in names]
-    return out.select(*rest, F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("vec"))
+def _vector_stat(stat, vec: Column, weight: Column | None = None) -> Column:
+    """Element-wise sum or mean as an aggregate with map-side combine."""
+    v = array_to_vector(vec)
+    return vector_to_array(stat(v) if weight is None else stat(v, weight.cast("double")))
 
 
 def token_embeddings(terms: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -52,27 +44,26 @@ def boe_bin(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def _weighted(terms, vectors, key, weight):
-    dims = _dims(vectors, "vec")
     rows = token_embeddings(terms, vectors)
-    sums = [
-        F.sum(F.get("vec", F.lit(i)).cast("double") * weight).alias(f"_{i}") for i in range(dims)
-    ]
-    out = rows.groupBy(key).agg(F.sum("n").alias("n_tokens"), *sums)
-    return out.select(key, "n_tokens", F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("vec"))
+    return rows.groupBy(key).agg(
+        F.sum("n").alias("n_tokens"),
+        _vector_stat(Summarizer.sum, F.col("vec"), weight).alias("vec"),
+    )
 
 
 def user_embedding_mean(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Mean vector of all known token occurrences of a user."""
-    total = boe_sum(terms, vectors, key)
-    return total.select(
-        key, "n_tokens", F.transform("vec", lambda x: x / F.col("n_tokens")).alias("vec")
+    rows = token_embeddings(terms, vectors)
+    return rows.groupBy(key).agg(
+        F.sum("n").alias("n_tokens"),
+        _vector_stat(Summarizer.mean, F.col("vec"), F.col("n")).alias("vec"),
     )
 
 
 def user_vectors(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Vector of each id; an id without one gets zeros."""
-    dims = _dims(vectors, "vec")
-    zeros = F.array_repeat(F.lit(0.0), dims)
+    one = vectors.select(F.size("vec").alias("d")).first()
+    zeros = F.array_repeat(F.lit(0.0), one["d"] if one else 0)
     return ids.select(key).join(vectors.select(key, "vec"), key, "left").select(
         key, F.coalesce(F.col("vec").cast("array<double>"), zeros).alias("vec")
     )
@@ -86,9 +77,10 @@ def feature_rows(rows: DataFrame, features: DataFrame, key: str = "subject_id")
 
 def pool_mean(parts: DataFrame, key: str) -> DataFrame:
     """Mean of the part vectors of each document."""
-    n = F.count(F.lit(1)).alias("n_parts")
-    summed = _sum_vectors(parts, [key], F.col("vec"), _dims(parts, "vec"), n)
-    return summed.select(key, "n_parts", F.transform("vec", lambda x: x / F.col("n_parts")).alias("vec"))
+    return parts.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_parts"),
+        _vector_stat(Summarizer.mean, F.col("vec")).alias("vec"),
+    )
 
 
 def pool_first(parts: DataFrame, key: str, part: str = "part") -> DataFrame:

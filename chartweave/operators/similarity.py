@@ -67,7 +67,7 @@ def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None =
         query = query.join(wanted, ["task", "q_block"])
     candidates = packed.select(
         "task",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("q_block"),
+        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("q_block"),
         F.lit(1).alias("kind"),
         *body,
         none.alias("wanted"),

@@ -43,6 +43,17 @@ def read_gz_csv(spark: SparkSession, path: str, columns: Mapping[str, str], part
     ).repartition(n)
 
 
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Parquet table.  With ``key``, a table of fewer files than cores is spread by
+    that key, so that text work on a small input uses every core; a large table is
+    already spread by its files and is not shuffled."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if key and len(df.inputFiles()) < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> DataFrame:
     return spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, escape='"')
 

@@ -73,12 +73,16 @@ def bow_freq(spark, sf):
 
 @query(
     "token_embeddings",
-    f"""SELECT token, CAST(dim - 1 AS INTEGER) AS dim, round(CAST(x AS DOUBLE), 6) AS value FROM (
-      SELECT token, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM {VECTORS})""",
+    f"""SELECT token, n, round(CAST(embedding[1] AS DOUBLE), 6) AS first,
+    round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+    FROM {COUNTS} JOIN {VECTORS} USING (token)""",
 )
 def token_embeddings(spark, sf):
     joined = features.token_embeddings(counts(spark, sf), vectors(spark, sf))
-    return features.long_vectors(joined, "token")
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return joined.select(
+        "token", "n", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(total, 6).alias("total")
+    )
 
 
 @query("boe_sum", _summed("n"))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.functions import text as X
+from chartweave.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    key = {"documents": "doc_id", "conversations": "conv_id"}.get(name)
+    return read_table(spark, f"{sf}/{name}.parquet", key)
 
 
 ETHNICITY_BY_PRIORITY = {
