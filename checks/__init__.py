@@ -4,6 +4,7 @@ from checks import (  # noqa: F401
     cohort_queries,
     feature_queries,
     metric_queries,
+    mlm_queries,
     similarity_queries,
     text_queries,
 )

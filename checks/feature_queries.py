@@ -17,8 +17,9 @@ TERMS = f"""(SELECT doc_id, token, count(*) AS n FROM
     (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM {I.CLEAN_DOCS}) GROUP BY doc_id, token)"""
 COUNTS = f"(SELECT token, CAST(sum(n) AS BIGINT) AS n FROM {TERMS} GROUP BY token)"
 # The embeddings table is dense in vec_id, so a hash modulo its size finds a row.
-VECTORS = f"""(SELECT token, embedding FROM {COUNTS} c JOIN embeddings e
-    ON e.vec_id = CAST('0x' || left(md5(token), 8) AS UBIGINT) % (SELECT count(*) FROM embeddings))"""
+VECTORS = f"""(WITH c AS (SELECT token, CAST(CAST('0x' || left(md5(token), 8) AS UBIGINT)
+      % (SELECT count(*) FROM embeddings) AS BIGINT) AS at FROM {COUNTS})
+    SELECT token, embedding FROM c JOIN embeddings e ON e.vec_id = c.at)"""
 
 
 def _summed(weight: str, scale: str = "") -> str:
@@ -28,10 +29,6 @@ def _summed(weight: str, scale: str = "") -> str:
         FROM {TERMS} JOIN {VECTORS} USING (token)) GROUP BY doc_id, dim)"""
 
 
-def items(docs):
-    return docs, F.split("text", " ")
-
-
 def terms(spark, sf):
     return features.bow_freq(*_named(spark, sf))
 
