@@ -18,7 +18,8 @@ PLACEHOLDERS = (
     ("NUM:NUM", "TIME"),
 )
 
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s]"
+BLANKS = " \t\n\f\r"
 SENTENCE_END = r"([.!?])\s+"
 BREAK = "\u0001"
 
@@ -45,7 +46,7 @@ def squeeze(text: Column) -> Column:
 
 
 def _mark_breaks(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s+$", ""), SENTENCE_END, "$1" + BREAK)
+    return F.regexp_replace(F.rtrim(text, F.lit(BLANKS)), SENTENCE_END, "$1" + BREAK)
 
 
 def sentences(text: Column) -> Column:
@@ -58,9 +59,10 @@ def clean(text: Column) -> Column:
 
     The break character travels through the tokeniser as a token of its own, so
     the whole chain stays one generated expression instead of a lambda per sentence.
+    Tokens hold no white space, so joining them leaves nothing to squeeze.
     """
     words = tokenise(normalise(_mark_breaks(text)))
-    return squeeze(F.replace(words, F.lit(f" {BREAK} "), F.lit(SENTENCE_MARK)))
+    return F.replace(words, F.lit(f" {BREAK} "), F.lit(SENTENCE_MARK))
 
 
 def cleaned_sentences(cleaned: Column) -> Column:

@@ -35,7 +35,7 @@ def candidate_spans(notes: DataFrame, key: str, sizes: Sequence[int]) -> DataFra
             lambda i: F.struct(
                 i.alias("start"),
                 F.lit(k).alias("len"),
-                F.array_join(F.slice("tokens", i + 1, F.lit(k)), " ").alias("phrase"),
+                F.concat_ws(" ", *[F.get("tokens", i + j) for j in range(k)]).alias("phrase"),
             ),
         )
 

@@ -22,10 +22,21 @@ def bow_bin(docs: DataFrame, key: str, items: Column) -> DataFrame:
     return bow_freq(docs, key, items).select(key, "token", F.lit(1).cast("bigint").alias("n"))
 
 
-def _vector_stat(stat, vec: Column, weight: Column | None = None) -> Column:
-    """Element-wise sum or mean as an aggregate with map-side combine."""
-    v = array_to_vector(vec)
-    return vector_to_array(stat(v) if weight is None else stat(v, weight.cast("double")))
+def width(vectors: DataFrame, vec: str = "vec") -> int:
+    """Length of the vectors, from one row."""
+    row = vectors.select(F.size(vec).alias("d")).first()
+    return row["d"] if row else 0
+
+
+def _sum_by(rows: DataFrame, key: str, count: Column, dims: int, weight: Column, mean: bool):
+    """Element-wise sums as plain column sums: generated code with map-side combine."""
+    sums = [
+        F.sum(F.get("vec", F.lit(i)).cast("double") * weight).alias(f"_{i}") for i in range(dims)
+    ]
+    out = rows.groupBy(key).agg(count, *sums)
+    n = out.columns[1]
+    parts = [F.col(f"_{i}") / F.col(n) if mean else F.col(f"_{i}") for i in range(dims)]
+    return out.select(key, n, F.array(*parts).alias("vec"))
 
 
 def token_embeddings(terms: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -33,37 +44,32 @@ def token_embeddings(terms: DataFrame, vectors: DataFrame) -> DataFrame:
     return terms.join(vectors.select("token", "vec"), "token")
 
 
-def boe_sum(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def boe_sum(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None) -> DataFrame:
     """Sum of the vectors of all token occurrences."""
-    return _weighted(terms, vectors, key, F.col("n"))
+    return _bag(terms, vectors, key, dims, F.col("n"))
 
 
-def boe_bin(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def boe_bin(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None) -> DataFrame:
     """Sum of the vectors of the distinct tokens."""
-    return _weighted(terms, vectors, key, F.lit(1))
+    return _bag(terms, vectors, key, dims, F.lit(1))
 
 
-def _weighted(terms, vectors, key, weight):
-    rows = token_embeddings(terms, vectors)
-    return rows.groupBy(key).agg(
-        F.sum("n").alias("n_tokens"),
-        _vector_stat(Summarizer.sum, F.col("vec"), weight).alias("vec"),
-    )
+def user_embedding_mean(
+    terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None
+) -> DataFrame:
+    """Mean vector of all known token occurrences of a user."""
+    return _bag(terms, vectors, key, dims, F.col("n"), mean=True)
 
 
-def user_embedding_mean(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Mean vector of all known token occurrences of a user."""
+def _bag(terms, vectors, key, dims, weight, mean=False):
+    dims = dims or width(vectors)
     rows = token_embeddings(terms, vectors)
-    return rows.groupBy(key).agg(
-        F.sum("n").alias("n_tokens"),
-        _vector_stat(Summarizer.mean, F.col("vec"), F.col("n")).alias("vec"),
-    )
+    return _sum_by(rows, key, F.sum("n").alias("n_tokens"), dims, weight, mean)
 
 
 def user_vectors(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Vector of each id; an id without one gets zeros."""
-    one = vectors.select(F.size("vec").alias("d")).first()
-    zeros = F.array_repeat(F.lit(0.0), one["d"] if one else 0)
+    zeros = F.array_repeat(F.lit(0.0), width(vectors))
     return ids.select(key).join(vectors.select(key, "vec"), key, "left").select(
         key, F.coalesce(F.col("vec").cast("array<double>"), zeros).alias("vec")
     )
@@ -79,7 +85,7 @@ def pool_mean(parts: DataFrame, key: str) -> DataFrame:
     """Mean of the part vectors of each document."""
     return parts.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_parts"),
-        _vector_stat(Summarizer.mean, F.col("vec")).alias("vec"),
+        vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("vec"),
     )
 
 

@@ -1,7 +1,8 @@
 """Classification metrics per model, task and subgroup, in one pass over the scores.
 
-Input rows: ``model, task, grp, y, yhat, score, positive`` where ``positive`` is
-true when ``y`` is the positive label of the task.
+Input rows: ``model, task, grp, y, yhat, score, positive, predicted_positive`` where
+the last two tell whether truth and prediction are the positive label of the task.
+``cells`` counts equal rows first; everything else works on those counts.
 """
 
 from __future__ import annotations
@@ -9,16 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.operators.distribution import running_totals
+from chartweave.operators.distribution import MAX_GROUP_ROWS, largest_group, running_totals
+from chartweave.session import cut_lineage
 
 KEYS = ["model", "task", "grp"]
 METRICS = ["micro_f1", "macro_f1", "auroc", "auprc", "specificity", "sensitivity"]
 
 
-def confusion(rows: DataFrame) -> DataFrame:
-    """Counts per ``(y, yhat)``: every later step works on this small table."""
-    return rows.groupBy(*KEYS, "y", "yhat", "positive", "predicted_positive").agg(
-        F.count(F.lit(1)).alias("n")
+def cells(rows: DataFrame) -> DataFrame:
+    """Rows that agree in everything, counted."""
+    return rows.groupBy(
+        *KEYS, "y", "yhat", "score", "positive", "predicted_positive"
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def confusion(counted: DataFrame) -> DataFrame:
+    """Counts per ``(y, yhat)``: as many rows as there are pairs of labels."""
+    return counted.groupBy(*KEYS, "y", "yhat", "positive", "predicted_positive").agg(
+        F.sum("n").alias("n")
     )
 
 
@@ -99,18 +108,24 @@ def specificity_sensitivity(conf: DataFrame) -> DataFrame:
     return conf.groupBy(*KEYS).agg(*_rates())
 
 
-def curve_steps(rows: DataFrame, **kw) -> DataFrame:
+def curve_steps(
+    counted: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, slices: int | None = None
+) -> DataFrame:
     """Score steps with running counts: ties collapse before anything is ordered."""
-    pos = F.count_if(F.col("positive"))
-    steps = rows.groupBy(*KEYS, "score").agg(
-        pos.alias("tp"), (F.count(F.lit(1)) - pos).alias("fp")
+    # Cells bound steps; the steps are only measured when that bound is too weak.
+    bound = largest_group(counted, KEYS)
+    steps = counted.groupBy(*KEYS, "score").agg(
+        F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("positive"), 0).otherwise(F.col("n"))).alias("fp"),
     )
     return running_totals(
         steps,
         KEYS,
         [F.col("score").desc()],
         {"ctp": F.col("tp"), "cfp": F.col("fp")},
-        **kw,
+        max_group_rows=max_group_rows,
+        slices=slices,
+        group_rows=bound if bound <= max_group_rows else None,
     )
 
 
@@ -146,19 +161,22 @@ def _binary_only(metric: str) -> Column:
 
 
 def areas(rows: DataFrame, **kw) -> DataFrame:
-    few = confusion(rows).groupBy(*KEYS).agg(_true_labels())
-    out = ranking_areas(curve_steps(rows, **kw)).join(few, KEYS)
+    counted = cut_lineage(cells(rows))
+    few = confusion(counted).groupBy(*KEYS).agg(_true_labels())
+    out = ranking_areas(curve_steps(counted, **kw)).join(few, KEYS)
     return out.select(*KEYS, _binary_only("auroc"), _binary_only("auprc"))
 
 
 def subgroup_metrics(rows: DataFrame, digits: int | None = 3, **kw) -> DataFrame:
     """All six metrics, one row per model, task and group."""
-    conf = confusion(rows)
+    # The scores are read once; what follows uses their counts several times.
+    counted = cut_lineage(cells(rows))
+    conf = confusion(counted)
     out = (
         conf.groupBy(*KEYS)
         .agg(_accuracy(), *_rates(), _true_labels())
         .join(macro_f1(conf), KEYS)
-        .join(ranking_areas(curve_steps(rows, **kw)), KEYS)
+        .join(ranking_areas(curve_steps(counted, **kw)), KEYS)
         .withColumn("auroc", _binary_only("auroc"))
         .withColumn("auprc", _binary_only("auprc"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.operators.tasks import index_labels, label_vocabulary
+from chartweave.session import cut_lineage
 
 # Fixed value: strength of the L2 penalty.
 PENALTY = 1e-4
@@ -36,9 +37,10 @@ def probe(
     ``rows`` holds ``task, split, subject_id, y, vec``.  One fit per task; labels come
     from train and validation, and a label seen only in test can never be predicted.
     """
+    # Features are built once, not once per fit and label set.
+    rows = cut_lineage(rows)
     vocabulary = label_vocabulary(rows)
     ready = index_labels(rows, vocabulary).withColumn("features", array_to_vector("vec"))
-    ready = ready.persist()
     scored = None
     for task, label in positive.items():
         mine = ready.filter(F.col("task") == task)

@@ -72,9 +72,11 @@ def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None =
         *body,
         none.alias("wanted"),
     )
+    # A fixed number, as the bytes of a key say little about its arithmetic.
+    n = 2 * int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         query.unionByName(candidates)
-        .repartition("task", "q_block")
+        .repartition(n, "task", "q_block")
         .sortWithinPartitions("task", "q_block", "kind")
     )
 
@@ -207,6 +209,7 @@ def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     A user's candidates are all users of the task, the user included; relevant are
     those with the same label.  Users whose task has no other label have no curve.
     """
+    users = cut_lineage(users)
     # Written once: it feeds the refinement and the curve, and costs the most.
     coarse = cut_lineage(_count_scores(facing_blocks(users, block_rows), COARSE))
     # Inside a bin without relevant users the curve is flat: nothing to refine.

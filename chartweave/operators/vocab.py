@@ -16,6 +16,8 @@ SPECIALS = ("[PAD]", "[MASK]", "[UNK]", "[CLS]", "[SEP]")
 # Default sizes.
 VOCAB_SIZE = 20_000
 MAX_WORD_CHARS = 100
+# Merge rounds replayed on the type table before it is written anew.
+ROUNDS_PER_WRITE = 8
 
 WORD_TYPE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -66,15 +68,17 @@ def _pairs(pieces: Column) -> Column:
     ).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
-def _merge(merges: set[tuple[str, str]]) -> Callable[[pd.Series], pd.Series]:
+def _merge(rounds: Sequence[set[tuple[str, str]]]) -> Callable[[pd.Series], pd.Series]:
     def join_pieces(pieces: Iterable[str]) -> list[str]:
-        out: list[str] = []
-        for p in pieces:
-            if out and (out[-1], p) in merges:
-                out[-1] += p.removeprefix("##")
-            else:
-                out.append(p)
-        return out
+        for merges in rounds:
+            out: list[str] = []
+            for p in pieces:
+                if out and (out[-1], p) in merges:
+                    out[-1] += p.removeprefix("##")
+                else:
+                    out.append(p)
+            pieces = out
+        return list(pieces)
 
     def merged(column: pd.Series) -> pd.Series:
         return column.map(join_pieces)
@@ -91,8 +95,9 @@ def subword_vocab(
     """Subword units grown from characters over the word-type table.
 
     A round counts neighbouring pieces over the types (not over the corpus) and
-    merges the most frequent pairs that share no piece with each other.  Only the
-    chosen pairs of a round reach the driver.  The list is in id order.
+    merges the most frequent pairs of which none ends where another begins, so no
+    merge of the round changes the count of another.  Only the chosen pairs reach
+    the driver.  The list is in id order.
     """
     table = cut_lineage(
         types.select(
@@ -106,33 +111,43 @@ def subword_vocab(
     letters = table.select(F.explode("pieces").alias("p")).distinct().orderBy("p").limit(size)
     units += [r["p"] for r in letters.collect()]
     seen = set(units)
+    pending: list[set[tuple[str, str]]] = []
     while len(units) < size:
+        current = table
+        if pending:
+            step = F.pandas_udf(_merge(pending), "array<string>")
+            current = table.select("n", step("pieces").alias("pieces"))
+        if len(pending) == ROUNDS_PER_WRITE:
+            current = table = cut_lineage(current)
+            pending = []
         counted = (
-            table.select("n", F.explode(_pairs(F.col("pieces"))).alias("x"))
+            current.select("n", F.explode(_pairs(F.col("pieces"))).alias("x"))
             .groupBy("x.a", "x.b")
             .agg(F.sum("n").alias("n"))
             .orderBy(F.col("n").desc(), "a", "b")
             .limit(4 * merges_per_round)
         )
         chosen: set[tuple[str, str]] = set()
-        used: set[str] = set()
+        lefts: set[str] = set()
+        rights: set[str] = set()
         fresh: list[str] = []
         for a, b, _ in counted.collect():
-            if a in used or b in used or len(chosen) == merges_per_round:
+            clash = a == b or a in rights or b in lefts
+            if clash or len(chosen) == merges_per_round:
                 continue
             unit = a + b.removeprefix("##")
             if unit not in seen and len(units) + len(fresh) == size:
                 break
             chosen.add((a, b))
-            used.update((a, b))
+            lefts.add(a)
+            rights.add(b)
             if unit not in seen:
                 seen.add(unit)
                 fresh.append(unit)
         if not chosen:
             break
         units += fresh
-        step = F.pandas_udf(_merge(chosen), "array<string>")
-        table = cut_lineage(table.select("n", step("pieces").alias("pieces")))
+        pending = [*pending, chosen]
     return units
 
 

@@ -45,6 +45,10 @@ def vectors(spark, sf):
     return I.token_vectors(spark, sf, counts(spark, sf))
 
 
+def _dims(spark, sf):
+    return features.width(I.table(spark, sf, "embeddings"), "embedding")
+
+
 @query(
     "token_vocab",
     f"SELECT row_number() OVER (ORDER BY n DESC, token) - 1 AS id, token, n FROM {COUNTS}",
@@ -84,19 +88,19 @@ def token_embeddings(spark, sf):
 
 @query("boe_sum", _summed("n"))
 def boe_sum(spark, sf):
-    out = features.boe_sum(terms(spark, sf), vectors(spark, sf), "doc_id")
+    out = features.boe_sum(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("boe_bin", _summed("1"))
 def boe_bin(spark, sf):
-    out = features.boe_bin(terms(spark, sf), vectors(spark, sf), "doc_id")
+    out = features.boe_bin(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("user_embedding_mean", _summed("n", " / n_tokens"))
 def user_embedding_mean(spark, sf):
-    out = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id")
+    out = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
@@ -238,7 +242,7 @@ def encode_multi_cls(spark, sf):
 
 
 def _probe_rows(spark, sf):
-    vec = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id")
+    vec = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
     from checks.cohort_queries import task_rows
 
     rows = tasks.stratified_split(
@@ -270,7 +274,7 @@ def demographics_probe(spark, sf):
         F.lit("LANG").alias("task"), F.col("doc_id").alias("subject_id"), F.col("lang").alias("y"), "lang", "source"
     )
     rows = tasks.stratified_split(rows, ["task", "y"], ["subject_id"], names=("train", "test"))
-    known = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id")
+    known = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
     ready = features.feature_rows(rows, known.select(F.col("doc_id").alias("subject_id"), "vec"))
     scored = probe.probe(ready, "U_mean", {"LANG": "en"}, ["lang", "source"])
     wide = M.subgroup_metrics(

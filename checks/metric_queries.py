@@ -118,13 +118,13 @@ def subgroup_metrics(spark, sf):
 
 @query("metric_micro_f1", f"SELECT model, task, grp, round(micro_f1, 6) AS micro_f1 FROM {MICRO}")
 def metric_micro_f1(spark, sf):
-    out = M.micro_f1(M.confusion(marked(spark, sf)))
+    out = M.micro_f1(M.confusion(M.cells(marked(spark, sf))))
     return out.withColumn("micro_f1", F.round("micro_f1", 6))
 
 
 @query("metric_macro_f1", f"SELECT model, task, grp, round(macro_f1, 6) AS macro_f1 FROM {MACRO}")
 def metric_macro_f1(spark, sf):
-    out = M.macro_f1(M.confusion(marked(spark, sf)))
+    out = M.macro_f1(M.confusion(M.cells(marked(spark, sf))))
     return out.withColumn("macro_f1", F.round("macro_f1", 6))
 
 
@@ -144,7 +144,7 @@ def metric_auprc(spark, sf):
     round(sensitivity, 6) AS sensitivity FROM {RATES}""",
 )
 def metric_confusion(spark, sf):
-    out = M.specificity_sensitivity(M.confusion(marked(spark, sf)))
+    out = M.specificity_sensitivity(M.confusion(M.cells(marked(spark, sf))))
     return out.select(
         *M.KEYS, F.round("specificity", 6).alias("specificity"), F.round("sensitivity", 6).alias("sensitivity")
     )
