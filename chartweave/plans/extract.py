@@ -114,4 +114,8 @@ def save(result: Extract, path: str, manifests: int = 2, mini_rows: int = 1000)
     tables.write_tasks(mini.drop("line"), f"{path}/mini")
     sliced = tasks.manifest_slices(result.names, manifests, [F.col("pos")])
     tables.write_manifest(sliced, f"{path}/manifests")
+    lines = [(f"{t.upper()},{t}",) for t in DEMOGRAPHIC_TASKS]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(
+        f"{path}/demographic_tasks"
+    )
     result.audit.write.mode("overwrite").parquet(f"{path}/audit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,13 @@ def write_manifest(sliced: DataFrame, path: str, columns: Sequence[str] = ("abv"
     ).partitionBy("file").text(path)
 
 
+def feature_name(feature: str, embeddings_path: str | None = None) -> str:
+    """Name of a feature table; user vectors carry the stem of their file."""
+    if feature == "U2V" and embeddings_path:
+        return f"{feature}_{PurePath(embeddings_path).stem}"
+    return feature
+
+
 def write_arrays(features: DataFrame, path: str) -> None:
     """Fixed-width training arrays, a folder per split."""
     features.write.mode("overwrite").partitionBy("split").parquet(path)

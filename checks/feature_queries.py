@@ -24,7 +24,7 @@ VECTORS = f"""(WITH c AS (SELECT token, CAST(CAST('0x' || left(md5(token), 8) AS
 
 def _summed(weight: str, scale: str = "") -> str:
     return f"""SELECT doc_id, n_tokens, CAST(dim - 1 AS INTEGER) AS dim, round(v{scale}, 6) AS value FROM (
-      SELECT doc_id, dim, sum(n) AS n_tokens, sum(CAST(x AS DOUBLE) * {weight}) AS v FROM (
+      SELECT doc_id, dim, CAST(sum(n) AS BIGINT) AS n_tokens, sum(CAST(x AS DOUBLE) * {weight}) AS v FROM (
         SELECT doc_id, n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim
         FROM {TERMS} JOIN {VECTORS} USING (token)) GROUP BY doc_id, dim)"""
 

@@ -51,6 +51,11 @@ def test_manifest_files(spark, tmp_path):
     assert got == ["A,a x", "B,b"]
 
 
+def test_feature_names():
+    assert tables.feature_name("U2V", "/x/U_mean.txt") == "U2V_U_mean"
+    assert tables.feature_name("BOW-BIN") == "BOW-BIN"
+
+
 def test_encoder_pooling_and_names(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "b")], "id bigint, text string")
 
