@@ -90,7 +90,8 @@ def encode_features(docs: DataFrame, feature: str, make_encoder, key: str, text:
 
 
 def hash_encoder(dims: int = 8) -> Callable[[], Encoder]:
-    """Encoder without weights for checks: a token's vector is its md5 bytes / 255."""
+    """Encoder without weights for checks: a token's vector is the square roots of its
+    md5 bytes."""
 
     def make() -> Encoder:
         memo: dict[str, np.ndarray] = {}
@@ -98,7 +99,7 @@ def hash_encoder(dims: int = 8) -> Callable[[], Encoder]:
         def vector(token: str) -> np.ndarray:
             if token not in memo:
                 digest = hashlib.md5(token.encode()).digest()[:dims]
-                memo[token] = np.frombuffer(digest, dtype=np.uint8) / 255.0
+                memo[token] = np.sqrt(np.frombuffer(digest, dtype=np.uint8).astype(float))
             return memo[token]
 
         return lambda texts: [np.stack([vector(t) for t in x.split(" ")]) for x in texts]

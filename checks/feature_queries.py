@@ -185,10 +185,10 @@ def pool_first(spark, sf):
     return features.long_vectors(features.pool_first(parts, "label"), "label", "n_parts")
 
 
-# ---- encoders: the check encoder turns a token into its md5 bytes / 255 -----------
+# ---- encoders: the check encoder turns a token into the roots of its md5 bytes ----
 
 _BYTES = " , ".join(
-    f"CAST(CAST('0x' || substr(md5(token), {2 * i + 1}, 2) AS UBIGINT) AS DOUBLE) / 255" for i in range(8)
+    f"sqrt(CAST(CAST('0x' || substr(md5(token), {2 * i + 1}, 2) AS UBIGINT) AS DOUBLE))" for i in range(8)
 )
 
 

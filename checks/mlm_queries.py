@@ -19,26 +19,36 @@ LENGTH, MIN_LENGTH, PREDS, WORDS = 64, 20, 10, 2000
 
 TYPE_LIST = ", ".join(f"'{t}'" for t in ALL_TYPES)
 ALLOWED = ", ".join(f"'{t}'" for t in ENTITY_TYPES)
+
+
+def _runs(source: str, key: str) -> str:
+    """SQL of ``(key, start, k, phrase)``: runs of 2, 3 and 4 tokens of a clean text."""
+    return f"""(SELECT * FROM (SELECT {key}, start, unnest([2, 3, 4]) AS k,
+          unnest([a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d]) AS phrase
+        FROM (SELECT {key}, pos - 1 AS start, token AS a, lead(token, 1) OVER w AS b,
+                lead(token, 2) OVER w AS c, lead(token, 3) OVER w AS d
+              FROM (SELECT {key}, unnest(string_split(text, ' ')) AS token,
+                      generate_subscripts(string_split(text, ' '), 1) AS pos FROM {source})
+              WINDOW w AS (PARTITION BY {key} ORDER BY pos)))
+      WHERE phrase IS NOT NULL)"""
+
+
 GAZETTEER = f"""(SELECT DISTINCT phrase,
       list_extract([{TYPE_LIST}], CAST(CAST('0x' || left(md5(phrase), 8) AS UBIGINT) % {len(ALL_TYPES)} AS INTEGER) + 1) AS tui,
       'C' || substr(md5(phrase), 9, 7) AS cui
-    FROM (SELECT unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS phrase
-          FROM (SELECT string_split({I.sql_clean('text')}, ' ') AS t FROM benchmark) b,
-               (SELECT unnest([2, 3, 4]) AS k) n WHERE len(t) >= k))"""
+    FROM {_runs(f"(SELECT item_id, {I.sql_clean('text')} AS text FROM benchmark)", "item_id")})"""
 FOUND = f"""(SELECT doc_id, start, arg_max(s.phrase, k) AS phrase, max(k) AS len, arg_max(tui, k) AS tui, arg_max(cui, k) AS cui
-    FROM (SELECT doc_id, k, unnest(range(0, len(t) - k + 1)) AS start,
-              unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS phrase
-          FROM (SELECT doc_id, string_split(text, ' ') AS t FROM {I.CLEAN_DOCS}) d,
-               (SELECT unnest([2, 3, 4]) AS k) n WHERE len(t) >= k) s
+    FROM {_runs(I.CLEAN_DOCS, "doc_id")} s
     JOIN (SELECT * FROM {GAZETTEER} WHERE tui IN ({ALLOWED})) g ON g.phrase = s.phrase
     GROUP BY doc_id, start)"""
-LINKS_CTE = f"""found AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS rn FROM {FOUND}),
-    walk AS (SELECT doc_id, rn, start + len AS stop, true AS kept FROM found WHERE rn = 1
-      UNION ALL
-      SELECT f.doc_id, f.rn, CASE WHEN f.start >= w.stop THEN f.start + f.len ELSE w.stop END, f.start >= w.stop
-      FROM walk w JOIN found f ON f.doc_id = w.doc_id AND f.rn = w.rn + 1),
-    links AS (SELECT f.* FROM found f JOIN walk w ON f.doc_id = w.doc_id AND f.rn = w.rn WHERE kept)"""
-ANNOTATED = f"""WITH RECURSIVE {LINKS_CTE},
+# Fold over the spans of a document by start: keep one that starts at or after the
+# stop of the last kept.
+LINKS_CTE = f"""found AS MATERIALIZED (SELECT * FROM {FOUND}),
+    kept AS (SELECT doc_id, unnest(list_reduce(list([[start, start + len]] ORDER BY start),
+        lambda a, x: CASE WHEN x[1][1] >= a[-1][2] THEN list_concat(a, x) ELSE a END)) AS p
+      FROM found GROUP BY doc_id),
+    links AS (SELECT f.* FROM found f JOIN kept k ON f.doc_id = k.doc_id AND f.start = k.p[1])"""
+ANNOTATED = f"""WITH {LINKS_CTE},
     toks AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token,
                generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM {I.CLEAN_DOCS}),
     cover AS (SELECT doc_id, start, tui, cui, unnest(range(start, start + len)) AS pos FROM links)
@@ -67,7 +77,7 @@ def gazetteer(spark, sf):
 
 @query(
     "link_entities",
-    f"""WITH RECURSIVE {LINKS_CTE}
+    f"""WITH {LINKS_CTE}
     SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, phrase, tui, cui FROM links""",
 )
 def link_entities(spark, sf):
@@ -76,7 +86,7 @@ def link_entities(spark, sf):
 
 @query(
     "entity_ids",
-    f"""WITH RECURSIVE {LINKS_CTE}
+    f"""WITH {LINKS_CTE}
     SELECT DISTINCT '[' || tui || ']' AS entity_id FROM links
     UNION SELECT DISTINCT '[' || cui || ']' FROM links""",
 )

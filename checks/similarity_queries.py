@@ -9,6 +9,8 @@ from checks.registry import query
 from chartweave.operators import similarity as S
 from chartweave.operators import tasks
 
+# Averages of fractions often end exactly between two roundings; both sides add this.
+TIE = 1e-9
 COSINE = """CAST(round(list_dot_product(q.vec, c.vec)
     / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec))) * 1000000) AS BIGINT)"""
 TASKS = """(SELECT CAST(t.label AS VARCHAR) AS task, vec_id AS user,
@@ -72,26 +74,26 @@ def neighbour_topk(spark, sf):
     return S.neighbour_topk(users, 10)
 
 
-@query("user_roc", f'SELECT task, "user", y, k, round(k / 99, 6) AS fpr, round(tpr, 6) AS tpr FROM {CURVES}')
+@query("user_roc", f'SELECT task, "user", y, k, round(k / 99, 6) AS fpr, round(tpr + 1e-9, 6) AS tpr FROM {CURVES}')
 def user_roc(spark, sf):
     out = S.user_roc(balanced(spark, sf))
-    return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round("tpr", 6))
+    return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round(F.col("tpr") + TIE, 6))
 
 
 @query(
     "mean_roc",
-    f"SELECT task, y, k, n_users, round(k / 99, 6) AS fpr, round(tpr, 6) AS tpr FROM {MEANS}",
+    f"SELECT task, y, k, n_users, round(k / 99, 6) AS fpr, round(tpr + 1e-9, 6) AS tpr FROM {MEANS}",
 )
 def mean_roc(spark, sf):
     out = S.mean_roc(S.user_roc(balanced(spark, sf)))
-    return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round("tpr", 6))
+    return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round(F.col("tpr") + TIE, 6))
 
 
 @query(
     "mean_roc_auc",
-    f"""SELECT task, y, round(sum(CASE WHEN k IN (0, 99) THEN tpr / 2 ELSE tpr END) / 99, 6) AS auc
+    f"""SELECT task, y, round(sum(CASE WHEN k IN (0, 99) THEN tpr / 2 ELSE tpr END) / 99 + 1e-9, 6) AS auc
     FROM {MEANS} GROUP BY task, y""",
 )
 def mean_roc_auc(spark, sf):
     out = S.mean_roc_auc(S.mean_roc(S.user_roc(balanced(spark, sf))))
-    return out.withColumn("auc", F.round("auc", 6))
+    return out.withColumn("auc", F.round(F.col("auc") + TIE, 6))
