@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.cohort_queries import TASK_ROWS
+from checks.cohort_queries import TASK_ROWS, task_rows
 from checks.metric_queries import CATALOGUE
 from checks.registry import query
 from chartweave.functions import text as X
@@ -125,8 +125,6 @@ def user_vectors(spark, sf):
 )
 def feature_lookup(spark, sf):
     known = I.users(spark, sf).select(F.col("user").alias("subject_id"), "vec")
-    from checks.cohort_queries import task_rows
-
     out = features.feature_rows(task_rows(spark, sf), known)
     return out.select(
         "task", "subject_id", "y",
@@ -243,8 +241,6 @@ def encode_multi_cls(spark, sf):
 
 def _probe_rows(spark, sf):
     vec = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
-    from checks.cohort_queries import task_rows
-
     rows = tasks.stratified_split(
         task_rows(spark, sf), ["task", "y"], ["subject_id"], names=("train", "test")
     )
