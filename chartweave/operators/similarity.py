@@ -30,11 +30,13 @@ BLOCK_ROWS = 2_000
 STRIPE = 256
 
 
-def _blocks(users: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+def _blocks(users: DataFrame, block_rows: int) -> tuple[DataFrame, int, int]:
     """``(task, block, ids, ys, flat)``: hashed blocks of about ``block_rows`` users,
-    even however the ids are skewed, with their vectors laid end to end."""
-    n = users.groupBy("task").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-n // block_rows))
+    even however the ids are skewed, with their vectors laid end to end.  Also the
+    number of blocks per task and of tasks."""
+    sizes = users.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    most, tasks = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(most or 0) // block_rows))
     packed = (
         users.withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks)))
         .groupBy("task", "block")
@@ -47,7 +49,7 @@ def _blocks(users: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
             F.flatten("m.vec").alias("flat"),
         )
     )
-    return packed, blocks
+    return packed, blocks, tasks
 
 
 def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -57,7 +59,7 @@ def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None =
     (``kind`` 1) as a stream, so a task keeps one query and one candidate block.
     Blocks are copied once per query block; users are never paired as rows.
     """
-    packed, blocks = _blocks(users, block_rows)
+    packed, blocks, tasks = _blocks(users, block_rows)
     none = F.lit(None).cast("array<struct<user:bigint,bins:array<bigint>>>")
     body = ["ids", "ys", "flat"]
     query = packed.select("task", F.col("block").alias("q_block"), F.lit(0).alias("kind"), *body)
@@ -72,8 +74,10 @@ def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None =
         *body,
         none.alias("wanted"),
     )
-    # A fixed number, as the bytes of a key say little about its arithmetic.
-    n = 2 * int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed number, as the bytes of a key say little about its arithmetic; never more
+    # than there are keys, as a Python worker for nothing costs its start.
+    most = 4 * int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(most, tasks * blocks))
     return (
         query.unionByName(candidates)
         .repartition(n, "task", "q_block")
@@ -218,7 +222,7 @@ def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .filter((F.col("lo") <= F.col("hi")) & (F.col("tp") > 0))
         .select("task", "user", "bin")
     )
-    packed, _ = _blocks(users, block_rows)
+    packed, _, _ = _blocks(users, block_rows)
     homes = packed.select("task", F.col("block").alias("q_block"), F.explode("ids").alias("user"))
     wanted = (
         split.groupBy("task", "user")

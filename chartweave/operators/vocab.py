@@ -99,10 +99,8 @@ def subword_vocab(
     merge of the round changes the count of another.  Only the chosen pairs reach
     the driver.  The list is in id order.
     """
-    # A fixed number of tasks: the table is small in bytes but walked in every round.
-    tasks = int(types.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = cut_lineage(
-        types.repartition(tasks, "token").select(
+        types.select(
             "n",
             F.transform(
                 F.split("token", ""), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c))
