@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import neardup
+from chartweave.llm import neardup, quality
 
 QUERIES = {}
 ORACLES = {}
@@ -28,3 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
+@query("op10_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select(
+        "doc_id", (quality.fold() == 1).alias("held_out"), "score", "predicted"
+    )
