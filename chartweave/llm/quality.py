@@ -38,12 +38,17 @@ SHAPE[0x30:0x3A] = ord("c")
 SHAPE[0x80:] = ord("d")
 
 
-def _index_vectors() -> np.ndarray:
+def _index_places() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the parts of each bucket's index vector."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, DIM, BUCKETS)] += rng.choice([-1.0, 1.0], BUCKETS)
-    return out / np.sqrt(NONZERO)
+    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+
+
+def _index_vectors() -> np.ndarray:
+    place, sign = _index_places()
+    flat = (np.arange(BUCKETS)[:, None] * DIM + place).ravel()
+    out = np.bincount(flat, sign.ravel(), BUCKETS * DIM).reshape(BUCKETS, DIM)
+    return (out / np.sqrt(NONZERO)).astype(np.float32)
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -120,14 +125,17 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     data, offsets = kernels.buffers(pa.array(texts, pa.large_string()))
     index = _index_vectors()
     word, shape, first = tokens(data, offsets)
-    context = np.zeros((BUCKETS, DIM), np.float32)
+    context = np.zeros(BUCKETS * DIM)
+    place, sign = _index_places()
     inner = np.ones(len(word), bool)
     inner[first[:-1][first[:-1] < len(word)]] = False
     pair = np.flatnonzero(inner)
     for own in (word, shape):
         for other in (word, shape):
-            np.add.at(context, own[pair], index[other[pair - 1]])
-            np.add.at(context, own[pair - 1], index[other[pair]])
+            for at, near in ((own[pair], other[pair - 1]), (own[pair - 1], other[pair])):
+                for j in range(NONZERO):
+                    context += np.bincount(at * DIM + place[near, j], sign[near, j], len(context))
+    context = context.reshape(BUCKETS, DIM).astype(np.float32)
     # A token the sample does not hold keeps its index vector.
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     context = np.where(norm > 0, context / np.maximum(norm, 1e-9), index)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import neardup, quality
+from chartweave.llm import licences, neardup, quality, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +37,13 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", (quality.fold() == 1).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op6_quality_rules", rules.SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir))
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
