@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import licences, neardup, quality, rules
+from chartweave.llm import licences, mixing, neardup, quality, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -47,3 +47,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
+
+
+@query("op1_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
