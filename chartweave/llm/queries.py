@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import licences, mixing, neardup, packing, quality, rules, topk
+from chartweave.llm import licences, lm, mixing, neardup, packing, quality, rules, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -74,3 +74,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op7_exact_top_k", TOP_K_SQL)
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op3_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))

@@ -83,7 +83,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
                 near = near[other[near] @ own[i] + slack >= floor]
             if not len(near):
                 continue
-            # Within a float's exact range: products of integers below 2**26 or so.
+            # Sums of products of whole numbers, exact in a float up to 2**53.
             scores = np.concatenate([best[i], x[near] @ q[i]])
             where = np.concatenate([np.asarray(best_at[i], np.int64), near])
             top = np.lexsort((where, -scores))[:k]
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, levels: int = 256) ->
     x = rows.select(
         "*",
         F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_rows)).cast("int").alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).cast("long").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("qb"),
     )
     keys = ["width", "qb", "rb"]
     found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(
