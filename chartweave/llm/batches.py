@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chartweave.llm import kernels
 
@@ -23,14 +22,6 @@ BATCH_BYTES = 12_000_000
 Question = dict[str, np.ndarray]
 
 
-def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """``docs (doc_id, text)`` with ``batch``, and the number of batches."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // batch_bytes))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    return docs.withColumn("batch", batch), n
-
-
 def shuffled(column: np.ndarray) -> bytes:
     """Bytes of an array, all first bytes, then all second ones: equal bytes meet."""
     return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes() if len(column) else b""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import licences, lm, mixing, neardup, packing, quality, rules, topk
+from chartweave.llm import licences, lm, mixing, neardup, packing, quality, rules, suffixes, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -79,3 +79,8 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scoring")
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
+
+
+@query("op9_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(documents(spark, sf_dir))
