@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import licences, lm, mixing, neardup, packing, quality, rules, suffixes, topk
+from chartweave.llm import licences, lm, mixing, neardup, packing, pii, quality, rules, suffixes, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -84,3 +84,8 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(documents(spark, sf_dir))
+
+
+@query("op2_pii_surrogates")
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
