@@ -295,13 +295,15 @@ def _set_maker(k: int):
     return sets
 
 
-def _shared_nodes(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes that several classes share.  Those with more than ``NODE_ROWS`` rows go
-    to children by three more tokens, four times over; children that stay larger are cut by
-    document, in each tree anew."""
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    known = nodes.join(counts, "node")
+def _shared_nodes(places: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of nodes that several classes share, with sketches only for those.  Rows of nodes
+    with more than ``NODE_ROWS`` go to children by three more tokens, four times over; children
+    that stay larger are cut by document, in each tree anew."""
+    counts = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = places.join(counts, "node").join(sketches, "id")
     fits = known.filter(F.col("n") <= NODE_ROWS).select("node", "id", "n_shingles", "sketch")
+    if not counts.filter(F.col("n") > NODE_ROWS).limit(1).count():
+        return fits
     at = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS - 3)).cast("int") + 1
     child = (
         known.filter(F.col("n") > NODE_ROWS)
@@ -345,16 +347,22 @@ def near_duplicates(
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
         return df.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(fn, schema)
 
-    nodes = reps.select("id", "n_shingles", "sketch", F.explode("nodes").alias("node"))
-    maybe = in_buckets(_shared_nodes(nodes), "node", _node_pairs(percent / 100), "a long, b long")
+    reps = cut_lineage(reps)
+    sketches = reps.select("id", "n_shingles", "sketch")
+    nodes = reps.select("id", F.explode("nodes").alias("node"))
+    maybe = in_buckets(_shared_nodes(nodes, sketches), "node", _node_pairs(percent / 100), "a long, b long")
     groups = components(maybe).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     members = cut_lineage(groups.join(reps.select("id", "n_shingles"), "id"))
     large = members.groupBy("grp").agg(F.sum("n_shingles").alias("w")).filter(F.col("w") > GROUP_SHINGLES)
     placed = members.join(large, "grp", "left_anti").select("id", "grp")
-    # Groups beyond a task go through the trees again, with leaves a task can take.
-    inside = nodes.join(members.join(large, "grp", "left_semi").select("id"), "id", "left_semi")
-    leaves = in_buckets(_shared_nodes(inside), "node", _node_groups(percent / 100), "grp long, id long")
-    placed = placed.unionByName(leaves).groupBy("id").agg(F.collect_set("grp").alias("grps"))
+    if large.limit(1).count():
+        # Groups beyond a task go through the trees again, with leaves a task can take.
+        inside = nodes.join(members.join(large, "grp", "left_semi").select("id"), "id", "left_semi")
+        leaves = in_buckets(
+            _shared_nodes(inside, sketches), "node", _node_groups(percent / 100), "grp long, id long"
+        )
+        placed = placed.unionByName(leaves.select("id", "grp"))
+    placed = placed.groupBy("id").agg(F.collect_set("grp").alias("grps"))
     sets = (
         rows.join(placed, "id")
         .select("id", "grps", "text")
