@@ -63,7 +63,7 @@ def to_blocks(batch: int, columns: Question, kinds: dict[str, type], buckets: in
 
 
 def from_block(table: pa.Table, i: int, kinds: dict[str, type]) -> Question:
-    out = {"key": unpack_keys(table.column("key")[i].as_py())}
+    out = {"key": unpack_keys(table.column("key")[i].as_py())} if "key" in kinds else {}
     return out | {n: unshuffled(table.column(n)[i].as_py(), k) for n, k in kinds.items() if n != "key"}
 
 
@@ -89,8 +89,9 @@ def answer(
     kinds: dict[str, type],
 ) -> DataFrame:
     """Each bucket's answers: ``reply`` maps the questions of all batches, ordered by batch, to
-    their answers: fewer keys than asked, or none.  A column may have any length, such as one
-    figure of the whole bucket; every batch gets a row from every bucket."""
+    their answers.  These may leave out keys, or have no keys and follow the order of those
+    asked, which a batch can make again.  A column may have any length, such as one figure of
+    the whole bucket; every batch gets a row from every bucket."""
 
     def fn(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("batch").to_numpy(), kind="stable").tolist()
@@ -98,7 +99,7 @@ def answer(
         rows = []
         for i, r in zip(order, replies):
             row = {n: table.column(n)[i].as_py() for n in ("batch", "bucket")}
-            row["key"] = pack_keys(r["key"])
+            row |= {"key": pack_keys(r["key"])} if "key" in kinds else {}
             rows.append(row | {n: shuffled(r[n].astype(k)) for n, k in kinds.items() if n != "key"})
         return to_table(rows, kinds)
 

@@ -34,7 +34,7 @@ END = kernels.mix(np.array([7], np.uint64)) | ODD
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 ASKED = {"key": np.uint64, "n": np.uint32}
-TOLD = {"key": np.uint64, "n": np.uint32, "known": np.int64}
+TOLD = {"n": np.uint32, "known": np.int64}
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -79,7 +79,7 @@ def _question(table: pa.Table) -> B.Question:
 
 
 def _reply(questions: list[B.Question]) -> list[B.Question]:
-    """Training counts of each key over all batches, where there are any, and the number of
+    """Training counts of each key over all batches, in the order asked, and the number of
     distinct training words of the bucket."""
     keys, at = np.unique(np.concatenate([q["key"] for q in questions]), return_inverse=True)
     n = np.bincount(at, np.concatenate([q["n"] for q in questions]), len(keys)).astype(np.int64)
@@ -88,7 +88,7 @@ def _reply(questions: list[B.Question]) -> list[B.Question]:
     for q in questions:
         own = n[at[from_ : from_ + len(q["key"])]]
         from_ += len(q["key"])
-        out.append({"key": q["key"][own > 0], "n": np.minimum(own[own > 0], 2**32 - 1), "known": known})
+        out.append({"n": np.minimum(own, 2**32 - 1), "known": known})
     return out
 
 
@@ -96,7 +96,7 @@ def _walk(train_tokens: int):
     total = float(max(train_tokens, 1))
 
     def walk(table: pa.Table, told: pa.Table) -> pa.Table:
-        t = B.gathered(told, TOLD)
+        t = B.gathered(told, TOLD) | {"key": _question(table)["key"]}
         known_types = int(t["known"].sum())
         unknown = np.log10(DISCOUNT * known_types / total) if known_types else 0.0
         parts = []
