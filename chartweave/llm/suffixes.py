@@ -203,16 +203,29 @@ def _looked_up(e: dict[str, np.ndarray], told: B.Question) -> tuple[np.ndarray,
     return earlier, known & ~earlier & several
 
 
+class _Part:
+    """Runs of some documents of a batch, and the strings to be compared one by one."""
+
+    def __init__(self, part: pa.RecordBatch, answers: B.Question):
+        self.e, self.data, self.offsets = _found(part)
+        self.ids = part.column("doc_id")
+        self.earlier, single = _looked_up(self.e, answers)
+        self.start, self.doc = _strings(self.e, np.flatnonzero(single))
+        self.h = kernels.mix(kernels.span_hashes(self.data, self.start, self.start + LONG))
+
+    def strings(self) -> dict[str, np.ndarray]:
+        return {"key": self.h, "ctx": np.zeros(len(self.h), np.uint32), "doc": self.doc}
+
+
+def _parts(table: pa.Table, answers: B.Question) -> tuple[list[_Part], dict[str, np.ndarray]]:
+    """A batch's parts, and its distinct strings with their smallest documents."""
+    parts = [_Part(part, answers) for _, part in B.rows_of(table)]
+    return parts, distinct(_joined([p.strings() for p in parts]))
+
+
 def _second(buckets: int):
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
-        answers = B.gathered(told, TOLD)
-        parts = [{c: np.zeros(0, k) for c, k in ASKED.items()}]
-        for _, part in B.rows_of(table):
-            e, data, _ = _found(part)
-            start, doc = _strings(e, np.flatnonzero(_looked_up(e, answers)[1]))
-            h = kernels.span_hashes(data, start, start + LONG)
-            parts.append(distinct({"key": kernels.mix(h), "ctx": np.zeros(len(h), np.uint32), "doc": doc}))
-        asked = distinct(_joined(parts))
+        _, asked = _parts(table, B.gathered(told, TOLD))
         batch = table.column("batch")[0].as_py()
         return B.to_table(list(B.to_blocks(batch, asked, ASKED, buckets)), ASKED)
 
@@ -220,33 +233,32 @@ def _second(buckets: int):
 
 
 def _second_reply(questions: list[B.Question]) -> list[B.Question]:
-    """Smallest document of each string, where it is earlier than the batch's own."""
+    """Whether each string starts in a document before the batch's first, in the order asked."""
     index = distinct(_joined(questions))
     out = []
     for q in questions:
         first = index["doc"][np.searchsorted(index["key"], q["key"])]
-        # Equal if the batch itself holds the first: its later documents repeat the string.
-        out.append({"key": q["key"], "ctx": q["ctx"], "doc": first, "several": np.zeros(len(first), np.uint8)})
+        none = {c: np.zeros(0, k) for c, k in ASKED.items()}
+        out.append(none | {"several": (first < q["doc"]).astype(np.uint8)})
     return out
 
 
 def _cut(table: pa.Table, told: pa.Table) -> pa.Table:
     second = told.column("bucket").to_numpy() >= SECOND
     runs = B.gathered(told.filter(pa.array(~second)), TOLD)
-    strings = B.gathered(told.filter(pa.array(second)), TOLD)
+    before = B.gathered(told.filter(pa.array(second)), TOLD)["several"] > 0
+    parts, asked = _parts(table, runs)
     columns: list[list] = [[] for _ in range(5)]
-    for _, part in B.rows_of(table):
-        e, data, offsets = _found(part)
-        earlier, single = _looked_up(e, runs)
-        start, doc = _strings(e, np.flatnonzero(single))
-        at, known = B.look_up(strings["key"], kernels.mix(kernels.span_hashes(data, start, start + LONG)))
-        again = start[known & (strings["doc"][at] < doc)] if len(strings["key"]) else start[:0]
+    for p in parts:
+        e, data, offsets = p.e, p.data, p.offsets
+        at = np.searchsorted(asked["key"], p.h)
+        again = p.start[before[at] | (asked["doc"][at] < p.doc)]
         edge = np.zeros(len(data) + 1, np.int32)
-        for lo, hi in ((e["lo"][earlier], e["hi"][earlier] + LONG), (again, again + LONG)):
+        for lo, hi in ((e["lo"][p.earlier], e["hi"][p.earlier] + LONG), (again, again + LONG)):
             edge += np.bincount(lo, minlength=len(edge)).astype(np.int32)
             edge -= np.bincount(hi, minlength=len(edge)).astype(np.int32)
         gone = np.cumsum(edge[:-1]) > 0
-        for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        for doc_id, a, b in zip(p.ids.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
             own = gone[a:b]
             kept = data[a:b][~own] if own.any() else data[a:b]
             spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[:1].sum())
