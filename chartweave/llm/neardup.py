@@ -135,7 +135,9 @@ def _reach(sig: np.ndarray, least: int) -> np.ndarray:
 def tree_leaves(sig: np.ndarray, rng: np.random.Generator, share: float, most: int) -> list[np.ndarray]:
     """Rows of each leaf under a node: in every node each token is chosen with a rate that
     gives ``1 / share`` tokens on average, and rows go to a child for each chosen token and
-    its value.  A node that cannot shrink is cut into runs that share their first row."""
+    its value.  Where a token leaves nine tenths of the rows together, these are much alike
+    and branching would not end: the node is dealt at random into runs that share its first
+    row, which most rows are linked with."""
     leaves = []
     todo = [(np.arange(len(sig)), 0)]
     while todo:
@@ -144,17 +146,19 @@ def tree_leaves(sig: np.ndarray, rng: np.random.Generator, share: float, most: i
             if len(rows) > 1:
                 leaves.append(rows)
             continue
-        if depth == 48:
-            step = max(1, most - 1)
-            leaves += [np.concatenate([rows[:1], rows[i : i + step]]) for i in range(1, len(rows), step)]
-            continue
         chosen = np.flatnonzero(rng.random(sig.shape[1]) < 1 / (share * sig.shape[1]))
         if not len(chosen):
             chosen = rng.integers(0, sig.shape[1], 1)
+        children = []
         for c in chosen:
             order = rows[np.argsort(sig[rows, c], kind="stable")]
-            cuts = np.flatnonzero(np.diff(sig[order, c])) + 1
-            todo += [(child, depth + 1) for child in np.split(order, cuts) if len(child) > 1]
+            children.append(np.split(order, np.flatnonzero(np.diff(sig[order, c])) + 1))
+        if depth == 24 or max(len(x) for parts in children for x in parts) > 0.9 * len(rows):
+            dealt = rng.permutation(rows[1:])
+            step = max(1, most - 1)
+            leaves += [np.concatenate([rows[:1], dealt[i : i + step]]) for i in range(0, len(dealt), step)]
+            continue
+        todo += [(x, depth + 1) for parts in children for x in parts if len(x) > 1]
     return leaves
 
 

@@ -27,7 +27,7 @@ SYLLABLES = {
 }
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
-SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.-]{6,}"
+SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.-]{5,}[A-Za-z0-9+/_-]"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
 ACCOUNT = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
