@@ -122,8 +122,10 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def rows_of(table: pa.Table, column: str = "text", most: int = 2_000_000) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of a batch's documents with the number of rows before each."""
+    """Slices of a batch's documents with the number of rows before each, the same slices
+    whenever the batch is read: rows come in any order, and are sorted."""
     at = 0
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     for batch in table.combine_chunks().to_batches():
         for part in kernels.slices(batch, column, most):
             yield at, part

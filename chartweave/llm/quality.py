@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from chartweave.llm import kernels
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of id.
-SAMPLE = 4000
+SAMPLE = 2000
 DIM = 48
 BUCKETS = 1 << 14
 NONZERO = 4
