@@ -10,6 +10,7 @@ the network was not trained on calibrates its probabilities.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -184,9 +185,20 @@ def fold(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on the rows of one task; the model leaves as a file of its arrays."""
+    texts, labels = [], []
+    for b in batches:
+        texts += b.column("text").to_pylist()
+        labels += b.column("y").to_pylist()
+    out = io.BytesIO()
+    np.savez(out, **vars(fit(texts, np.array(labels, np.float32))))
+    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows outside fold 1, those with the smallest hash of
-    id.  Labels other than 0 and 1 and null labels are left out; a label that repeats for an
+    id.  The sample is fitted in one task, so the driver holds the model only.  Labels other than 0 and 1 and null labels are left out; a label that repeats for an
     id counts once, the smaller one."""
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
@@ -198,8 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
     # Rows that repeat an id may exceed the sample, so it bounds them again.
-    rows = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).select("text", "y").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("y").to_numpy())
+    rows = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).select("text", "y")
+    made = rows.mapInArrow(_fitted, "model binary").first()
+    if made is None:
+        return fit([], np.zeros(0, np.float32))
+    with np.load(io.BytesIO(made["model"])) as arrays:
+        return Model(**{name: arrays[name] for name in arrays.files})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
