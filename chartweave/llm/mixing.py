@@ -145,6 +145,7 @@ def mix(docs: DataFrame, keep: list[str] = (), block: int = BLOCK, **options) ->
     """
     keep = list(keep)
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
+    # Blocks and parts grow with the words, so they are merged and never broadcast.
     lanes, taken = plan(sized.select("doc_id", "source", "size"), block=block, **options)
     n = numbered(sized, keep)
     here = n["source"].eqNullSafe(lanes["source"]) & (n["lane"] == lanes["lane"])
@@ -153,7 +154,7 @@ def mix(docs: DataFrame, keep: list[str] = (), block: int = BLOCK, **options) ->
     )
     parts = (
         _pieces(placed.select("rank", "start", "size"), block)
-        .join(taken, ["rank", "block"])
+        .join(taken.hint("merge"), ["rank", "block"])
         .groupBy("rank", "start")
         .agg(
             F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken"),
@@ -163,7 +164,7 @@ def mix(docs: DataFrame, keep: list[str] = (), block: int = BLOCK, **options) ->
         .withColumnRenamed("start", "s")
     )
     mine = (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s")) & (F.col("size") > 0)
-    return placed.join(parts, mine, "left").select(
+    return placed.join(parts.hint("merge"), mine, "left").select(
         "doc_id",
         "source",
         *keep,
