@@ -20,10 +20,9 @@ from chartweave.operators.features import pool_first, pool_mean
 
 Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 
-# Documents and chunks per encoder call, chunks per document.
+# Documents and chunks per encoder call.
 BATCH = 64
 MULTI_BATCH = 32
-MAX_PARTS = 10
 # Feature names and the way they read the encoder output.
 FEATURES = {
     "BERT-POOL": ("single", "mean"),
@@ -68,10 +67,12 @@ def encode_multi(
     text: str = "text",
     pooling: str = "mean",
     window: int = 128,
-    max_parts: int = MAX_PARTS,
+    max_parts: int | None = None,
 ) -> DataFrame:
-    """Encode up to ``max_parts`` token windows of a document and pool them."""
-    windows = F.slice(chunks(F.split(text, " "), window), 1, max_parts)
+    """Encode all token windows of a document, or the first ``max_parts``, and pool them."""
+    windows = chunks(F.split(text, " "), window)
+    if max_parts is not None:
+        windows = F.slice(windows, 1, max_parts)
     parts = docs.select(key, F.posexplode(windows).alias("part", "_w")).select(
         key, "part", F.array_join("_w", " ").alias("text")
     )

@@ -44,17 +44,27 @@ def candidate_spans(notes: DataFrame, key: str, sizes: Sequence[int]) -> DataFra
     )
 
 
+def phrase_sizes(phrases: DataFrame) -> list[int]:
+    """Lengths in tokens that occur in a phrase table: a few numbers."""
+    sizes = phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in sizes)
+
+
 def linked_spans(
     notes: DataFrame,
     gazetteer: DataFrame,
     key: str,
-    sizes: Sequence[int],
+    sizes: Sequence[int] | None = None,
     types: Sequence[str] = ENTITY_TYPES,
 ) -> DataFrame:
     """``(key, spans)``: per note the spans taken from left to right, the longest at
-    each place, none overlapping.  The join is left to the optimizer: it broadcasts
+    each place, none overlapping.  ``sizes`` are the phrase lengths looked for, by default
+    all that the phrase table holds.  The join is left to the optimizer: it broadcasts
     a small phrase table and splits hot phrases of a large one."""
-    found = candidate_spans(notes, key, sizes).join(phrase_table(gazetteer, types), "phrase")
+    phrases = phrase_table(gazetteer, types)
+    sizes = phrase_sizes(phrases) if sizes is None else sizes
+    # Without a phrase there is nothing to look for; a length keeps the plan whole.
+    found = candidate_spans(notes, key, sizes or [1]).join(phrases, "phrase")
     fields = ["start", "len", "phrase", "tui", "cui"]
     empty = "array<struct<start:int,len:int,phrase:string,tui:string,cui:string>>"
     in_order = F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("o"), *fields[1:])))
@@ -75,7 +85,9 @@ def linked_spans(
     )
 
 
-def link_entities(notes: DataFrame, gazetteer: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
+def link_entities(
+    notes: DataFrame, gazetteer: DataFrame, key: str, sizes: Sequence[int] | None = None
+) -> DataFrame:
     """One row per linked span."""
     return linked_spans(notes, gazetteer, key, sizes).select(key, F.inline("spans"))
 
@@ -87,7 +99,7 @@ def entity_ids(links: DataFrame) -> DataFrame:
 
 
 def annotate_text(
-    notes: DataFrame, gazetteer: DataFrame, key: str, sizes: Sequence[int]
+    notes: DataFrame, gazetteer: DataFrame, key: str, sizes: Sequence[int] | None = None
 ) -> DataFrame:
     """``(key, n_entities, anno_text)``: spans replaced by their type and concept."""
     spans = linked_spans(notes, gazetteer, key, sizes)

@@ -76,9 +76,10 @@ def user_vectors(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def feature_rows(rows: DataFrame, features: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Labelled rows with the features of their subject (one row per subject)."""
-    single = features.groupBy(key).agg(F.min("vec").alias("vec"))
-    return rows.join(single, key)
+    """Labelled rows with the features of their subject.  Several rows of a subject, such as
+    the parts of a long text, are pooled by their mean; rows without a vector do not count."""
+    known = features.select(key, F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    return rows.join(pool_mean(known, key).select(key, "vec"), key)
 
 
 def pool_mean(parts: DataFrame, key: str) -> DataFrame:

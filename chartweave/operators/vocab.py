@@ -56,16 +56,22 @@ def head_of_vocab(vocab: DataFrame, size: int) -> list[str]:
 
 
 def _pairs(pieces: Column) -> Column:
-    n = F.size(pieces)
-    return F.when(
-        n > 1,
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.struct(
-                F.element_at(pieces, i).alias("a"), F.element_at(pieces, i + 1).alias("b")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    """Neighbouring pieces; a run of ``m`` equal pieces holds ``m div 2`` pairs, as it merges
+    from the left without overlap."""
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(False).alias("used"), none.alias("out"))
+
+    def step(acc, p):
+        same = F.coalesce(acc["last"] == p, F.lit(False))
+        free = acc["last"].isNotNull() & ~(same & acc["used"])
+        pair = F.array(F.struct(acc["last"].alias("a"), p.alias("b")))
+        return F.struct(
+            p.alias("last"),
+            (free & same).alias("used"),
+            F.when(free, F.concat(acc["out"], pair)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def _merge(rounds: Sequence[set[tuple[str, str]]]) -> Callable[[pd.Series], pd.Series]:
@@ -97,7 +103,8 @@ def subword_vocab(
     A round counts neighbouring pieces over the types (not over the corpus) and
     merges the most frequent pairs of which none ends where another begins, so no
     merge of the round changes the count of another.  Only the chosen pairs reach
-    the driver.  The list is in id order.
+    the driver.  The list is in id order.  The most frequent letters come first, as many
+    as the size has room for beside the special tokens.
     """
     table = cut_lineage(
         types.select(
@@ -108,7 +115,13 @@ def subword_vocab(
         )
     )
     units = [*SPECIALS, *entity_ids]
-    letters = table.select(F.explode("pieces").alias("p")).distinct().orderBy("p").limit(size)
+    letters = (
+        table.select("n", F.explode("pieces").alias("p"))
+        .groupBy("p")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.col("n").desc(), "p")
+        .limit(max(0, size - len(units)))
+    )
     units += [r["p"] for r in letters.collect()]
     seen = set(units)
     pending: list[set[tuple[str, str]]] = []
@@ -132,7 +145,7 @@ def subword_vocab(
         rights: set[str] = set()
         fresh: list[str] = []
         for a, b, _ in counted.collect():
-            clash = a == b or a in rights or b in lefts
+            clash = a in rights or b in lefts
             if clash or len(chosen) == merges_per_round:
                 continue
             unit = a + b.removeprefix("##")

@@ -12,7 +12,7 @@ from chartweave.operators import cohort, entities, mlm, vocab
 from chartweave.session import cut_lineage
 
 
-def annotated_notes(cleaned: DataFrame, gazetteer: DataFrame, sizes: Sequence[int]) -> DataFrame:
+def annotated_notes(cleaned: DataFrame, gazetteer: DataFrame, sizes: Sequence[int] | None = None) -> DataFrame:
     """Notes with their entities replaced by type and concept."""
     keyed = cleaned.withColumn("_key", F.struct("subject_id", "note_id"))
     marked = keyed.select("_key", F.split("text", " ").alias("tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chartweave.operators import features, metrics, probe, report, tasks
 from chartweave.sources import tables
@@ -42,10 +43,15 @@ def demographic(task_rows, demographics, vectors, model) -> DataFrame:
     return out.filter("metric = 'macro_f1'")
 
 
-def log(results: DataFrame, path: str) -> None:
-    tables.append_results(results, path)
+def log(results: DataFrame, path: str, seed: int = 0) -> None:
+    """Append a run's results with its seed and time."""
+    run = results.withColumn("seed", F.lit(seed)).withColumn("run_ts", F.current_timestamp())
+    tables.append_results(run, path)
 
 
 def table(results: DataFrame) -> DataFrame:
-    """One row per model, task and metric with the groups as columns."""
-    return report.results_wide(results)
+    """One row per model, task and metric with the groups as columns; of repeated runs in the
+    log the last one counts."""
+    keys = ["model", "task", "metric", "grp"]
+    last = report.latest(results.select(*keys, "value", "run_ts"), keys, ["run_ts"])
+    return report.results_wide(last.drop("run_ts"))

@@ -14,6 +14,8 @@ def mean_curves(task_rows: DataFrame, vectors: DataFrame) -> DataFrame:
     train = task_rows.filter("split = 'train'").groupBy("task", "subject_id").agg(
         F.min_by("y", "stay").alias("y")
     )
+    # Users without a vector leave before the classes are balanced.
+    train = train.join(vectors.select("subject_id"), "subject_id", "left_semi")
     sample = tasks.balanced_users(train, [F.col("subject_id")])
     users = sample.join(vectors.select("subject_id", "vec"), "subject_id").select(
         "task", F.col("subject_id").alias("user"), "y", "vec"

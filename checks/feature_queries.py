@@ -207,7 +207,7 @@ _WINDOWS = f"""(SELECT doc_id, part, string_agg(token, ' ' ORDER BY pos) AS text
     SELECT doc_id, pos, token, CAST((pos - 1) // 128 AS INTEGER) AS part FROM (
       SELECT doc_id, unnest(string_split(text, ' ')) AS token,
              generate_subscripts(string_split(text, ' '), 1) AS pos FROM {I.CLEAN_DOCS}))
-    WHERE part < 10 GROUP BY doc_id, part)"""
+    GROUP BY doc_id, part)"""
 
 
 def _encode(spark, sf, feature):

@@ -79,7 +79,7 @@ def gazetteer(spark, sf):
     SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, phrase, tui, cui FROM links""",
 )
 def link_entities(spark, sf):
-    return entities.link_entities(token_docs(spark, sf), gazetteer(spark, sf), "doc_id", SIZES)
+    return entities.link_entities(token_docs(spark, sf), gazetteer(spark, sf), "doc_id")
 
 
 @query(
@@ -94,7 +94,7 @@ def entity_ids(spark, sf):
 
 @query("annotate_text", ANNOTATED)
 def annotate_text(spark, sf):
-    return entities.annotate_text(token_docs(spark, sf), gazetteer(spark, sf), "doc_id", SIZES)
+    return entities.annotate_text(token_docs(spark, sf), gazetteer(spark, sf), "doc_id")
 
 
 @query(

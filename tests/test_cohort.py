@@ -89,6 +89,17 @@ def test_last_result_wins(spark):
     assert report.latest(df, ["task"], ["run"]).first()["value"] == 0.3
 
 
+def test_entity_lengths_come_from_the_phrases(spark):
+    df = spark.createDataFrame([(1, "acute fever of the left lower leg".split())], "id int, tokens array<string>")
+    gaz = spark.createDataFrame(
+        [("fever", "T184", "C1"), ("of the left lower leg", "T047", "C2")], "phrase string, tui string, cui string"
+    )
+    got = entities.annotate_text(df, gaz, "id").first()
+    assert got["anno_text"] == "acute [T184] [C1] [T047] [C2]"
+    none = entities.annotate_text(df, gaz.limit(0), "id").first()
+    assert (none["n_entities"], none["anno_text"]) == (0, "acute fever of the left lower leg")
+
+
 def test_entities_longest_from_left(spark):
     text = "acute heart failure of heart failure and heart rate"
     df = spark.createDataFrame([(1, text.split()), (2, ["none"])], "id int, tokens array<string>")

@@ -90,6 +90,22 @@ def test_features_pad_and_cut(spark):
     assert long["label_ids"] == [6, 0, 0] and long["indices"] == [0, 0, 0]
 
 
+def test_equal_pieces_merge_without_overlap(spark):
+    types = spark.createDataFrame([("xaaaa", 3), ("yaaaa", 2), ("zaa", 1)], "token string, n bigint")
+    pieces = F.array(*[F.lit(p) for p in ("x", "##a", "##a", "##a", "##a", "##a")])
+    got = spark.range(1).select(vocab._pairs(pieces).alias("p")).first()["p"]
+    assert [tuple(p) for p in got] == [("x", "##a"), ("##a", "##a"), ("##a", "##a")]
+    units = vocab.subword_vocab(types, 11, merges_per_round=1)
+    assert units[5:] == ["##a", "x", "y", "z", "##aa", "##aaaa"]
+
+
+def test_frequent_letters_are_kept(spark):
+    letters = [(chr(0x61 + i), 1) for i in range(25)] + [("z", 1000)]
+    types = spark.createDataFrame(letters, "token string, n bigint")
+    units = vocab.subword_vocab(types, 12)
+    assert len(units) == 12 and units[5] == "z"
+
+
 def test_subwords(spark):
     types = spark.createDataFrame(
         [("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)], "token string, n bigint"

@@ -67,10 +67,21 @@ def test_encoder_pooling_and_names(spark):
     assert mean[1] == [98.0, 1.0] and first[1] == [97.0, 1.0] and mean[2] == first[2]
     parts = encoders.encode_multi(df, make, "id", window=2, max_parts=1).collect()
     assert {r["id"]: r["vec"][0] for r in parts} == {1: 97.5, 2: 98.0}
+    long = spark.createDataFrame([(1, " ".join(["a"] * 40 + ["c"] * 40))], "id bigint, text string")
+    assert encoders.encode_multi(long, make, "id", window=2).first()["vec"][0] == 98.0
     with pytest.raises(NotImplementedError):
         encoders.encode_features(df, "ELMO", make, "id")
 
 
+def test_parts_of_a_subject_are_pooled(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "subject_id bigint, y string")
+    vec = spark.createDataFrame(
+        [(1, [5.0, 1.0]), (1, [2.0, 9.0]), (2, [0.1, 0.2]), (3, None)], "subject_id bigint, vec array<double>"
+    )
+    got = {r["subject_id"]: r["vec"] for r in features.feature_rows(rows, vec).collect()}
+    assert got == {1: [3.5, 5.0], 2: [0.1, 0.2]}
+
+
 def test_missing_user_vector_is_zero(spark):
     ids = spark.createDataFrame([(1,), (2,)], "k bigint")
     vec = spark.createDataFrame([(1, [1.0, 2.0])], "k bigint, vec array<double>")
