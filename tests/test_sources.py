@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from chartweave.operators import encoders, features, probe
+from chartweave.plans import probing
 from chartweave.sources import tables
 
 
@@ -36,6 +37,17 @@ def test_result_log_appends(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_report_takes_the_last_run(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for value, seed in ((0.9, 1), (0.6, 2)):
+        row = [("m", "t", "auroc", "all", value)]
+        schema = "model string, task string, metric string, grp string, value double"
+        probing.log(spark.createDataFrame(row, schema), path, seed)
+    log = spark.read.parquet(path)
+    assert {r["seed"] for r in log.collect()} == {1, 2}
+    assert [r["all"] for r in probing.table(log).collect()] == [0.6]
+
+
 def test_cache_and_build_if_absent(spark, tmp_path):
     path = str(tmp_path / "c")
     assert tables.read_cache(spark, path) is None
