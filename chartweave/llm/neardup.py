@@ -1,13 +1,14 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 1. Each document becomes its set of word shingles; equal sets become one class.
-2. Each class is put into ``TREES`` independent trees by pairs of minwise tokens and,
-   where a node stays large, branched further by tokens the node chooses.
-3. Small nodes are compared exhaustively on sketches; pairs that may be similar join
-   their classes into candidate groups.
+2. Each class is put into ``TREES`` independent trees by pairs of minwise tokens.
+3. Nodes are compared exhaustively on sketches; pairs that may be similar join their
+   classes into candidate groups.
 4. Each candidate group is compared exhaustively on its full sets.  Groups too large for
    a task go through the trees again, and their nodes are compared on full sets.
-5. Components of the confirmed links give the classes of documents.
+5. A node too large for a task, in 3 or 4, is dealt to blocks and every pair of blocks is
+   compared, so no pair of a node is left out however many rows it has.
+6. Components of the confirmed links give the classes of documents.
 
 With similarity 0.8 a pair shares a first node of one tree with probability 0.64, so 12
 trees miss five pairs in a million; a sketch of 128 tokens estimates 0.8 as under 0.62
@@ -32,8 +33,6 @@ TOKENS = 128
 TREES = 12
 #: Sketch similarity from which two classes may be linked, as a margin below the threshold.
 MARGIN = 0.18
-#: A node of up to this many classes is compared exhaustively.
-LEAF = 2048
 #: Rows of a node, or shingles of a group, that one task takes.
 NODE_ROWS = 50_000
 GROUP_SHINGLES = 3_000_000
@@ -119,46 +118,44 @@ def _reach(sig: np.ndarray, least: int) -> np.ndarray:
     Grows a group from a row by comparing it with all rows not reached yet.
     """
     label = np.full(len(sig), -1)
-    left = np.arange(len(sig))
+    left, rest = np.arange(len(sig)), np.ascontiguousarray(sig)
     while len(left):
-        seed, left = left[0], left[1:]
+        seed, left, rest = left[0], left[1:], rest[1:]
         label[seed] = seed
         todo = [seed]
         while todo and len(left):
-            near = (sig[left] == sig[todo.pop()]).sum(axis=1) >= least
-            found, left = left[near], left[~near]
-            label[found] = seed
-            todo.extend(found.tolist())
+            # Eight equal-flags to a lane; no byte of a sum of lanes exceeds TOKENS / 8.
+            lanes = (rest == sig[todo.pop()]).view(np.uint64).sum(axis=1, dtype=np.uint64)
+            near = (lanes * np.uint64(0x0101010101010101)) >> np.uint64(56) >= least
+            if near.any():
+                found, left, rest = left[near], left[~near], rest[~near]
+                label[found] = seed
+                todo.extend(found.tolist())
     return label
 
 
 def tree_leaves(sig: np.ndarray, rng: np.random.Generator, share: float, most: int) -> list[np.ndarray]:
-    """Rows of each leaf under a node: in every node each token is chosen with a rate that
-    gives ``1 / share`` tokens on average, and rows go to a child for each chosen token and
-    its value.  Where a token leaves nine tenths of the rows together, these are much alike
-    and branching would not end: the node is dealt at random into runs that share its first
-    row, which most rows are linked with."""
+    """Rows of each leaf under a node: in every node each token that splits it is chosen with
+    a rate that gives ``1 / share`` tokens on average, and rows go to a child for each chosen
+    token and its value.  A node that no token splits stays whole, however large.
+
+    Similar pairs may part here, so the query compares its nodes whole and does without."""
     leaves = []
     todo = [(np.arange(len(sig)), 0)]
     while todo:
         rows, depth = todo.pop()
-        if len(rows) <= most:
+        splits = np.flatnonzero((sig[rows] != sig[rows[0]]).any(axis=0))
+        if len(rows) <= most or depth == 24 or not len(splits):
             if len(rows) > 1:
                 leaves.append(rows)
             continue
-        chosen = np.flatnonzero(rng.random(sig.shape[1]) < 1 / (share * sig.shape[1]))
+        chosen = splits[rng.random(len(splits)) < 1 / (share * len(splits))]
         if not len(chosen):
-            chosen = rng.integers(0, sig.shape[1], 1)
-        children = []
+            chosen = rng.choice(splits, 1)
         for c in chosen:
             order = rows[np.argsort(sig[rows, c], kind="stable")]
-            children.append(np.split(order, np.flatnonzero(np.diff(sig[order, c])) + 1))
-        if depth == 24 or max(len(x) for parts in children for x in parts) > 0.9 * len(rows):
-            dealt = rng.permutation(rows[1:])
-            step = max(1, most - 1)
-            leaves += [np.concatenate([rows[:1], dealt[i : i + step]]) for i in range(0, len(dealt), step)]
-            continue
-        todo += [(x, depth + 1) for parts in children for x in parts if len(x) > 1]
+            parts = np.split(order, np.flatnonzero(np.diff(sig[order, c])) + 1)
+            todo += [(x, depth + 1) for x in parts if len(x) > 1]
     return leaves
 
 
@@ -187,15 +184,10 @@ def _node_pairs(similarity: float):
         sig = _signatures(table.column("sketch"))
         out_a, out_b = [], []
         for rows in _runs(table.column("node").to_numpy(), ids):
-            leaves = [np.arange(len(rows))]
-            if len(rows) > LEAF:
-                leaves = tree_leaves(sig[rows], np.random.default_rng(SEED + len(rows)), similarity, LEAF)
-            for leaf in leaves:
-                own = rows[leaf]
-                label = _reach(sig[own], least)
-                linked = np.flatnonzero(label != np.arange(len(own)))
-                out_a.append(ids[own[label[linked]]])
-                out_b.append(ids[own[linked]])
+            label = _reach(sig[rows], least)
+            linked = np.flatnonzero(label != np.arange(len(rows)))
+            out_a.append(ids[rows[label[linked]]])
+            out_b.append(ids[rows[linked]])
         return pa.table(
             {
                 "a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64),
@@ -206,49 +198,28 @@ def _node_pairs(similarity: float):
     return compare
 
 
-def _node_groups(similarity: float):
-    """Leaves of the nodes of very large candidate groups, each a group of its own."""
-
-    def leaves(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        sizes = table.column("n_shingles").to_numpy()
-        sig = _signatures(table.column("sketch"))
-        group, member = [], []
-        for rows in _runs(table.column("node").to_numpy(), ids):
-            most = int(max(2, min(LEAF, GROUP_SHINGLES // max(1, sizes[rows].max()))))
-            rng = np.random.default_rng(SEED + len(rows))
-            key = int(table.column("node")[int(rows[0])].as_py())
-            for i, leaf in enumerate(tree_leaves(sig[rows], rng, similarity, most)):
-                name = hashlib.blake2b(f"{key} {i}".encode(), digest_size=8).digest()
-                group.append(np.full(len(leaf), np.frombuffer(name, np.int64)[0]))
-                member.append(ids[rows[leaf]])
-        return pa.table(
-            {
-                "grp": np.concatenate(group) if group else np.zeros(0, np.int64),
-                "id": np.concatenate(member) if member else np.zeros(0, np.int64),
-            }
-        )
-
-    return leaves
-
-
 def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join every component of ``100 * intersection >= percent * union``.
 
-    Grows a component from a set: the set's shingles are looked up in the index of all
-    sets, so its intersection with each of them is counted at once.
+    Grows a component from a set.  With the rarest shingles first, two similar sets share one
+    among the first ``n - least intersection + 1`` of each, so only sets that do are counted:
+    shingles of a template that all sets hold bring no pair together.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    _, value, often = np.unique(flat, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    owner_sorted = owner[order]
-    flat = flat[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, len(flat)])
-    values = flat[first] if len(flat) else flat
-    waiting = np.ones(n, bool)
+    order = np.lexsort((value, often[value], owner))
+    head = sizes - -(-percent * sizes // 100) + 1
+    heads = order[(np.arange(len(flat)) - np.repeat(begin, sizes)) < np.repeat(head, sizes)]
+    by_value = heads[np.argsort(value[heads], kind="stable")]
+    holders = owner[by_value]
+    first = np.searchsorted(value[by_value], np.arange(len(often) + 1))
+    taken = np.cumsum(np.minimum(head, sizes)) - np.minimum(head, sizes)
+    held = np.zeros(len(often), bool)
+    waiting = sizes > 0
     a, b = [], []
     for seed in range(n):
         if not waiting[seed]:
@@ -257,12 +228,17 @@ def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
         todo = [seed]
         while todo:
             x = todo.pop()
-            if not waiting.any():
-                break
-            at = np.searchsorted(values, sets[x])
-            shared = np.bincount(owner_sorted[kernels.gather(first[at], count[at])], minlength=n)
-            union = sizes[x] + sizes - shared
-            found = np.flatnonzero(waiting & (sizes > 0) & (100 * shared >= percent * union) & (sizes[x] > 0))
+            own = value[heads[taken[x] : taken[x] + min(head[x], sizes[x])]]
+            near = np.unique(holders[kernels.gather(first[own], first[own + 1] - first[own])])
+            near = near[waiting[near]]
+            if not len(near):
+                continue
+            mine = value[begin[x] : begin[x] + sizes[x]]
+            held[mine] = True
+            hits = held[value[kernels.gather(begin[near], sizes[near])]]
+            held[mine] = False
+            shared = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+            found = near[100 * shared >= percent * (sizes[x] + sizes[near] - shared)]
             waiting[found] = False
             a += [x] * len(found)
             b += found.tolist()
@@ -299,25 +275,23 @@ def _set_maker(k: int):
     return sets
 
 
-def _shared_nodes(places: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows of nodes that several classes share, with sketches only for those.  Rows of nodes
-    with more than ``NODE_ROWS`` go to children by three more tokens, four times over; children
-    that stay larger are cut by document, in each tree anew."""
-    counts = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    known = places.join(counts, "node").join(sketches, "id")
-    fits = known.filter(F.col("n") <= NODE_ROWS).select("node", "id", "n_shingles", "sketch")
-    if not counts.filter(F.col("n") > NODE_ROWS).limit(1).count():
-        return fits
-    at = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS - 3)).cast("int") + 1
-    child = (
-        known.filter(F.col("n") > NODE_ROWS)
-        .withColumn("branch", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-        .withColumn("node", F.xxhash64("node", "branch", F.substring("sketch", at, F.lit(3))))
+def _block_pairs(places: DataFrame, most: int) -> DataFrame:
+    """``(node, split, id)``: groups that hold every pair of classes that share a node of
+    ``places (node, id, w)``.
+
+    A node of weight up to ``most`` is one group.  A heavier one is dealt to blocks of half
+    of that by a hash of the id, and each pair of blocks is a group."""
+    total = F.sum("w")
+    blocks = F.when(total <= most, 1).otherwise(F.ceil(2 * total / most)).cast("int")
+    counts = places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1")
+    block = F.pmod(F.xxhash64("id", "node"), F.col("blocks"))
+    known = places.join(counts, "node").select("node", "id", "blocks", block.alias("block"))
+    whole = known.filter("blocks = 1").select("node", F.lit(False).alias("split"), "id")
+    pairs = known.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return whole.unionByName(
+        pairs.filter("other <> block").select(pair.alias("node"), F.lit(True).alias("split"), "id")
     )
-    sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    cut = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("m") / NODE_ROWS))
-    child = child.join(sizes, "node").select(F.xxhash64("node", cut).alias("node"), "id", "n_shingles", "sketch")
-    return fits.unionByName(child)
 
 
 def near_duplicates(
@@ -348,30 +322,31 @@ def near_duplicates(
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def in_buckets(df, key, fn, schema):
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+        bucket = F.when(F.col("split"), F.col(key)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
         return df.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(fn, schema)
 
     reps = cut_lineage(reps)
     sketches = reps.select("id", "n_shingles", "sketch")
     nodes = reps.select("id", F.explode("nodes").alias("node"))
-    maybe = in_buckets(_shared_nodes(nodes, sketches), "node", _node_pairs(percent / 100), "a long, b long")
+    shared = _block_pairs(nodes.withColumn("w", F.lit(1)), NODE_ROWS).join(sketches, "id")
+    maybe = in_buckets(shared, "node", _node_pairs(percent / 100), "a long, b long")
     groups = components(maybe).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     members = cut_lineage(groups.join(reps.select("id", "n_shingles"), "id"))
     large = members.groupBy("grp").agg(F.sum("n_shingles").alias("w")).filter(F.col("w") > GROUP_SHINGLES)
-    placed = members.join(large, "grp", "left_anti").select("id", "grp")
+    placed = members.join(large, "grp", "left_anti").select("id", "grp", F.lit(False).alias("split"))
     if large.limit(1).count():
-        # Groups beyond a task go through the trees again, with leaves a task can take.
-        inside = nodes.join(members.join(large, "grp", "left_semi").select("id"), "id", "left_semi")
-        leaves = in_buckets(
-            _shared_nodes(inside, sketches), "node", _node_groups(percent / 100), "grp long, id long"
+        # Groups beyond a task go through the trees again, by pairs of blocks a task can take.
+        inside = nodes.join(members.join(large, "grp", "left_semi"), "id").select(
+            F.xxhash64("grp", "node").alias("node"), "id", F.col("n_shingles").alias("w")
         )
-        placed = placed.unionByName(leaves.select("id", "grp"))
-    placed = placed.groupBy("id").agg(F.collect_set("grp").alias("grps"))
+        parts = _block_pairs(inside.distinct(), GROUP_SHINGLES)
+        placed = placed.unionByName(parts.select("id", F.col("node").alias("grp"), "split"))
+    placed = placed.groupBy("id").agg(F.collect_set(F.struct("grp", "split")).alias("grps"))
     sets = (
         rows.join(placed, "id")
         .select("id", "grps", "text")
-        .mapInArrow(_set_maker(shingle), "id long, grps array<long>, shingles binary")
-        .select("id", F.explode("grps").alias("grp"), "shingles")
+        .mapInArrow(_set_maker(shingle), "id long, grps array<struct<grp: long, split: boolean>>, shingles binary")
+        .select("id", F.inline("grps"), "shingles")
     )
     found = components(in_buckets(sets, "grp", _group_links(percent), "a long, b long"))
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(

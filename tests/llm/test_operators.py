@@ -129,6 +129,41 @@ def test_tree_leaves_hold_every_close_pair():
     assert any({0, 1} <= set(leaf.tolist()) for leaf in leaves)
 
 
+def template_cluster(n, pairs):
+    """Texts of one template (similarity 0.71), the first ``pairs`` each with one partner (0.83)."""
+    template = prose(21, 150)
+    own = [[f"own{i}x{j}" for j in range(30)] for i in range(n)]
+    partners = [[f"new{i}x{j}" if j < 16 else w for j, w in enumerate(own[i])] for i in range(pairs)]
+    return [(i, template + " " + " ".join(w)) for i, w in enumerate(own + partners)]
+
+
+def test_sparse_pairs_in_a_template_cluster_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 15_000)
+    monkeypatch.setattr(neardup, "NODE_ROWS", 8)
+    df = spark.createDataFrame(template_cluster(300, 40), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(340)}
+
+
+def test_exact_links_equal_brute_force():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 45)).astype(np.uint64)) for _ in range(150)]
+    for percent in (50, 80, 100):
+        a, b = neardup.exact_links(sets, percent)
+        pairs = [(i, j) for i in range(150) for j in range(i) if len(sets[i]) and len(sets[j])]
+        near = [
+            (i, j) for i, j in pairs
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+        ]
+        x, y = (np.array(v, np.int64) for v in zip(*near)) if near else (a[:0], a[:0])
+        assert (neardup._unions(150, a, b) == neardup._unions(150, x, y)).all()
+
+
+def test_tree_leaves_keep_rows_that_no_token_splits():
+    sig = np.zeros((50, neardup.TOKENS), np.uint8)
+    assert [len(x) for x in neardup.tree_leaves(sig, np.random.default_rng(0), 0.8, 10)] == [50]
+
+
 # Suffix arrays
 
 
