@@ -1,10 +1,12 @@
 """Licence notices in texts, by a positional index of rare licence words.
 
 Each notice is a short run of words with key phrases that must stand in it.  The index
-holds, for every notice, its words of highest inverse document frequency in the corpus and
-their places.  A text looks up its words in the index; each hit gives the place where the
-notice would start, the notice's other words are then compared at their relative places,
-weighted by rarity, and the key phrases must stand there in full.
+holds, for every notice, the word of its key phrases with the highest inverse document
+frequency in the corpus and its places.  A text looks up its words in the index; each hit
+gives the place where the notice would start, and the key phrases must stand there in full.
+Key phrases that name a licence settle its label, whatever the corpus; where others use the
+same phrase, the notice's other words are compared at their relative places, weighted by
+rarity.
 """
 
 from __future__ import annotations
@@ -41,10 +43,11 @@ NOTICES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "creative commons zero public domain dedication", ("creative commons zero",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
+    ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
-#: Words of a notice in the index, and the weighted share of its words that must match.
-ANCHORS = 2
+#: Key phrases that other licences or versions hold too, and the weighted share of their
+#: notice's words that must match.
+SHARED = {"permission is hereby granted free of charge", "mozilla public license", "eclipse public license"}
 LEAST = 0.75
 
 
@@ -85,10 +88,10 @@ def _holds(w: Column, phrase: str):
 def _notice_scores(
     w: Column, hits: Column, notice: str, keys: tuple[str, ...], weight: dict[str, float]
 ) -> tuple[Column, list[str]]:
-    """Best weighted share of the notice's words over the places its anchors give, and the
-    anchors."""
+    """Best weighted share of the notice's words over the places its anchor gives, 1 where its
+    key phrases name the licence, and the anchor, a word that no place of the phrases lacks."""
     own = notice.split()
-    rare = sorted(set(own), key=lambda x: (-weight[x], own.index(x)))[:ANCHORS]
+    rare = sorted(set(" ".join(keys).split()), key=lambda x: (-weight[x], own.index(x)))[:1]
     total = sum(weight[x] for x in own)
     starts = F.array_distinct(
         F.concat(
@@ -101,13 +104,15 @@ def _notice_scores(
     )
 
     def share(s: Column) -> Column:
-        found = F.lit(0.0)
-        for k, x in enumerate(own):
-            found = found + F.when(F.coalesce(F.get(w, s + k), F.lit("")) == x, F.lit(weight[x])).otherwise(0.0)
         ok = F.lit(True)
         for key in keys:
             at = notice.split(key)[0].count(" ")
             ok = ok & _phrase_at(w, s + at, key)
+        if not SHARED & set(keys):
+            return F.when(ok, 1.0).otherwise(0.0)
+        found = F.lit(0.0)
+        for k, x in enumerate(own):
+            found = found + F.when(F.coalesce(F.get(w, s + k), F.lit("")) == x, F.lit(weight[x])).otherwise(0.0)
         return F.when(ok, F.least(F.lit(1.0), found / F.lit(total))).otherwise(0.0)
 
     return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0)), rare

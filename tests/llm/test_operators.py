@@ -272,6 +272,24 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_key_phrases_settle_labels_whatever_the_corpus(spark):
+    texts, want = [], []
+    for label, notice, keys in licences.NOTICES:
+        texts += [notice, f"In 2020 Some Name wrote this, {notice.upper()}."]
+        want += [label] * 2
+        if not licences.SHARED & set(keys):
+            texts.append(f"other words and {notice[notice.index(keys[0]):]} follow")
+            want.append(label)
+    texts.append("Copyright 2020 Name. All rights reserved.")
+    want.append("all-rights-reserved")
+    # Filler that makes the words of some notices common, and others rare.
+    for filler in ([], ["the all rights version of license public general"] * 400, ["copyright under released licensed"] * 400):
+        df = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string")
+        got = {r["doc_id"]: r["labels"].split(",") for r in licences.scan(df).collect()}
+        assert [x for i, x in enumerate(want) if x not in got[i]] == []
+        assert all(got[i] == [""] for i in range(len(texts), len(texts) + len(filler)))
+
+
 # Mixing
 
 
