@@ -10,6 +10,8 @@ about as few as lengths), and pieces then find their place by their rank within
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +35,23 @@ _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32
 
 
 def encoder(vocabulary: str):
-    """Byte-level BPE over a file of ranks; special tokens' strings are ordinary text."""
+    """Byte-level BPE over a file of ranks.  The added tokens of the tokenizer file of the same
+    name, if there is one, are cut out first wherever they stand, as tokenizers does."""
     # Kept on the library: functions shipped by value bring new globals to every task.
     known = vars(tiktoken).setdefault("_by_path", {})
     if vocabulary not in known:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        added = {}
+        if os.path.exists(whole := os.path.splitext(vocabulary)[0] + ".json"):
+            with open(whole, encoding="utf-8") as f:
+                tokens = json.load(f)["added_tokens"]
+            # Tokens that take white space along or stand between words only would need more.
+            if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+                raise ValueError(f"added tokens of {whole} are not plain strings")
+            added = {t["content"]: t["id"] for t in tokens}
         known[vocabulary] = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
         )
     return known[vocabulary]
 
@@ -70,7 +81,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             for batch in kernels.slices(whole, "text", 4_000_000):
                 out: list[list] = [[] for _ in range(7)]
                 for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                    own = np.array([*enc.encode_ordinary(text or ""), END_ID], dtype="<u4")
+                    own = np.array([*enc.encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
                     raw = own.tobytes()
                     for k, (s, n) in enumerate(cut(len(own), capacity)):
                         part = raw[4 * s : 4 * (s + n)]

@@ -361,6 +361,23 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [
+        f"a {end} b", end, end * 3, f"{end}\n\n{end}  x", f"word{end}word", f"<|{end}|>", "<|endoftext|", "<|ENDOFTEXT|>",
+        f"  {end}\té{end}漢字 {end} ", f"{prose(3, 1500)} {end} {prose(4, 900)}", "plain text", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = by_id(packing.pieces(df, ids=True))
+    for i, text in enumerate(texts):
+        got = [x for r in sorted(own[i], key=lambda r: r["piece"]) for x in r["ids"]]
+        assert got == [*t.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_every_piece_and_few_sequences(seed):
     rng = np.random.default_rng(seed)
