@@ -52,7 +52,7 @@ KINDS = (
 )
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What every match holds; tested first, as it is much cheaper.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api)|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api)|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 DRAWS = 24
 
 
