@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import licences, lm, mixing, neardup, packing, pii, quality, rules, suffixes, topk
+from chartweave.llm import filters, licences, lm, mixing, neardup, packing, pii, quality, rules, suffixes, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -89,3 +89,8 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_pii_surrogates")
 def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
+@query("op11_filter_audit", filters.SQL)
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
