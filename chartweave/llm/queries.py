@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import filters, licences, lm, mixing, neardup, packing, pii, quality, rules, suffixes, topk
+from chartweave.llm import filters, licences, lm, mixing, neardup, packing, pii, prefixes, quality, rules, suffixes, topk, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -94,3 +94,14 @@ def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_filter_audit", filters.SQL)
 def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_prefix_trie", prefixes.SQL)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted", "evidence")
