@@ -36,7 +36,7 @@ TERMS = 512
 LEAST_TOXIC = 4
 LEAST_Z = 4.0
 #: So many of a toxic example's terms are chosen before it stops to speak for more.
-COVER = 2
+COVER = 4
 NEAREST = 15
 EVIDENCE = 5
 BLOCK = 64
