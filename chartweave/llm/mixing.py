@@ -180,10 +180,13 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame
     """``docs`` with each text replaced by the words the mix takes from it: those taken at
     least once, in order, then those taken twice.  A document the mix takes nothing from goes;
     ``n_chars`` follows the text.  White space before a word stays with it."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mix(docs, keep=others, block=block, **options).filter("taken > 0")
+    # Other columns travel in one struct, so none of their names meets one of the plan's.
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "source", "text")]
+    rest = F.struct(*others) if others else F.lit(None)
+    boxed = docs.select("doc_id", "source", "text", rest.alias("boxed"))
+    mixed = mix(boxed, keep=["text", "boxed"], block=block, **options).filter("taken > 0")
     w = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    rows = mixed.withColumn("_w", w)
+    rows = mixed.select("doc_id", "source", "text", "boxed", "parts", w.alias("_w"))
 
     def pass_of(k: int) -> Column:
         chosen = F.filter("parts", lambda p: p["times"] >= k)
@@ -192,7 +195,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame
         )
 
     text = F.concat_ws("\n", *[F.nullif(F.trim(F.array_join(pass_of(k), "")), F.lit("")) for k in (1, 2)])
-    out = rows.withColumn("text", text)
+    out = rows.select("doc_id", "source", "boxed", text.alias("text"))
+    own = {c: F.col(c) for c in ("doc_id", "source", "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own.get(c, F.col("boxed")[c]).alias(c) for c in docs.columns])

@@ -218,14 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(**{name: arrays[name] for name in arrays.files})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``; columns of these names are replaced.
-    Null and empty texts are scored from an all-zero pool.  Texts are read whole."""
-    out = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a score (0 to 1) and the label it predicts, under two ``names``; columns of
+    these names are replaced.  Null and empty texts are scored from an all-zero pool.  Texts are
+    read whole."""
+    out = docs.drop(*names)
+    # Plain arrays, as a worker that lacks this package cannot read one of its classes.
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, index = shared.value, _index_vectors()
+        m, index = Model(**shared.value), _index_vectors()
         for whole in batches:
             for batch in kernels.slices(whole, "text"):
                 pool = pooled(*kernels.buffers(batch.column("text")), m.context, index)
@@ -233,8 +235,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(c) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
-                    names=[*batch.schema.names, "score", "predicted"],
+                    names=[*batch.schema.names, *names],
                 )
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return out.mapInArrow(scores, T.StructType([*out.schema.fields, *added]))

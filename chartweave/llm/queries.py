@@ -86,9 +86,15 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(documents(spark, sf_dir))
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of the session, which a real run sets; invented data may use the one written here."""
+    return spark.conf.get("spark.chartweave.surrogateKey", "invented data only")
+
+
 @query("op2_pii_surrogates")
 def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymised(docs, surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 @query("op11_filter_audit", filters.SQL)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.llm import mixing, neardup, packing, pii, quality
+from chartweave.llm.queries import surrogate_key
 from chartweave.session import ensure_checkpoint_dir
 
 #: No SQL trains a network, draws permutations or packs; tests hold the stages against
@@ -22,20 +23,28 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, predicts good."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    longest = "_" * max(len(c) for c in docs.columns)  # longer than any column's name, so no column is replaced
+    scored = quality.score(docs, model, (f"score{longest}", f"predicted{longest}"))
+    return scored.filter(F.col(f"predicted{longest}") == 1).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five-word shingles).
-    Rows with a null id stay; a row that repeats another's id and text goes."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    Rows with a null id stay.  Of rows that repeat an id and a text the one whose other columns are
+    least stays; rows that repeat an id with another text stay if one of them does."""
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").select(
+        "doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("boxed")
+    )
+    least = named.groupBy("doc_id", "text").agg(F.min("boxed").alias("boxed"))
+    back = [F.col(c) if c in ("doc_id", "text") else F.col("boxed")[c].alias(c) for c in docs.columns]
+    return least.select(*back).unionByName(docs.filter("doc_id is null"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; ``n_chars`` follows the text."""
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, surrogate_key(spark), count_col=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -65,8 +74,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     executors share and read again, so a lost executor repeats one stage's tasks at most."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            # Nothing reads a stage's rows again once the next stage's are written.
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

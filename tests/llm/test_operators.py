@@ -435,7 +435,7 @@ def luhn(digits):
 def test_personal_data(spark, docs, rows):
     texts = [f"left {v} right {v}." for v in PRIVATE] + ["nothing here", None, "Mr. Smith"]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
-    got = {r["doc_id"]: r for r in pii.pseudonymised(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(df, "s").collect()}
     seen = set()
     for i, v in enumerate(PRIVATE):
         new = re.fullmatch(r"left (.*) right \1\.", got[i]["text"])[1]
@@ -447,15 +447,53 @@ def test_personal_data(spark, docs, rows):
     assert got[8]["text"].split()[3] == got[9]["text"].split()[2] == got[13]["text"].split()[1].rstrip(".")
     assert re.search("[а-я]", got[10]["text"].split()[2])
     assert got[11]["text"] == "nothing here" and got[12]["text"] is None and got[12]["n_entities"] == 0
-    same = by_id(pii.pseudonymised(docs))
+    same = by_id(pii.pseudonymised(docs, "s"))
     assert all(same[i][0]["text"] == t for i, t, *_ in rows)
 
 
 def test_surrogates_that_clash_are_drawn_again(spark):
-    values = [(f"123-45-{i:04d}",) for i in range(300)] + [(f"1.2.3.{i}",) for i in range(256)]
-    got = pii.assigned(spark.createDataFrame(values, "value string"), "s").collect()
+    values = [("social", f"123-45-{i:04d}") for i in range(300)] + [("address", f"1.2.3.{i}") for i in range(256)]
+    values += [("secret", f"pin={i:02d}") for i in range(60)]
+    got = pii.assigned(spark.createDataFrame(values, "kind string, value string"), "s").collect()
     new = [r["surrogate"] for r in got]
-    assert len(got) == len(values) and len(set(new)) == len(new) and not set(new) & {v for (v,) in values}
+    assert len(got) == len(values) and len(set(new)) == len(new) and not set(new) & {v for _, v in values}
+    assert max(r["attempt"] for r in got) > 0
+
+
+def test_redrawn_parts_keep_people_apart_and_together(spark, monkeypatch):
+    # Syllables from two choices only, so that most parts clash at first.
+    few = {k: " ".join(v.split()[:2] * 16) for k, v in pii.SYLLABLES.items()}
+    monkeypatch.setattr(pii, "SYLLABLES", few)
+    names = [f"Own{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    texts = [(i, f"Mr {names[i]} {names[i + 1]} met Dr {names[i + 1]} and Mrs. {names[i]} {names[0]}.") for i in range(39)]
+    got = {r[0]: r[1] for r in pii.pseudonymised(spark.createDataFrame(texts, "doc_id long, text string"), "s").collect()}
+    base = {}
+    for i in range(39):
+        a, b, c, d, e = re.fullmatch(r"Mr (\w+)n (\w+) met Dr (\w+) and Mrs\. (\w+)na (\w+)\.", got[i]).groups()
+        assert b == c and a == d
+        for name, new in ((names[i], a), (names[i + 1], b), (names[0], e)):
+            assert base.setdefault(name, new) == new
+    assert len(set(base.values())) == 40 and not set(base.values()) & set(names)
+
+
+def test_surrogates_leave_clashing_columns_alone(spark):
+    text = "Write to ann.lee@example.com or Mr Lee Ann."
+    names = "_key key row between entities odd _found _between _odd _new item surrogate kind value".split()
+    df = spark.createDataFrame([(1, text, *names)], ["doc_id", "text", *names])
+    r = pii.pseudonymised(df, "s").first()
+    assert [r[n] for n in names] == names and r["n_entities"] == 2 and "ann.lee" not in r["text"]
+
+
+def test_surrogates_of_a_very_long_text(spark):
+    text = "padding words " * 100_000 + "ann.lee@example.com"
+    r = pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), "s").first()
+    assert r["text"].startswith("padding words " * 100_000) and "ann.lee" not in r["text"]
+
+
+def test_the_plan_of_surrogates_is_small(spark):
+    df = spark.createDataFrame([(1, "Mr John Smith 4111111111111111")], "doc_id long, text string")
+    plan = pii.pseudonymised(df, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
 
 
 def test_every_match_passes_the_hint(spark):
@@ -473,12 +511,12 @@ def test_every_match_passes_the_hint(spark):
         got = df.filter(F.col("kind") == name).select(F.col("value").rlike(pattern), F.col("value").rlike(pii.HINT), "value")
         assert [r for r in got.collect() if not (r[0] and r[1])] == []
     key = "ASIAQRSTUVWXYZABCDEF"
-    r = pii.pseudonymised(spark.createDataFrame([(1, f"the key is {key} here")], "doc_id long, text string")).first()
+    r = pii.pseudonymised(spark.createDataFrame([(1, f"the key is {key} here")], "doc_id long, text string"), "s").first()
     assert r["n_entities"] == 1 and key not in r["text"] and "ASIA" in r["text"]
 
 
 def test_personal_data_of_nothing(empty):
-    assert pii.pseudonymised(empty).count() == 0
+    assert pii.pseudonymised(empty, "s").count() == 0
 
 
 # Quality
