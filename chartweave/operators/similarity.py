@@ -1,11 +1,20 @@
 """Nearest users and ROC curves of the user ranking, without a table of pairs.
 
 Every user is ranked against every other one, so the arithmetic is quadratic; the
-rows are not.  Users are hashed into blocks, each task multiplies blocks of
-vectors, and only summaries leave it: the best ``k`` neighbours, or counts per
-score.  A ROC curve on a fixed grid needs exact counts only near its grid points,
-so scores are first counted in coarse bins and then finely in the few bins where
-a grid point falls.
+rows are not.  Users are packed into blocks of vectors, and blocks into groups that
+fill a task's memory.  A task holds one group and candidate blocks stream past it, so
+a block is copied once per group.
+
+For neighbours the blocks are neighbourhoods: a user goes to the nearest of some pivot
+users, and a block knows its centre and its radius on the sphere.  Two blocks cannot
+hold a pair closer than their centres' angle less both radii.  Once each group has
+searched itself, the block pairs whose bound is below the scores found already never
+meet, and a task keeps running best lists, visits what is left by descending bound and
+skips what has fallen behind since.  Only the best ``k`` of a user leave a task.
+
+A ROC curve on a fixed grid needs exact counts only near its grid points, so a task
+lets the candidates pass twice: scores are counted in coarse bins first, then finely in
+the few bins where a grid point falls.
 
 A score is the cosine rounded to six decimals and held as an integer in
 millionths, about the precision of a float32 vector.
@@ -26,230 +35,448 @@ SCALE = 1_000_000
 COARSE = 1_000
 GRID = 100
 BLOCK_ROWS = 2_000
+#: Users a task holds; of vectors, and for curves of vectors and score counts.
+GROUP_ROWS = 64_000
+CURVE_ROWS = 8_000
+#: Users whose vectors are the pivots of neighbourhoods.
+PIVOTS = 256
 # Query rows multiplied at a time: bounds the score matrix held by a task.
 STRIPE = 256
+# Scores are rounded, so a bound this close (in millionths) may still be reached.
+MARGIN = 2
 
 
-def _blocks(users: DataFrame, block_rows: int) -> tuple[DataFrame, int, int]:
-    """``(task, block, ids, ys, flat)``: hashed blocks of about ``block_rows`` users,
-    even however the ids are skewed, with their vectors laid end to end.  Also the
-    number of blocks per task and of tasks."""
-    sizes = users.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    most, tasks = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(most or 0) // block_rows))
-    packed = (
-        users.withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks)))
-        .groupBy("task", "block")
-        .agg(F.collect_list(F.struct("user", "y", "vec")).alias("m"))
-        .select(
-            "task",
-            "block",
-            F.col("m.user").alias("ids"),
-            F.col("m.y").alias("ys"),
-            F.flatten("m.vec").alias("flat"),
-        )
-    )
-    return packed, blocks, tasks
-
+def _sized(users: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """``users`` with ``chunk``, a hash that deals each group of ``by`` to chunks of about
+    ``rows`` users, however the ids are skewed, and ``chunks``, their number."""
+    sizes = users.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("chunks"))
+    return users.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("user"), F.col("chunks")).cast("int"))
 
-def facing_blocks(users: DataFrame, block_rows: int, wanted: DataFrame | None = None) -> DataFrame:
-    """Rows for block multiplication, keyed by ``(task, q_block)``.
 
-    Each key holds its query block (``kind`` 0) followed by all candidate blocks
-    (``kind`` 1) as a stream, so a task keeps one query and one candidate block.
-    Blocks are copied once per query block; users are never paired as rows.
-    """
-    packed, blocks, tasks = _blocks(users, block_rows)
-    none = F.lit(None).cast("array<struct<user:bigint,bins:array<bigint>>>")
-    body = ["ids", "ys", "flat"]
-    query = packed.select("task", F.col("block").alias("q_block"), F.lit(0).alias("kind"), *body)
-    if wanted is None:
-        query = query.withColumn("wanted", none)
-    else:
-        query = query.join(wanted, ["task", "q_block"])
-    candidates = packed.select(
-        "task",
-        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("q_block"),
-        F.lit(1).alias("kind"),
-        *body,
-        none.alias("wanted"),
-    )
-    # A fixed number, as the bytes of a key say little about its arithmetic; never more
-    # than there are keys, as a Python worker for nothing costs its start.
-    most = 4 * int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(most, tasks * blocks))
-    return (
-        query.unionByName(candidates)
-        .repartition(n, "task", "q_block")
-        .sortWithinPartitions("task", "q_block", "kind")
+def _packed(placed: DataFrame) -> DataFrame:
+    """``(task, block, group, groups, ids, ys, flat)``: the users of a block side by side."""
+    keys = ["task", "block", "group", "groups"]
+    members = F.sort_array(F.collect_list(F.struct("user", "y", "vec")))
+    return placed.groupBy(*keys).agg(members.alias("m")).select(
+        *keys, F.col("m.user").alias("ids"), F.col("m.y").alias("ys"), F.flatten("m.vec").alias("flat")
     )
 
 
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """A task per group of a task's users, its rows in order.  The number of partitions is fixed, as
+    the bytes of a key say little about its arithmetic."""
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "task", "group").sortWithinPartitions("task", "group", *order)
+
+
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     m = np.asarray(flat, dtype=np.float64).reshape(n, -1)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _faced(batches: Iterator[pd.DataFrame]):
-    """Stripes of query rows against candidate blocks:
-    ``(task, ids, ys, wanted, candidate ids, candidate ys, scores)``."""
-    key = query = None
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.rint(a @ b.T * SCALE).astype(np.int64)
+
+
+# ---- neighbours -----------------------------------------------------------------
+
+
+def _neighbourhoods(users: DataFrame, block_rows: int, group_rows: int, pivots: int) -> DataFrame:
+    """Packed blocks of users that have the nearest pivot in common.  Pivots are at most
+    ``pivots`` users by hash, a bounded number of vectors for the driver and each task."""
+    rows = users.select("user", "vec").orderBy(F.xxhash64("user"), "user").limit(pivots).collect()
+    if not rows:
+        return _packed(users.withColumns({c: F.lit(0) for c in ("block", "group", "groups")}))
+    centres = _unit(np.concatenate([r["vec"] for r in rows]), len(rows))
+    # Neighbouring pivots get neighbouring numbers, so a group holds what lies together.
+    way, left = [0], list(range(1, len(centres)))
+    while left:
+        way.append(left.pop(int(np.argmax(centres[left] @ centres[way[-1]]))))
+    shared = users.sparkSession.sparkContext.broadcast(centres[way])
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                vectors = _unit(np.concatenate(pdf["vec"].to_numpy()), len(pdf))
+                yield pdf.assign(cell=np.argmax(vectors @ shared.value.T, axis=1).astype(np.int32))
+
+    celled = users.select("task", "user", "y", "vec").mapInPandas(
+        nearest, "task string, user bigint, y string, vec array<double>, cell int"
+    )
+    celled = cut_lineage(celled)
+    chunked = _sized(celled, ["task", "cell"], block_rows)
+    cells = chunked.select("task", "cell", "chunks").distinct()
+    inside, all_cells = Window.partitionBy("task").orderBy("cell"), Window.partitionBy("task")
+    size = max(1, group_rows // block_rows)
+    cells = cells.select(
+        "task",
+        "cell",
+        (F.sum("chunks").over(inside) - F.col("chunks")).alias("first"),
+        F.ceil(F.sum("chunks").over(all_cells) / size).cast("int").alias("groups"),
+    )
+    block = (F.col("first") + F.col("chunk")).cast("int")
+    placed = chunked.join(cells, ["task", "cell"]).withColumn("block", block)
+    return _packed(placed.withColumn("group", F.floor(F.col("block") / size).cast("int")))
+
+
+class _Best:
+    """The ``k`` best candidates so far of each row of a block: score descending, id ascending."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, np.arange(n)
+        self.score = np.full((n, k), -2 * SCALE, np.int64)
+        self.id = np.full((n, k), -1, np.int64)
+
+    def worst(self) -> int:
+        """The least score that a candidate needs to enter any list."""
+        return int(self.score[:, -1].min()) if len(self.score) else 2 * SCALE
+
+    def add(self, at: int, s: np.ndarray, ids: np.ndarray) -> None:
+        """Offer scores ``s`` of candidates ``ids`` to the rows from ``at`` on."""
+        n, k = len(s), self.k
+        own, own_ids = self.score[at : at + n], self.id[at : at + n]
+        least = own[:, -1]
+        if s.shape[1] > k:
+            # The k-th best of the block settles most of it without sorting.
+            least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+        row, col = np.nonzero((s >= least[:, None]) & (s > -2 * SCALE))
+        if not len(row):
+            return
+        filled, place = np.nonzero(own_ids >= 0) if (own_ids >= 0).any() else (row[:0], row[:0])
+        rows = np.concatenate([filled, row])
+        score = np.concatenate([own[filled, place], s[row, col]])
+        who = np.concatenate([own_ids[filled, place], ids[col]])
+        order = np.lexsort((who, -score, rows))
+        rows = rows[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < k
+        own[rows[keep], rank[keep]] = score[order][keep]
+        own_ids[rows[keep], rank[keep]] = who[order][keep]
+
+
+def _offer(best: _Best, ids: np.ndarray, vectors: np.ndarray, c_ids: np.ndarray, c_vectors: np.ndarray) -> None:
+    for at in range(0, len(ids), STRIPE):
+        part = slice(at, at + STRIPE)
+        s = _scores(vectors[part], c_vectors)
+        s[ids[part][:, None] == c_ids[None, :]] = -2 * SCALE
+        best.add(at, s, c_ids)
+
+
+def _summary(vectors: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """Centre of unit vectors, the widest angle from it, and whether a vector is zero; a zero
+    vector's scores are zero, wherever the others lie."""
+    zero = ~vectors.any(axis=1)
+    real = vectors[~zero]
+    if not len(real):
+        return np.zeros(vectors.shape[1]), 0.0, True
+    centre = _unit(real.sum(axis=0), 1)[0]
+    return centre, float(np.arccos(np.clip((real @ centre).min(), -1, 1))), bool(zero.any())
+
+
+def _bounds(centres, angles, zeros, centre, angle, zero) -> np.ndarray:
+    """Highest possible score of a block against each of some blocks."""
+    apart = np.arccos(np.clip(centres @ centre, -1, 1)) - angles - angle
+    bound = np.ceil(np.cos(np.clip(apart, 0, np.pi)) * SCALE).astype(np.int64) + MARGIN
+    return np.where(zeros | zero, np.maximum(bound, MARGIN), bound)
+
+
+def _group_of(rows) -> list[tuple]:
+    """``(block, ids, vectors, summary)`` of the blocks of a group."""
+    out = []
+    for r in rows:
+        vectors = _unit(r.flat, len(r.ids))
+        out.append((r.block, np.asarray(r.ids), vectors, _summary(vectors)))
+    return out
+
+
+def _own_best(group: list[tuple], k: int) -> list[_Best]:
+    """Best lists of a group searched within itself."""
+    best = [_Best(len(ids), k) for _, ids, _, _ in group]
+    for b, (_, ids, vectors, _) in zip(best, group):
+        for _, c_ids, c_vectors, _ in group:
+            _offer(b, ids, vectors, c_ids, c_vectors)
+    return best
+
+
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Rows one by one with their key, from batches in key order."""
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            ids, ys = np.asarray(r.ids), np.asarray(r.ys)
-            vectors = _unit(r.flat, len(ids))
-            if r.kind == 0:
-                key = (r.task, r.q_block)
-                wanted = None if r.wanted is None else {w["user"]: w["bins"] for w in r.wanted}
-                query = (ids, ys, vectors, wanted)
-            elif key == (r.task, r.q_block):
-                q_ids, q_ys, q_vectors, wanted = query
-                for at in range(0, len(q_ids), STRIPE):
-                    part = slice(at, at + STRIPE)
-                    s = np.rint(q_vectors[part] @ vectors.T * SCALE).astype(np.int64)
-                    yield r.task, q_ids[part], q_ys[part], wanted, ids, ys, s
-
-
-def neighbour_topk(users: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(task, user, rank, neighbour, score)``: the k most similar other users."""
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for task, ids, _, _, c_ids, _, s in _faced(batches):
-            s[ids[:, None] == c_ids[None, :]] = -2 * SCALE
-            order = np.lexsort((np.broadcast_to(c_ids, s.shape), -s), axis=1)[:, :k]
-            got = np.take_along_axis(s, order, axis=1)
-            real = got > -2 * SCALE
-            yield pd.DataFrame(
-                {
-                    "task": task,
-                    "user": np.broadcast_to(ids[:, None], got.shape)[real],
-                    "neighbour": c_ids[order][real],
-                    "score_ppm": got[real],
-                }
-            )
+            yield (r.task, r.group), r
 
-    near = facing_blocks(users, block_rows).mapInPandas(
-        best, "task string, user bigint, neighbour bigint, score_ppm bigint"
-    )
-    w = Window.partitionBy("task", "user").orderBy(F.col("score_ppm").desc(), "neighbour")
-    return (
-        near.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("task", "user", "rank", "neighbour", (F.col("score_ppm") / SCALE).alias("score"))
+
+def _block_summaries(packed: DataFrame, k: int) -> DataFrame:
+    """Centre, angle and least useful score of each block, after a search within its group."""
+
+    def of_group(key, group):
+        for (block, _, _, (centre, angle, zero)), best in zip(group, _own_best(group, k)):
+            yield {"task": key[0], "group": key[1], "block": block, "centre": centre, "angle": angle, "zero": zero, "least": best.worst()}
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for now, r in _grouped(batches):
+            if now != key and held:
+                yield pd.DataFrame(of_group(key, _group_of(held)))
+                held = []
+            key = now
+            held.append(r)
+        if held:
+            yield pd.DataFrame(of_group(key, _group_of(held)))
+
+    return _dealt(packed, "block").mapInPandas(
+        summed, "task string, group int, block int, centre array<double>, angle double, zero boolean, least bigint"
     )
 
 
-def _count_scores(facing: DataFrame, width: int) -> DataFrame:
-    """``(task, user, y, bin, tp, fp)``: candidates per score bin, by equal label.
+def _facing(packed: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``(task, group, block, bound)``: the blocks of other groups that a group has to see.
 
-    Where the query block lists ``wanted`` coarse bins per user, only those count.
-    Counts of one query block meet in its task before they are shuffled.
-    """
-    low = -SCALE // COARSE - 2
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for task, ids, ys, wanted, _, c_ys, s in _faced(batches):
-            row = np.broadcast_to(np.arange(len(ids))[:, None], s.shape)
-            same = ys[:, None] == c_ys[None, :]
-            if wanted is not None:
-                near = np.zeros((len(ids), -2 * low), dtype=bool)
-                for i, user in enumerate(ids):
-                    near[i, np.asarray(wanted.get(user, []), dtype=np.int64) - low] = True
-                hit = near[row, s // COARSE - low]
-                row, same, s = row[hit], same[hit], s[hit]
-            bins = s // width
-            span = 4 * SCALE // width
-            code, slot = np.unique((row * span + bins + span // 2).ravel(), return_inverse=True)
-            tp = np.bincount(slot, weights=same.ravel(), minlength=len(code)).astype(np.int64)
-            n = np.bincount(slot, minlength=len(code))
-            who = code // span
+    Summaries, not vectors, go to every group; a task holds its own blocks' and lets the others pass."""
+    groups = packed.select("task", "groups").distinct()
+    others = summaries.join(groups, "task").withColumnRenamed("group", "home")
+    everywhere = others.select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    kinds = everywhere.withColumn("kind", (F.col("home") != F.col("group")).cast("int"))
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, table, out = None, [], None, []
+        for now, r in _grouped(batches):
+            if now != key:
+                key, own, table = now, [], None
+            if r.kind == 0:
+                own.append(r)
+                continue
+            if not own:  # hashing left all chunks of this group empty
+                continue
+            if table is None:
+                table = [np.array(x) for x in zip(*((r.centre, r.angle, r.zero, r.least) for r in own))]
+            bounds = _bounds(*table[:3], r.centre, r.angle, r.zero)
+            wanted = bounds[bounds >= table[3]]
+            if len(wanted):
+                out.append({"task": r.task, "group": r.group, "block": r.block, "bound": int(wanted.max())})
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out)
+                out = []
+        if out:
+            yield pd.DataFrame(out)
+
+    return _dealt(kinds, "kind", "block").mapInPandas(needed, "task string, group int, block int, bound bigint")
+
+
+def facing_blocks(packed: DataFrame, k: int) -> DataFrame:
+    """Rows that meet in the search: a group's own blocks (``kind`` 0), then the blocks of other
+    groups (``kind`` 1) that may hold a better neighbour of one of its users, the best bound first.
+    ``packed`` is read several times, so it comes from a checkpoint."""
+    body = ["ids", "flat"]
+    query = packed.select("task", "group", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bound"), "block", *body)
+    # One group sees all of its task already.
+    many = packed.filter("groups > 1")
+    pairs = _facing(many, cut_lineage(_block_summaries(many, k)))
+    candidates = pairs.join(many.select("task", "block", *body), ["task", "block"]).select(
+        "task", "group", F.lit(1).alias("kind"), (-F.col("bound")).alias("bound"), "block", *body
+    )
+    return query.unionByName(candidates)
+
+
+def neighbour_topk(
+    users: DataFrame,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    group_rows: int = GROUP_ROWS,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """``(task, user, rank, neighbour, score)``: the k most similar other users, exactly; ties go
+    to the smaller user.  A zero vector has similarity 0 to all."""
+    packed = cut_lineage(_neighbourhoods(users, block_rows, group_rows, pivots))
+
+    def found(key, group, best):
+        for (_, ids, _, _), b in zip(group, best):
+            row, rank = np.nonzero(b.id >= 0)
             yield pd.DataFrame(
-                {
-                    "task": task,
-                    "user": ids[who],
-                    "y": ys[who],
-                    "bin": code % span - span // 2,
-                    "tp": tp,
-                    "fp": n - tp,
-                }
+                {"task": key[0], "user": ids[row], "rank": rank + 1, "neighbour": b.id[row, rank], "score_ppm": b.score[row, rank]}
             )
 
-    return (
-        facing.mapInPandas(
-            count, "task string, user bigint, y string, bin bigint, tp bigint, fp bigint"
-        )
-        .groupBy("task", "user", "y", "bin")
-        .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, group, best, table = None, [], None, None, None
+        for now, r in _grouped(batches):
+            if now != key:
+                if held or group:
+                    group = group or _group_of(held)
+                    yield from found(key, group, best or _own_best(group, k))
+                key, held, group, best = now, [], None, None
+            if r.kind == 0:
+                held.append(r)
+                continue
+            if group is None and not held:
+                continue
+            if group is None:
+                group, held = _group_of(held), []
+                best = _own_best(group, k)
+                table = [np.array(x) for x in zip(*(s for _, _, _, s in group))]
+            ids, vectors = np.asarray(r.ids), _unit(r.flat, len(r.ids))
+            bounds = _bounds(*table, *_summary(vectors))
+            for at, b in enumerate(best):
+                if bounds[at] >= b.worst():
+                    _offer(b, group[at][1], group[at][2], ids, vectors)
+        if held or group:
+            group = group or _group_of(held)
+            yield from found(key, group, best or _own_best(group, k))
+
+    near = _dealt(facing_blocks(packed, k), "kind", "bound", "block").mapInPandas(
+        search, "task string, user bigint, rank int, neighbour bigint, score_ppm bigint"
     )
+    return near.select("task", "user", "rank", "neighbour", (F.col("score_ppm") / SCALE).alias("score"))
 
 
-def _on_grid(steps: DataFrame) -> DataFrame:
-    """Steps of each curve with the grid points that fall on their false-positive
-    side: grid point k lies on a step when it starts at or before k/99 and ends
-    after it.  Integers throughout, so no point is lost to rounding."""
-    user = Window.partitionBy("task", "user")
-    down = user.orderBy(F.col("bin").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    last = GRID - 1
-    counted = steps.select(
-        "*",
-        F.sum("tp").over(down).alias("ctp"),
-        F.sum("fp").over(down).alias("cfp"),
-        F.sum("tp").over(user).alias("p"),
-        F.sum("fp").over(user).alias("n"),
-    ).withColumn("fp0", F.col("cfp") - F.col("fp"))
-    return counted.filter((F.col("fp") > 0) & (F.col("n") > 0)).select(
-        "*",
-        F.expr(f"({last} * fp0 + n - 1) div n").alias("lo"),
-        F.expr(f"({last} * cfp + n - 1) div n - 1").alias("hi"),
-    )
+# ---- ROC curves -----------------------------------------------------------------
 
+LOW = -SCALE // COARSE - 2
+BINS = -2 * LOW
 
-def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+def _coarse(s: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates and relevant candidates in each coarse bin, for each row of scores."""
+    at = (np.arange(len(s)) * BINS)[:, None] + (s // COARSE - LOW)
+    n = np.bincount(at.ravel(), minlength=len(s) * BINS)
+    tp = np.bincount(at[same], minlength=len(s) * BINS)
+    return n.reshape(len(s), BINS), tp.reshape(len(s), BINS)
+
+
+def _wanted(n: np.ndarray, tp: np.ndarray) -> np.ndarray:
+    """Coarse bins that a grid point falls in; without relevant candidates a bin's curve is flat."""
+    fp = n - tp
+    cfp = np.cumsum(fp[:, ::-1], axis=1)[:, ::-1]
+    all_fp = cfp[:, :1]
+    last = GRID - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        first = (last * (cfp - fp) + all_fp - 1) // all_fp
+        end = (last * cfp + all_fp - 1) // all_fp - 1
+    return (fp > 0) & (tp > 0) & (all_fp > 0) & (first <= end)
+
+
+def _curve(score: np.ndarray, n: np.ndarray, tp: np.ndarray) -> np.ndarray | None:
+    """True-positive rates at the grid's false-positive rates, from counts by falling score;
+    integers throughout, so no grid point is lost to rounding."""
+    order = np.argsort(-score, kind="stable")
+    n, tp = n[order], tp[order]
+    fp = n - tp
+    ctp, cfp = np.cumsum(tp), np.cumsum(fp)
+    if not len(n) or not cfp[-1]:
+        return None
+    last, steps = GRID - 1, np.flatnonzero(fp)
+    k = np.arange(last)
+    at = steps[np.searchsorted(last * cfp[steps], k * cfp[-1], side="right")]
+    along = (k * cfp[-1] - last * (cfp[at] - fp[at])) / (last * fp[at])
+    return np.concatenate([((ctp[at] - tp[at]) + tp[at] * along) / ctp[-1], [1.0]])
+
+
+class _Counts:
+    """Score counts of the users of a block: coarse ones in the first pass, fine ones in the second."""
+
+    def __init__(self, r):
+        self.ids, self.ys, self.vectors = np.asarray(r.ids), np.asarray(r.ys), _unit(r.flat, len(r.ids))
+        self.n = np.zeros((len(self.ids), BINS), np.int32)
+        self.tp = np.zeros_like(self.n)
+        self.wanted, self.fine = None, []
+
+    def add(self, second: bool, c_ys: np.ndarray, c_vectors: np.ndarray) -> None:
+        for at in range(0, len(self.ids), STRIPE):
+            part = slice(at, at + STRIPE)
+            s = _scores(self.vectors[part], c_vectors)
+            same = self.ys[part][:, None] == c_ys[None, :]
+            if not second:
+                n, tp = _coarse(s, same)
+                self.n[part] += n
+                self.tp[part] += tp
+                continue
+            if self.wanted is None:
+                self.wanted = _wanted(self.n, self.tp)
+            row = np.broadcast_to(np.arange(at, at + len(s))[:, None], s.shape)
+            hit = self.wanted[row, s // COARSE - LOW]
+            code = row[hit] * (4 * SCALE) + s[hit] + 2 * SCALE
+            self.fine.append(_summed(code, np.ones(len(code), np.int64), same[hit].astype(np.int64)))
+            if len(self.fine) > 64:
+                self.fine = [_summed(*(np.concatenate(x) for x in zip(*self.fine)))]
+
+    def curves(self) -> Iterator[tuple]:
+        empty = (np.zeros(0, np.int64),) * 3
+        code, n, tp = _summed(*(np.concatenate(x) for x in zip(empty, *self.fine)))
+        edge = np.searchsorted(code, np.arange(len(self.ids) + 1) * (4 * SCALE))
+        wanted = self.wanted if self.wanted is not None else np.zeros(self.n.shape, bool)
+        for i in range(len(self.ids)):
+            own = slice(edge[i], edge[i + 1])
+            rest = np.flatnonzero((self.n[i] > 0) & ~wanted[i])
+            score = np.concatenate([code[own] % (4 * SCALE) - 2 * SCALE, (rest + LOW) * COARSE])
+            tpr = _curve(score, np.concatenate([n[own], self.n[i, rest]]), np.concatenate([tp[own], self.tp[i, rest]]))
+            if tpr is not None:
+                yield self.ids[i], self.ys[i], tpr
+
+
+def _summed(code: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Values summed by code, in the order of codes."""
+    at, back = np.unique(code, return_inverse=True)
+    return (at, *(np.bincount(back, v, len(at)).astype(np.int64) for v in values))
+
+
+def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = CURVE_ROWS) -> DataFrame:
     """``(task, user, y, k, fpr, tpr)``: each user's ROC curve at fpr = k/99.
 
     A user's candidates are all users of the task, the user included; relevant are
     those with the same label.  Users whose task has no other label have no curve.
+    A block is copied twice for each group of ``group_rows`` users, once for each pass.
     """
-    users = cut_lineage(users)
-    # Written once: it feeds the refinement and the curve, and costs the most.
-    coarse = cut_lineage(_count_scores(facing_blocks(users, block_rows), COARSE))
-    # Inside a bin without relevant users the curve is flat: nothing to refine.
-    split = (
-        _on_grid(coarse)
-        .filter((F.col("lo") <= F.col("hi")) & (F.col("tp") > 0))
-        .select("task", "user", "bin")
-    )
-    packed, _, _ = _blocks(users, block_rows)
-    homes = packed.select("task", F.col("block").alias("q_block"), F.explode("ids").alias("user"))
-    wanted = (
-        split.groupBy("task", "user")
-        .agg(F.collect_list("bin").alias("bins"))
-        .join(homes, ["task", "user"])
-        .groupBy("task", "q_block")
-        .agg(F.collect_list(F.struct("user", "bins")).alias("wanted"))
-    )
-    fine = _count_scores(facing_blocks(users, block_rows, wanted), 1)
-    rest = coarse.join(split, ["task", "user", "bin"], "left_anti").withColumn(
-        "bin", F.col("bin") * COARSE
-    )
-    steps = _on_grid(rest.unionByName(fine)).filter("lo <= hi")
-    last = GRID - 1
-    tp0 = F.col("ctp") - F.col("tp")
-    along = (F.col("k") * F.col("n") - last * F.col("fp0")) / (last * F.col("fp"))
-    curve = steps.withColumn("k", F.explode(F.sequence("lo", "hi"))).select(
-        "task", "user", "y", "k", ((tp0 + F.col("tp") * along) / F.col("p")).alias("tpr")
-    )
-    end = steps.select("task", "user", "y").distinct().select(
-        "task", "user", "y", F.lit(last).cast("bigint").alias("k"), F.lit(1.0).alias("tpr")
+    size = max(1, group_rows // block_rows)
+    placed = _sized(users, ["task"], block_rows).withColumnRenamed("chunk", "block")
+    packed = cut_lineage(
+        _packed(
+            placed.withColumn("group", F.floor(F.col("block") / size).cast("int")).withColumn(
+                "groups", F.ceil(F.col("chunks") / size).cast("int")
+            )
+        )
     )
-    return curve.unionByName(end).select(
-        "task", "user", "y", "k", (F.col("k") / last).alias("fpr"), "tpr"
+    body = ["block", "ids", "ys", "flat"]
+    query = packed.select("task", "group", F.lit(0).alias("kind"), *body)
+    passes = F.explode(F.array(F.lit(1), F.lit(2))).alias("kind")
+    candidates = packed.select("task", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *body)
+    facing = query.unionByName(candidates.select("task", "group", passes, *body))
+
+    def curves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for now, r in _grouped(batches):
+            if now != key:
+                yield from _curve_rows(key, held)
+                key, held = now, []
+            if r.kind == 0:
+                held.append(_Counts(r))
+                continue
+            ys, vectors = np.asarray(r.ys), _unit(r.flat, len(r.ids))
+            for counts in held:
+                counts.add(r.kind == 2, ys, vectors)
+        yield from _curve_rows(key, held)
+
+    return (
+        _dealt(facing, "kind", "block")
+        .mapInPandas(curves, "task string, user bigint, y string, k bigint, tpr double")
+        .select("task", "user", "y", "k", (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
     )
 
 
+def _curve_rows(key, held) -> Iterator[pd.DataFrame]:
+    for counts in held:
+        found = list(counts.curves())
+        if found:
+            ids, ys, tprs = zip(*found)
+            yield pd.DataFrame(
+                {
+                    "task": key[0],
+                    "user": np.repeat(ids, GRID),
+                    "y": np.repeat(np.array(ys, object), GRID),
+                    "k": np.tile(np.arange(GRID), len(ids)),
+                    "tpr": np.concatenate(tprs),
+                }
+            )
+
+
 def mean_roc(curves: DataFrame) -> DataFrame:
     """Mean curve per task and label; starts at 0 and ends at 1."""
     k = F.col("k")

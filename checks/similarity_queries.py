@@ -57,24 +57,42 @@ def balanced(spark, sf):
     return tasks.balanced_users(all_tasks(spark, sf), [F.col("user")])
 
 
-@query(
-    "neighbour_topk",
-    f"""SELECT 'all' AS task, "user", CAST(rank AS INTEGER) AS rank, neighbour, score / 1000000.0 AS score FROM (
+NEAREST = f"""SELECT 'all' AS task, "user", CAST(rank AS INTEGER) AS rank, neighbour, score / 1000000.0 AS score FROM (
       SELECT "user", neighbour, score, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, neighbour) AS rank
       FROM (SELECT q."user", c."user" AS neighbour, {COSINE} AS score
         FROM (SELECT vec_id AS "user", CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) q
         JOIN (SELECT vec_id AS "user", CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) c
           ON q."user" <> c."user"))
-    WHERE rank <= 10""",
-)
-def neighbour_topk(spark, sf):
-    users = I.users(spark, sf).select(
+    WHERE rank <= 10"""
+
+
+def one_task(spark, sf):
+    return I.users(spark, sf).select(
         F.lit("all").alias("task"), "user", F.col("label").cast("string").alias("y"), "vec"
     )
-    return S.neighbour_topk(users, 10)
 
 
-@query("user_roc", f'SELECT task, "user", y, k, round(k / 99, 6) AS fpr, round(tpr + 1e-9, 6) AS tpr FROM {CURVES}')
+@query("neighbour_topk", NEAREST)
+def neighbour_topk(spark, sf):
+    return S.neighbour_topk(one_task(spark, sf), 10)
+
+
+@query("neighbour_topk_blocks", NEAREST)
+def neighbour_topk_blocks(spark, sf):
+    """Many small blocks and groups, as of a table that no task holds."""
+    return S.neighbour_topk(one_task(spark, sf), 10, block_rows=32, group_rows=128, pivots=16)
+
+
+ROC = f'SELECT task, "user", y, k, round(k / 99, 6) AS fpr, round(tpr + 1e-9, 6) AS tpr FROM {CURVES}'
+
+
+@query("user_roc_blocks", ROC)
+def user_roc_blocks(spark, sf):
+    out = S.user_roc(balanced(spark, sf), block_rows=16, group_rows=48)
+    return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round(F.col("tpr") + TIE, 6))
+
+
+@query("user_roc", ROC)
 def user_roc(spark, sf):
     out = S.user_roc(balanced(spark, sf))
     return out.withColumn("fpr", F.round("fpr", 6)).withColumn("tpr", F.round(F.col("tpr") + TIE, 6))

@@ -29,11 +29,11 @@ def curve(s, relevant):
     return np.interp(np.linspace(0, 1, 100), fpr, tpr)
 
 
-@pytest.mark.parametrize("block_rows, copies", [(1000, 0), (7, 0), (9, 8)])
-def test_user_roc_against_brute_force(spark, block_rows, copies):
+@pytest.mark.parametrize("block_rows, group_rows, copies", [(1000, 1000, 0), (7, 7, 0), (9, 20, 8)])
+def test_user_roc_against_brute_force(spark, block_rows, group_rows, copies):
     vec, y, users = make(spark, 40, copies=copies)
     s = scores(vec)
-    got = S.user_roc(users, block_rows).collect()
+    got = S.user_roc(users, block_rows, group_rows).collect()
     assert len(got) == 40 * 100
     by_user = {}
     for r in got:
@@ -58,11 +58,57 @@ def test_mean_curve_ends(spark):
         assert auc[label] == pytest.approx(np.trapezoid(tpr, x))
 
 
-@pytest.mark.parametrize("block_rows", [1000, 6])
-def test_neighbours_against_brute_force(spark, block_rows):
-    vec, _, users = make(spark, 25, seed=2, copies=5)
+def ranked(s, i, k):
+    return sorted((j for j in range(len(s)) if j != i), key=lambda j: (-s[i, j], j))[:k]
+
+
+@pytest.mark.parametrize("block_rows, group_rows, pivots", [(1000, 1000, 9), (6, 12, 4), (3, 3, 256), (4, 1, 1)])
+def test_neighbours_against_brute_force(spark, block_rows, group_rows, pivots):
+    vec, _, users = make(spark, 60, seed=2, copies=5)
+    s = scores(vec)
+    found = S.neighbour_topk(users, 4, block_rows, group_rows, pivots).collect()
+    got = {(r["user"], r["rank"]): (r["neighbour"], round(r["score"] * 1e6)) for r in found}
+    assert len(found) == len(got) == 60 * 4
+    for i in range(60):
+        assert [got[(i, r)] for r in range(1, 5)] == [(j, s[i, j]) for j in ranked(s, i, 4)]
+
+
+def test_neighbours_of_zero_vectors_and_few_users(spark):
+    vec = [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+    users = spark.createDataFrame([("t", i, "0", v) for i, v in enumerate(vec)], "task string, user bigint, y string, vec array<double>")
+    got = {(r["user"], r["rank"]): (r["neighbour"], r["score"]) for r in S.neighbour_topk(users, 9, 1, 1).collect()}
+    assert got == {
+        (0, 1): (2, 0.0), (0, 2): (3, 0.0), (0, 3): (1, -1.0), (1, 1): (2, 0.0), (1, 2): (3, 0.0), (1, 3): (0, -1.0),
+        (2, 1): (0, 0.0), (2, 2): (1, 0.0), (2, 3): (3, 0.0), (3, 1): (0, 0.0), (3, 2): (1, 0.0), (3, 3): (2, 0.0),
+    }
+    assert S.neighbour_topk(users.limit(0), 3).count() == 0 and S.user_roc(users.limit(0)).count() == 0
+
+
+def clustered(spark, clusters, each, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, 12))
+    vec = np.repeat(centres, each, axis=0) + 0.02 * rng.normal(size=(clusters * each, 12))
+    rows = [("t", i, "0", [float(x) for x in v]) for i, v in enumerate(vec)]
+    return vec, spark.createDataFrame(rows, "task string, user bigint, y string, vec array<double>")
+
+
+def test_blocks_that_cannot_win_do_not_meet(spark):
+    """Rows of the exchange grow with the blocks, not with their square."""
+    vec, users = clustered(spark, 24, 30)
+    packed = S.cut_lineage(S._neighbourhoods(users, 10, 20, 64))
+    blocks = packed.count()
+    kinds = {r["kind"]: r["count"] for r in S.facing_blocks(packed, 3).groupBy("kind").count().collect()}
+    groups = packed.select("group").distinct().count()
+    assert blocks >= 60 and groups >= 24 and kinds[0] == blocks
+    assert kinds.get(1, 0) < 0.15 * blocks * groups
     s = scores(vec)
-    got = {(r["user"], r["rank"]): r["neighbour"] for r in S.neighbour_topk(users, 4, block_rows).collect()}
-    for i in range(25):
-        order = sorted((j for j in range(25) if j != i), key=lambda j: (-s[i, j], j))[:4]
-        assert [got[(i, r)] for r in range(1, 5)] == order
+    got = {(r["user"], r["rank"]): r["neighbour"] for r in S.neighbour_topk(users, 3, 10, 20, 64).collect()}
+    for i in range(0, 720, 7):
+        assert [got[(i, r)] for r in range(1, 4)] == ranked(s, i, 3)
+
+
+def test_neighbour_rows_leave_a_task_once(spark):
+    """No list of candidates is ranked after the search: only the k best of a user leave it."""
+    _, users = clustered(spark, 6, 20)
+    plan = S.neighbour_topk(users, 2, 5, 10, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
