@@ -15,9 +15,9 @@ from chartweave.session import cut_lineage
 def annotated_notes(cleaned: DataFrame, gazetteer: DataFrame, sizes: Sequence[int] | None = None) -> DataFrame:
     """Notes with their entities replaced by type and concept."""
     keyed = cleaned.withColumn("_key", F.struct("subject_id", "note_id"))
-    marked = keyed.select("_key", F.split("text", " ").alias("tokens"))
+    marked = keyed.withColumn("tokens", F.split("text", " ")).drop("text")
     anno = entities.annotate_text(marked, gazetteer, "_key", sizes)
-    return keyed.drop("text").join(anno.select("_key", F.col("anno_text").alias("text")), "_key").drop("_key")
+    return anno.drop("_key", "n_entities").withColumnRenamed("anno_text", "text")
 
 
 def build_units(texts: DataFrame, entity_ids: Sequence[str] = (), size: int = vocab.VOCAB_SIZE) -> list[str]:

@@ -11,7 +11,9 @@ from chartweave.functions.hashing import hash_int
 from chartweave.operators import cohort, entities, mlm, vocab
 from chartweave.operators.entities import ENTITY_TYPES
 
-SIZES = (2, 3, 4)
+SIZES = (1, 2, 3, 4)
+# One-word phrases of the phrase table are the longer words.
+LONG_WORD = 8
 ALL_TYPES = (*ENTITY_TYPES, "T001", "T002", "T003")
 LENGTH, MIN_LENGTH, PREDS, WORDS = 64, 20, 10, 2000
 
@@ -22,9 +24,9 @@ ALLOWED = ", ".join(f"'{t}'" for t in ENTITY_TYPES)
 
 
 def _runs(source: str, key: str) -> str:
-    """SQL of ``(key, start, k, phrase)``: runs of 2, 3 and 4 tokens of a clean text."""
-    return f"""(SELECT * FROM (SELECT {key}, start, unnest([2, 3, 4]) AS k,
-          unnest([a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d]) AS phrase
+    """SQL of ``(key, start, k, phrase)``: long words and runs of 2, 3 and 4 tokens of a clean text."""
+    return f"""(SELECT * FROM (SELECT {key}, start, unnest([1, 2, 3, 4]) AS k,
+          unnest([CASE WHEN length(a) >= {LONG_WORD} THEN a END, a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d]) AS phrase
         FROM (SELECT {key}, pos - 1 AS start, token AS a, lead(token, 1) OVER w AS b,
                 lead(token, 2) OVER w AS c, lead(token, 3) OVER w AS d
               FROM (SELECT {key}, unnest(string_split(text, ' ')) AS token,
@@ -63,10 +65,15 @@ def token_docs(spark, sf):
 
 
 def gazetteer(spark, sf):
-    items = I.table(spark, sf, "benchmark").select(
-        "item_id", F.split(X.clean(F.col("text")), " ").alias("tokens")
-    )
-    phrases = entities.candidate_spans(items, "item_id", SIZES).select("phrase").distinct()
+    items = I.table(spark, sf, "benchmark").select(F.split(X.clean(F.col("text")), " ").alias("t"))
+
+    def runs_of(k):
+        starts = F.slice("t", 1, F.greatest(F.size("t") - k + 1, F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice("t", i + 1, k), " "))
+
+    runs = [runs_of(k) for k in SIZES]
+    runs[0] = F.filter(runs[0], lambda w: F.length(w) >= LONG_WORD)
+    phrases = items.select(F.explode(F.concat(*runs)).alias("phrase")).distinct()
     kinds = F.array(*[F.lit(t) for t in ALL_TYPES])
     at = F.pmod(hash_int(F.md5("phrase"), 1), F.lit(len(ALL_TYPES))).cast("int")
     cui = F.concat(F.lit("C"), F.substring(F.md5("phrase"), 9, 7))
@@ -103,8 +110,8 @@ def annotate_text(spark, sf):
     UNION ALL SELECT doc_id, anno_text FROM ({ANNOTATED})""",
 )
 def training_text(spark, sf):
-    annotated = annotate_text(spark, sf).select("doc_id", F.col("anno_text").alias("text"))
-    return mlm.training_text(I.clean_documents(spark, sf), annotated)
+    notes = I.clean_documents(spark, sf).withColumn("tokens", F.split("text", " "))
+    return entities.raw_and_annotated(notes, gazetteer(spark, sf), "doc_id")
 
 
 # ---- vocabularies -------------------------------------------------------------------

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from chartweave.operators import cohort, entities, report, tasks
@@ -113,3 +116,51 @@ def test_entities_longest_from_left(spark):
     assert got[2] == (0, "none")
     ids = entities.entity_ids(entities.link_entities(df, gaz, "id", [2, 3]))
     assert {r["entity_id"] for r in ids.collect()} == {"[T046]", "[C3]", "[T047]", "[C1]"}
+
+
+def plain_links(tokens, phrases):
+    """Longest phrase at each place, from left to right."""
+    out, at = [], 0
+    while at < len(tokens):
+        fits = [p for p in phrases if tokens[at : at + len(p.split(" "))] == p.split(" ")]
+        if fits:
+            best = max(fits, key=lambda p: len(p.split(" ")))
+            out.append((at, best))
+            at += len(best.split(" "))
+        else:
+            at += 1
+    return out
+
+
+@pytest.mark.parametrize("trie_phrases", [500_000, 7])
+def test_trie_walk_equals_a_plain_walk(spark, trie_phrases):
+    rng = random.Random(4)
+    words = "a b c d e f g".split()
+    phrases = {" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(40)}
+    gaz = spark.createDataFrame([(p, "T047", f"C{i}") for i, p in enumerate(sorted(phrases))], "phrase string, tui string, cui string")
+    meaning = {p: f"[T047] [C{i}]" for i, p in enumerate(sorted(phrases))}
+    notes = [(i, rng.choices([*words, "x", "y", "é"], k=rng.randint(0, 60)), f"n{i}") for i in range(120)]
+    notes += [(200, None, "null"), (201, [], "empty"), (202, ["a"] * 20_000, "long"), (203, ["a", ""], "blank")]
+    df = spark.createDataFrame(notes, "id int, tokens array<string>, spans string").repartition(3)
+    links = entities.link_entities(df, gaz, "id", trie_phrases=trie_phrases).collect()
+    got = {}
+    for r in links:
+        got.setdefault(r["id"], []).append((r["start"], r["phrase"]))
+        assert r["len"] == len(r["phrase"].split(" "))
+    texts = {r["id"]: r for r in entities.annotate_text(df.withColumnRenamed("spans", "more"), gaz, "id", trie_phrases=trie_phrases).collect()}
+    for i, tokens, more in notes:
+        want = plain_links(tokens or [], phrases)
+        assert sorted(got.get(i, [])) == want
+        new, at = [], 0
+        for start, p in want:
+            new += [*tokens[at:start], meaning[p]]
+            at = start + len(p.split(" "))
+        new += (tokens or [])[at:]
+        assert texts[i]["n_entities"] == len(want) and texts[i]["more"] == more
+        assert texts[i]["anno_text"] == (None if tokens is None else " ".join(new))
+
+
+def test_raw_and_annotated(spark):
+    df = spark.createDataFrame([(1, "my fever")], "id int, text string").withColumn("tokens", F.split("text", " "))
+    gaz = spark.createDataFrame([("fever", "T184", "C1")], "phrase string, tui string, cui string")
+    assert [r["text"] for r in entities.raw_and_annotated(df, gaz, "id").collect()] == ["my fever", "my [T184] [C1]"]

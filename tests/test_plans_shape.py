@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartweave.functions import text as X
+from chartweave.operators import entities
 from checks import QUERIES
 from checks import inputs as I
 
@@ -23,8 +24,6 @@ def plan(df):
         "stratified_split",
         "bow_freq",
         "boe_sum",
-        "link_entities",
-        "annotate_text",
         "word_types",
         "results_wide",
     ],
@@ -45,3 +44,13 @@ def test_cleaning_is_one_generated_expression(spark):
     df = I.documents(spark, SF).select("doc_id", X.clean(F.col("text")).alias("t"))
     text = plan(df)
     assert "lambda" not in text and "Python" not in text
+
+
+@pytest.mark.parametrize("job", [entities.link_entities, entities.annotate_text, entities.raw_and_annotated])
+def test_notes_are_read_once_and_stay_in_place(spark, job):
+    """Entities are found beside the text: one scan of the notes, nothing shuffled or joined."""
+    notes = spark.read.parquet(f"{SF}/documents.parquet").withColumn("tokens", F.split("text", " "))
+    gazetteer = spark.createDataFrame([("the of", "T047", "C1")], "phrase string, tui string, cui string")
+    text = plan(job(notes, gazetteer, "doc_id"))
+    assert text.count("FileScan") == 1
+    assert "Join" not in text and "Exchange" not in text
