@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chartweave.session import cut_lineage
+
+#: Vectors that a task holds.
+BLOCK_BYTES = 64 << 20
 
 
 def bow_freq(docs: DataFrame, key: str, items: Column) -> DataFrame:
@@ -28,43 +40,167 @@ def width(vectors: DataFrame, vec: str = "vec") -> int:
     return row["d"] if row else 0
 
 
-def _sum_by(rows: DataFrame, key: str, count: Column, dims: int, weight: Column, mean: bool):
-    """Element-wise sums as plain column sums: generated code with map-side combine."""
-    sums = [
-        F.sum(F.get("vec", F.lit(i)).cast("double") * weight).alias(f"_{i}") for i in range(dims)
-    ]
-    out = rows.groupBy(key).agg(count, *sums)
-    n = out.columns[1]
-    parts = [F.col(f"_{i}") / F.col(n) if mean else F.col(f"_{i}") for i in range(dims)]
-    return out.select(key, n, F.array(*parts).alias("vec"))
-
-
 def token_embeddings(terms: DataFrame, vectors: DataFrame) -> DataFrame:
     """Terms with their vectors; tokens without one drop out."""
     return terms.join(vectors.select("token", "vec"), "token")
 
 
-def boe_sum(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None) -> DataFrame:
+def boe_sum(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None, **kw) -> DataFrame:
     """Sum of the vectors of all token occurrences."""
-    return _bag(terms, vectors, key, dims, F.col("n"))
+    return _bag(terms, vectors, key, dims, **kw)
 
 
-def boe_bin(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None) -> DataFrame:
+def boe_bin(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None, **kw) -> DataFrame:
     """Sum of the vectors of the distinct tokens."""
-    return _bag(terms, vectors, key, dims, F.lit(1))
+    return _bag(terms, vectors, key, dims, distinct=True, **kw)
 
 
 def user_embedding_mean(
-    terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None
+    terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None, **kw
 ) -> DataFrame:
     """Mean vector of all known token occurrences of a user."""
-    return _bag(terms, vectors, key, dims, F.col("n"), mean=True)
-
-
-def _bag(terms, vectors, key, dims, weight, mean=False):
-    dims = dims or width(vectors)
-    rows = token_embeddings(terms, vectors)
-    return _sum_by(rows, key, F.sum("n").alias("n_tokens"), dims, weight, mean)
+    return _bag(terms, vectors, key, dims, mean=True, **kw)
+
+
+class _Sums:
+    """Sums of rows of equal, neighbouring keys, whose rows may come in several batches."""
+
+    def __init__(self, kind: pa.DataType, dims: int):
+        self.kind, self.dims = kind, dims
+        self.key, self.n, self.vec = None, 0, np.zeros(dims)
+
+    def add(self, keys: pa.Array, n: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(keys):
+            return
+        starts = np.concatenate([[0], np.flatnonzero(np.asarray(pc.not_equal(keys[1:], keys[:-1]))) + 1])
+        ns, sums = np.add.reduceat(n, starts), np.add.reduceat(rows, starts, axis=0)
+        first = keys[0].as_py()
+        if self.n and self.key == first:
+            ns[0] += self.n
+            sums[0] += self.vec
+        else:
+            yield from self.rest()
+        if len(starts) > 1:
+            yield self._batch(keys.take(pa.array(starts[:-1])), ns[:-1], sums[:-1])
+        self.key, self.n, self.vec = keys[int(starts[-1])].as_py(), int(ns[-1]), sums[-1].copy()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield self._batch(pa.array([self.key], self.kind), np.array([self.n]), self.vec[None, :])
+        self.n = 0
+
+    def _batch(self, keys, n, rows) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(n) + 1) * self.dims, pa.int32())
+        vec = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows).ravel()))
+        return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), vec], names=["key", "n_tokens", "vec"])
+
+
+def _runs(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which ``columns`` do not change."""
+    if not batch.num_rows:
+        return
+    values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    new = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _products(dims: int, distinct: bool):
+    """Vectors of a block of the vocabulary come first, then the terms of documents, by document:
+    a sparse block times the block of the matrix."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums, tokens, parts, matrix = None, None, [], [], None
+        for batch in batches:
+            for run in _runs(batch, "block", "salt", "kind"):
+                now = (run.column("block")[0].as_py(), run.column("salt")[0].as_py())
+                if now != at:
+                    if sums is not None:
+                        yield from sums.rest()
+                    at, sums, tokens, parts, matrix = now, None, [], [], None
+                if run.column("kind")[0].as_py() == 0:
+                    tokens.append(run.column("token"))
+                    parts.append(run.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+                    continue
+                if not tokens:  # no vector in this block
+                    continue
+                if matrix is None:
+                    matrix, known = np.concatenate(parts), pa.concat_arrays(tokens)
+                    sums = _Sums(run.column("key").type, dims)
+                row = pc.index_in(run.column("token"), known)
+                there = row.is_valid()
+                row = row.filter(there).to_numpy(zero_copy_only=False)
+                n = run.column("n").filter(there).to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = matrix[row] if distinct else matrix[row] * n[:, None]
+                yield from sums.add(run.column("key").filter(there), n, rows)
+        if sums is not None:
+            yield from sums.rest()
+
+    return multiply
+
+
+def _added(dims: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            if batch.num_rows:
+                sums = sums or _Sums(batch.column("key").type, dims)
+                rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                yield from sums.add(batch.column("key"), batch.column("n_tokens").to_numpy(zero_copy_only=False).copy(), rows)
+        if sums is not None:
+            yield from sums.rest()
+
+    return add
+
+
+def _bag(terms, vectors, key, dims, distinct=False, mean=False, blocks=None, block_bytes=BLOCK_BYTES):
+    """Terms times vectors, block by block of the vocabulary.
+
+    A block of the vocabulary (a range of the tokens' hashes, as many as fit ``block_bytes`` with
+    their vectors) meets the terms of its tokens; a term travels as its key, token and count, never
+    with a vector.  A block is copied for as many slices of the documents as keep all tasks busy.
+    Documents with terms in several blocks add up one partial sum per block.  Without a number of
+    ``blocks`` it is that of the fewest vectors moved, copies and partial sums together, which needs
+    a count of ``terms``; they should come from a checkpoint.
+    """
+    spark = terms.sparkSession
+    vectors = cut_lineage(vectors.select("token", F.col("vec").cast("array<double>").alias("vec")))
+    rows, widest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    dims = dims or widest or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        docs = terms.agg(F.approx_count_distinct(key)).first()[0] or 1
+        blocks = min(round(math.sqrt(tasks * rows / docs)), 4 * tasks)
+    blocks = max(1, blocks, -(-rows * dims * 8 // block_bytes))
+    salts = -(-tasks // blocks)
+    block = F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block")
+    kind = terms.schema[key].dataType
+    known = vectors.select(
+        block,
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        F.lit(0).alias("kind"),
+        F.lit(None).cast(kind).alias("key"),
+        "token",
+        F.lit(0).cast("bigint").alias("n"),
+        "vec",
+    )
+    salt = F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int").alias("salt")
+    asked = terms.select(
+        block, salt, F.lit(1).alias("kind"), F.col(key).alias("key"), "token", F.col("n").cast("bigint").alias("n"),
+        F.lit(None).cast("array<double>").alias("vec"),
+    )
+    met = (
+        known.unionByName(asked)
+        .repartition(blocks * salts, "block", "salt")
+        .sortWithinPartitions("block", "salt", "kind", "key")
+    )
+    schema = T.StructType([T.StructField("key", kind), *T.StructType.fromDDL("n_tokens bigint, vec array<double>").fields])
+    out = met.mapInArrow(_products(dims, distinct), schema)
+    if blocks > 1:
+        out = out.repartition("key").sortWithinPartitions("key").mapInArrow(_added(dims), schema)
+    vec = F.transform("vec", lambda x: x / F.col("n_tokens")) if mean else F.col("vec")
+    return out.select(F.col("key").alias(key), "n_tokens", vec.alias("vec"))
 
 
 def user_vectors(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

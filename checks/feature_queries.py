@@ -11,6 +11,7 @@ from checks.registry import query
 from chartweave.functions import text as X
 from chartweave.operators import encoders, features, probe, tasks, vocab
 from chartweave.operators import metrics as M
+from chartweave.session import cut_lineage
 from chartweave.sources import tables
 
 TERMS = f"""(SELECT doc_id, token, count(*) AS n FROM
@@ -45,6 +46,12 @@ def vectors(spark, sf):
     return I.token_vectors(spark, sf, counts(spark, sf))
 
 
+def bagged(spark, sf):
+    """Terms, written once, and the vectors of their tokens."""
+    rows = cut_lineage(terms(spark, sf))
+    return rows, I.token_vectors(spark, sf, rows.select("token").distinct())
+
+
 def _dims(spark, sf):
     return features.width(I.table(spark, sf, "embeddings"), "embedding")
 
@@ -88,19 +95,19 @@ def token_embeddings(spark, sf):
 
 @query("boe_sum", _summed("n"))
 def boe_sum(spark, sf):
-    out = features.boe_sum(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
+    out = features.boe_sum(*bagged(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("boe_bin", _summed("1"))
 def boe_bin(spark, sf):
-    out = features.boe_bin(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
+    out = features.boe_bin(*bagged(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("user_embedding_mean", _summed("n", " / n_tokens"))
 def user_embedding_mean(spark, sf):
-    out = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
+    out = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
@@ -240,7 +247,7 @@ def encode_multi_cls(spark, sf):
 
 
 def _probe_rows(spark, sf):
-    vec = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
+    vec = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
     rows = tasks.stratified_split(
         task_rows(spark, sf), ["task", "y"], ["subject_id"], names=("train", "test")
     )
@@ -270,7 +277,7 @@ def demographics_probe(spark, sf):
         F.lit("LANG").alias("task"), F.col("doc_id").alias("subject_id"), F.col("lang").alias("y"), "lang", "source"
     )
     rows = tasks.stratified_split(rows, ["task", "y"], ["subject_id"], names=("train", "test"))
-    known = features.user_embedding_mean(terms(spark, sf), vectors(spark, sf), "doc_id", _dims(spark, sf))
+    known = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
     ready = features.feature_rows(rows, known.select(F.col("doc_id").alias("subject_id"), "vec"))
     scored = probe.probe(ready, "U_mean", {"LANG": "en"}, ["lang", "source"])
     wide = M.subgroup_metrics(

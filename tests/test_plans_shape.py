@@ -23,7 +23,6 @@ def plan(df):
         "notes_filtered",
         "stratified_split",
         "bow_freq",
-        "boe_sum",
         "word_types",
         "results_wide",
     ],
