@@ -211,13 +211,50 @@ def user_vectors(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     )
 
 
+def sparse_vectors(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """``(key, ids, weights)`` of ``terms (key, token, n)`` over ``vocabulary (id, token)``: ids rise,
+    so a row is a sparse vector, no longer than the vocabulary.  Documents without a known token
+    have no row."""
+    known = terms.join(vocabulary.select("id", "token"), "token")
+    return _sparse(known.select(key, F.col("id").cast("int").alias("id"), F.col("n").cast("double").alias("weight")), key)
+
+
+def _sparse(rows: DataFrame, key: str) -> DataFrame:
+    cells = F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("c")
+    return rows.groupBy(key).agg(cells).select(key, F.col("c.id").alias("ids"), F.col("c.weight").alias("weights"))
+
+
 def feature_rows(rows: DataFrame, features: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Labelled rows with the features of their subject.  Several rows of a subject, such as
-    the parts of a long text, are pooled by their mean; rows without a vector do not count."""
+    """Labelled rows with the features of their subject, dense (``vec``) or sparse (``ids``,
+    ``weights``).  Several rows of a subject, such as the parts of a long text, are pooled by their
+    mean; rows without a vector do not count."""
+    if "vec" not in features.columns:
+        return rows.join(pool_sparse(features, key), key)
     known = features.select(key, F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
     return rows.join(pool_mean(known, key).select(key, "vec"), key)
 
 
+def feature_coverage(rows: DataFrame, features: DataFrame, key: str = "subject_id") -> DataFrame:
+    """``(task, split, n_rows, n_kept)``: labelled rows, and those whose subject has features; what
+    ``feature_rows`` leaves out is the difference."""
+    column = "vec" if "vec" in features.columns else "ids"
+    known = features.filter(F.col(column).isNotNull()).select(key, F.lit(1).alias("_known")).distinct()
+    return (
+        rows.join(known, key, "left")
+        .groupBy("task", "split")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_known").alias("n_kept"))
+    )
+
+
+def pool_sparse(parts: DataFrame, key: str) -> DataFrame:
+    """Mean of the sparse part vectors of each document."""
+    known = parts.filter("ids is not null")
+    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    cells = known.select(key, F.inline(F.arrays_zip("ids", "weights"))).groupBy(key, F.col("ids").alias("id"))
+    sums = cells.agg(F.sum("weights").alias("_s")).join(n, key)
+    return _sparse(sums.select(key, "id", (F.col("_s") / F.col("_n")).alias("weight")), key)
+
+
 def pool_mean(parts: DataFrame, key: str) -> DataFrame:
     """Mean of the part vectors of each document."""
     return parts.groupBy(key).agg(

@@ -1,27 +1,266 @@
-"""Linear probes: fit on the training rows, score the test rows."""
+"""Linear probes: all tasks and classes fitted together, test rows scored.
+
+One binary problem per class of a task (one for two classes): mean logistic loss with a light L2
+penalty on the weights.  Every pass over the training rows returns the losses and gradients of all
+problems, which then take a quasi-Newton step each; the number of jobs is that of the slowest problem
+and does not grow with the tasks.  Only sums reach the driver: a row of weights per problem.
+
+Features are dense, ``vec``, or sparse, ``ids`` and ``weights``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chartweave.operators.tasks import index_labels, label_vocabulary
+from chartweave.operators.tasks import label_vocabulary
 from chartweave.session import cut_lineage
 
 # Fixed value: strength of the L2 penalty.
 PENALTY = 1e-4
+#: Largest gradient, per standard deviation of a feature, at which a problem is solved.
+TOLERANCE = 1e-5
+MAX_PASSES = 400
+MEMORY = 10
+#: Partial sums that the driver adds up; more are added in tasks first.
+FAN_IN = 64
+
+
+@dataclass
+class Fit:
+    """``labels`` of each task; for each problem its ``(task, label number)``, a row of ``weights``
+    with the intercept last, its gradient ``norms`` and the ``passes`` over the rows it took."""
+
+    labels: dict[str, list[str]]
+    problems: list[tuple[str, int]]
+    weights: np.ndarray
+    norms: np.ndarray
+    passes: int
+
+    def converged(self, task: str) -> bool:
+        return all(n <= TOLERANCE for (t, _), n in zip(self.problems, self.norms) if t == task)
+
+
+class _Rows:
+    """Features of a batch: margins of weight rows, and sums of the rows weighted by residuals."""
+
+    def __init__(self, batch: pa.RecordBatch, dims: int):
+        self.n, self.dims = batch.num_rows, dims
+        self.dense = "vec" in batch.schema.names
+        if self.dense:
+            self.x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            return
+        ids = batch.column("ids")
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False)
+        self.w = batch.column("weights").flatten().to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(self.n), pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.x @ weights[:, :-1].T + weights[:, -1]
+        out = [np.bincount(self.row, self.w * v[self.ids], self.n) + v[-1] for v in weights]
+        return np.stack(out, 1)
+
+    def weighted(self, residuals: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return np.concatenate([residuals.T @ self.x, residuals.sum(0)[:, None]], 1)
+        out = [[*np.bincount(self.ids, self.w * r[self.row], self.dims), r.sum()] for r in residuals.T]
+        return np.array(out)
+
+    def moments(self) -> np.ndarray:
+        if self.dense:
+            return np.stack([self.x.sum(0), (self.x**2).sum(0)])
+        return np.stack([np.bincount(self.ids, self.w**p, self.dims) for p in (1, 2)])
+
+
+def _feature_columns(rows: DataFrame) -> list[str]:
+    return ["vec"] if "vec" in rows.columns else ["ids", "weights"]
+
+
+def _numbers(batch: pa.RecordBatch, task: str, labels: Sequence[str]) -> np.ndarray:
+    """Label numbers of the rows of a task; -1 for other labels."""
+    return pc.fill_null(pc.index_in(batch.column("y"), pa.array(labels, pa.string())), -1).to_numpy(zero_copy_only=False)
+
+
+def _summed(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum of an array of ``size`` numbers over all batches of ``rows``: in tasks, then in fewer tasks
+    if there are many, then on the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                out += of_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            for b in batch.column("sums").to_pylist():
+                out += np.frombuffer(b)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    sums = rows.mapInArrow(partial, "sums binary")
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        sums = sums.repartition(FAN_IN).mapInArrow(add, "sums binary")
+    return np.sum([np.frombuffer(r["sums"]) for r in sums.collect()] or [np.zeros(size)], axis=0)
+
+
+def _direction(grad: np.ndarray, memory: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Descent direction from the last steps and gradient changes."""
+    q, kept = grad.copy(), []
+    for s, y in reversed(memory):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        kept.append(a)
+    if memory:
+        s, y = memory[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(memory, reversed(kept)):
+        q += s * (a - (y @ q) / (s @ y))
+    return -q
 
 
-def fit(train: DataFrame, max_iter: int = 50) -> LogisticRegressionModel:
-    """Logistic loss with a light L2 penalty on raw features."""
-    lr = LogisticRegression(
-        featuresCol="features", labelCol="idx", regParam=PENALTY, standardization=False, maxIter=max_iter
-    )
-    return lr.fit(train.select("features", F.col("idx").cast("double")))
+def minimise(evaluate, start: np.ndarray, tolerance: float = TOLERANCE, passes: int = MAX_PASSES):
+    """Minimise a convex function per row of ``start``, all in the same calls of ``evaluate``, which
+    returns values and gradients of the rows.  ``(solutions, largest gradients, calls)``."""
+    x = start.copy()
+    f, g = evaluate(x)
+    calls, n = 1, len(x)
+    memory: list[list] = [[] for _ in range(n)]
+    step, way = np.ones(n), -g / np.maximum(1.0, np.abs(g).sum(1, keepdims=True))
+    open_rows = np.abs(g).max(1) > tolerance if n else np.zeros(0, bool)
+    while open_rows.any() and calls < passes:
+        tried = np.where(open_rows[:, None], x + step[:, None] * way, x)
+        f2, g2 = evaluate(tried)
+        calls += 1
+        for p in np.flatnonzero(open_rows):
+            if not f2[p] <= f[p] + 1e-4 * step[p] * (g[p] @ way[p]):
+                step[p] /= 2
+                # Rounding hides what is left to gain.
+                open_rows[p] = step[p] > 1e-10
+                continue
+            s, y = tried[p] - x[p], g2[p] - g[p]
+            if s @ y > 1e-14:
+                memory[p] = [*memory[p], (s, y)][-MEMORY:]
+            x[p], f[p], g[p] = tried[p], f2[p], g2[p]
+            open_rows[p] = np.abs(g[p]).max() > tolerance
+            way[p], step[p] = _direction(g[p], memory[p]), 1.0
+    return x, np.abs(g).max(1) if n else np.zeros(0), calls
+
+
+def fit_all(train: DataFrame, labels: Mapping[str, Sequence[str]], dims: int | None = None, passes: int = MAX_PASSES) -> Fit:
+    """Fit every class of every task of ``labels`` on ``train (task, y, features)``; ``train`` is read
+    once per pass, so it comes from a checkpoint.  A task of one class has no problem."""
+    labels = {t: list(v) for t, v in labels.items()}
+    problems = [(t, i) for t, v in labels.items() for i in (range(len(v)) if len(v) > 2 else range(1, len(v)))]
+    columns = _feature_columns(train)
+    rows = train.filter(F.col("task").isin(*labels)).select("task", "y", *columns)
+    if dims is None:
+        width = F.max(F.size("vec")) if columns == ["vec"] else F.max(F.array_max("ids")) + 1
+        dims = rows.agg(width).first()[0] or 0
+    places = {t: [k for k, (u, _) in enumerate(problems) if u == t] for t in labels}
+    tasks = list(labels)
+
+    def counted(batch: pa.RecordBatch) -> np.ndarray:
+        n = np.bincount(pc.index_in(batch.column("task"), pa.array(tasks)).to_numpy(zero_copy_only=False), minlength=len(tasks))
+        return np.concatenate([_Rows(batch, dims).moments().ravel(), n])
+
+    first = _summed(rows, counted, 2 * dims + len(tasks))
+    n_of = dict(zip(tasks, first[2 * dims :]))
+    total = max(1.0, first[2 * dims :].sum())
+    mean, square = first[:dims] / total, first[dims : 2 * dims] / total
+    spread = np.sqrt(np.maximum(square - mean**2, 0))
+    # Weights are sought per standard deviation, which changes the path but not the solution.
+    scale = np.append(np.where(spread > 1e-12, 1 / np.maximum(spread, 1e-12), 1.0), 1.0)
+    n = np.array([max(1.0, n_of[t]) for t, _ in problems])
+    size, ridge = len(problems) * (dims + 1), np.append(np.full(dims, PENALTY), 0.0)
+    spark = train.sparkSession
+
+    def evaluate(scaled: np.ndarray):
+        weights = scaled * scale
+        shared = spark.sparkContext.broadcast(weights)
+
+        def gradients(batch: pa.RecordBatch) -> np.ndarray:
+            grad, loss = np.zeros((len(problems), dims + 1)), np.zeros(len(problems))
+            of = pc.index_in(batch.column("task"), pa.array(tasks)).to_numpy(zero_copy_only=False)
+            for t in np.unique(of):
+                at = places[tasks[t]]
+                if not at:
+                    continue
+                mine = batch.filter(pa.array(of == t))
+                x, y = _Rows(mine, dims), _numbers(mine, tasks[t], labels[tasks[t]])
+                z = x.margins(shared.value[at])
+                hit = y[:, None] == np.array([problems[k][1] for k in at])[None, :]
+                loss[at] += (np.logaddexp(0, z) - hit * z).sum(0)
+                grad[at] += x.weighted(1 / (1 + np.exp(-np.clip(z, -500, 500))) - hit)
+            return np.concatenate([grad.ravel(), loss])
+
+        sums = _summed(rows, gradients, size + len(problems))
+        shared.unpersist()
+        grad = sums[:size].reshape(len(problems), dims + 1) / n[:, None] + ridge * weights
+        value = sums[size:] / n + 0.5 * (ridge * weights**2).sum(1)
+        return value, grad * scale
+
+    solved, norms, calls = minimise(evaluate, np.zeros((len(problems), dims + 1)), passes=passes)
+    return Fit(labels, problems, solved * scale, norms, calls)
+
+
+def predict(rows: DataFrame, fit: Fit, positive: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(task, subject_id, *keep, y, yhat, score)`` of the rows of the tasks in ``positive``: the most
+    probable label, and the probability of the positive one among the classes."""
+    columns = ["task", "subject_id", *keep, "y"]
+    source = rows.filter(F.col("task").isin(*positive)).select(*columns, *_feature_columns(rows))
+    dims = fit.weights.shape[1] - 1
+    shared = rows.sparkSession.sparkContext.broadcast((fit.weights, fit.problems, fit.labels))
+    wanted = dict(positive)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, problems, labels = shared.value
+        for batch in batches:
+            for task in pc.unique(batch.column("task")).to_pylist():
+                mine = batch.filter(pc.equal(batch.column("task"), task))
+                names = labels[task]
+                at = [k for k, (t, _) in enumerate(problems) if t == task]
+                if not at:
+                    p = np.ones((mine.num_rows, 1))
+                else:
+                    p = 1 / (1 + np.exp(-np.clip(_Rows(mine, dims).margins(weights[at]), -500, 500)))
+                    if len(names) == 2:
+                        p = np.concatenate([1 - p, p], 1)
+                    total = p.sum(1, keepdims=True)
+                    p = np.where(total > 0, p / np.where(total > 0, total, 1), 1 / len(names))
+                best = pa.array(names, pa.string()).take(pa.array(p.argmax(1)))
+                score = pa.array(p[:, names.index(wanted[task])])
+                yield pa.RecordBatch.from_arrays(
+                    [*[mine.column(c) for c in columns], best, score], names=[*columns, "yhat", "score"]
+                )
+
+    kinds = [source.schema[c] for c in columns]
+    return source.mapInArrow(scored, T.StructType([*kinds, *T.StructType.fromDDL("yhat string, score double").fields]))
+
+
+def _labels(rows: DataFrame, positive: Mapping[str, str]) -> dict[str, list[str]]:
+    """Labels of each task, in order, from train and validation; a few names for the driver."""
+    found = label_vocabulary(rows.filter(F.col("task").isin(*positive))).orderBy("task", "idx").collect()
+    labels = {t: [r["y"] for r in found if r["task"] == t] for t in positive}
+    for task, label in positive.items():
+        if label not in labels[task]:
+            raise ValueError(f"{task}: positive label {label!r} is not in the training labels")
+    return labels
+
+
+def fitted(rows: DataFrame, positive: Mapping[str, str], passes: int = MAX_PASSES) -> tuple[DataFrame, Fit]:
+    """``rows``, written once, and the fit of all tasks in ``positive`` on their training rows."""
+    rows = cut_lineage(rows.withColumns({c: F.col(c).cast("string") for c in ("task", "y")}))
+    return rows, fit_all(rows.filter("split = 'train'"), _labels(rows, positive), passes=passes)
 
 
 def probe(
@@ -29,38 +268,20 @@ def probe(
     model_name: str,
     positive: Mapping[str, str],
     keep: Sequence[str] = (),
-    max_iter: int = 50,
+    passes: int = MAX_PASSES,
 ) -> DataFrame:
     """Scored test rows of every task in ``positive``:
     ``model, task, subject_id, *keep, y, yhat, score``.
 
-    ``rows`` holds ``task, split, subject_id, y, vec``.  One fit per task; labels come
-    from train and validation, and a label seen only in test can never be predicted.
+    ``rows`` holds ``task, split, subject_id, y`` and features.  Labels come from train and
+    validation, and a label seen only in test can never be predicted.
     """
-    # Features are built once, not once per fit and label set.
-    rows = cut_lineage(rows)
-    vocabulary = label_vocabulary(rows)
-    ready = index_labels(rows, vocabulary).withColumn("features", array_to_vector("vec"))
-    scored = None
-    for task, label in positive.items():
-        mine = ready.filter(F.col("task") == task)
-        model = fit(mine.filter("split = 'train'"), max_iter)
-        names = vocabulary.filter(F.col("task") == task).select(
-            F.col("idx").cast("double").alias("prediction"), F.col("y").alias("yhat")
-        )
-        # The class set is one number per label of a single task.
-        at = {r["yhat"]: int(r["prediction"]) for r in names.collect()}
-        if label not in at:
-            raise ValueError(f"{task}: positive label {label!r} is not in the training labels")
-        out = model.transform(mine.filter("split = 'test'")).select(
-            F.lit(model_name).alias("model"),
-            "task",
-            "subject_id",
-            *keep,
-            "y",
-            "prediction",
-            vector_to_array("probability")[at[label]].alias("score"),
-        )
-        out = out.join(names, "prediction", "left").drop("prediction")
-        scored = out if scored is None else scored.unionByName(out)
-    return scored
+    rows, fit = fitted(rows, positive, passes)
+    scored = predict(rows.filter("split = 'test'"), fit, positive, keep)
+    return scored.select(F.lit(model_name).alias("model"), "task", "subject_id", *keep, "y", "yhat", "score")
+
+
+def convergence(rows: DataFrame, positive: Mapping[str, str], passes: int = MAX_PASSES) -> DataFrame:
+    """``(task, converged)``: whether the gradients of all of a task's problems are within tolerance."""
+    rows, fit = fitted(rows, positive, passes)
+    return rows.sparkSession.createDataFrame([(t, fit.converged(t)) for t in positive], "task string, converged boolean")

@@ -9,7 +9,7 @@ from checks.cohort_queries import TASK_ROWS, task_rows
 from checks.metric_queries import CATALOGUE
 from checks.registry import query
 from chartweave.functions import text as X
-from chartweave.operators import encoders, features, probe, tasks, vocab
+from chartweave.operators import encoders, features, probe, registry, tasks, vocab
 from chartweave.operators import metrics as M
 from chartweave.session import cut_lineage
 from chartweave.sources import tables
@@ -256,6 +256,78 @@ def _probe_rows(spark, sf):
     return features.feature_rows(rows.join(docs, "subject_id"), known)
 
 
+_TWO = {"quality": "1", "toxic": "1"}
+_TASKS_SOLVED = f"SELECT DISTINCT CAST(task AS VARCHAR) AS task, TRUE AS converged FROM {TASK_ROWS}"
+
+
+@query("probe_convergence", _TASKS_SOLVED)
+def probe_convergence(spark, sf):
+    """All tasks are solved: the gradient of the penalised loss vanishes."""
+    return probe.convergence(_probe_rows(spark, sf), _TWO)
+
+
+# ---- bags of words as features of a probe, by name -----------------------------------
+
+BOW_SIZE = 2000
+_BOW = f"""(SELECT doc_id, id, n FROM {TERMS} JOIN (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id
+    FROM {COUNTS}) USING (token) WHERE id < {BOW_SIZE})"""
+
+
+def _bow_features(spark, sf, name):
+    rows = cut_lineage(terms(spark, sf))
+    counted = rows.groupBy("token").agg(F.sum("n").alias("n"))
+    docs = I.clean_documents(spark, sf).select("doc_id", F.split("text", " ").alias("tokens"))
+    return registry.build(name, docs, "doc_id", vocabulary=vocab.token_vocab(counted, BOW_SIZE))
+
+
+def _vector_sql(weight):
+    return f"""SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS ids,
+    string_agg(CAST({weight} AS VARCHAR), ' ' ORDER BY id) AS weights FROM {_BOW} GROUP BY doc_id"""
+
+
+def _joined(out):
+    whole = F.col("weights").cast("array<bigint>").cast("array<string>")
+    return out.select(
+        "doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join(whole, " ").alias("weights")
+    )
+
+
+@query("bow_freq_vectors", _vector_sql("n"))
+def bow_freq_vectors(spark, sf):
+    return _joined(_bow_features(spark, sf, "BOW-FREQ"))
+
+
+@query("bow_bin_vectors", _vector_sql(1))
+def bow_bin_vectors(spark, sf):
+    return _joined(_bow_features(spark, sf, "BOW-BIN"))
+
+
+def _bow_rows(spark, sf):
+    rows = tasks.stratified_split(task_rows(spark, sf), ["task", "y"], ["subject_id"], names=("train", "test"))
+    return features.feature_rows(rows, _bow_features(spark, sf, "BOW-FREQ").withColumnRenamed("doc_id", "subject_id"))
+
+
+@query("bow_probe_convergence", _TASKS_SOLVED)
+def bow_probe_convergence(spark, sf):
+    return probe.convergence(_bow_rows(spark, sf), _TWO)
+
+
+@query("bow_probe")
+def bow_probe(spark, sf):
+    """Scores of a probe on word counts."""
+    return probe.probe(_bow_rows(spark, sf), "BOW-FREQ", _TWO)
+
+
+@query(
+    "feature_coverage",
+    f"""SELECT task, 'train' AS split, count(*) AS n_rows, count(vec_id) AS n_kept
+    FROM {TASK_ROWS} LEFT JOIN embeddings ON vec_id = subject_id GROUP BY task""",
+)
+def feature_coverage(spark, sf):
+    known = I.users(spark, sf).select(F.col("user").alias("subject_id"), "vec")
+    return features.feature_coverage(task_rows(spark, sf).withColumn("split", F.lit("train")), known)
+
+
 @query("probe_scores")
 def probe_scores(spark, sf):
     positive = {"quality": "1", "toxic": "1"}
