@@ -25,10 +25,10 @@ from chartweave.session import cut_lineage
 
 # Fixed value: strength of the L2 penalty.
 PENALTY = 1e-4
-#: Largest gradient, per standard deviation of a feature, at which a problem is solved.
-TOLERANCE = 1e-5
+#: Largest gradient, on axes of equal curvature, at which a problem is solved.
+TOLERANCE = 1e-4
 MAX_PASSES = 400
-MEMORY = 10
+MEMORY = 25
 #: Partial sums that the driver adds up; more are added in tasks first.
 FAN_IN = 64
 
@@ -89,9 +89,9 @@ def _numbers(batch: pa.RecordBatch, task: str, labels: Sequence[str]) -> np.ndar
     return pc.fill_null(pc.index_in(batch.column("y"), pa.array(labels, pa.string())), -1).to_numpy(zero_copy_only=False)
 
 
-def _summed(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+def _summed(rows: DataFrame, parts: int, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """Sum of an array of ``size`` numbers over all batches of ``rows``: in tasks, then in fewer tasks
-    if there are many, then on the driver."""
+    if there are many ``parts``, then on the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
@@ -108,7 +108,7 @@ def _summed(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], s
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
     sums = rows.mapInArrow(partial, "sums binary")
-    if rows.rdd.getNumPartitions() > FAN_IN:
+    if parts > FAN_IN:
         sums = sums.repartition(FAN_IN).mapInArrow(add, "sums binary")
     return np.sum([np.frombuffer(r["sums"]) for r in sums.collect()] or [np.zeros(size)], axis=0)
 
@@ -173,19 +173,26 @@ def fit_all(train: DataFrame, labels: Mapping[str, Sequence[str]], dims: int | N
         n = np.bincount(pc.index_in(batch.column("task"), pa.array(tasks)).to_numpy(zero_copy_only=False), minlength=len(tasks))
         return np.concatenate([_Rows(batch, dims).moments().ravel(), n])
 
-    first = _summed(rows, counted, 2 * dims + len(tasks))
+    parts = rows.rdd.getNumPartitions()
+    first = _summed(rows, parts, counted, 2 * dims + len(tasks))
     n_of = dict(zip(tasks, first[2 * dims :]))
     total = max(1.0, first[2 * dims :].sum())
     mean, square = first[:dims] / total, first[dims : 2 * dims] / total
     spread = np.sqrt(np.maximum(square - mean**2, 0))
-    # Weights are sought per standard deviation, which changes the path but not the solution.
-    scale = np.append(np.where(spread > 1e-12, 1 / np.maximum(spread, 1e-12), 1.0), 1.0)
+    # Weights are sought on axes of equal curvature and for centred features, which shortens the path
+    # and leaves the solution as it is; rows are neither scaled nor centred.
+    scale = 1 / np.sqrt(spread**2 / 4 + PENALTY)
+
+    def raw(moved: np.ndarray) -> np.ndarray:
+        weights = moved[:, :-1] * scale
+        return np.concatenate([weights, (moved[:, -1] - weights @ mean)[:, None]], 1)
+
     n = np.array([max(1.0, n_of[t]) for t, _ in problems])
     size, ridge = len(problems) * (dims + 1), np.append(np.full(dims, PENALTY), 0.0)
     spark = train.sparkSession
 
-    def evaluate(scaled: np.ndarray):
-        weights = scaled * scale
+    def evaluate(moved: np.ndarray):
+        weights = raw(moved)
         shared = spark.sparkContext.broadcast(weights)
 
         def gradients(batch: pa.RecordBatch) -> np.ndarray:
@@ -203,14 +210,14 @@ def fit_all(train: DataFrame, labels: Mapping[str, Sequence[str]], dims: int | N
                 grad[at] += x.weighted(1 / (1 + np.exp(-np.clip(z, -500, 500))) - hit)
             return np.concatenate([grad.ravel(), loss])
 
-        sums = _summed(rows, gradients, size + len(problems))
+        sums = _summed(rows, parts, gradients, size + len(problems))
         shared.unpersist()
         grad = sums[:size].reshape(len(problems), dims + 1) / n[:, None] + ridge * weights
         value = sums[size:] / n + 0.5 * (ridge * weights**2).sum(1)
-        return value, grad * scale
+        return value, np.concatenate([(grad[:, :-1] - grad[:, -1:] * mean) * scale, grad[:, -1:]], 1)
 
     solved, norms, calls = minimise(evaluate, np.zeros((len(problems), dims + 1)), passes=passes)
-    return Fit(labels, problems, solved * scale, norms, calls)
+    return Fit(labels, problems, raw(solved), norms, calls)
 
 
 def predict(rows: DataFrame, fit: Fit, positive: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
