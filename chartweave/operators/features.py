@@ -188,7 +188,7 @@ def _bag(terms, vectors, key, dims, distinct=False, mean=False, blocks=None, blo
     salt = F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int").alias("salt")
     asked = terms.select(
         block, salt, F.lit(1).alias("kind"), F.col(key).alias("key"), "token", F.col("n").cast("bigint").alias("n"),
-        F.lit(None).cast("array<double>").alias("vec"),
+        F.array().cast("array<double>").alias("vec"),  # empty, as null lists are slow to hand over
     )
     met = (
         known.unionByName(asked)

@@ -62,10 +62,17 @@ def _packed(placed: DataFrame) -> DataFrame:
     )
 
 
-def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+def _group_count(packed: DataFrame) -> tuple[int, int]:
+    """Groups in all, and at most in a task; ``packed`` is written already."""
+    count, most = packed.agg(F.count_distinct("task", "group"), F.max("groups")).first()
+    return count, most or 0
+
+
+def _dealt(rows: DataFrame, groups: int, *order: str) -> DataFrame:
     """A task per group of a task's users, its rows in order.  The number of partitions is fixed, as
-    the bytes of a key say little about its arithmetic."""
-    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    the bytes of a key say little about its arithmetic; never more than there are ``groups``, as a
+    Python worker for nothing costs its start."""
+    n = max(1, min(groups, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return rows.repartition(n, "task", "group").sortWithinPartitions("task", "group", *order)
 
 
@@ -105,18 +112,20 @@ def _neighbourhoods(users: DataFrame, block_rows: int, group_rows: int, pivots:
         nearest, "task string, user bigint, y string, vec array<double>, cell int"
     )
     celled = cut_lineage(celled)
-    chunked = _sized(celled, ["task", "cell"], block_rows)
-    cells = chunked.select("task", "cell", "chunks").distinct()
+    sizes = celled.groupBy("task", "cell").agg(F.count(F.lit(1)).alias("n"))
     inside, all_cells = Window.partitionBy("task").orderBy("cell"), Window.partitionBy("task")
     size = max(1, group_rows // block_rows)
-    cells = cells.select(
+    # Cells lie one after another, a user at a hashed place of its cell; a block is a run of places, so
+    # large cells are split and small neighbours share a block.
+    cells = sizes.select(
         "task",
         "cell",
-        (F.sum("chunks").over(inside) - F.col("chunks")).alias("first"),
-        F.ceil(F.sum("chunks").over(all_cells) / size).cast("int").alias("groups"),
+        "n",
+        (F.sum("n").over(inside) - F.col("n")).alias("first"),
+        F.ceil(F.sum("n").over(all_cells) / (size * block_rows)).cast("int").alias("groups"),
     )
-    block = (F.col("first") + F.col("chunk")).cast("int")
-    placed = chunked.join(cells, ["task", "cell"]).withColumn("block", block)
+    place = F.col("first") + F.pmod(F.xxhash64("user"), F.col("n"))
+    placed = celled.join(cells, ["task", "cell"]).withColumn("block", F.floor(place / block_rows).cast("int"))
     return _packed(placed.withColumn("group", F.floor(F.col("block") / size).cast("int")))
 
 
@@ -206,7 +215,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield (r.task, r.group), r
 
 
-def _block_summaries(packed: DataFrame, k: int) -> DataFrame:
+def _block_summaries(packed: DataFrame, k: int, n_groups: int) -> DataFrame:
     """Centre, angle and least useful score of each block, after a search within its group."""
 
     def of_group(key, group):
@@ -224,12 +233,12 @@ def _block_summaries(packed: DataFrame, k: int) -> DataFrame:
         if held:
             yield pd.DataFrame(of_group(key, _group_of(held)))
 
-    return _dealt(packed, "block").mapInPandas(
+    return _dealt(packed, n_groups, "block").mapInPandas(
         summed, "task string, group int, block int, centre array<double>, angle double, zero boolean, least bigint"
     )
 
 
-def _facing(packed: DataFrame, summaries: DataFrame) -> DataFrame:
+def _facing(packed: DataFrame, summaries: DataFrame, n_groups: int) -> DataFrame:
     """``(task, group, block, bound)``: the blocks of other groups that a group has to see.
 
     Summaries, not vectors, go to every group; a task holds its own blocks' and lets the others pass."""
@@ -260,7 +269,7 @@ def _facing(packed: DataFrame, summaries: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out)
 
-    return _dealt(kinds, "kind", "block").mapInPandas(needed, "task string, group int, block int, bound bigint")
+    return _dealt(kinds, n_groups, "kind", "block").mapInPandas(needed, "task string, group int, block int, bound bigint")
 
 
 def facing_blocks(packed: DataFrame, k: int) -> DataFrame:
@@ -269,9 +278,11 @@ def facing_blocks(packed: DataFrame, k: int) -> DataFrame:
     ``packed`` is read several times, so it comes from a checkpoint."""
     body = ["ids", "flat"]
     query = packed.select("task", "group", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bound"), "block", *body)
-    # One group sees all of its task already.
+    n_groups, most = _group_count(packed)
+    if most < 2:  # a group alone sees all of its task already
+        return query
     many = packed.filter("groups > 1")
-    pairs = _facing(many, cut_lineage(_block_summaries(many, k)))
+    pairs = _facing(many, cut_lineage(_block_summaries(many, k, n_groups)), n_groups)
     candidates = pairs.join(many.select("task", "block", *body), ["task", "block"]).select(
         "task", "group", F.lit(1).alias("kind"), (-F.col("bound")).alias("bound"), "block", *body
     )
@@ -322,7 +333,7 @@ def neighbour_topk(
             group = group or _group_of(held)
             yield from found(key, group, best or _own_best(group, k))
 
-    near = _dealt(facing_blocks(packed, k), "kind", "bound", "block").mapInPandas(
+    near = _dealt(facing_blocks(packed, k), _group_count(packed)[0], "kind", "bound", "block").mapInPandas(
         search, "task string, user bigint, rank int, neighbour bigint, score_ppm bigint"
     )
     return near.select("task", "user", "rank", "neighbour", (F.col("score_ppm") / SCALE).alias("score"))
@@ -455,7 +466,7 @@ def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = C
         yield from _curve_rows(key, held)
 
     return (
-        _dealt(facing, "kind", "block")
+        _dealt(facing, _group_count(packed)[0], "kind", "block")
         .mapInPandas(curves, "task string, user bigint, y string, k bigint, tpr double")
         .select("task", "user", "y", "k", (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
     )
