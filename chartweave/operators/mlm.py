@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartweave.functions.hashing import hash_int, keyed_hash
 from chartweave.operators.distribution import ranked
-from chartweave.operators.vocab import token_ids
+from chartweave.operators.vocab import unit_table
 
 # Default shape of an instance.
 MAX_SEQ_LEN = 512
@@ -279,21 +279,23 @@ def mlm_features(
         return F.concat(items, F.array_repeat(F.lit(0), short))
 
     kept = F.filter("masked_indices", lambda i: i < max_len)
-    cut = masked.select(
-        "subject_id",
-        "start",
-        F.slice("masked_tokens", 1, max_len).alias("_t"),
-        kept.alias("_i"),
-        F.slice("masked_token_labels", F.lit(1), F.size(kept)).alias("_l"),
-    ).select(
-        "subject_id",
-        "start",
-        "_i",
-        token_ids(F.col("_t"), units).alias("_t"),
-        token_ids(F.col("_l"), units).alias("_l"),
+    # Tokens, labels and places of a sequence as one list; ids join in by token.
+    cells = F.concat(
+        F.transform(F.slice("masked_tokens", 1, max_len), lambda t, i: _cell(0, i, t, 0)),
+        F.transform(F.slice("masked_token_labels", F.lit(1), F.size(kept)), lambda t, i: _cell(1, i, t, 0)),
+        F.transform(kept, lambda x, i: _cell(2, i, F.lit(None).cast("string"), x)),
     )
+    known = F.broadcast(unit_table(masked.sparkSession, units).withColumnRenamed("unit", "token"))
+    unknown = units.index("[UNK]") if "[UNK]" in units else 0
+    coded = masked.select("subject_id", "start", F.inline(cells)).join(known, "token", "left")
+    value = F.when(F.col("kind") == 2, F.col("value")).otherwise(F.coalesce("id", F.lit(unknown))).alias("v")
+    rows = coded.select("subject_id", "start", "kind", "at", value).groupBy("subject_id", "start").agg(
+        F.sort_array(F.collect_list(F.struct("kind", "at", "v"))).alias("c")
+    )
+    of = lambda kind: F.transform(F.filter("c", lambda x: x["kind"] == kind), lambda x: x["v"])
+    split = rows.select("subject_id", "start", of(0).alias("_t"), of(1).alias("_l"), of(2).alias("_i"))
     used = F.size("_t")
-    return cut.select(
+    return split.select(
         "subject_id",
         "start",
         padded(F.col("_t"), max_len).alias("token_ids"),
@@ -303,3 +305,8 @@ def mlm_features(
         ).alias("mask"),
         padded(F.col("_i"), max_preds).alias("indices"),
     )
+
+
+def _cell(kind: int, at: Column, token: Column, value) -> Column:
+    number = (F.lit(value) if isinstance(value, int) else value).cast("int")
+    return F.struct(F.lit(kind).alias("kind"), at.alias("at"), token.alias("token"), number.alias("value"))

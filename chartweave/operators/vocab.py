@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartweave.operators.distribution import ranked
@@ -205,12 +205,64 @@ def subword_encode(words: Column, units: Sequence[str]) -> Column:
     return F.pandas_udf(encode, "array<string>")(words)
 
 
-def token_ids(items: Column, units: Sequence[str]) -> Column:
-    """Ids of an array of units; an unknown unit becomes ``[UNK]``."""
-    ids = {u: i for i, u in enumerate(units)}
-    unknown = ids.get("[UNK]", 0)
+def unit_table(spark: SparkSession, units: Sequence[str]) -> DataFrame:
+    """``(id, unit)`` of a vocabulary in id order; bounded by its size, so it may be broadcast."""
+    whole = F.split(F.lit("\u0001".join(units)), "\u0001")
+    return spark.range(1).select(F.posexplode(whole).alias("id", "unit"))
+
+
+def segmented(types: DataFrame, units: DataFrame) -> DataFrame:
+    """``(token, ids, pieces)``: each distinct token of ``types`` cut once into units, the longest
+    first, by joins on the type table; ``units (id, unit)`` begins with the special tokens.
+
+    A token with a place where no unit fits, or of more than ``MAX_WORD_CHARS`` characters, is
+    ``[UNK]``; special tokens are units of their own.
+    """
+    known = F.broadcast(units.select("id", "unit"))
+    kinds = types.select("token").distinct()
+    short = kinds.filter((F.length("token") <= MAX_WORD_CHARS) & ~F.col("token").isin(*SPECIALS) & (F.length("token") > 0))
+    n = F.length("token")
+    starts = short.select("token", F.explode(F.sequence(F.lit(1), n)).alias("start"))
+    runs = starts.select("token", "start", F.explode(F.sequence(F.lit(1), n - F.col("start") + 1)).alias("len"))
+    mark = F.when(F.col("start") > 1, "##").otherwise("")
+    piece = F.concat(mark, F.substring(F.col("token"), F.col("start"), F.col("len"))).alias("unit")
+    longest = (
+        runs.select("token", "start", "len", piece)
+        .join(known, "unit")
+        .groupBy("token", "start")
+        .agg(F.max("len").alias("len"), F.max_by("id", "len").alias("id"), F.max_by("unit", "len").alias("unit"))
+    )
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<id:int,unit:string>>").alias("out"))
+
+    def step(acc, x):
+        taken = F.struct(
+            (x["start"] + x["len"]).alias("next"),
+            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["unit"].alias("unit")))).alias("out"),
+        )
+        return F.when(x["start"] == acc["next"], taken).otherwise(acc)
+
+    walked = longest.groupBy("token").agg(
+        F.aggregate(F.sort_array(F.collect_list(F.struct("start", "len", "id", "unit"))), none, step).alias("w")
+    )
+    whole = walked.filter(F.col("w.next") == n + 1).select("token", F.col("w.out").alias("out"))
+    special = kinds.filter(F.col("token").isin(*SPECIALS)).join(known.withColumnRenamed("unit", "token"), "token")
+    whole = whole.unionByName(special.select("token", F.array(F.struct("id", F.col("token").alias("unit"))).alias("out")))
+    found = kinds.join(whole, "token", "left")
+    unknown = F.struct(F.lit(SPECIALS.index("[UNK]")).alias("id"), F.lit("[UNK]").alias("unit"))
+    out = F.coalesce("out", F.array(unknown))
+    return found.select("token", F.transform(out, lambda x: x["id"]).alias("ids"), F.transform(out, lambda x: x["unit"]).alias("pieces"))
+
+
+def subword_rows(docs: DataFrame, key: str, words: Column, units: DataFrame) -> DataFrame:
+    """``(key, ids, pieces)`` of documents: words are cut once per distinct word, and ids join back by
+    word, so what a document carries is integers.  A document without words has empty arrays."""
+    tokens = docs.select(key, F.posexplode_outer(words).alias("at", "token"))
+    cut = segmented(tokens.filter("token is not null"), units)
+    rows = tokens.join(cut, "token", "left").groupBy(key)
+    parts = rows.agg(F.sort_array(F.collect_list(F.struct("at", "ids", "pieces"))).alias("p"))
+    flat = lambda field, kind: F.coalesce(
+        F.flatten(F.filter(F.transform("p", lambda x: x[field]), lambda x: x.isNotNull())), F.array().cast(kind)
+    )
+    return parts.select(key, flat("ids", "array<int>").alias("ids"), flat("pieces", "array<string>").alias("pieces"))
 
-    def look_up(column: pd.Series) -> pd.Series:
-        return column.map(lambda xs: [ids.get(x, unknown) for x in xs])
 
-    return F.pandas_udf(look_up, "array<int>")(items)

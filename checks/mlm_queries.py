@@ -10,6 +10,7 @@ from chartweave.functions import text as X
 from chartweave.functions.hashing import hash_int
 from chartweave.operators import cohort, entities, mlm, vocab
 from chartweave.operators.entities import ENTITY_TYPES
+from chartweave.session import cut_lineage
 
 SIZES = (1, 2, 3, 4)
 # One-word phrases of the phrase table are the longer words.
@@ -143,6 +144,71 @@ def subword_encode(spark, sf):
     )
 
 
+# Units that SQL can name: all letters, and the commonest beginnings and inner runs of word types.
+RUN_UNITS = 1000
+_CUTS = f"""(SELECT CASE WHEN s > 1 THEN '##' ELSE '' END || substr(token, s, k) AS unit, k, n FROM
+    (SELECT token, n, s, unnest(range(1, least(4, length(token) - s + 1) + 1)) AS k FROM
+      (SELECT token, n, unnest(range(1, length(token) + 1)) AS s FROM {TYPES}
+       WHERE length(token) <= {vocab.MAX_WORD_CHARS})))"""
+_SPECIAL_ROWS = " UNION ALL ".join(f"SELECT {i} AS id, '{u}' AS unit" for i, u in enumerate(vocab.SPECIALS))
+RUNS_CTE = f"""cuts AS MATERIALIZED (SELECT unit, max(k) AS k, sum(n) AS n FROM {_CUTS} GROUP BY unit),
+    units AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k > 1, n DESC, unit) + {len(vocab.SPECIALS) - 1} AS id, unit FROM
+      (SELECT * FROM cuts WHERE k = 1 UNION ALL (SELECT * FROM cuts WHERE k > 1 ORDER BY n DESC, unit LIMIT {RUN_UNITS}))
+      UNION ALL {_SPECIAL_ROWS}),
+    words AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, ' ')) AS token,
+      generate_subscripts(string_split(text, ' '), 1) AS at_word FROM {I.CLEAN_DOCS}),
+    kinds AS (SELECT DISTINCT token FROM words WHERE token <> ''),
+    best AS MATERIALIZED (SELECT token, s, max(k) AS k FROM (
+      SELECT token, s, k, CASE WHEN s > 1 THEN '##' ELSE '' END || substr(token, s, k) AS unit FROM
+        (SELECT token, s, unnest(range(1, length(token) - s + 2)) AS k FROM
+          (SELECT token, unnest(range(1, length(token) + 1)) AS s FROM kinds WHERE length(token) <= {vocab.MAX_WORD_CHARS})))
+      JOIN units USING (unit) GROUP BY token, s),
+    walk AS (SELECT token, 1 AS s, '' AS pieces FROM kinds
+      UNION ALL SELECT w.token, CAST(w.s + b.k AS INTEGER),
+        w.pieces || ' ' || CASE WHEN b.s > 1 THEN '##' ELSE '' END || substr(w.token, b.s, b.k)
+      FROM walk w JOIN best b ON b.token = w.token AND b.s = w.s),
+    cut AS (SELECT k.token, coalesce(max(ltrim(pieces, ' ')) FILTER (s = length(k.token) + 1), '[UNK]') AS pieces
+      FROM kinds k LEFT JOIN walk w ON w.token = k.token GROUP BY k.token)"""
+
+
+def run_units(spark, sf):
+    """``(id, unit)``: special tokens, all letters, then the commonest longer runs."""
+    n = F.length("token")
+    types = word_types(spark, sf).filter(n <= vocab.MAX_WORD_CHARS)
+    starts = types.select("token", "n", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    cuts = starts.select("token", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), n - F.col("s") + 1))).alias("k"))
+    mark = F.when(F.col("s") > 1, "##").otherwise("")
+    unit = F.concat(mark, F.substring(F.col("token"), F.col("s"), F.col("k"))).alias("unit")
+    found = cuts.select(unit, "k", "n").groupBy("unit").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+    found = cut_lineage(found)
+    longer = found.filter("k > 1").orderBy(F.col("n").desc(), "unit").limit(RUN_UNITS)
+    order = [F.col("k") > 1, F.col("n").desc(), F.col("unit")]
+    rows = found.filter("k = 1").unionByName(longer).orderBy(*order).select("unit").collect()
+    return vocab.unit_table(spark, [*vocab.SPECIALS, *(r["unit"] for r in rows)])
+
+
+@query(
+    "subword_segments",
+    f"""WITH RECURSIVE {RUNS_CTE},
+    each AS (SELECT w.doc_id, at_word, unnest(string_split(c.pieces, ' ')) AS piece,
+        generate_subscripts(string_split(c.pieces, ' '), 1) AS i FROM words w JOIN cut c ON c.token = w.token)
+    SELECT doc_id, count(*) AS n_pieces, string_agg(piece, ' ' ORDER BY at_word, i) AS pieces,
+      string_agg(CAST(id AS VARCHAR), ' ' ORDER BY at_word, i) AS ids
+    FROM each JOIN units ON unit = piece GROUP BY doc_id""",
+)
+def subword_segments(spark, sf):
+    """Whole documents in units, each distinct word cut once."""
+    docs = I.clean_documents(spark, sf)
+    words = F.array_remove(F.split("text", " "), "")
+    out = vocab.subword_rows(docs, "doc_id", words, run_units(spark, sf)).filter(F.size("ids") > 0)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.array_join("pieces", " ").alias("pieces"),
+        F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
+    )
+
+
 # ---- sequences ----------------------------------------------------------------------
 
 SENTENCES = rf"""(SELECT subject_id, text, len(string_split(text, ' ')) + 1 AS len,

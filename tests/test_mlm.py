@@ -115,6 +115,30 @@ def test_subwords(spark):
     assert "##est" in units and "low" in units
     got = spark.createDataFrame([(["newest", "[SEP]", "lowest", "qqq"],)], "w array<string>").select(
         vocab.subword_encode(F.col("w"), units).alias("p"),
-    ).select("p", vocab.token_ids(F.col("p"), units).alias("i")).first()
+    ).first()
     assert "".join(x.removeprefix("##") for x in got["p"]) == "newest[SEP]lowest[UNK]"
-    assert [units[i] for i in got["i"]] == got["p"]
+
+
+def test_words_are_cut_once_and_joined_back(spark):
+    rng = random.Random(6)
+    units = [*vocab.SPECIALS, *"abc", "##a", "##b", "##c", "ab", "abc", "##bc", "##cab", "é", "##é"]
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(60)] + ["q", "aq", "[SEP]", "[MASK]", "a" * 101, "a" * 100]
+    docs = [(i, rng.choices(words, k=rng.randint(0, 40))) for i in range(30)] + [(99, None), (98, []), (97, words)]
+    df = spark.createDataFrame(docs, "id int, w array<string>").repartition(3)
+    table = vocab.unit_table(spark, units)
+    got = {r["id"]: r for r in vocab.subword_rows(df, "id", F.col("w"), table).collect()}
+    assert len(got) == len(docs)
+    for i, w in docs:
+        want = [p for x in w or [] for p in ([x] if x in vocab.SPECIALS else vocab._longest_units(x, set(units)))]
+        assert got[i]["pieces"] == want and got[i]["ids"] == [units.index(p) for p in want]
+
+
+def test_features_hold_ids_and_no_python(spark):
+    masked = spark.createDataFrame(
+        [(1, -1, ["[CLS]", "x", "y", "z"], [1, 3], ["x", "q"])],
+        "subject_id bigint, start bigint, masked_tokens array<string>, masked_indices array<int>, masked_token_labels array<string>",
+    )
+    out = mlm.mlm_features(masked, [*vocab.SPECIALS, "x", "y"], 3, 2)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    r = out.first()
+    assert (r["token_ids"], r["label_ids"], r["mask"], r["indices"]) == ([3, 5, 6], [5, 0], [0, 0, 0], [1, 0])
