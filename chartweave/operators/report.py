@@ -24,8 +24,12 @@ def latest(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
 def results_wide(
     long: DataFrame, groups: Sequence[str] = GROUPS, keys: Sequence[str] = ("model", "task", "metric")
 ) -> DataFrame:
-    """Groups as columns; the fixed list spares the pivot a pass for its values."""
-    return long.groupBy(*keys).pivot("grp", list(groups)).agg(F.max("value"))
+    """Groups as columns; the fixed list spares the pivot a pass for its values.  Several values for
+    one cell, as of runs that were not reduced to the last, raise."""
+    several = F.raise_error(F.concat_ws(" ", F.lit("several results for"), *keys, "grp"))
+    cells = long.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("_n"), F.max("value").alias("value"))
+    one = cells.select(*keys, "grp", F.when(F.col("_n") > 1, several).otherwise(F.col("value")).alias("value"))
+    return one.groupBy(*keys).pivot("grp", list(groups)).agg(F.max("value"))
 
 
 def results_long(

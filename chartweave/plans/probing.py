@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.operators import features, metrics, probe, report, tasks
@@ -43,10 +43,17 @@ def demographic(task_rows, demographics, vectors, model) -> DataFrame:
     return out.filter("metric = 'macro_f1'")
 
 
-def log(results: DataFrame, path: str, seed: int = 0) -> None:
-    """Append a run's results with its seed and time."""
-    run = results.withColumn("seed", F.lit(seed)).withColumn("run_ts", F.current_timestamp())
-    tables.append_results(run, path)
+def log(results: DataFrame, path: str, seed: int = 0, run: str | None = None) -> str:
+    """Append a run's results with its seed and time; a job that is repeated names its run, so that
+    its rows are there once."""
+    timed = results.withColumn("seed", F.lit(seed)).withColumn("run_ts", F.current_timestamp())
+    return tables.append_results(timed, path, run)
+
+
+def report_of(spark: SparkSession, path: str, groups: Sequence[str] = report.GROUPS) -> DataFrame:
+    """The log's report: the last result of each model, task, metric and group, as a wide table and
+    back, the listed groups kept."""
+    return report.select_results(report.results_long(table(tables.read_results(spark, path)), groups), list(groups))
 
 
 def table(results: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 PATIENTS = {"subject_id": "bigint", "gender": "string"}
 ADMISSIONS = {
@@ -81,20 +81,41 @@ def write_tasks(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).partitionBy("task", "split").parquet(path)
 
 
-def append_results(long: DataFrame, path: str) -> None:
-    """Result log: created on first use, appended to afterwards.  Partitioned by
-    model and task, it serves both the per-task and the per-model reports."""
-    long.write.mode("append").partitionBy("model", "task").parquet(path)
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end; a half-written folder has no mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def append_results(long: DataFrame, path: str, run: str | None = None) -> str:
+    """Append the rows of a run to the result log, which is created on first use; the run's name.
+
+    Rows are written first, a folder per run, model and task; the run's line in the manifest
+    comes last.  Readers follow the manifest, so a run that failed midway is not there, and
+    writing it again replaces what it left.  A run that is there already is not written again.
+    Without a name each call is a run of its own.
+    """
+    spark, run = long.sparkSession, run or str(uuid.uuid4())
+    line = f"{path}/runs/run={run}"
+    if not committed(spark, line):
+        long.write.mode("overwrite").partitionBy("model", "task").parquet(f"{path}/rows/run={run}")
+        spark.range(1).select(F.current_timestamp().alias("written")).write.mode("overwrite").parquet(line)
+    return run
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of all runs in the manifest of a result log, with their ``run``.  ``schema`` saves the
+    reader from looking into the files of runs that never ended."""
+    runs = spark.read.option("basePath", f"{path}/runs").schema("written timestamp, run string").parquet(f"{path}/runs")
+    rows = spark.read.option("basePath", f"{path}/rows")
+    rows = rows.schema(schema) if schema else rows
+    rows = rows.parquet(f"{path}/rows").withColumn("run", F.col("run").cast("string"))
+    return rows.join(runs.select("run").distinct(), "run", "left_semi")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """A cached table, or None when it was never written."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    """A cached table, or None when it was never written, or not to the end."""
+    return spark.read.parquet(path) if committed(spark, path) else None
 
 
 def write_cache(df: DataFrame, path: str) -> None:
@@ -102,10 +123,10 @@ def write_cache(df: DataFrame, path: str) -> None:
 
 
 def build_if_absent(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read ``path``, building it first when it is missing."""
+    """Read ``path``, building it first when it is missing or half-written."""
     found = read_cache(spark, path)
     if found is None:
-        build().write.mode("ignore").parquet(path)
+        write_cache(build(), path)
         found = spark.read.parquet(path)
     return found
 

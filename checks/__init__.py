@@ -6,6 +6,7 @@ from checks import (  # noqa: F401
     metric_queries,
     mlm_queries,
     similarity_queries,
+    source_queries,
     text_queries,
 )
 from checks.registry import ORACLES, QUERIES

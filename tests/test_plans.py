@@ -5,6 +5,7 @@ import pytest
 
 from chartweave.operators import vocab
 from chartweave.plans import extract, mlm_corpus, probing, similarity_report
+from chartweave.sources import tables
 
 N = 80
 
@@ -62,7 +63,7 @@ def test_probing(spark, hospital, tmp_path):
     rows = {(r["task"], r["grp"]): r["value"] for r in long.collect()}
     assert rows[("HF", "all")] > 0.8
     probing.log(long, str(tmp_path / "log"))
-    wide = probing.table(spark.read.parquet(str(tmp_path / "log"))).collect()
+    wide = probing.table(tables.read_results(spark, str(tmp_path / "log"))).collect()
     assert len(wide) == 2 and wide[0]["all"] is not None
     people = probing.demographic(got.tasks, got.demographics, vectors(spark), "u")
     assert {r["metric"] for r in people.collect()} == {"macro_f1"}

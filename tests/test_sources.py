@@ -34,7 +34,62 @@ def test_result_log_appends(spark, tmp_path):
     row = spark.createDataFrame([("m", "t", "auroc", "all", 0.5)], "model string, task string, metric string, grp string, value double")
     for _ in range(2):
         tables.append_results(row, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert tables.read_results(spark, str(tmp_path / "log")).count() == 2
+
+
+class Stop(Exception):
+    pass
+
+
+def failing(spark, rows):
+    """Rows of which the last partition fails while it is written."""
+    from pyspark.sql import functions as F
+
+    @F.udf("double")
+    def value(x):
+        if x == 9:
+            raise Stop
+        return float(x)
+
+    return spark.range(10).repartition(5, "id").select(
+        F.lit("m").alias("model"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("task"), F.lit("auroc").alias("metric"),
+        F.lit("all").alias("grp"), (value("id") if rows == "bad" else F.col("id").cast("double")).alias("value"),
+    )
+
+
+def test_a_run_that_fails_midway_is_not_there_and_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_results(failing(spark, "good").limit(3), path, "first")
+    with pytest.raises(Exception):
+        tables.append_results(failing(spark, "bad"), path, "second")
+    assert {r["run"] for r in tables.read_results(spark, path).collect()} == {"first"}
+    # Rows of a run that stopped between its rows and its line are not there either.
+    failing(spark, "good").write.partitionBy("model", "task").parquet(f"{path}/rows/run=third")
+    assert tables.read_results(spark, path).count() == 3
+    for _ in range(2):
+        assert tables.append_results(failing(spark, "good"), path, "second") == "second"
+    got = tables.read_results(spark, path)
+    assert got.filter("run = 'second'").count() == 10 and got.count() == 13
+    assert {r["value"] for r in got.filter("run = 'second'").collect()} == {float(i) for i in range(10)}
+
+
+def test_a_table_that_failed_midway_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    with pytest.raises(Exception):
+        tables.build_if_absent(spark, path, lambda: failing(spark, "bad"))
+    assert tables.read_cache(spark, path) is None
+    for _ in range(2):
+        assert tables.build_if_absent(spark, path, lambda: failing(spark, "good")).count() == 10
+
+
+def test_the_report_reads_the_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "model string, task string, metric string, grp string, value double"
+    for value, run in ((0.9, "a"), (0.6, "b"), (0.1, "b")):
+        rows = [("m", "t", "auroc", "all", value), ("m", "t", "auroc", "men", value / 2)]
+        probing.log(spark.createDataFrame(rows, schema), path, 1, run)
+    got = {r["grp"]: r["value"] for r in probing.report_of(spark, path, ["all", "men"]).collect()}
+    assert got == {"all": 0.6, "men": 0.3}
 
 
 def test_report_takes_the_last_run(spark, tmp_path):
@@ -43,7 +98,7 @@ def test_report_takes_the_last_run(spark, tmp_path):
         row = [("m", "t", "auroc", "all", value)]
         schema = "model string, task string, metric string, grp string, value double"
         probing.log(spark.createDataFrame(row, schema), path, seed)
-    log = spark.read.parquet(path)
+    log = tables.read_results(spark, path)
     assert {r["seed"] for r in log.collect()} == {1, 2}
     assert [r["all"] for r in probing.table(log).collect()] == [0.6]
 
