@@ -205,11 +205,18 @@ def mask_positions(
     prob: float = MASK_PROB,
     max_preds: int = MAX_PREDS,
     seed: int = 1,
+    whole_word: bool = False,
 ) -> DataFrame:
     """Adds ``picks``: the masked places of each sequence with their labels, sorted by
-    place.  Works inside the row: no shuffle, and no row per token."""
+    place.  Works inside the row: no shuffle, and no row per token.
+
+    With ``whole_word`` the pieces of a word are masked together: words are drawn one by one, and
+    one that has more pieces than the budget has left is passed over.
+    """
     n = F.bround(F.size("tokens") * F.lit(prob)).cast("int")
     count = F.least(F.lit(max_preds), F.greatest(F.lit(1), n))
+    if whole_word:
+        return sequences.withColumn("picks", _word_picks(count, seed))
     places = F.transform(
         "tokens",
         lambda t, i: F.when(
@@ -230,6 +237,36 @@ def mask_positions(
     return sequences.withColumn("picks", by_place)
 
 
+def _word_picks(budget: Column, seed: int) -> Column:
+    """Masked places of whole words.  A word is a piece and the ``##`` pieces after it, all of letters;
+    drawn words are taken in order while the sum of their pieces stays within the budget."""
+    first = F.array_compact(F.transform("tokens", lambda t, i: F.when(~t.startswith("##"), i)))
+
+    def word(head, k):
+        end = F.coalesce(F.get(first, k + 1), F.size("tokens"))
+        return F.struct(
+            keyed_hash(seed, F.col("subject_id"), F.col("start"), head).alias("h"), head.alias("at"), (end - head).alias("size")
+        )
+
+    def candidate(w):
+        rest = F.slice("tokens", w["at"] + 2, F.greatest(w["size"] - 1, F.lit(0)))
+        return _maskable(F.get("tokens", w["at"])) & F.forall(rest, lambda t: t.rlike(r"^##\p{L}+$"))
+
+    drawn = F.array_sort(F.filter(F.transform(first, word), candidate))
+    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<struct<at:int,size:int>>").alias("words"))
+
+    def take(acc, w):
+        more = F.struct(
+            (acc["sum"] + w["size"]).alias("sum"),
+            F.concat(acc["words"], F.array(F.struct(w["at"].alias("at"), w["size"].alias("size")))).alias("words"),
+        )
+        return F.when(acc["sum"] + w["size"] <= budget, more).otherwise(acc)
+
+    words = F.aggregate(drawn, none, take, lambda acc: acc["words"])
+    places = F.flatten(F.transform(words, lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))
+    return F.array_sort(F.transform(places, lambda i: F.struct(i.alias("index"), F.get("tokens", i).alias("label"))))
+
+
 def mask_tokens(picked: DataFrame, words: list[str], seed: int = 1) -> DataFrame:
     """Adds ``masked_tokens, masked_indices, masked_token_labels``: of the picked
     places 80 % become ``[MASK]``, 10 % stay, 10 % become a random word.

@@ -312,6 +312,48 @@ def mask_positions(spark, sf):
     )
 
 
+# Words of more than six letters in two pieces, so that sequences hold pieces.
+_PIECES = r"""array_to_string(list_transform(string_split(text, ' '), lambda t: CASE WHEN length(t) > 6
+    THEN t[1:4] || ' ##' || t[5:] ELSE t END), ' ')"""
+PIECE_SENTENCES = f"""(SELECT subject_id, pieces AS text, len(string_split(pieces, ' ')) + 1 AS len, pos
+    FROM (SELECT subject_id, pos, {_PIECES} AS pieces FROM {SENTENCES}))"""
+WORD_PICKS_CTE = f"""{PACK_CTE.replace(SENTENCES, PIECE_SENTENCES)},
+    toks AS (SELECT subject_id, start, n_tokens, unnest(tokens) AS token,
+        generate_subscripts(tokens, 1) - 1 AS i FROM packed),
+    placed AS (SELECT *, sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END)
+        OVER (PARTITION BY subject_id, start ORDER BY i) AS w FROM toks),
+    each AS (SELECT subject_id, start, w, min(i) AS head, count(*) AS size, max(n_tokens) AS n_tokens,
+        bool_and(CASE WHEN starts_with(token, '##') THEN regexp_full_match(token, '##\\p{{L}}+')
+          ELSE token NOT IN ('[CLS]', '[SEP]', 'TIME', 'DATE', 'DOCTOR') AND regexp_full_match(token, '\\p{{L}}+') END) AS fit
+      FROM placed GROUP BY subject_id, start, w),
+    drawn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject_id, start
+          ORDER BY md5('1|' || subject_id || '|' || start || '|' || head), head) AS rn,
+        least({PREDS}, greatest(1, CAST(round_even(n_tokens * CAST(0.2 AS DOUBLE), 0) AS BIGINT))) AS budget
+      FROM each WHERE fit),
+    taken AS (SELECT subject_id, start, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS head, CAST(0 AS BIGINT) AS size
+        FROM packed
+      UNION ALL SELECT d.subject_id, d.start, d.rn, CASE WHEN t.used + d.size <= budget THEN t.used + d.size ELSE t.used END,
+        d.head, CASE WHEN t.used + d.size <= budget THEN d.size ELSE 0 END
+      FROM taken t JOIN drawn d ON d.subject_id = t.subject_id AND d.start = t.start AND d.rn = t.rn + 1),
+    picks AS (SELECT t.subject_id, t.start, t.i, t.token AS label FROM taken p JOIN toks t ON t.subject_id = p.subject_id
+        AND t.start = p.start AND t.i >= p.head AND t.i < p.head + p.size)"""
+
+
+@query("mask_whole_words", f"WITH RECURSIVE {WORD_PICKS_CTE} {PICKED}")
+def mask_whole_words(spark, sf):
+    cut = F.transform(
+        "tokens", lambda t: F.when(F.length(t) > 6, F.array(F.substring(t, 1, 4), F.concat(F.lit("##"), F.substring(t, 5, 1000)))).otherwise(F.array(t))
+    )
+    pieces = sentences(spark, sf).withColumn("tokens", F.flatten(cut))
+    out = mlm.mask_positions(mlm.pack_sequences(pieces, LENGTH, MIN_LENGTH), max_preds=PREDS, whole_word=True)
+    return out.filter(F.size("picks") > 0).select(
+        "subject_id",
+        "start",
+        F.array_join(F.col("picks.index").cast("array<string>"), " ").alias("masked_indices"),
+        F.array_join("picks.label", " ").alias("labels"),
+    )
+
+
 @query(
     "mask_tokens",
     f"""WITH RECURSIVE {MASKED_CTE}

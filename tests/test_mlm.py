@@ -142,3 +142,16 @@ def test_features_hold_ids_and_no_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     r = out.first()
     assert (r["token_ids"], r["label_ids"], r["mask"], r["indices"]) == ([3, 5, 6], [5, 0], [0, 0, 0], [1, 0])
+
+
+def test_whole_words_are_masked_together(spark):
+    tokens = "[CLS] pl ##ay ##ing DATE run ##1 cat se ##e x9 dog [SEP]".split()
+    words = {1: [1, 2, 3], 7: [7], 8: [8, 9], 11: [11]}
+    full = mlm.mask_positions(sequences(spark, tokens), 0.9, 50, whole_word=True).first()["picks"]
+    assert [p["index"] for p in full] == [1, 2, 3, 7, 8, 9, 11] and full[1]["label"] == "##ay"
+    for seed in range(12):
+        got = [p["index"] for p in mlm.mask_positions(sequences(spark, tokens), 0.2, 50, seed, True).first()["picks"]]
+        taken = [h for h in words if h in got]
+        assert sorted(i for h in taken for i in words[h]) == got and 2 <= len(got) <= 3
+    few = mlm.mask_positions(sequences(spark, ["pl", "##ay", "##ing"]), 0.1, 50, whole_word=True).first()
+    assert few["picks"] == []
