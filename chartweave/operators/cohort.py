@@ -139,6 +139,29 @@ def coverage(rows: DataFrame, ids: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def membership_audit(rows: DataFrame, members: Sequence[DataFrame], by: Sequence[str] = ("task", "split")) -> DataFrame:
+    """``(*by, n_before, n_after)``: rows, and the rows whose subject is in all of ``members``.
+
+    Each table is read once: it sets a bit of its subjects, rows and bits meet by subject, and all
+    counts come from the bitmaps.  What meets has a row per subject and group, however many rows
+    a subject has.
+    """
+    cells = rows.select("subject_id", *by, F.lit(1).alias("_row"), F.lit(0).alias("_bit"))
+    for i, table in enumerate(members):
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by]
+        cells = cells.unionByName(table.select("subject_id", *none, F.lit(0).alias("_row"), F.lit(1 << i).alias("_bit")))
+    counted = cells.groupBy("subject_id", *by).agg(F.sum("_row").alias("n"), F.bit_or("_bit").alias("bits"))
+    subjects = counted.groupBy("subject_id").agg(
+        F.bit_or("bits").alias("bits"), F.collect_list(F.when(F.col("n") > 0, F.struct(*by, "n"))).alias("cells")
+    )
+    inside = F.col("subject_id").isNotNull() & (F.col("bits") == (1 << len(members)) - 1)
+    return (
+        subjects.select(inside.alias("_in"), F.inline("cells"))
+        .groupBy(*by)
+        .agg(F.sum("n").alias("n_before"), F.sum(F.when(F.col("_in"), F.col("n")).otherwise(0)).alias("n_after"))
+    )
+
+
 def explode_sentences(cleaned_notes: DataFrame, keep_raw: bool = False) -> DataFrame:
     """``(subject_id, note_id, sent_seq, text)`` from cleaned notes."""
     out = cleaned_notes.select(

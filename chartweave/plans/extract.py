@@ -98,7 +98,7 @@ def extract(
         notes_filtered=cohort.subject_documents(cohort.clean_notes(filtered)),
         tasks=task_table(ihm, pheno, demo, ids, names, conditions, seed),
         names=names,
-        audit=cohort.coverage(counted, ids, ["task", "split"]),
+        audit=cohort.membership_audit(counted, [patients, admissions, cohort.filter_category(notes, categories)]),
     )
 
 

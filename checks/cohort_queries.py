@@ -142,7 +142,8 @@ def cohort_audit(spark, sf):
             F.lit("PHENO").alias("task"), F.lit("train").alias("split"), "subject_id"
         )
     )
-    return cohort.coverage(rows, ids(spark, sf), ["task", "split"])
+    notes = cohort.filter_category(I.notes(spark, sf), I.CATEGORIES)
+    return cohort.membership_audit(rows, [I.patients(spark, sf), I.admissions(spark, sf), notes])
 
 
 @query(

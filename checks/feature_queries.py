@@ -319,11 +319,11 @@ def bow_probe(spark, sf):
 
 
 @query(
-    "feature_coverage",
+    "probe_coverage",
     f"""SELECT task, 'train' AS split, count(*) AS n_rows, count(vec_id) AS n_kept
     FROM {TASK_ROWS} LEFT JOIN embeddings ON vec_id = subject_id GROUP BY task""",
 )
-def feature_coverage(spark, sf):
+def probe_coverage(spark, sf):
     known = I.users(spark, sf).select(F.col("user").alias("subject_id"), "vec")
     return features.feature_coverage(task_rows(spark, sf).withColumn("split", F.lit("train")), known)
 

@@ -164,3 +164,12 @@ def test_raw_and_annotated(spark):
     df = spark.createDataFrame([(1, "my fever")], "id int, text string").withColumn("tokens", F.split("text", " "))
     gaz = spark.createDataFrame([("fever", "T184", "C1")], "phrase string, tui string, cui string")
     assert [r["text"] for r in entities.raw_and_annotated(df, gaz, "id").collect()] == ["my fever", "my [T184] [C1]"]
+
+
+def test_audit_from_bitmaps(spark):
+    rows = [("A", "train", 1)] * 500 + [("A", "test", 1), ("A", "train", 2), ("B", "test", 3), ("B", "test", None)]
+    df = spark.createDataFrame(rows, "task string, split string, subject_id bigint")
+    one, two = ([(i,) for i in ids] for ids in ((1, 2, 2, 9), (1, 3, 9, None)))
+    members = [spark.createDataFrame(x, "subject_id bigint") for x in (one, two)]
+    got = {(r["task"], r["split"]): (r["n_before"], r["n_after"]) for r in cohort.membership_audit(df, members).collect()}
+    assert got == {("A", "train"): (501, 500), ("A", "test"): (1, 1), ("B", "test"): (2, 0)}

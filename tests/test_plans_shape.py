@@ -53,3 +53,9 @@ def test_notes_are_read_once_and_stay_in_place(spark, job):
     text = plan(job(notes, gazetteer, "doc_id"))
     assert text.count("FileScan") == 1
     assert "Join" not in text and "Exchange" not in text
+
+
+def test_the_audit_reads_each_use_of_a_table_once(spark):
+    """Patients, admissions, stays, notes and labels: no table is read for a second question."""
+    text = plan(QUERIES["cohort_audit"](spark, SF))
+    assert text.count("FileScan") == 5 and "Join" not in text
