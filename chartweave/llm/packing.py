@@ -103,9 +103,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 def completions(counts: np.ndarray, room: int, branches: int = BRANCHES) -> list[int]:
     """Lengths that fill ``room`` best, longest first, taken from ``counts`` (by length).
 
-    Depth-first from the longest length that fits.  A branch is cut when even filling all its
-    room cannot waste less than the incumbent, and a filling is dominated when a single longer
-    length would fit in place of one of its lengths, so each level goes on downwards only.
+    Depth-first from the longest length that fits, each level going on downwards, so a filling is
+    met once.  A branch is cut when all that is left of its lengths cannot waste less than the
+    incumbent.  A filling in which a longer length would fit in place of one of its own wastes more
+    than the one with it, so it never stays.  After ``branches`` steps the incumbent is returned;
+    below that it is the best there is.
     """
     have = np.flatnonzero(counts)
     best: list[int] = []
@@ -120,10 +122,11 @@ def completions(counts: np.ndarray, room: int, branches: int = BRANCHES) -> list
         if not room or least == 0 or seen > branches:
             return
         i = int(np.searchsorted(have, min(room, top), "right")) - 1
+        # What the lengths up to each one hold in all.
+        within = np.cumsum(have[: i + 1] * left[have[: i + 1]])
         while i >= 0 and least and seen <= branches:
             x = int(have[i])
-            # The rest of the room is filled with lengths up to x at most.
-            if room - x * int((room // x) if x else 0) >= least and x * 2 <= room and not _fills(have, left, room, x):
+            if room - int(within[i]) >= least:
                 break
             if left[x]:
                 seen += 1
@@ -138,12 +141,6 @@ def completions(counts: np.ndarray, room: int, branches: int = BRANCHES) -> list
     return best
 
 
-def _fills(have: np.ndarray, left: np.ndarray, room: int, top: int) -> bool:
-    """Whether the lengths up to ``top`` hold enough to fill ``room`` at all."""
-    at = have[: int(np.searchsorted(have, top, "right"))]
-    return int((at * left[at]).sum()) >= room
-
-
 def completed(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths, how often) by bin completion around the largest length left."""
     left = counts.astype(np.int64).copy()

@@ -71,7 +71,10 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
     levels = [(statistics(q, s), statistics(x, s)) for s in LEVELS]
-    slack = 1e-9 * (np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] + 1)
+    largest = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1]
+    slack = 1e-9 * (largest + 1)
+    # Sums of products of whole numbers are exact in a float up to 2**53, beyond it in integers.
+    exact_q, exact_x = (q, x) if largest < 2**53 else (q.astype(np.int64), x.astype(np.int64))
     best_at, best = [[] for _ in range(len(q))], [[] for _ in range(len(q))]
     for at in range(0, len(x), CHUNK):
         part = slice(at, min(at + CHUNK, len(x)))
@@ -83,14 +86,13 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
                 near = near[other[near] @ own[i] + slack >= floor]
             if not len(near):
                 continue
-            # Sums of products of whole numbers, exact in a float up to 2**53.
-            scores = np.concatenate([best[i], x[near] @ q[i]])
+            scores = np.concatenate([np.asarray(best[i], exact_x.dtype), exact_x[near] @ exact_q[i]])
             where = np.concatenate([np.asarray(best_at[i], np.int64), near])
             top = np.lexsort((where, -scores))[:k]
             best[i], best_at[i] = scores[top], where[top]
     counts = np.array([len(b) for b in best], np.int64)
     pick = np.concatenate([np.asarray(b, np.int64) for b in best_at]) if len(q) else np.zeros(0, np.int64)
-    values = np.concatenate([np.asarray(b, np.float64) for b in best]) if len(q) else np.zeros(0)
+    values = np.concatenate([np.asarray(b, exact_x.dtype) for b in best]) if len(q) else np.zeros(0)
     return np.repeat(np.arange(len(q)), counts), ids[pick], values
 
 
@@ -116,7 +118,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, levels: int = 256) ->
     """``(query_id, rank, vec_id, score)``: the ``k`` best rows for each row whose ``vec_id``
     is divisible by ``every``.
 
-    Components become ``floor(levels * x)``.  Rows with a null id, a null or empty vector, or
+    Components become ``floor(levels * x)``; scores are exact as far as a long holds them.  Rows with a null id, a null or empty vector, or
     a null or non-finite component take no part.  Vectors meet those of their own length only.
     Rows that repeat an id are candidates each; a query row that repeats another in full is
     answered once.  An empty table gives no rows.

@@ -544,3 +544,31 @@ def test_fold_is_crc32(spark):
     for r in got:
         assert r["f"] == zlib.crc32(str(r["id"]).encode()) % 3
         assert r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 1)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e6])
+def test_scores_of_large_components_are_exact(scale):
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * scale * rng.normal(size=(300, 64)))
+    ids = np.arange(300)
+    at, found, score = topk.search(x[:20], ids[:20], x, ids, 5)
+    whole = [[int(v) for v in row] for row in x]
+    for i in range(20):
+        every = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in range(300) if j != i)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(score[at == i], found[at == i])] == every
+
+
+def test_completions_waste_least():
+    rng = np.random.default_rng(9)
+    for _ in range(1500):
+        room = int(rng.integers(4, 30))
+        counts = np.zeros(room + 2, np.int64)
+        for n in rng.integers(1, room + 1, int(rng.integers(1, 7))):
+            counts[n] += 1
+        sums = {0}
+        for n in np.flatnonzero(counts):
+            for _ in range(counts[n]):
+                sums |= {s + int(n) for s in sums if s + n <= room}
+        got = packing.completions(counts, room)
+        assert sum(got) == max(sums) and (np.bincount(got, minlength=len(counts)) <= counts).all()
+    assert sorted(packing.completions(np.bincount([2, 6, 7, 12]), 16)) == [2, 6, 7]
