@@ -2,8 +2,8 @@
 
 Each notice is a short run of words with key phrases that must stand in it.  The index
 holds, for every notice, the word of its key phrases with the highest inverse document
-frequency in the corpus and its places.  A text looks up its words in the index; each hit
-gives the place where the notice would start, and the key phrases must stand there in full.
+frequency in the corpus and its places; a text's own rarest words are not looked for.  A text looks
+up its words in the index; each hit gives the place where the notice would start, and the key phrases must stand there in full.
 Key phrases that name a licence settle its label, whatever the corpus; where others use the
 same phrase, the notice's other words are compared at their relative places, weighted by
 rarity.

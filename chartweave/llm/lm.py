@@ -12,8 +12,9 @@ root's arc, log10 p(w), with
 
 Both levels sum to one over the V known words and the unknown one.  A text starts in the
 state of the end token.  Counts are spread over buckets by key; a batch of documents asks for
-those of its own words and pairs, which are the part of the automaton its texts can reach,
-and walks its texts left to right through it.
+those of its own words and pairs, which are the part of the automaton its texts can reach.
+At order two the state after a word is the word itself, so no table of states is built and none is
+carried: the walk is evaluated as look-ups of each token's and each pair's count.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 1. Each document becomes its set of word shingles; equal sets become one class.
-2. Each class is put into ``TREES`` independent trees by pairs of minwise tokens.
+2. Each class is put into ``TREES`` independent trees by pairs of minwise tokens: a path has two
+   chosen tokens, and branching ends there.
 3. Nodes are compared exhaustively on sketches; pairs that may be similar join their
    classes into candidate groups.
 4. Each candidate group is compared exhaustively on its full sets.  Groups too large for

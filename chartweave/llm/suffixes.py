@@ -6,8 +6,9 @@ that share an anchor overlap and form its context.  A batch of documents sorts t
 at its anchors (by a digest of the gram, then of the context, as only equality matters) and
 sends each distinct one with its smallest document to the bucket of its gram.  There the
 batches' suffix arrays enter a logarithmic index family: an array is a level of its own until
-a level of equal size stands beside it, and the two merge.  Merging levels and scanning a
-batch against them are passes over sorted arrays.
+a level of equal size stands beside it, and the two merge.  All batches of a bucket are put in and
+its levels merged before any batch is answered, so a batch is looked up in the whole index, not
+scanned against the levels there before it; the smallest document decides, whatever the order.
 
 A context known from an earlier document is removed whole.  Where a gram stands in several
 contexts (the ends of a common passage), the strings of each context's first document are
