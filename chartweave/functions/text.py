@@ -80,3 +80,43 @@ def chunks(items: Column, size: int) -> Column:
         F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))
     ).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.slice(items, s, F.lit(size)))
+
+
+# ---- tokens by rules, sentence breaks with learned abbreviations ---------------------
+
+# Contractions that are tokens of their own.
+CLITICS = ("s", "re", "ve", "ll", "d", "m")
+#: Tokens in the order they are tried: dots of an ellipsis, initials, numbers, contractions, words,
+#: single other characters.
+WORD_RULES = (
+    r"\.{2,}",
+    r"(?:\p{L}\.){2,}",
+    r"\p{N}+(?:[.,:/]\p{N}+)*",
+    r"n't",
+    rf"'(?:{'|'.join(CLITICS)})\b",
+    r"[\p{L}\p{N}_]+",
+    r"[^\s]",
+)
+# Where a contraction is set off from its word.
+NEGATED = r"(\p{L})(n't)\b"
+CLITIC = rf"(\p{{L}})('(?:{'|'.join(CLITICS)}))\b"
+
+
+def word_tokens(text: Column) -> Column:
+    """Words, numbers, initials, contractions and punctuation of lower-case text: ``don't`` is
+    ``do n't``, ``1.5`` and ``b.i.d.`` stay whole."""
+    apart = F.regexp_replace(F.regexp_replace(text, NEGATED, "$1 $2"), CLITIC, "$1 $2")
+    return F.regexp_extract_all(apart, F.lit("|".join(WORD_RULES)), F.lit(0))
+
+
+def learned_sentences(text: Column, abbreviations: Column) -> Column:
+    """Sentences of a text: a word that ends in ``!`` or ``?``, or in a full stop without being one of
+    ``abbreviations`` (lower-case, without the stop), closes one.  White space becomes single spaces."""
+    words = F.array_remove(F.split(text, r"\s+"), "")
+
+    def closes(w: Column) -> Column:
+        bare = F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|\.$", ""))
+        return w.rlike(r"[!?]$") | (w.rlike(r"\.$") & ~F.array_contains(abbreviations, bare))
+
+    marked = F.transform(words, lambda w: F.when(closes(w), F.concat(w, F.lit(BREAK))).otherwise(F.concat(w, F.lit(" "))))
+    return F.array_remove(F.transform(F.split(F.array_join(marked, ""), BREAK), lambda s: F.trim(s)), "")

@@ -92,28 +92,75 @@ def _merge(rounds: Sequence[set[tuple[str, str]]]) -> Callable[[pd.Series], pd.S
     return merged
 
 
+def letter_pieces(types: DataFrame) -> DataFrame:
+    """``(token, n, pieces)``: each type as its letters, inner ones marked."""
+    marked = F.transform(F.split("token", ""), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c)))
+    return types.select("token", "n", marked.alias("pieces"))
+
+
+def pair_counts(pieces: DataFrame) -> DataFrame:
+    """``(a, b, n)``: how often two pieces stand side by side in the corpus, from the types."""
+    pairs = pieces.select("n", F.explode(_pairs(F.col("pieces"))).alias("x"))
+    return pairs.groupBy("x.a", "x.b").agg(F.sum("n").alias("n"))
+
+
+def merged(pieces: DataFrame, rounds: Sequence[set[tuple[str, str]]]) -> DataFrame:
+    """``pieces`` after rounds of merges; the merges of a round do not touch each other."""
+    step = F.pandas_udf(_merge(rounds), "array<string>")
+    return pieces.withColumn("pieces", step("pieces"))
+
+
+def _exact_batch(counted, seen: set[str], room: int, whole: bool) -> list[tuple[str, str]]:
+    """The pairs that a loop of one merge at a time would merge next, in its order.
+
+    ``counted`` are pairs by falling count, then by name; ``whole`` says that these are all.  A merge
+    of ``a b`` takes from pairs that end in ``a`` or begin with ``b``, and a pair with the new unit
+    counts at most what one of those did.  So a pair is the next one as long as none of those
+    touched, wherever it stands, has as high a count.  A unit that is there already, or that two
+    merges make, would add to counts, so it ends the batch.
+    """
+    chosen: list[tuple[str, str]] = []
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    fresh: set[str] = set()
+    touched = lambda a, b: a in rights or b in lefts
+    if not whole and counted:
+        # More pairs of the last count may follow, unless all that is known has that count.
+        known = [r for r in counted if r[2] > counted[-1][2]]
+        counted = known or counted[:1]
+    for i, (a, b, n) in enumerate(counted):
+        unit = a + b.removeprefix("##")
+        ties = [r for r in counted[i:] if r[2] == n] if chosen else []
+        if any(touched(x, y) for x, y, _ in ties) or unit in fresh:
+            break
+        if unit not in seen and len(fresh) == room:
+            break
+        chosen.append((a, b))
+        lefts.add(a)
+        rights.add(b)
+        if unit in seen:
+            break
+        fresh.add(unit)
+    return chosen
+
+
 def subword_vocab(
     types: DataFrame,
     size: int = VOCAB_SIZE,
     entity_ids: Sequence[str] = (),
     merges_per_round: int = 200,
+    exact: bool = False,
 ) -> list[str]:
     """Subword units grown from characters over the word-type table.
 
     A round counts neighbouring pieces over the types (not over the corpus) and
     merges the most frequent pairs of which none ends where another begins, so no
-    merge of the round changes the count of another.  Only the chosen pairs reach
-    the driver.  The list is in id order.  The most frequent letters come first, as many
-    as the size has room for beside the special tokens.
+    merge of the round changes the count of another.  With ``exact`` a round ends where a
+    loop of one merge at a time might go another way, so the units are that loop's; it takes more
+    rounds.  Only the chosen pairs reach the driver.  The list is in id order.  The most frequent
+    letters come first, as many as the size has room for beside the special tokens.
     """
-    table = cut_lineage(
-        types.select(
-            "n",
-            F.transform(
-                F.split("token", ""), lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c))
-            ).alias("pieces"),
-        )
-    )
+    table = cut_lineage(letter_pieces(types).select("n", "pieces"))
     units = [*SPECIALS, *entity_ids]
     letters = (
         table.select("n", F.explode("pieces").alias("p"))
@@ -128,18 +175,22 @@ def subword_vocab(
     while len(units) < size:
         current = table
         if pending:
-            step = F.pandas_udf(_merge(pending), "array<string>")
-            current = table.select("n", step("pieces").alias("pieces"))
+            current = merged(table, pending)
         if len(pending) == ROUNDS_PER_WRITE:
             current = table = cut_lineage(current)
             pending = []
-        counted = (
-            current.select("n", F.explode(_pairs(F.col("pieces"))).alias("x"))
-            .groupBy("x.a", "x.b")
-            .agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), "a", "b")
-            .limit(4 * merges_per_round)
-        )
+        window = 4 * merges_per_round
+        counted = pair_counts(current).orderBy(F.col("n").desc(), "a", "b").limit(window).select("a", "b", "n")
+        if exact:
+            rows = [tuple(r) for r in counted.collect()]
+            batch = _exact_batch(rows, seen, size - len(units), len(rows) < window)
+            if not batch:
+                break
+            fresh = [u for u in (a + b.removeprefix("##") for a, b in batch) if u not in seen]
+            seen |= set(fresh)
+            units += fresh
+            pending = [*pending, set(batch)]
+            continue
         chosen: set[tuple[str, str]] = set()
         lefts: set[str] = set()
         rights: set[str] = set()
@@ -266,3 +317,41 @@ def subword_rows(docs: DataFrame, key: str, words: Column, units: DataFrame) ->
     return parts.select(key, flat("ids", "array<int>").alias("ids"), flat("pieces", "array<string>").alias("pieces"))
 
 
+
+
+#: Score from which a type counts as an abbreviation, and the share of its uses that a stop follows.
+ABBREVIATION_SCORE = 0.3
+STOP_SHARE = 0.99
+
+
+def abbreviations(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``(type, n_stop, n_bare, score)`` of the types that mostly stand before a full stop and are
+    short: how much likelier that is of an abbreviation than by chance, less for every letter and
+    every use without a stop, more for stops inside.  All counts are aggregates over the texts; only
+    two totals reach the driver."""
+    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("w")).select(
+        F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "").alias("w")
+    )
+    typed = words.filter(F.col("w") != "").select(
+        F.regexp_replace("w", r"\.$", "").alias("type"), F.col("w").endswith(".").cast("bigint").alias("stop")
+    )
+    counts = typed.filter(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(
+        F.sum("stop").alias("n_stop"), F.sum(1 - F.col("stop")).alias("n_bare")
+    )
+    counts = cut_lineage(counts)
+    stops, total = counts.agg(F.sum("n_stop"), F.sum(F.col("n_stop") + F.col("n_bare"))).first()
+    if not stops or stops == total:
+        return counts.limit(0).withColumn("score", F.lit(0.0))
+    chance = F.lit(stops / total)
+    by_chance = F.col("n_stop") * F.log(chance) + F.col("n_bare") * F.log(1 - chance)
+    by_rule = F.col("n_stop") * F.log(F.lit(STOP_SHARE)) + F.col("n_bare") * F.log(F.lit(1 - STOP_SHARE))
+    inside = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
+    letters = (F.length("type") - inside).cast("double")
+    score = 2 * (by_rule - by_chance) * F.exp(-letters) * (inside + 1) * F.pow(letters, -F.col("n_bare").cast("double"))
+    return counts.withColumn("score", score).filter(F.col("score") >= ABBREVIATION_SCORE)
+
+
+def abbreviation_list(found: DataFrame, most: int = 1000) -> Column:
+    """The best-scored abbreviations as a constant array; ``most`` bounds what the driver holds."""
+    rows = found.orderBy(F.col("score").desc(), "type").limit(most).select("type").collect()
+    return F.split(F.lit("\u0001".join(r["type"] for r in rows)), "\u0001")

@@ -127,6 +127,36 @@ def word_types(spark, sf):
     return vocab.word_types(I.clean_documents(spark, sf))
 
 
+LETTERS = f"""(SELECT token, n, i, CASE WHEN i > 1 THEN '##' ELSE '' END || substr(token, i, 1) AS p FROM
+    (SELECT token, n, unnest(range(1, length(token) + 1)) AS i FROM {TYPES}))"""
+# Of a run of equal pieces every second neighbour pair counts, as merges from the left do not overlap.
+PAIR_CTE = f"""placed AS MATERIALIZED (SELECT *, lead(p) OVER w AS q, i - row_number() OVER (PARTITION BY token, p ORDER BY i) AS run
+      FROM {LETTERS} WINDOW w AS (PARTITION BY token ORDER BY i)),
+    counted AS (SELECT p AS a, q AS b, CAST(sum(n) AS BIGINT) AS n FROM
+      (SELECT *, row_number() OVER (PARTITION BY token, p, run ORDER BY i) AS k FROM placed) WHERE q IS NOT NULL AND (p <> q OR k % 2 = 1)
+      GROUP BY p, q)"""
+
+
+@query("subword_pair_counts", f"WITH {PAIR_CTE} SELECT a, b, n FROM counted")
+def subword_pair_counts(spark, sf):
+    return vocab.pair_counts(vocab.letter_pieces(word_types(spark, sf)))
+
+
+@query(
+    "subword_merge_step",
+    f"""WITH {PAIR_CTE}, best AS (SELECT a, b FROM counted ORDER BY n DESC, a, b LIMIT 1),
+    joined AS (SELECT token, any_value(n) AS n, ' ' || string_agg(p, '  ' ORDER BY i) || ' ' AS t FROM placed GROUP BY token)
+    SELECT token, n, trim(replace(replace(t, ' ' || a || '  ' || b || ' ', ' ' || a || ltrim(b, '#') || ' '), '  ', ' ')) AS pieces
+    FROM joined, best""",
+)
+def subword_merge_step(spark, sf):
+    """The types after the commonest pair of pieces has been merged."""
+    pieces = cut_lineage(vocab.letter_pieces(word_types(spark, sf)))
+    a, b, _ = vocab.pair_counts(pieces).orderBy(F.col("n").desc(), "a", "b").first()
+    out = vocab.merged(pieces, [{(a, b)}])
+    return out.select("token", "n", F.array_join("pieces", " ").alias("pieces"))
+
+
 def units(spark, sf):
     return vocab.subword_vocab(word_types(spark, sf), size=1500)
 

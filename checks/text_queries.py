@@ -8,7 +8,7 @@ from checks import inputs as I
 from checks.registry import query
 from chartweave.functions import labels as L
 from chartweave.functions import text as X
-from chartweave.operators import cohort
+from chartweave.operators import cohort, vocab
 
 
 @query(
@@ -121,3 +121,61 @@ def filter_category(spark, sf):
 )
 def explode_sentences(spark, sf):
     return cohort.explode_sentences(cohort.clean_notes(I.notes(spark, sf)))
+
+
+# ---- tokens by rules, learned sentence breaks -----------------------------------------
+
+_RULES = "|".join(X.WORD_RULES).replace("'", "''")
+_NEGATED, _CLITIC = (r.replace("'", "''") for r in (X.NEGATED, X.CLITIC))
+
+
+@query(
+    "word_tokens",
+    rf"""SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(lower(text), '{_NEGATED}', '\1 \2', 'g'),
+      '{_CLITIC}', '\1 \2', 'g'), '{_RULES}'), ' ') AS tokens FROM documents""",
+)
+def word_tokens(spark, sf):
+    tokens = X.word_tokens(F.lower("text"))
+    return I.documents(spark, sf).select("doc_id", F.array_join(tokens, " ").alias("tokens"))
+
+
+# Turns and documents speak of doctors and doses, so that abbreviations can be learned.
+_NOTES = """(SELECT conv_id AS id, turn, 'seen by dr. ' || text || ' dose b.i.d. as needed' AS text FROM conversations)"""
+ABBREVIATIONS = rf"""(WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')),
+        '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g') AS w FROM {_NOTES}),
+    c AS (SELECT regexp_replace(w, '\.$', '') AS type, CAST(sum(CASE WHEN ends_with(w, '.') THEN 1 ELSE 0 END) AS BIGINT) AS n_stop,
+        CAST(sum(CASE WHEN ends_with(w, '.') THEN 0 ELSE 1 END) AS BIGINT) AS n_bare FROM w WHERE w <> '' GROUP BY 1),
+    k AS (SELECT * FROM c WHERE regexp_matches(type, '\p{{L}}')),
+    p AS (SELECT CAST(sum(n_stop) AS DOUBLE) / sum(n_stop + n_bare) AS p FROM k),
+    s AS (SELECT type, n_stop, n_bare, length(type) - length(replace(type, '.', '')) AS inside, p FROM k, p),
+    f AS (SELECT type, n_stop, n_bare, 2 * (n_stop * ln(CAST({vocab.STOP_SHARE} AS DOUBLE)) + n_bare * ln(CAST({1 - vocab.STOP_SHARE!r} AS DOUBLE))
+          - n_stop * ln(p) - n_bare * ln(1 - p)) * exp(-CAST(length(type) - inside AS DOUBLE)) * (inside + 1)
+          * pow(CAST(length(type) - inside AS DOUBLE), -CAST(n_bare AS DOUBLE)) AS score FROM s)
+    SELECT * FROM f WHERE score >= {vocab.ABBREVIATION_SCORE})"""
+
+
+def doctor_notes(spark, sf):
+    text = F.concat(F.lit("seen by dr. "), "text", F.lit(" dose b.i.d. as needed"))
+    return I.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", text.alias("text"))
+
+
+@query("abbreviations", f"SELECT type, n_stop, n_bare, round(score, 6) AS score FROM {ABBREVIATIONS}")
+def abbreviations(spark, sf):
+    return vocab.abbreviations(doctor_notes(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "learned_sentences",
+    rf"""WITH a AS MATERIALIZED (SELECT list(type) AS known FROM (SELECT type FROM {ABBREVIATIONS} ORDER BY score DESC, type LIMIT 1000)),
+    t AS (SELECT id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM {_NOTES}),
+    m AS (SELECT id, turn, array_to_string(list_transform(w, lambda x: x || CASE WHEN regexp_matches(x, '[!?]$') OR (ends_with(x, '.')
+        AND NOT list_contains(coalesce(known, []), lower(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|\.$', '', 'g')))) THEN chr(1) ELSE ' ' END), '') AS j
+      FROM t, a)
+    SELECT id, turn, CAST(len(s) AS INTEGER) AS n_sentences, array_to_string(s, ' [EOS] ') AS text
+    FROM (SELECT id, turn, list_filter(list_transform(string_split(j, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM m)""",
+)
+def learned_sentences(spark, sf):
+    notes = doctor_notes(spark, sf)
+    known = vocab.abbreviation_list(vocab.abbreviations(notes))
+    out = notes.select("id", "turn", X.learned_sentences(F.col("text"), known).alias("s"))
+    return out.select("id", "turn", F.size("s").alias("n_sentences"), F.array_join("s", " [EOS] ").alias("text"))

@@ -155,3 +155,56 @@ def test_whole_words_are_masked_together(spark):
         assert sorted(i for h in taken for i in words[h]) == got and 2 <= len(got) <= 3
     few = mlm.mask_positions(sequences(spark, ["pl", "##ay", "##ing"]), 0.1, 50, whole_word=True).first()
     assert few["picks"] == []
+
+
+def plain_units(types, size):
+    """One merge at a time: the commonest pair, ties by name."""
+    table = [(n, [c if i == 0 else "##" + c for i, c in enumerate(t)]) for t, n in types]
+    letters = {}
+    for n, p in table:
+        for x in p:
+            letters[x] = letters.get(x, 0) + n
+    units = [*vocab.SPECIALS]
+    units += sorted(letters, key=lambda x: (-letters[x], x))[: max(0, size - len(units))]
+    while len(units) < size:
+        counts = {}
+        for n, p in table:
+            i = 0
+            while i + 1 < len(p):
+                if not (i and p[i - 1] == p[i] == p[i + 1] and used):
+                    counts[p[i], p[i + 1]] = counts.get((p[i], p[i + 1]), 0) + n
+                    used = p[i] == p[i + 1]
+                else:
+                    used = False
+                i += 1
+        if not counts:
+            break
+        a, b = min(counts, key=lambda k: (-counts[k], *k))
+        unit = a + b.removeprefix("##")
+        if unit not in units:
+            units.append(unit)
+        for _, p in table:
+            i = 0
+            while i + 1 < len(p):
+                if (p[i], p[i + 1]) == (a, b):
+                    p[i : i + 2] = [unit]
+                i += 1
+    return units
+
+
+@pytest.mark.parametrize("window", [1, 50])
+def test_exact_units_equal_one_merge_at_a_time(spark, window):
+    rng = random.Random(2)
+    types = [("".join(rng.choices("abcd", [5, 4, 2, 1], k=rng.randint(1, 8))), rng.choice([1, 2, 5, 5, 9])) for _ in range(60)]
+    types = list(dict(types).items()) + [("aaaaaa", 4), ("ababab", 4)]
+    df = spark.createDataFrame(types, "token string, n bigint")
+    assert vocab.subword_vocab(df, 60, merges_per_round=window, exact=True) == plain_units(types, 60)
+
+
+def test_exact_units_of_documents(spark):
+    from checks import QUERIES
+
+    types = QUERIES["word_types"](spark, "/root/testdata/sf0.001").cache()
+    rows = [(r["token"], r["n"]) for r in types.collect()]
+    size = len({c for t, _ in rows for c in t}) * 2 + 60
+    assert vocab.subword_vocab(types, size, exact=True) == plain_units(rows, size)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,39 @@ def test_chunks(spark):
     ).first()
     assert got["c"] == [[0, 1], [2, 3], [4]]
     assert got["e"] == []
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("he doesn't take 1.5 mg", "he does n't take 1.5 mg"),
+        ("b.i.d. dosing... stop.", "b.i.d. dosing ... stop ."),
+        ("patient's won't i'll", "patient 's wo n't i 'll"),
+        ("10:30 on 2101-10-20, (ok)", "10:30 on 2101 - 10 - 20 , ( ok )"),
+        ("'quoted' rock'n'roll", "' quoted ' rock ' n ' roll"),
+        ("", ""),
+    ],
+)
+def test_word_tokens_by_rules(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.array_join(X.word_tokens(F.col("t")), " ")).first()[0] == want
+
+
+def test_abbreviations_are_learned_and_close_no_sentence(spark):
+    from chartweave.operators import vocab
+
+    rng = random.Random(1)
+    plain = "patient was seen and then sent home after some rest without pain".split()
+    texts = []
+    for i in range(60):
+        words = rng.sample(plain, 6)
+        texts.append((i, f"Seen by Dr. Smith today b.i.d. doses {' '.join(words)}. {' '.join(rng.sample(plain, 4))}!"))
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = vocab.abbreviations(df)
+    got = {r["type"]: r for r in found.collect()}
+    assert set(got) == {"dr", "b.i.d"} and got["dr"]["n_stop"] == 60 and got["dr"]["n_bare"] == 0
+    known = vocab.abbreviation_list(found)
+    one = spark.createDataFrame([("Dr. Smith came. He (b.i.d.  dose) left!\nGood",), ("",)], "t string")
+    rows = [r[0] for r in one.select(X.learned_sentences(F.col("t"), known)).collect()]
+    assert rows == [["Dr. Smith came.", "He (b.i.d. dose) left!", "Good"], []]
+    assert vocab.abbreviations(df.limit(0)).count() == 0
