@@ -3,7 +3,8 @@
 Every user is ranked against every other one, so the arithmetic is quadratic; the
 rows are not.  Users are packed into blocks of vectors, and blocks into groups that
 fill a task's memory.  A task holds one group and candidate blocks stream past it, so
-a block is copied once per group.
+a block is copied once per group.  Groups that are much smaller than a task's memory are
+held together, as many as leave every core one, so copies follow memory and cores.
 
 For neighbours the blocks are neighbourhoods: a user goes to the nearest of some pivot
 users, and a block knows its centre and its radius on the sphere.  Two blocks cannot
@@ -53,6 +54,12 @@ def _sized(users: DataFrame, by: list[str], rows: int) -> DataFrame:
     return users.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("user"), F.col("chunks")).cast("int"))
 
 
+def _together(groups, users, limit: int, cores: int):
+    """How many of a task's ``groups`` are held together: as many as leave each core one, and no more
+    than ``limit`` users hold."""
+    return F.ceil(groups / F.greatest(F.ceil(users / limit), F.least(groups, F.lit(cores)), F.lit(1)))
+
+
 def _packed(placed: DataFrame) -> DataFrame:
     """``(task, block, group, groups, ids, ys, flat)``: the users of a block side by side."""
     keys = ["task", "block", "group", "groups"]
@@ -89,9 +96,10 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---- neighbours -----------------------------------------------------------------
 
 
-def _neighbourhoods(users: DataFrame, block_rows: int, group_rows: int, pivots: int) -> DataFrame:
+def _neighbourhoods(users: DataFrame, block_rows: int, group_rows: int, pivots: int, cores: int | None = None) -> DataFrame:
     """Packed blocks of users that have the nearest pivot in common.  Pivots are at most
-    ``pivots`` users by hash, a bounded number of vectors for the driver and each task."""
+    ``pivots`` users by hash, a bounded number of vectors for the driver and each task.  With
+    ``cores``, groups that are small for a task are held together."""
     rows = users.select("user", "vec").orderBy(F.xxhash64("user"), "user").limit(pivots).collect()
     if not rows:
         return _packed(users.withColumns({c: F.lit(0) for c in ("block", "group", "groups")}))
@@ -122,11 +130,14 @@ def _neighbourhoods(users: DataFrame, block_rows: int, group_rows: int, pivots:
         "cell",
         "n",
         (F.sum("n").over(inside) - F.col("n")).alias("first"),
+        F.sum("n").over(all_cells).alias("all"),
         F.ceil(F.sum("n").over(all_cells) / (size * block_rows)).cast("int").alias("groups"),
     )
+    per = _together(F.col("groups"), F.col("all"), GROUP_ROWS, cores) if cores else F.lit(1)
+    cells = cells.withColumn("per", per).withColumn("groups", F.ceil(F.col("groups") / F.col("per")).cast("int"))
     place = F.col("first") + F.pmod(F.xxhash64("user"), F.col("n"))
     placed = celled.join(cells, ["task", "cell"]).withColumn("block", F.floor(place / block_rows).cast("int"))
-    return _packed(placed.withColumn("group", F.floor(F.col("block") / size).cast("int")))
+    return _packed(placed.withColumn("group", F.floor(F.floor(F.col("block") / size) / F.col("per")).cast("int")))
 
 
 class _Best:
@@ -137,19 +148,16 @@ class _Best:
         self.score = np.full((n, k), -2 * SCALE, np.int64)
         self.id = np.full((n, k), -1, np.int64)
 
-    def worst(self) -> int:
-        """The least score that a candidate needs to enter any list."""
-        return int(self.score[:, -1].min()) if len(self.score) else 2 * SCALE
-
     def add(self, at: int, s: np.ndarray, ids: np.ndarray) -> None:
         """Offer scores ``s`` of candidates ``ids`` to the rows from ``at`` on."""
         n, k = len(s), self.k
         own, own_ids = self.score[at : at + n], self.id[at : at + n]
         least = own[:, -1]
-        if s.shape[1] > k:
+        hits = s >= np.maximum(least, 1 - 2 * SCALE)[:, None]
+        if s.shape[1] > k and np.count_nonzero(hits) > 4 * k * n:
             # The k-th best of the block settles most of it without sorting.
-            least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
-        row, col = np.nonzero((s >= least[:, None]) & (s > -2 * SCALE))
+            hits &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]
+        row, col = np.nonzero(hits)
         if not len(row):
             return
         filled, place = np.nonzero(own_ids >= 0) if (own_ids >= 0).any() else (row[:0], row[:0])
@@ -164,14 +172,6 @@ class _Best:
         own_ids[rows[keep], rank[keep]] = who[order][keep]
 
 
-def _offer(best: _Best, ids: np.ndarray, vectors: np.ndarray, c_ids: np.ndarray, c_vectors: np.ndarray) -> None:
-    for at in range(0, len(ids), STRIPE):
-        part = slice(at, at + STRIPE)
-        s = _scores(vectors[part], c_vectors)
-        s[ids[part][:, None] == c_ids[None, :]] = -2 * SCALE
-        best.add(at, s, c_ids)
-
-
 def _summary(vectors: np.ndarray) -> tuple[np.ndarray, float, bool]:
     """Centre of unit vectors, the widest angle from it, and whether a vector is zero; a zero
     vector's scores are zero, wherever the others lie."""
@@ -190,22 +190,58 @@ def _bounds(centres, angles, zeros, centre, angle, zero) -> np.ndarray:
     return np.where(zeros | zero, np.maximum(bound, MARGIN), bound)
 
 
-def _group_of(rows) -> list[tuple]:
-    """``(block, ids, vectors, summary)`` of the blocks of a group."""
-    out = []
-    for r in rows:
-        vectors = _unit(r.flat, len(r.ids))
-        out.append((r.block, np.asarray(r.ids), vectors, _summary(vectors)))
-    return out
-
-
-def _own_best(group: list[tuple], k: int) -> list[_Best]:
-    """Best lists of a group searched within itself."""
-    best = [_Best(len(ids), k) for _, ids, _, _ in group]
-    for b, (_, ids, vectors, _) in zip(best, group):
-        for _, c_ids, c_vectors, _ in group:
-            _offer(b, ids, vectors, c_ids, c_vectors)
-    return best
+class _Held:
+    """The blocks of a group side by side, with the best lists of their users, found within the group
+    first."""
+
+    def __init__(self, rows: list, k: int):
+        parts = [_unit(r.flat, len(r.ids)) for r in rows]
+        self.blocks = [r.block for r in rows]
+        self.table = [np.array(x) for x in zip(*map(_summary, parts))]
+        self.edges = np.cumsum([0, *map(len, parts)])
+        self.ids, self.vectors = np.concatenate([np.asarray(r.ids) for r in rows]), np.concatenate(parts)
+        self.best, self.near, self.n_near = _Best(len(self.ids), k), [], 0
+        for at in range(0, len(self.ids), BLOCK_ROWS):
+            ids, vectors = self.ids[at : at + BLOCK_ROWS], self.vectors[at : at + BLOCK_ROWS]
+            for row in range(0, len(self.ids), STRIPE):
+                self._offer(row, ids, vectors)
+        self.least = self._worst()
+
+    def _worst(self) -> np.ndarray:
+        """The least score that a candidate needs to enter any list of a block."""
+        return np.minimum.reduceat(self.best.score[:, -1], self.edges[:-1])
+
+    def _offer(self, at: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        part = slice(at, at + STRIPE)
+        s = _scores(self.vectors[part], vectors)
+        s[self.ids[part][:, None] == ids[None, :]] = -2 * SCALE
+        self.best.add(at, s, ids)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """A block of candidates; small ones are multiplied together."""
+        bounds = _bounds(*self.table, *_summary(vectors))
+        if (bounds >= self.least).any():
+            self.near.append((ids, vectors, bounds))
+            self.n_near += len(ids)
+        if self.n_near >= BLOCK_ROWS:
+            self.finish()
+
+    def finish(self) -> None:
+        """Multiply what has been met."""
+        if not self.near:
+            return
+        sizes = [len(ids) for ids, _, _ in self.near]
+        ids, vectors = (np.concatenate([x[i] for x in self.near]) for i in (0, 1))
+        wanted = np.stack([b for _, _, b in self.near], 1) >= self.least[:, None]
+        for at in range(0, len(self.ids), STRIPE):
+            first = np.searchsorted(self.edges, at, "right") - 1
+            end = np.searchsorted(self.edges, min(at + STRIPE, len(self.ids)), "left")
+            take = np.repeat(wanted[first:end].any(0), sizes)
+            if take.all():
+                self._offer(at, ids, vectors)
+            elif take.any():
+                self._offer(at, ids[take], vectors[take])
+        self.near, self.n_near, self.least = [], 0, self._worst()
 
 
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -218,20 +254,26 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 def _block_summaries(packed: DataFrame, k: int, n_groups: int) -> DataFrame:
     """Centre, angle and least useful score of each block, after a search within its group."""
 
-    def of_group(key, group):
-        for (block, _, _, (centre, angle, zero)), best in zip(group, _own_best(group, k)):
-            yield {"task": key[0], "group": key[1], "block": block, "centre": centre, "angle": angle, "zero": zero, "least": best.worst()}
+    def of_group(key, rows):
+        held = _Held(rows, k)
+        centre, angle, zero = held.table
+        return pd.DataFrame(
+            {
+                "task": key[0], "group": key[1], "block": held.blocks, "centre": list(centre), "angle": angle, "zero": zero,
+                "least": held.least,
+            }
+        )
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for now, r in _grouped(batches):
             if now != key and held:
-                yield pd.DataFrame(of_group(key, _group_of(held)))
+                yield of_group(key, held)
                 held = []
             key = now
             held.append(r)
         if held:
-            yield pd.DataFrame(of_group(key, _group_of(held)))
+            yield of_group(key, held)
 
     return _dealt(packed, n_groups, "block").mapInPandas(
         summed, "task string, group int, block int, centre array<double>, angle double, zero boolean, least bigint"
@@ -298,40 +340,34 @@ def neighbour_topk(
 ) -> DataFrame:
     """``(task, user, rank, neighbour, score)``: the k most similar other users, exactly; ties go
     to the smaller user.  A zero vector has similarity 0 to all."""
-    packed = cut_lineage(_neighbourhoods(users, block_rows, group_rows, pivots))
-
-    def found(key, group, best):
-        for (_, ids, _, _), b in zip(group, best):
-            row, rank = np.nonzero(b.id >= 0)
-            yield pd.DataFrame(
-                {"task": key[0], "user": ids[row], "rank": rank + 1, "neighbour": b.id[row, rank], "score_ppm": b.score[row, rank]}
-            )
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    packed = cut_lineage(_neighbourhoods(users, block_rows, group_rows, pivots, cores))
+
+    def found(key, held):
+        held.finish()
+        b = held.best
+        row, rank = np.nonzero(b.id >= 0)
+        yield pd.DataFrame(
+            {"task": key[0], "user": held.ids[row], "rank": rank + 1, "neighbour": b.id[row, rank], "score_ppm": b.score[row, rank]}
+        )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, group, best, table = None, [], None, None, None
+        key, rows, held = None, [], None
         for now, r in _grouped(batches):
             if now != key:
-                if held or group:
-                    group = group or _group_of(held)
-                    yield from found(key, group, best or _own_best(group, k))
-                key, held, group, best = now, [], None, None
+                if rows or held:
+                    yield from found(key, held or _Held(rows, k))
+                key, rows, held = now, [], None
             if r.kind == 0:
-                held.append(r)
+                rows.append(r)
                 continue
-            if group is None and not held:
+            if held is None and not rows:
                 continue
-            if group is None:
-                group, held = _group_of(held), []
-                best = _own_best(group, k)
-                table = [np.array(x) for x in zip(*(s for _, _, _, s in group))]
-            ids, vectors = np.asarray(r.ids), _unit(r.flat, len(r.ids))
-            bounds = _bounds(*table, *_summary(vectors))
-            for at, b in enumerate(best):
-                if bounds[at] >= b.worst():
-                    _offer(b, group[at][1], group[at][2], ids, vectors)
-        if held or group:
-            group = group or _group_of(held)
-            yield from found(key, group, best or _own_best(group, k))
+            if held is None:
+                held, rows = _Held(rows, k), []
+            held.meet(np.asarray(r.ids), _unit(r.flat, len(r.ids)))
+        if rows or held:
+            yield from found(key, held or _Held(rows, k))
 
     near = _dealt(facing_blocks(packed, k), _group_count(packed)[0], "kind", "bound", "block").mapInPandas(
         search, "task string, user bigint, rank int, neighbour bigint, score_ppm bigint"

@@ -112,3 +112,12 @@ def test_neighbour_rows_leave_a_task_once(spark):
     _, users = clustered(spark, 6, 20)
     plan = S.neighbour_topk(users, 2, 5, 10, 8)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_small_groups_share_their_candidates(spark):
+    """A block is copied for each core, however many small groups there are."""
+    _, _, users = make(spark, 600, dims=24, seed=8)
+    packed = S.cut_lineage(S._neighbourhoods(users, 4, 8, 16, cores=3))
+    blocks = packed.count()
+    kinds = {r["kind"]: r["count"] for r in S.facing_blocks(packed, 5).groupBy("kind").count().collect()}
+    assert blocks >= 100 and kinds[0] == blocks and kinds[1] <= 2 * blocks
