@@ -14,8 +14,9 @@ meet, and a task keeps running best lists, visits what is left by descending bou
 skips what has fallen behind since.  Only the best ``k`` of a user leave a task.
 
 A ROC curve on a fixed grid needs exact counts only near its grid points, so a task
-lets the candidates pass twice: scores are counted in coarse bins first, then finely in
-the few bins where a grid point falls.
+lets the candidates pass three times: scores are counted in coarse bins first, then in
+middle bins of the few coarse ones where a grid point falls, then singly in the few middle
+ones.  A user's counts are bounded by the grid, however many candidates pass.
 
 A score is the cosine rounded to six decimals and held as an integer in
 millionths, about the precision of a float32 vector.
@@ -24,6 +25,7 @@ millionths, about the precision of a float32 vector.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -379,21 +381,14 @@ def neighbour_topk(
 
 LOW = -SCALE // COARSE - 2
 BINS = -2 * LOW
+#: Scores in a middle bin, and middle bins in a coarse one.
+MIDDLE = 32
+MIDDLES = -(-COARSE // MIDDLE)
 
 
-def _coarse(s: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates and relevant candidates in each coarse bin, for each row of scores."""
-    at = (np.arange(len(s)) * BINS)[:, None] + (s // COARSE - LOW)
-    n = np.bincount(at.ravel(), minlength=len(s) * BINS)
-    tp = np.bincount(at[same], minlength=len(s) * BINS)
-    return n.reshape(len(s), BINS), tp.reshape(len(s), BINS)
-
-
-def _wanted(n: np.ndarray, tp: np.ndarray) -> np.ndarray:
-    """Coarse bins that a grid point falls in; without relevant candidates a bin's curve is flat."""
-    fp = n - tp
-    cfp = np.cumsum(fp[:, ::-1], axis=1)[:, ::-1]
-    all_fp = cfp[:, :1]
+def _wanted(fp: np.ndarray, tp: np.ndarray, cfp: np.ndarray, all_fp: np.ndarray) -> np.ndarray:
+    """Bins that a grid point falls in; without relevant candidates a bin's curve is flat.  ``cfp``
+    are a user's other candidates in a bin and above it, ``all_fp`` all of them."""
     last = GRID - 1
     with np.errstate(divide="ignore", invalid="ignore"):
         first = (last * (cfp - fp) + all_fp - 1) // all_fp
@@ -417,52 +412,136 @@ def _curve(score: np.ndarray, n: np.ndarray, tp: np.ndarray) -> np.ndarray | Non
     return np.concatenate([((ctp[at] - tp[at]) + tp[at] * along) / ctp[-1], [1.0]])
 
 
-class _Counts:
-    """Score counts of the users of a block: coarse ones in the first pass, fine ones in the second."""
+class _Level:
+    """Counts of candidates and of relevant ones in the bins of some score ranges, ``width`` scores in
+    a bin.  A range is of the user ``who``, begins at the score ``low`` and has ``above`` of the user's
+    ``all_fp`` other candidates above it; ranges lie in the order of users."""
+
+    def __init__(self, bins: int, width: int, who: np.ndarray, low: np.ndarray):
+        self.width, self.who, self.low = width, who, low
+        self.n, self.tp = (np.zeros((len(who), bins), np.int32) for _ in range(2))
+        self.above = self.all_fp = np.zeros(len(who), np.int64)
 
-    def __init__(self, r):
-        self.ids, self.ys, self.vectors = np.asarray(r.ids), np.asarray(r.ys), _unit(r.flat, len(r.ids))
-        self.n = np.zeros((len(self.ids), BINS), np.int32)
-        self.tp = np.zeros_like(self.n)
-        self.wanted, self.fine = None, []
+    def count(self, ranges: slice, at: np.ndarray, same: np.ndarray) -> None:
+        """Candidates at the bins ``at``, numbered from the first of ``ranges``; ``same`` marks relevant ones."""
+        shape = self.n[ranges].shape
+        size = shape[0] * shape[1]
+        self.n[ranges] += np.bincount(at, minlength=size).reshape(shape).astype(np.int32)
+        self.tp[ranges] += np.bincount(at[same], minlength=size).reshape(shape).astype(np.int32)
 
-    def add(self, second: bool, c_ys: np.ndarray, c_vectors: np.ndarray) -> None:
+    def refined(self, bins: int, width: int) -> _Level:
+        """A range for each wanted bin, whose place here then holds -1 less the range's number."""
+        out, number = [], 0
+        for at in range(0, len(self.who), STRIPE):
+            part = slice(at, at + STRIPE)
+            n, tp = self.n[part], self.tp[part]
+            fp = n - tp
+            cfp = self.above[part][:, None] + np.cumsum(fp[:, ::-1], axis=1)[:, ::-1]
+            all_fp = self.all_fp[part][:, None] if self.all_fp.any() else cfp[:, :1]
+            row, col = np.nonzero(_wanted(fp, tp, cfp, all_fp))
+            out.append((self.who[part][row], self.low[part][row] + col * self.width, (cfp - fp)[row, col], all_fp[row, 0]))
+            n[row, col] = -1 - (number + np.arange(len(row)))
+            number += len(row)
+        who, low, above, all_fp = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        level = _Level(bins, width, who, low)
+        level.above, level.all_fp = above, all_fp
+        return level
+
+    def ranges(self, first: int, end: int) -> slice:
+        """Ranges of the users from ``first`` to ``end``."""
+        return slice(*np.searchsorted(self.who, [first, end]))
+
+
+class _Counts:
+    """Score counts of the users of a group: in coarse bins in the first pass, in middle ones in the
+    second, of single scores in the third.  At most ``GRID`` bins of a user are refined at a time."""
+
+    def __init__(self, rows: list):
+        self.ids, self.ys = (np.concatenate([np.asarray(x) for x in y]) for y in zip(*((r.ids, r.ys) for r in rows)))
+        self.vectors = np.concatenate([_unit(r.flat, len(r.ids)) for r in rows])
+        self.numbers: dict = {}
+        self.kinds = self._numbered(self.ys)
+        users = np.arange(len(self.ids))
+        self.levels = [_Level(BINS, COARSE, users, np.full(len(users), LOW * COARSE))]
+        self.met, self.n_met = [], 0
+
+    def _numbered(self, ys: np.ndarray) -> np.ndarray:
+        """Labels as numbers, which compare faster."""
+        return np.array([self.numbers.setdefault(y, len(self.numbers)) for y in ys], np.int32)
+
+    def meet(self, turn: int, ys: np.ndarray, vectors: np.ndarray) -> None:
+        """A block of candidates in their pass number ``turn``; small blocks are multiplied together."""
+        while turn > len(self.levels):
+            self.finish()
+            self.levels.append(self.levels[-1].refined(*((MIDDLES, MIDDLE), (MIDDLE, 1))[len(self.levels) - 1]))
+        self.met.append((self._numbered(ys), vectors))
+        self.n_met += len(ys)
+        if self.n_met >= BLOCK_ROWS:
+            self.finish()
+
+    def finish(self) -> None:
+        """Count what has been met."""
+        if not self.met:
+            return
+        kinds, vectors = (np.concatenate(x) for x in zip(*self.met))
+        self.met, self.n_met = [], 0
+        now = self.levels[-1]
         for at in range(0, len(self.ids), STRIPE):
             part = slice(at, at + STRIPE)
-            s = _scores(self.vectors[part], c_vectors)
-            same = self.ys[part][:, None] == c_ys[None, :]
-            if not second:
-                n, tp = _coarse(s, same)
-                self.n[part] += n
-                self.tp[part] += tp
+            s = (_scores(self.vectors[part], vectors) - LOW * COARSE).astype(np.uint32)
+            same = self.kinds[part][:, None] == kinds[None, :]
+            coarse = s // np.uint32(COARSE)
+            place = (np.arange(len(s)) * BINS)[:, None] + coarse
+            if len(self.levels) == 1:
+                now.count(part, place.ravel(), same.ravel())
                 continue
-            if self.wanted is None:
-                self.wanted = _wanted(self.n, self.tp)
-            row = np.broadcast_to(np.arange(at, at + len(s))[:, None], s.shape)
-            hit = self.wanted[row, s // COARSE - LOW]
-            code = row[hit] * (4 * SCALE) + s[hit] + 2 * SCALE
-            self.fine.append(_summed(code, np.ones(len(code), np.int64), same[hit].astype(np.int64)))
-            if len(self.fine) > 64:
-                self.fine = [_summed(*(np.concatenate(x) for x in zip(*self.fine)))]
+            number = self.levels[0].n[part].ravel()[place]
+            hit = number < 0
+            number, same, rest = -1 - number[hit].astype(np.int64), same[hit], (s - coarse * np.uint32(COARSE))[hit]
+            ranges, bins = now.ranges(at, at + STRIPE), rest // MIDDLE
+            if len(self.levels) == 3:
+                number = self.levels[1].n[number, bins]
+                hit = number < 0
+                number, same, bins = -1 - number[hit].astype(np.int64), same[hit], rest[hit] % MIDDLE
+            now.count(ranges, (number - ranges.start) * now.n.shape[1] + bins, same)
 
     def curves(self) -> Iterator[tuple]:
-        empty = (np.zeros(0, np.int64),) * 3
-        code, n, tp = _summed(*(np.concatenate(x) for x in zip(empty, *self.fine)))
-        edge = np.searchsorted(code, np.arange(len(self.ids) + 1) * (4 * SCALE))
-        wanted = self.wanted if self.wanted is not None else np.zeros(self.n.shape, bool)
-        for i in range(len(self.ids)):
-            own = slice(edge[i], edge[i + 1])
-            rest = np.flatnonzero((self.n[i] > 0) & ~wanted[i])
-            score = np.concatenate([code[own] % (4 * SCALE) - 2 * SCALE, (rest + LOW) * COARSE])
-            tpr = _curve(score, np.concatenate([n[own], self.n[i, rest]]), np.concatenate([tp[own], self.tp[i, rest]]))
-            if tpr is not None:
-                yield self.ids[i], self.ys[i], tpr
+        for first in range(0, len(self.ids), STRIPE):
+            cells = []
+            for level in self.levels:
+                part = level.ranges(first, first + STRIPE)
+                n, tp = level.n[part], level.tp[part]
+                row, col = np.nonzero(n > 0)
+                cells.append((level.who[part][row], level.low[part][row] + col * level.width, n[row, col], tp[row, col]))
+            who, score, n, tp = (np.concatenate(x) for x in zip(*cells))
+            order = np.argsort(who, kind="stable")
+            score, n, tp = score[order], n[order].astype(np.int64), tp[order].astype(np.int64)
+            edge = np.searchsorted(who[order], np.arange(first, first + STRIPE + 1))
+            for i in range(first, min(first + STRIPE, len(self.ids))):
+                own = slice(edge[i - first], edge[i - first + 1])
+                tpr = _curve(score[own], n[own], tp[own])
+                if tpr is not None:
+                    yield self.ids[i], self.ys[i], tpr
+
+
+def _curve_blocks(users: DataFrame, block_rows: int, group_rows: int, cores: int) -> DataFrame:
+    """Packed blocks of users by hash, in groups held together as far as ``CURVE_ROWS`` and ``cores`` say."""
+    size = max(1, group_rows // block_rows)
+    placed = _sized(users, ["task"], block_rows).withColumnRenamed("chunk", "block")
+    groups = F.ceil(F.col("chunks") / size)
+    per = _together(groups, F.col("chunks") * block_rows, CURVE_ROWS, cores)
+    placed = placed.withColumn("group", F.floor(F.floor(F.col("block") / size) / per).cast("int"))
+    return _packed(placed.withColumn("groups", F.ceil(groups / per).cast("int")))
 
 
-def _summed(code: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Values summed by code, in the order of codes."""
-    at, back = np.unique(code, return_inverse=True)
-    return (at, *(np.bincount(back, v, len(at)).astype(np.int64) for v in values))
+def passing_blocks(packed: DataFrame) -> DataFrame:
+    """Rows that meet for the curves: a group's own blocks (``kind`` 0), then all blocks of its task in
+    each of three passes (``kind`` 1, 2, 3)."""
+    body = ["block", "ids", "ys", "flat"]
+    query = packed.select("task", "group", F.lit(0).alias("kind"), *body)
+    passes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("kind")
+    candidates = packed.select("task", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *body)
+    return query.unionByName(candidates.select("task", "group", passes, *body))
 
 
 def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = CURVE_ROWS) -> DataFrame:
@@ -470,58 +549,51 @@ def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = C
 
     A user's candidates are all users of the task, the user included; relevant are
     those with the same label.  Users whose task has no other label have no curve.
-    A block is copied twice for each group of ``group_rows`` users, once for each pass.
+    A block is copied three times for each group, once for each pass.  Groups of ``group_rows``
+    users are held together up to ``CURVE_ROWS``, as long as each core has one.
     """
-    size = max(1, group_rows // block_rows)
-    placed = _sized(users, ["task"], block_rows).withColumnRenamed("chunk", "block")
-    packed = cut_lineage(
-        _packed(
-            placed.withColumn("group", F.floor(F.col("block") / size).cast("int")).withColumn(
-                "groups", F.ceil(F.col("chunks") / size).cast("int")
-            )
-        )
-    )
-    body = ["block", "ids", "ys", "flat"]
-    query = packed.select("task", "group", F.lit(0).alias("kind"), *body)
-    passes = F.explode(F.array(F.lit(1), F.lit(2))).alias("kind")
-    candidates = packed.select("task", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *body)
-    facing = query.unionByName(candidates.select("task", "group", passes, *body))
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    packed = cut_lineage(_curve_blocks(users, block_rows, group_rows, cores))
 
     def curves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, rows, held = None, [], None
         for now, r in _grouped(batches):
             if now != key:
                 yield from _curve_rows(key, held)
-                key, held = now, []
+                key, rows, held = now, [], None
             if r.kind == 0:
-                held.append(_Counts(r))
+                rows.append(r)
                 continue
-            ys, vectors = np.asarray(r.ys), _unit(r.flat, len(r.ids))
-            for counts in held:
-                counts.add(r.kind == 2, ys, vectors)
+            if held is None and not rows:  # hashing left all chunks of this group empty
+                continue
+            if held is None:
+                held, rows = _Counts(rows), []
+            held.meet(r.kind, np.asarray(r.ys), _unit(r.flat, len(r.ids)))
         yield from _curve_rows(key, held)
 
     return (
-        _dealt(facing, _group_count(packed)[0], "kind", "block")
+        _dealt(passing_blocks(packed), _group_count(packed)[0], "kind", "block")
         .mapInPandas(curves, "task string, user bigint, y string, k bigint, tpr double")
         .select("task", "user", "y", "k", (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
     )
 
 
-def _curve_rows(key, held) -> Iterator[pd.DataFrame]:
-    for counts in held:
-        found = list(counts.curves())
-        if found:
-            ids, ys, tprs = zip(*found)
-            yield pd.DataFrame(
-                {
-                    "task": key[0],
-                    "user": np.repeat(ids, GRID),
-                    "y": np.repeat(np.array(ys, object), GRID),
-                    "k": np.tile(np.arange(GRID), len(ids)),
-                    "tpr": np.concatenate(tprs),
-                }
-            )
+def _curve_rows(key, held: _Counts | None) -> Iterator[pd.DataFrame]:
+    if held is None:
+        return
+    held.finish()
+    curves = held.curves()
+    while found := list(islice(curves, BLOCK_ROWS)):
+        ids, ys, tprs = zip(*found)
+        yield pd.DataFrame(
+            {
+                "task": key[0],
+                "user": np.repeat(ids, GRID),
+                "y": np.repeat(np.array(ys, object), GRID),
+                "k": np.tile(np.arange(GRID), len(ids)),
+                "tpr": np.concatenate(tprs),
+            }
+        )
 
 
 def mean_roc(curves: DataFrame) -> DataFrame:

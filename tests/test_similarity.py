@@ -121,3 +121,30 @@ def test_small_groups_share_their_candidates(spark):
     blocks = packed.count()
     kinds = {r["kind"]: r["count"] for r in S.facing_blocks(packed, 5).groupBy("kind").count().collect()}
     assert blocks >= 100 and kinds[0] == blocks and kinds[1] <= 2 * blocks
+
+
+def test_small_groups_of_curves_share_their_candidates(spark):
+    _, _, users = make(spark, 600, seed=8)
+    packed = S.cut_lineage(S._curve_blocks(users, 4, 8, cores=3))
+    blocks = packed.count()
+    kinds = {r["kind"]: r["count"] for r in S.passing_blocks(packed).groupBy("kind").count().collect()}
+    assert blocks >= 100 and kinds[0] == blocks and all(kinds[i] <= 3 * blocks for i in (1, 2, 3))
+
+
+def test_counts_of_a_curve_do_not_grow_with_the_candidates():
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    sizes = []
+    for n in (1_500, 30_000):
+        vec, y = rng.normal(size=(n, 6)), np.array([str(v) for v in rng.integers(0, 2, n)], object)
+        held = S._Counts([SimpleNamespace(ids=np.arange(20), ys=y[:20], flat=vec[:20].ravel())])
+        for turn in (1, 2, 3):
+            for at in range(0, n, 500):
+                held.meet(turn, y[at : at + 500], S._unit(vec[at : at + 500].ravel(), 500))
+        held.finish()
+        sizes.append(sum(level.n.size for level in held.levels))
+        s = np.rint(S._unit(vec[:20].ravel(), 20) @ S._unit(vec.ravel(), n).T * 1_000_000).astype(int)
+        for i, _, tpr in list(held.curves())[:3] if n < 2_000 else []:
+            assert np.allclose(tpr, curve(s[i], y == y[i]), atol=1e-9)
+    assert max(sizes) <= 20 * (S.BINS + 2 * 99 * S.MIDDLE)
