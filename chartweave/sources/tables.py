@@ -87,29 +87,45 @@ def committed(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_results(long: DataFrame, path: str, run: str | None = None) -> str:
     """Append the rows of a run to the result log, which is created on first use; the run's name.
 
-    Rows are written first, a folder per run, model and task; the run's line in the manifest
-    comes last.  Readers follow the manifest, so a run that failed midway is not there, and
-    writing it again replaces what it left.  A run that is there already is not written again.
-    Without a name each call is a run of its own.
+    Rows are written first, a folder per run, in as many files as ``long`` has partitions however
+    many models and tasks there are; the run's line in the manifest comes last.  Readers follow the
+    manifest, so a run that failed midway is not there, and writing it again replaces what it left.
+    A run that is there already is not written again.  Without a name each call is a run of its own.
     """
     spark, run = long.sparkSession, run or str(uuid.uuid4())
     line = f"{path}/runs/run={run}"
     if not committed(spark, line):
-        long.write.mode("overwrite").partitionBy("model", "task").parquet(f"{path}/rows/run={run}")
+        long.write.mode("overwrite").parquet(f"{path}/results/run={run}")
         spark.range(1).select(F.current_timestamp().alias("written")).write.mode("overwrite").parquet(line)
     return run
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of all runs in the manifest of a result log, with their ``run``.  ``schema`` saves the
-    reader from looking into the files of runs that never ended."""
+    reader from looking into the files of runs that never ended.  Runs of older logs, with a folder
+    per model and task under ``rows``, are read as well."""
     runs = spark.read.option("basePath", f"{path}/runs").schema("written timestamp, run string").parquet(f"{path}/runs")
-    rows = spark.read.option("basePath", f"{path}/rows")
-    rows = rows.schema(schema) if schema else rows
-    rows = rows.parquet(f"{path}/rows").withColumn("run", F.col("run").cast("string"))
+
+    def under(folder: str, schema) -> DataFrame:
+        rows = spark.read.option("basePath", f"{path}/{folder}")
+        rows = rows.schema(schema) if schema else rows
+        return rows.parquet(f"{path}/{folder}").withColumn("run", F.col("run").cast("string"))
+
+    if not _exists(spark, f"{path}/results"):
+        rows = under("rows", schema)
+    else:
+        rows = under("results", schema)
+        if _exists(spark, f"{path}/rows"):
+            same = T.StructType([f for f in rows.schema if f.name != "run"])
+            rows = rows.unionByName(under("rows", same))
     return rows.join(runs.select("run").distinct(), "run", "left_semi")
 
 

@@ -169,3 +169,19 @@ def test_probe_learns_a_separable_task(spark):
     yes = [r["score"] for r in got if r["y"] == "yes"]
     no = [r["score"] for r in got if r["y"] == "no"]
     assert min(np.mean(yes), 1) > np.mean(no) + 0.5
+
+
+def test_folders_of_a_log_do_not_grow_with_its_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "log"
+    rows = spark.range(200).selectExpr("'m' AS model", "concat('0', id) AS task", "'f1' AS metric", "'all' AS grp", "id * 1.0D AS value")
+    rows.limit(5).withColumn("task", F.lit("7")).write.partitionBy("model", "task").parquet(f"{path}/rows/run=old")
+    spark.range(1).select(F.current_timestamp().alias("written")).write.parquet(f"{path}/runs/run=old")
+    tables.append_results(rows.coalesce(2), str(path), "new")
+    assert len(list(path.rglob("results/**/*.parquet"))) == 2
+    got = tables.read_results(spark, str(path))
+    new = {(r["task"], r["value"]) for r in got.filter("run = 'new'").collect()}
+    assert new == {(f"0{i}", float(i)) for i in range(200)}
+    # A run of a log of the older layout is still there.
+    assert {r["task"] for r in got.filter("run = 'old'").collect()} == {"7"} and got.count() == 205
