@@ -216,7 +216,10 @@ def mask_positions(
     n = F.bround(F.size("tokens") * F.lit(prob)).cast("int")
     count = F.least(F.lit(max_preds), F.greatest(F.lit(1), n))
     if whole_word:
-        return sequences.withColumn("picks", _word_picks(count, seed))
+        # An array of one, exploded: the optimizer neither repeats the draw in a later filter nor makes
+        # the tokens anew inside it.
+        kept = [F.col(c) for c in sequences.columns if c != "picks"]
+        return sequences.select(*kept, F.explode(F.array(_word_picks(count, seed))).alias("picks"))
     places = F.transform(
         "tokens",
         lambda t, i: F.when(
@@ -241,18 +244,18 @@ def _word_picks(budget: Column, seed: int) -> Column:
     """Masked places of whole words.  A word is a piece and the ``##`` pieces after it, all of letters;
     drawn words are taken in order while the sum of their pieces stays within the budget."""
     first = F.array_compact(F.transform("tokens", lambda t, i: F.when(~t.startswith("##"), i)))
-
-    def word(head, k):
-        end = F.coalesce(F.get(first, k + 1), F.size("tokens"))
-        return F.struct(
-            keyed_hash(seed, F.col("subject_id"), F.col("start"), head).alias("h"), head.alias("at"), (end - head).alias("size")
-        )
+    # A word ends where the next begins; side by side, so no list is made again for each word.
+    ends = F.concat(F.slice(first, F.lit(2), F.size("tokens")), F.array(F.size("tokens")))
+    words = F.zip_with(first, ends, lambda head, end: F.struct(head.alias("at"), (end - head).alias("size")))
 
     def candidate(w):
         rest = F.slice("tokens", w["at"] + 2, F.greatest(w["size"] - 1, F.lit(0)))
         return _maskable(F.get("tokens", w["at"])) & F.forall(rest, lambda t: t.rlike(r"^##\p{L}+$"))
 
-    drawn = F.array_sort(F.filter(F.transform(first, word), candidate))
+    def hashed(w):
+        return F.struct(keyed_hash(seed, F.col("subject_id"), F.col("start"), w["at"]).alias("h"), w["at"].alias("at"), w["size"].alias("size"))
+
+    drawn = F.array_sort(F.transform(F.filter(words, candidate), hashed))
     none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<struct<at:int,size:int>>").alias("words"))
 
     def take(acc, w):

@@ -208,3 +208,11 @@ def test_exact_units_of_documents(spark):
     rows = [(r["token"], r["n"]) for r in types.collect()]
     size = len({c for t, _ in rows for c in t}) * 2 + 60
     assert vocab.subword_vocab(types, size, exact=True) == plain_units(rows, size)
+
+
+def test_words_are_drawn_once_for_each_sequence(spark):
+    """Neither a filter on the picks nor the places of words makes the list of tokens again."""
+    made = sequences(spark, "[CLS] pl ##ay cat [SEP]".split()).withColumn("tokens", F.concat("tokens", F.array(F.lit("marked"))))
+    out = mlm.mask_positions(made, whole_word=True).filter(F.size("picks") > 0).select("picks.index", "picks.label")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marked") == 1 and plan.count("##") <= 3
