@@ -23,6 +23,10 @@ Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 # Documents and chunks per encoder call.
 BATCH = 64
 MULTI_BATCH = 32
+#: Characters of the documents of one call, unless a single one has more, and tokens that the check
+#: encoder remembers: what a task holds does not grow with its documents.
+CALL_CHARS = 1 << 20
+MEMO_TOKENS = 20_000
 # Feature names and the way they read the encoder output.
 FEATURES = {
     "BERT-POOL": ("single", "mean"),
@@ -36,6 +40,18 @@ FEATURES = {
 }
 
 
+def _calls(texts: Sequence[str], batch: int) -> Iterator[slice]:
+    """Slices of at most ``batch`` texts and ``CALL_CHARS`` characters, of one text at least."""
+    first = chars = 0
+    for i, n in enumerate(len(t) if t else 0 for t in texts):
+        if i > first and (i - first == batch or chars + n > CALL_CHARS):
+            yield slice(first, i)
+            first, chars = i, 0
+        chars += n
+    if len(texts) > first:
+        yield slice(first, len(texts))
+
+
 def encode(
     docs: DataFrame,
     make_encoder: Callable[[], Encoder],
@@ -49,8 +65,8 @@ def encode(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
+            for at in _calls(pdf[text], batch):
+                part = pdf.iloc[at]
                 states = encoder(part[text].tolist())
                 vec = [s.mean(axis=0) if pooling == "mean" else s[0] for s in states]
                 yield part[list(keys)].assign(vec=[v.astype(float).tolist() for v in vec])
@@ -99,6 +115,8 @@ def hash_encoder(dims: int = 8) -> Callable[[], Encoder]:
 
         def vector(token: str) -> np.ndarray:
             if token not in memo:
+                if len(memo) >= MEMO_TOKENS:
+                    memo.clear()
                 digest = hashlib.md5(token.encode()).digest()[:dims]
                 memo[token] = np.sqrt(np.frombuffer(digest, dtype=np.uint8).astype(float))
             return memo[token]
