@@ -24,6 +24,8 @@ ENTITY_TYPES = ("T047", "T048", "T184", "T034", "T058", "T060", "T195", "T121",
 #: Phrases in one trie, which every task holds.  A larger table is dealt to several, and the notes
 #: walk each.
 TRIE_PHRASES = 500_000
+#: Tokens of notes that a walk takes at a time.
+WALK_TOKENS = 200_000
 
 SPAN = "struct<start:int,len:int,phrase:string,tui:string,cui:string>"
 _SPAN = pa.struct([("start", pa.int32()), ("len", pa.int32()), *[(c, pa.string()) for c in ("phrase", "tui", "cui")]])
@@ -120,6 +122,18 @@ def _tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), sizes
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``WALK_TOKENS`` tokens, of one note at least."""
+    for batch in batches:
+        ends = np.cumsum(_tokens(batch.column("tokens"))[1])
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + WALK_TOKENS, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def _spans_column(rows: int, note, start, size, fields) -> pa.ListArray:
     ends = pa.array(np.searchsorted(note, np.arange(rows + 1)), pa.int32())
     spans = pa.StructArray.from_arrays(
@@ -188,7 +202,7 @@ def _with_spans(notes: DataFrame, gazetteer, key: str, sizes, types, most: int,
     trie = tries[0]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             column = batch.column("tokens")
             flat, sizes, note, place, start, size, phrase = _matched(trie.value, column)
             fields = _fields(trie.value, phrase)
@@ -209,7 +223,7 @@ def _over_tries(notes, tries, key, keep, as_text, schema) -> DataFrame:
 
     def places(trie):
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _bounded(batches):
                 _, _, note, _, start, size, phrase = _matched(trie.value, batch.column("tokens"), True)
                 at = pa.array(note)
                 yield pa.RecordBatch.from_arrays(
@@ -231,7 +245,7 @@ def _over_tries(notes, tries, key, keep, as_text, schema) -> DataFrame:
     joined = notes.select(*keep, "tokens").join(met, key, "left").select(*keep, "tokens", "m")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             column, m = batch.column("tokens"), batch.column("m")
             flat, sizes = _tokens(column)
             counts = pc.fill_null(m.value_lengths(), 0).to_numpy(zero_copy_only=False)
