@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ VOCAB_SIZE = 20_000
 MAX_WORD_CHARS = 100
 # Merge rounds replayed on the type table before it is written anew.
 ROUNDS_PER_WRITE = 8
+#: Words that a task remembers the pieces of.
+MEMO_WORDS = 50_000
+#: Documents whose words are cut at a time.
+SLICE_ROWS = 64
 
 WORD_TYPE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -229,31 +234,41 @@ def _longest_units(word: str, units: set[str]) -> list[str]:
     return out
 
 
+def _piece_encoder(units: Sequence[str], memo: dict[str, list[str]]) -> Callable[[pa.Array], pa.Array]:
+    known = set(units)
+    whole = set(SPECIALS)
+
+    def one(items):
+        out: list[str] = []
+        for w in items:
+            got = memo.get(w)
+            if got is None:
+                got = [w] if w in whole else _longest_units(w, known)
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                memo[w] = got
+            out.extend(got)
+        return out
+
+    def encode(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        # Words become Python strings for a few documents at a time.
+        parts = [
+            pa.array([one(items) for items in column.slice(at, SLICE_ROWS).to_pylist()], kind)
+            for at in range(0, len(column), SLICE_ROWS)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return encode
+
+
 def subword_encode(words: Column, units: Sequence[str]) -> Column:
     """Greedy longest-match pieces of an array of words.
 
     Narrow on purpose: the vocabulary is bounded and travels with the task, each
-    task remembers the words it has met, and no token is shuffled.
+    task remembers the words it has met lately, and no token is shuffled.
     """
-    known = set(units)
-    whole = set(SPECIALS)
-    memo: dict[str, list[str]] = {}
-
-    def encode(column: pd.Series) -> pd.Series:
-        def one(items):
-            out: list[str] = []
-            for w in items:
-                got = memo.get(w)
-                if got is None:
-                    got = [w] if w in whole else _longest_units(w, known)
-                    if len(memo) < 1_000_000:
-                        memo[w] = got
-                out.extend(got)
-            return out
-
-        return column.map(one)
-
-    return F.pandas_udf(encode, "array<string>")(words)
+    return F.arrow_udf(_piece_encoder(units, {}), "array<string>")(words)
 
 
 def unit_table(spark: SparkSession, units: Sequence[str]) -> DataFrame:

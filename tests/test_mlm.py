@@ -216,3 +216,26 @@ def test_words_are_drawn_once_for_each_sequence(spark):
     out = mlm.mask_positions(made, whole_word=True).filter(F.size("picks") > 0).select("picks.index", "picks.label")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("marked") == 1 and plan.count("##") <= 3
+
+
+def test_pieces_are_remembered_for_a_bounded_number_of_words():
+    import pyarrow as pa
+
+    memo = {}
+    encode = vocab._piece_encoder([*vocab.SPECIALS, "a", "##1"], memo)
+    words = [[f"w{i}" for i in range(at, at + 400)] for at in range(0, vocab.MEMO_WORDS + 800, 400)]
+    got = encode(pa.array([["a1", "[SEP]"], [], *words])).to_pylist()
+    assert got[:2] == [["a", "##1", "[SEP]"], []] and got[2] == ["[UNK]"] * 400
+    assert len(got) == len(words) + 2 and len(memo) <= vocab.MEMO_WORDS
+
+
+def test_notes_are_walked_a_bounded_number_of_tokens_at_a_time():
+    import pyarrow as pa
+
+    from chartweave.operators import entities
+
+    n = entities.WALK_TOKENS // 4
+    batch = pa.RecordBatch.from_pydict({"tokens": pa.array([["x"] * n] * 9 + [None, []] + [["x"] * (6 * n)] + [["y"]])})
+    parts = list(entities._bounded([batch]))
+    sizes = [sum(len(t or []) for t in p.column("tokens").to_pylist()) for p in parts]
+    assert sum(p.num_rows for p in parts) == batch.num_rows and sizes == [4 * n, 4 * n, n, 6 * n, 1]
