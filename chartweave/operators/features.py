@@ -18,6 +18,9 @@ from chartweave.session import cut_lineage
 
 #: Vectors that a task holds.
 BLOCK_BYTES = 64 << 20
+#: Tokens of a vocabulary that every task may hold, and tokens of documents that one looks up at a time.
+KNOWN_TOKENS = 500_000
+SLICE_TOKENS = 200_000
 
 
 def bow_freq(docs: DataFrame, key: str, items: Column) -> DataFrame:
@@ -219,6 +222,69 @@ def sparse_vectors(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFra
     return _sparse(known.select(key, F.col("id").cast("int").alias("id"), F.col("n").cast("double").alias("weight")), key)
 
 
+def sparse_bags(docs: DataFrame, key: str, items: Column, vocabulary: DataFrame, binary: bool = False) -> DataFrame:
+    """``sparse_vectors`` of the counts of each document's ``items``, or of ones with ``binary``.
+
+    A vocabulary of up to ``KNOWN_TOKENS`` travels to the documents, which are counted in place: only
+    their known ids are shuffled, as arrays, and only because rows may repeat a key."""
+    known = vocabulary.select("id", "token").limit(KNOWN_TOKENS + 1).toArrow()
+    if known.num_rows > KNOWN_TOKENS or pc.count_distinct(known["token"], mode="all").as_py() < known.num_rows:
+        return sparse_vectors((bow_bin if binary else bow_freq)(docs, key, items), vocabulary, key)
+    known = known.filter(known["token"].is_valid()).combine_chunks()
+    ids = known["id"].to_numpy().astype(np.int64)
+    width = int(ids.max()) + 1 if len(ids) else 1
+    shared = docs.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), ids))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = shared.value
+        for batch in _slices(batches, "items"):
+            lists = batch.column("items")
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            at = pc.index_in(lists.flatten().cast(tokens.type), tokens)
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            code = row[there] * width + ids[at.drop_null().to_numpy(zero_copy_only=False)]
+            code, n = np.unique(code, return_counts=True)
+            of, ends = np.unique(code // width, return_index=True)
+            ends = pa.array(np.append(ends, len(code)), pa.int32())
+            weights = np.ones(len(n)) if binary else n.astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(pa.array(of)),
+                    pa.ListArray.from_arrays(ends, pa.array((code % width).astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(weights)),
+                ],
+                names=["key", "ids", "weights"],
+            )
+
+    kind = T.StructField("key", docs.schema[key].dataType)
+    schema = T.StructType([kind, *T.StructType.fromDDL("ids array<int>, weights array<double>").fields])
+    parts = docs.select(F.col(key).alias("key"), items.alias("items")).mapInArrow(counted, schema)
+    whole = F.max("weight") if binary else F.sum("weight")
+    return _merged_parts(parts.withColumnRenamed("key", key), key, whole)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``SLICE_TOKENS`` items, of one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
+def _merged_parts(parts: DataFrame, key: str, weight: Column) -> DataFrame:
+    """One sparse row per key: a single part as it is, several with ``weight`` of each id, an aggregate
+    of its weights ``weight`` in ``n_parts`` parts."""
+    met = parts.groupBy(key).agg(F.collect_list(F.struct("ids", "weights")).alias("p"))
+    one = met.filter(F.size("p") == 1).select(key, F.col("p")[0]["ids"].alias("ids"), F.col("p")[0]["weights"].alias("weights"))
+    several = met.filter(F.size("p") > 1).select(key, F.size("p").alias("n_parts"), F.explode("p").alias("x"))
+    cells = several.select(key, "n_parts", F.inline(F.arrays_zip("x.ids", "x.weights"))).toDF(key, "n_parts", "id", "weight")
+    return one.unionByName(_sparse(cells.groupBy(key, "id").agg(weight.alias("weight")), key))
+
+
 def _sparse(rows: DataFrame, key: str) -> DataFrame:
     cells = F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("c")
     return rows.groupBy(key).agg(cells).select(key, F.col("c.id").alias("ids"), F.col("c.weight").alias("weights"))
@@ -248,11 +314,8 @@ def feature_coverage(rows: DataFrame, features: DataFrame, key: str = "subject_i
 
 def pool_sparse(parts: DataFrame, key: str) -> DataFrame:
     """Mean of the sparse part vectors of each document."""
-    known = parts.filter("ids is not null")
-    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    cells = known.select(key, F.inline(F.arrays_zip("ids", "weights"))).groupBy(key, F.col("ids").alias("id"))
-    sums = cells.agg(F.sum("weights").alias("_s")).join(n, key)
-    return _sparse(sums.select(key, "id", (F.col("_s") / F.col("_n")).alias("weight")), key)
+    known = parts.filter("ids is not null").select(key, "ids", "weights")
+    return _merged_parts(known, key, F.sum("weight") / F.first("n_parts"))
 
 
 def pool_mean(parts: DataFrame, key: str) -> DataFrame:

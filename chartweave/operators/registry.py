@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from chartweave.operators import encoders, features
 
 
-def _bow(job):
+def _bow(binary: bool):
     def build(docs: DataFrame, key: str, vocabulary: DataFrame, **_) -> DataFrame:
-        return features.sparse_vectors(job(docs, key, F.col("tokens")), vocabulary, key)
+        return features.sparse_bags(docs, key, F.col("tokens"), vocabulary, binary)
 
     return build
 
@@ -37,8 +37,8 @@ def _encoded(name: str):
 
 # The names of feature sets.
 BUILDERS: dict[str, Callable[..., DataFrame]] = {
-    "BOW-BIN": _bow(features.bow_bin),
-    "BOW-FREQ": _bow(features.bow_freq),
+    "BOW-BIN": _bow(True),
+    "BOW-FREQ": _bow(False),
     "BOE-BIN": _boe(features.boe_bin),
     "BOE-SUM": _boe(features.boe_sum),
     "U2V": lambda docs, key, vectors, **_: features.user_vectors(docs, vectors, key),

@@ -42,10 +42,6 @@ def counts(spark, sf):
     return vocab.token_counts(I.clean_documents(spark, sf), F.split("text", " "))
 
 
-def vectors(spark, sf):
-    return I.token_vectors(spark, sf, counts(spark, sf))
-
-
 def bagged(spark, sf):
     """Terms, written once, and the vectors of their tokens."""
     rows = cut_lineage(terms(spark, sf))
@@ -86,7 +82,8 @@ def bow_freq(spark, sf):
     FROM {COUNTS} JOIN {VECTORS} USING (token)""",
 )
 def token_embeddings(spark, sf):
-    joined = features.token_embeddings(counts(spark, sf), vectors(spark, sf))
+    counted = cut_lineage(counts(spark, sf))
+    joined = features.token_embeddings(counted, I.token_vectors(spark, sf, counted))
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return joined.select(
         "token", "n", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(total, 6).alias("total")
@@ -274,10 +271,8 @@ _BOW = f"""(SELECT doc_id, id, n FROM {TERMS} JOIN (SELECT token, row_number() O
 
 
 def _bow_features(spark, sf, name):
-    rows = cut_lineage(terms(spark, sf))
-    counted = rows.groupBy("token").agg(F.sum("n").alias("n"))
     docs = I.clean_documents(spark, sf).select("doc_id", F.split("text", " ").alias("tokens"))
-    return registry.build(name, docs, "doc_id", vocabulary=vocab.token_vocab(counted, BOW_SIZE))
+    return registry.build(name, docs, "doc_id", vocabulary=vocab.token_vocab(counts(spark, sf), BOW_SIZE))
 
 
 def _vector_sql(weight):

@@ -49,3 +49,35 @@ def test_terms_travel_without_vectors(spark):
     _, _, terms, vectors = made(spark, 3)
     plan = features.boe_sum(terms, vectors, "doc", blocks=2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" in plan
+
+
+def test_bags_of_a_small_vocabulary_are_counted_in_place(spark):
+    from pyspark.sql import functions as F
+
+    docs = [(1, ["a", "b", "a", "z"]), (1, ["a", None, "c"]), (2, ["z"]), (3, []), (4, None), (5, ["c", "b", "b"])]
+    df = spark.createDataFrame(docs, "doc bigint, w array<string>").repartition(3)
+    table = spark.createDataFrame([(0, "b"), (1, "a"), (7, "c")], "id bigint, token string")
+    for binary, want in ((False, {1: ([0, 1, 7], [1, 3, 1]), 5: ([0, 7], [2, 1])}), (True, {1: ([0, 1, 7], [1, 1, 1]), 5: ([0, 7], [1, 1])})):
+        out = features.sparse_bags(df, "doc", F.col("w"), table, binary)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc"]: (r["ids"], r["weights"]) for r in out.collect()} == want
+
+
+def test_sparse_parts_are_pooled_without_a_row_per_cell_of_single_ones(spark):
+    rows = [(1, [0, 4], [2.0, 1.0]), (1, [4], [3.0]), (2, [5], [1.0]), (3, None, None)]
+    parts = spark.createDataFrame(rows, "doc bigint, ids array<int>, weights array<double>")
+    out = features.pool_sparse(parts, "doc")
+    got = {r["doc"]: (r["ids"], r["weights"]) for r in out.collect()}
+    assert got == {1: ([0, 4], [1.0, 2.0]), 2: ([5], [1.0])}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_check_encoder_remembers_a_bounded_number_of_tokens():
+    from chartweave.operators import encoders
+
+    encoder = encoders.hash_encoder()()
+    encoder([" ".join(f"t{i}" for i in range(encoders.MEMO_TOKENS + 10))])
+    memo = next(c.cell_contents for f in encoder.__closure__ for c in f.cell_contents.__closure__ if isinstance(c.cell_contents, dict))
+    assert len(memo) <= encoders.MEMO_TOKENS
+    texts = ["x" * 600_000, "y" * 600_000, "a", "b", "c"]
+    assert [(p.start, p.stop) for p in encoders._calls(texts, 2)] == [(0, 1), (1, 3), (3, 5)]
