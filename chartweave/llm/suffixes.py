@@ -55,7 +55,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     padded = np.concatenate([data, np.zeros(LONG + 16, np.uint8)])
     lanes = np.ndarray((len(data) + LONG + 8,), "<u8", padded, strides=(1,))
     span = LONG - GRAM + 1
-    out: dict[str, list] = {"row": [], "lo": [], "hi": [], "at": [], "key": []}
+    out: dict[str, list] = {"row": [], "lo": [], "hi": [], "key": [], "ctx": []}
     ends = offsets[1:]
     for lo in range(0, len(data), CHUNK):
         n = min(CHUNK, len(data) - lo)
@@ -84,28 +84,67 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         out["row"].append(rows[starts])
         out["lo"].append(starts + lo)
         out["hi"].append(last + lo)
-        out["at"].append(at[starts] - starts)
         out["key"].append(kernels.mix(grams[at[starts]]))
-    kinds = {"row": np.int64, "lo": np.int64, "hi": np.int64, "at": np.int64, "key": np.uint64}
-    found = {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in out.items()}
-    whole = kernels.span_hashes(data, found["lo"], found["hi"] + LONG)
-    digest = kernels.mix(whole ^ found.pop("at").astype(np.uint64) * kernels.C1)
-    found["ctx"] = (digest >> np.uint64(32)).astype(np.uint32)
-    return found
-
-
-def distinct(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries sorted by key and context, each once, with the smallest document."""
-    order = np.lexsort((e["ctx"], e["key"]))
-    key, ctx, doc = e["key"][order], e["ctx"][order], e["doc"][order]
-    if not len(key):
-        return {"key": key, "ctx": ctx, "doc": doc}
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
-    return {"key": key[first], "ctx": ctx[first], "doc": np.minimum.reduceat(doc, first)}
+        out["ctx"].append(_contexts(grams, starts, last, at[starts]))
+    kinds = {"row": np.int64, "lo": np.int64, "hi": np.int64, "key": np.uint64, "ctx": np.uint32}
+    return {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in out.items()}
+
+
+def _contexts(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Digest of the ``LONG`` to ``LONG + span - 1`` bytes of each run's strings and of the anchor's
+    place in them, from the grams that cover the bytes."""
+    end = hi + LONG - GRAM
+    shape = ((hi - lo) * LONG + at - lo).astype(np.uint64)
+    h = kernels.mix(grams[lo] + grams[lo + GRAM] * kernels.C1)
+    h ^= grams[np.minimum(lo + 2 * GRAM, end)] * kernels.C3
+    h += grams[end] * kernels.C2
+    h += shape * kernels.C1
+    return (kernels.mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
+def _string_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of the ``LONG`` bytes from each start."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = np.full(len(start), kernels.C1, np.uint64)
+    for i, at in enumerate((*range(0, LONG - 8, 8), LONG - 8)):
+        h += lanes[start + at] * (kernels.C2, kernels.C3)[i % 2]
+        h ^= h >> np.uint64(29)
+        h *= kernels.C1
+        h ^= h >> np.uint64(32)
+    return kernels.mix(h)
+
+
+def _sorted(key: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, then context, and where in it an entry is met first.  Keys are sorted alone;
+    contexts only where entries of one key differ in them."""
+    order = np.argsort(key)
+    k, c = key[order], ctx[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    other = np.zeros(len(k), bool)
+    other[1:] = ~new[1:] & (c[1:] != c[:-1])
+    if other.any():
+        run = np.cumsum(new) - 1
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[other]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at][np.lexsort((c[at], run[at]))]
+        c = ctx[order]
+        new[1:] |= c[1:] != c[:-1]
+    return order, np.flatnonzero(new)
+
+
+def distinct(e: dict[str, np.ndarray], last: bool = False) -> dict[str, np.ndarray]:
+    """Entries sorted by key and context, each once, with the smallest document, and with ``last``
+    the largest one too."""
+    order, first = _sorted(e["key"], e["ctx"])
+    doc, kept = e["doc"][order], order[first]
+    out = {"key": e["key"][kept], "ctx": e["ctx"][kept], "doc": np.minimum.reduceat(doc, first) if len(first) else doc}
+    return out | {"last": np.maximum.reduceat(doc, first) if len(first) else doc} if last else out
 
 
 def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([p[c] for p in parts]) for c in ("key", "ctx", "doc")}
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, k) for c, k in ASKED.items()}
 
 
 class Family:
@@ -130,8 +169,36 @@ class Family:
         return self.levels[0][1] if self.levels else {c: np.zeros(0, k) for c, k in ASKED.items()}
 
 
-def _code(e: dict[str, np.ndarray]) -> np.ndarray:
-    return kernels.mix(e["key"] ^ e["ctx"].astype(np.uint64) * kernels.C3)
+class _Places:
+    """Places of entries in ``index``, which is sorted by key and context: by key where a key has one
+    context, by a code of both where it has several."""
+
+    def __init__(self, index: dict[str, np.ndarray]):
+        self.key, self.ctx = index["key"], index["ctx"]
+        same = self.key[1:] == self.key[:-1]
+        self.several = np.zeros(len(self.key), bool)
+        self.several[1:] |= same
+        self.several[:-1] |= same
+        self.at = np.flatnonzero(self.several)
+        code = self._code(self.key[self.at], self.ctx[self.at])
+        order = np.argsort(code)
+        self.at, self.code = self.at[order], code[order]
+
+    @staticmethod
+    def _code(key: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        return kernels.mix(key ^ ctx.astype(np.uint64) * kernels.C3)
+
+    def of(self, e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each entry, and whether it is there."""
+        at, known = B.look_up(self.key, e["key"])
+        if not len(self.key):
+            return at, known
+        more = np.flatnonzero(known & self.several[at])
+        known &= self.ctx[at] == e["ctx"]
+        if len(more):
+            found, known[more] = B.look_up(self.code, self._code(e["key"][more], e["ctx"][more]))
+            at[more] = self.at[found]
+        return at, known
 
 
 def _reply(questions: list[B.Question]) -> list[B.Question]:
@@ -142,16 +209,13 @@ def _reply(questions: list[B.Question]) -> list[B.Question]:
     for q in questions:
         family.add({c: q[c] for c in ASKED})
     index = family.whole()
-    n = len(index["key"])
-    if not n:
+    if not len(index["key"]):
         return [q | {"several": np.zeros(0, np.uint8)} for q in questions]
-    first = np.flatnonzero(np.r_[True, index["key"][1:] != index["key"][:-1]])
-    several = np.repeat(np.diff(np.r_[first, n]) > 1, np.diff(np.r_[first, n]))
-    code = _code(index)
-    order = np.argsort(code)
+    places = _Places(index)
+    several = places.several
     out = []
     for q in questions:
-        at = order[np.searchsorted(code, _code(q), sorter=order)] if len(q["key"]) else np.zeros(0, np.int64)
+        at, _ = places.of(q)
         keep = several[at] | (index["doc"][at] < q["doc"]) | (q["again"] > 0)
         out.append(
             {
@@ -176,13 +240,8 @@ SENT = ASKED | {"again": np.uint8}
 
 def _suffixes(table: pa.Table) -> B.Question:
     """Distinct entries of a batch; ``again`` marks those of several of its documents."""
-    least, most = [], []
-    for _, part in B.rows_of(table):
-        e, _, _ = _found(part)
-        least.append(distinct(e))
-        most.append(distinct(e | {"doc": -e["doc"]}))
-    low, high = distinct(_joined(least)), distinct(_joined(most))
-    return low | {"again": (-high["doc"] > low["doc"]).astype(np.uint8)}
+    e = distinct(_joined([_found(part)[0] for _, part in B.rows_of(table)]), last=True)
+    return e | {"again": (e.pop("last") > e["doc"]).astype(np.uint8)}
 
 
 def _strings(e: dict[str, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,15 +250,12 @@ def _strings(e: dict[str, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray,
     return kernels.gather(e["lo"][chosen], n), np.repeat(e["doc"][chosen], n)
 
 
-def _looked_up(e: dict[str, np.ndarray], told: B.Question) -> tuple[np.ndarray, np.ndarray]:
+def _looked_up(e: dict[str, np.ndarray], told: B.Question, places: _Places) -> tuple[np.ndarray, np.ndarray]:
     """Whether each run is known from an earlier document, and whether its strings are to be
     compared one by one."""
-    code = _code(told)
-    order = np.argsort(code)
-    at, known = B.look_up(code[order], _code(e))
-    at = order[at] if len(order) else at
-    first = told["doc"][at] if len(order) else e["doc"]
-    several = told["several"][at] > 0 if len(order) else known
+    at, known = places.of(e)
+    first = told["doc"][at] if len(told["key"]) else e["doc"]
+    several = told["several"][at] > 0 if len(told["key"]) else known
     earlier = known & (first < e["doc"])
     return earlier, known & ~earlier & several
 
@@ -207,12 +263,12 @@ def _looked_up(e: dict[str, np.ndarray], told: B.Question) -> tuple[np.ndarray,
 class _Part:
     """Runs of some documents of a batch, and the strings to be compared one by one."""
 
-    def __init__(self, part: pa.RecordBatch, answers: B.Question):
+    def __init__(self, part: pa.RecordBatch, answers: B.Question, places: _Places):
         self.e, self.data, self.offsets = _found(part)
         self.ids = part.column("doc_id")
-        self.earlier, single = _looked_up(self.e, answers)
+        self.earlier, single = _looked_up(self.e, answers, places)
         self.start, self.doc = _strings(self.e, np.flatnonzero(single))
-        self.h = kernels.mix(kernels.span_hashes(self.data, self.start, self.start + LONG))
+        self.h = _string_hashes(self.data, self.start)
 
     def strings(self) -> dict[str, np.ndarray]:
         return {"key": self.h, "ctx": np.zeros(len(self.h), np.uint32), "doc": self.doc}
@@ -220,7 +276,8 @@ class _Part:
 
 def _parts(table: pa.Table, answers: B.Question) -> tuple[list[_Part], dict[str, np.ndarray]]:
     """A batch's parts, and its distinct strings with their smallest documents."""
-    parts = [_Part(part, answers) for _, part in B.rows_of(table)]
+    places = _Places(answers)
+    parts = [_Part(part, answers, places) for _, part in B.rows_of(table)]
     return parts, distinct(_joined([p.strings() for p in parts]))
 
 

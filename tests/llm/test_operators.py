@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -572,3 +573,38 @@ def test_completions_waste_least():
         got = packing.completions(counts, room)
         assert sum(got) == max(sums) and (np.bincount(got, minlength=len(counts)) <= counts).all()
     assert sorted(packing.completions(np.bincount([2, 6, 7, 12]), 16)) == [2, 6, 7]
+
+
+def test_suffixes_of_a_batch_are_sorted_once(monkeypatch):
+    from chartweave.llm import batches
+
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("abcd "), 300)) for _ in range(30)]
+    texts = made + made[:10] + [t[:120] for t in made[5:20]]
+    table = pa.table({"doc_id": pa.array(range(len(texts))), "text": texts, "batch": pa.array([0] * len(texts), pa.int32())})
+    parts = batches.rows_of
+    monkeypatch.setattr(batches, "rows_of", lambda t: parts(t, most=2000))
+    sizes, sort = [], suffixes._sorted
+    monkeypatch.setattr(suffixes, "_sorted", lambda key, ctx: sizes.append(len(key)) or sort(key, ctx))
+    got = suffixes._suffixes(table)
+    e = [suffixes._found(p)[0] for _, p in batches.rows_of(table)]
+    assert len(e) > 5 and sizes == [sum(len(x["key"]) for x in e)]
+    want = {}
+    for x in e:
+        for k, c, d in zip(x["key"].tolist(), x["ctx"].tolist(), x["doc"].tolist()):
+            want.setdefault((k, c), []).append(d)
+    rows = zip(got["key"].tolist(), got["ctx"].tolist(), got["doc"].tolist(), got["again"].tolist())
+    assert [(k, c, d, a) for k, c, d, a in rows] == [(*kc, min(d), int(min(d) < max(d))) for kc, d in sorted(want.items())]
+
+
+def test_places_of_keys_with_one_context_and_with_several():
+    rng = np.random.default_rng(6)
+    e = {"key": rng.integers(0, 400, 900).astype(np.uint64), "ctx": rng.integers(0, 3, 900).astype(np.uint32), "doc": np.zeros(900, np.int64)}
+    index = suffixes.distinct({c: v[:500] for c, v in e.items()})
+    at, known = suffixes._Places(index).of(e)
+    there = {kc: i for i, kc in enumerate(zip(index["key"].tolist(), index["ctx"].tolist()))}
+    asked = list(zip(e["key"].tolist(), e["ctx"].tolist()))
+    assert known.tolist() == [kc in there for kc in asked] and 500 < known.sum() < 900
+    assert all(at[i] == there[kc] for i, kc in enumerate(asked) if kc in there)
+    none = {c: v[:0] for c, v in e.items()}
+    assert not suffixes._Places(none).of(e)[1].any() and not len(suffixes._Places(index).of(none)[0])
