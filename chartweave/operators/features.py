@@ -21,6 +21,12 @@ BLOCK_BYTES = 64 << 20
 #: Tokens of a vocabulary that every task may hold, and tokens of documents that one looks up at a time.
 KNOWN_TOKENS = 500_000
 SLICE_TOKENS = 200_000
+#: Terms of a document that travel as one row, terms with their vectors that a task multiplies at a time,
+#: tokens of a block that only look up their rows, and documents of a block's slice.
+LIST_TERMS = 1000
+SLICE_BYTES = 16 << 20
+PLACE_TOKENS = 250_000
+SLICE_DOCS = 50_000
 
 
 def bow_freq(docs: DataFrame, key: str, items: Column) -> DataFrame:
@@ -33,6 +39,39 @@ def bow_freq(docs: DataFrame, key: str, items: Column) -> DataFrame:
     )
 
 
+def bow_lists(docs: DataFrame, key: str, items: Column, whole: bool = True) -> DataFrame:
+    """``bow_freq`` as lists ``(key, tokens, ns)``: a document is counted in its task, without nulls.
+
+    With ``whole`` rows that repeat a key are one document, with each token once; where keys do
+    repeat, which a look at the keys tells, the lists are shuffled for it.  Without, each row has a list
+    of its own, which is enough for sums."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, "items"):
+            row, values = _rows_and_values(batch.column("items"))
+            there = values.is_valid().to_numpy(zero_copy_only=False)
+            coded = values.drop_null().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            code, n = np.unique(row[there] * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            of, ends = np.unique(code // width, return_index=True)
+            ends = pa.array(np.append(ends, len(code)), pa.int32())
+            tokens = coded.dictionary.take(pa.array(code % width))
+            lists = [pa.ListArray.from_arrays(ends, tokens), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), *lists], names=["key", "tokens", "ns"])
+
+    kind = T.StructField("key", docs.schema[key].dataType)
+    schema = T.StructType([kind, *T.StructType.fromDDL("tokens array<string>, ns array<bigint>").fields])
+    lists = docs.select(F.col(key).alias("key"), items.alias("items")).mapInArrow(counted, schema).withColumnRenamed("key", key)
+    if not whole or not docs.groupBy(key).count().filter("count > 1").limit(1).count():
+        return lists
+    met = lists.groupBy(key).agg(F.collect_list(F.struct("tokens", "ns")).alias("p"))
+    one = met.filter(F.size("p") == 1).select(key, F.col("p")[0]["tokens"].alias("tokens"), F.col("p")[0]["ns"].alias("ns"))
+    several = met.filter(F.size("p") > 1).select(key, F.explode("p").alias("x"))
+    cells = several.select(key, F.inline(F.arrays_zip("x.tokens", "x.ns"))).toDF(key, "token", "n")
+    added = cells.groupBy(key, "token").agg(F.sum("n").alias("n")).groupBy(key).agg(F.collect_list(F.struct("token", "n")).alias("c"))
+    return one.unionByName(added.select(key, F.col("c.token").alias("tokens"), F.col("c.n").alias("ns")))
+
+
 def bow_bin(docs: DataFrame, key: str, items: Column) -> DataFrame:
     return bow_freq(docs, key, items).select(key, "token", F.lit(1).cast("bigint").alias("n"))
 
@@ -49,7 +88,11 @@ def token_embeddings(terms: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def boe_sum(terms: DataFrame, vectors: DataFrame, key: str, dims: int | None = None, **kw) -> DataFrame:
-    """Sum of the vectors of all token occurrences."""
+    """Sum of the vectors of all token occurrences.
+
+    ``terms`` are rows ``(key, token, n)`` or lists ``(key, tokens, ns)``; ``vectors`` are ``(token, vec)``,
+    or ``(token, row)`` beside a ``matrix (row, vec)``, where tokens share vectors.  ``docs`` is the number
+    of documents, which otherwise is counted."""
     return _bag(terms, vectors, key, dims, **kw)
 
 
@@ -109,9 +152,100 @@ def _runs(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def _rows_and_values(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All values of a list column, and the row of each."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists cut by the block ``at`` of their tokens, in pieces of at most ``LIST_TERMS``."""
+    for batch in _slices(batches, "tokens"):
+        row, tokens = _rows_and_values(batch.column("tokens"))
+        at = batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        code = at * batch.num_rows + row
+        order = np.argsort(code, kind="stable")
+        new = np.r_[True, code[order][1:] != code[order][:-1]][: len(order)]
+        starts = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        starts = np.flatnonzero(place % LIST_TERMS == 0)
+        ends, order = pa.array(np.append(starts, len(order)), pa.int32()), pa.array(order)
+        of = row[order][starts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(at[order][starts].astype(np.int32)),
+                batch.column("salt").take(pa.array(of)),
+                pa.array(np.ones(len(of), np.int32)),
+                batch.column("key").take(pa.array(of)),
+                pa.ListArray.from_arrays(ends, tokens.take(order)),
+                pa.ListArray.from_arrays(ends, batch.column("ns").flatten().take(order)),
+            ],
+            names=["block", "salt", "kind", "key", "tokens", "ns"],
+        )
+
+
+def _by_block(terms: DataFrame, key: str, blocks: int, salts: int) -> DataFrame:
+    """``(block, salt, kind, key, tokens, ns)`` of lists, dealt in their tasks."""
+    at = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(blocks)).cast("int")).alias("at")
+    salt = F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int").alias("salt")
+    ns = F.col("ns").cast("array<bigint>").alias("ns")
+    fields = T.StructType.fromDDL("block int, salt int, kind int").fields
+    lists = T.StructType.fromDDL("ns array<bigint>").fields
+    kinds = [T.StructField("key", terms.schema[key].dataType), T.StructField("tokens", terms.schema["tokens"].dataType)]
+    return terms.select(F.col(key).alias("key"), "tokens", ns, at, salt).mapInArrow(_dealt, T.StructType([*fields, *kinds, *lists]))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a block come first, with their rows, then lists of documents, whose tokens become rows."""
+    at, tokens, rows, known = None, [], [], None
+    for batch in batches:
+        for run in _runs(batch, "block", "kind"):
+            now = run.column("block")[0].as_py()
+            if now != at:
+                at, tokens, rows, known = now, [], [], None
+            if run.column("kind")[0].as_py() == 0:
+                tokens.append(run.column("tokens").flatten())
+                rows.append(run.column("ns").flatten().to_numpy(zero_copy_only=False))
+                continue
+            if not tokens:  # no token in this block
+                continue
+            if known is None:
+                known, place = pa.concat_arrays(tokens), np.concatenate(rows)
+            row, asked = _rows_and_values(run.column("tokens"))
+            found = pc.index_in(asked, known)
+            there = found.is_valid()
+            of, ends = np.unique(row[there.to_numpy(zero_copy_only=False)], return_index=True)
+            found = place[found.drop_null().to_numpy(zero_copy_only=False)]
+            ends = pa.array(np.append(ends, len(found)), pa.int32())
+            ns = run.column("ns").flatten().filter(there)
+            yield pa.RecordBatch.from_arrays(
+                [run.column("key").take(pa.array(of)), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, ns)],
+                names=["key", "tokens", "ns"],
+            )
+
+
+def _in_rows(terms: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """Lists whose tokens are the rows that ``places (token, row)`` names; other tokens drop out.
+    Tokens meet their rows in blocks of the vocabulary, and no vector travels here."""
+    places = cut_lineage(places.select("token", F.col("row").cast("bigint").alias("row")).filter("row is not null"))
+    blocks = max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-places.count() // PLACE_TOKENS))
+    asked = _by_block(terms, key, blocks, 1).drop("salt")
+    known = places.select(
+        F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block"),
+        F.lit(0).alias("kind"),
+        F.lit(None).cast(terms.schema[key].dataType).alias("key"),
+        F.array("token").alias("tokens"),
+        F.array("row").alias("ns"),
+    )
+    met = known.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    kind = T.StructField("key", terms.schema[key].dataType)
+    schema = T.StructType([kind, *T.StructType.fromDDL("tokens array<bigint>, ns array<bigint>").fields])
+    return met.mapInArrow(_found, schema).withColumnRenamed("key", key)
+
+
 def _products(dims: int, distinct: bool):
-    """Vectors of a block of the vocabulary come first, then the terms of documents, by document:
+    """Vectors of a block of the vocabulary come first, then the lists of documents, by document:
     a sparse block times the block of the matrix."""
+    most = max(1, SLICE_BYTES // (8 * max(1, dims)))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums, tokens, parts, matrix = None, None, [], [], None
@@ -123,7 +257,7 @@ def _products(dims: int, distinct: bool):
                         yield from sums.rest()
                     at, sums, tokens, parts, matrix = now, None, [], [], None
                 if run.column("kind")[0].as_py() == 0:
-                    tokens.append(run.column("token"))
+                    tokens.append(run.column("tokens").flatten())
                     parts.append(run.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
                     continue
                 if not tokens:  # no vector in this block
@@ -131,12 +265,16 @@ def _products(dims: int, distinct: bool):
                 if matrix is None:
                     matrix, known = np.concatenate(parts), pa.concat_arrays(tokens)
                     sums = _Sums(run.column("key").type, dims)
-                row = pc.index_in(run.column("token"), known)
-                there = row.is_valid()
-                row = row.filter(there).to_numpy(zero_copy_only=False)
-                n = run.column("n").filter(there).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = matrix[row] if distinct else matrix[row] * n[:, None]
-                yield from sums.add(run.column("key").filter(there), n, rows)
+                row, asked = _rows_and_values(run.column("tokens"))
+                found = pc.index_in(asked, known)
+                there = found.is_valid()
+                row = row[there.to_numpy(zero_copy_only=False)]
+                found = found.drop_null().to_numpy(zero_copy_only=False)
+                n = run.column("ns").flatten().filter(there).to_numpy(zero_copy_only=False).astype(np.int64)
+                for a in range(0, len(found), most):
+                    b = a + most
+                    rows = matrix[found[a:b]] if distinct else matrix[found[a:b]] * n[a:b, None]
+                    yield from sums.add(run.column("key").take(pa.array(row[a:b])), n[a:b], rows)
         if sums is not None:
             yield from sums.rest()
 
@@ -157,42 +295,46 @@ def _added(dims: int):
     return add
 
 
-def _bag(terms, vectors, key, dims, distinct=False, mean=False, blocks=None, block_bytes=BLOCK_BYTES):
+def _bag(terms, vectors, key, dims, distinct=False, mean=False, blocks=None, block_bytes=BLOCK_BYTES, matrix=None, docs=None):
     """Terms times vectors, block by block of the vocabulary.
 
     A block of the vocabulary (a range of the tokens' hashes, as many as fit ``block_bytes`` with
-    their vectors) meets the terms of its tokens; a term travels as its key, token and count, never
-    with a vector.  A block is copied for as many slices of the documents as keep all tasks busy.
-    Documents with terms in several blocks add up one partial sum per block.  Without a number of
-    ``blocks`` it is that of the fewest vectors moved, copies and partial sums together, which needs
-    a count of ``terms``; they should come from a checkpoint.
+    their vectors) meets the terms of its tokens; a document's terms travel as lists of tokens and
+    counts, one for each block, never with a vector.  With a ``matrix`` tokens are first replaced by
+    its rows, and the blocks are those of the matrix, however many tokens there are.  A block is
+    copied for as many slices of the documents as keep all tasks busy.  Documents with terms in
+    several blocks add up one partial sum per block.  Without a number of ``blocks`` it is that of the
+    fewest vectors moved, copies and partial sums together, which needs the number of ``docs``.
     """
     spark = terms.sparkSession
+    if "tokens" not in terms.columns:
+        terms = terms.select(key, F.array("token").alias("tokens"), F.array("n").alias("ns"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None and docs is None:
+        docs = terms.agg(F.approx_count_distinct(key)).first()[0]
+    if docs:
+        tasks = max(tasks, docs // SLICE_DOCS)
+    if matrix is not None:
+        terms, vectors = _in_rows(terms, vectors, key), matrix.select(F.col("row").cast("bigint").alias("token"), "vec")
     vectors = cut_lineage(vectors.select("token", F.col("vec").cast("array<double>").alias("vec")))
     rows, widest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     dims = dims or widest or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if blocks is None:
-        docs = terms.agg(F.approx_count_distinct(key)).first()[0] or 1
-        blocks = min(round(math.sqrt(tasks * rows / docs)), 4 * tasks)
+        blocks = min(round(math.sqrt(tasks * rows / (docs or 1))), 4 * tasks)
     blocks = max(1, blocks, -(-rows * dims * 8 // block_bytes))
     salts = -(-tasks // blocks)
-    block = F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block")
     kind = terms.schema[key].dataType
     known = vectors.select(
-        block,
+        F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
         F.lit(0).alias("kind"),
         F.lit(None).cast(kind).alias("key"),
-        "token",
-        F.lit(0).cast("bigint").alias("n"),
+        F.array("token").alias("tokens"),
+        F.array().cast("array<bigint>").alias("ns"),
         "vec",
     )
-    salt = F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int").alias("salt")
-    asked = terms.select(
-        block, salt, F.lit(1).alias("kind"), F.col(key).alias("key"), "token", F.col("n").cast("bigint").alias("n"),
-        F.array().cast("array<double>").alias("vec"),  # empty, as null lists are slow to hand over
-    )
+    # Empty vectors, as null lists are slow to hand over.
+    asked = _by_block(terms, key, blocks, salts).withColumn("vec", F.array().cast("array<double>"))
     met = (
         known.unionByName(asked)
         .repartition(blocks * salts, "block", "salt")

@@ -11,7 +11,6 @@ from checks.registry import query
 from chartweave.functions import text as X
 from chartweave.operators import encoders, features, probe, registry, tasks, vocab
 from chartweave.operators import metrics as M
-from chartweave.session import cut_lineage
 from chartweave.sources import tables
 
 TERMS = f"""(SELECT doc_id, token, count(*) AS n FROM
@@ -46,10 +45,14 @@ def vectors(spark, sf):
     return I.token_vectors(spark, sf, counts(spark, sf))
 
 
-def bagged(spark, sf):
-    """Terms, written once, and the vectors of their tokens."""
-    rows = cut_lineage(terms(spark, sf))
-    return rows, I.token_vectors(spark, sf, rows.select("token").distinct())
+def _bag(spark, sf, job, whole=False):
+    """``job`` of the documents' terms and the vectors of their tokens, which share the embeddings' rows.
+    Sums need no ``whole`` documents."""
+    lists = features.bow_lists(*_named(spark, sf), whole)
+    kinds = lists.select(F.explode("tokens").alias("token")).distinct()
+    docs = I.documents(spark, sf).count()
+    shared = {"matrix": I.vector_rows(spark, sf), "docs": docs}
+    return job(lists, I.token_rows(spark, sf, kinds), "doc_id", _dims(spark, sf), **shared)
 
 
 def _dims(spark, sf):
@@ -95,19 +98,19 @@ def token_embeddings(spark, sf):
 
 @query("boe_sum", _summed("n"))
 def boe_sum(spark, sf):
-    out = features.boe_sum(*bagged(spark, sf), "doc_id", _dims(spark, sf))
+    out = _bag(spark, sf, features.boe_sum)
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("boe_bin", _summed("1"))
 def boe_bin(spark, sf):
-    out = features.boe_bin(*bagged(spark, sf), "doc_id", _dims(spark, sf))
+    out = _bag(spark, sf, features.boe_bin, whole=True)
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
 @query("user_embedding_mean", _summed("n", " / n_tokens"))
 def user_embedding_mean(spark, sf):
-    out = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
+    out = _bag(spark, sf, features.user_embedding_mean)
     return features.long_vectors(out, "doc_id", "n_tokens")
 
 
@@ -247,7 +250,7 @@ def encode_multi_cls(spark, sf):
 
 
 def _probe_rows(spark, sf):
-    vec = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
+    vec = _bag(spark, sf, features.user_embedding_mean)
     rows = tasks.stratified_split(
         task_rows(spark, sf), ["task", "y"], ["subject_id"], names=("train", "test")
     )
@@ -347,7 +350,7 @@ def demographics_probe(spark, sf):
         F.lit("LANG").alias("task"), F.col("doc_id").alias("subject_id"), F.col("lang").alias("y"), "lang", "source"
     )
     rows = tasks.stratified_split(rows, ["task", "y"], ["subject_id"], names=("train", "test"))
-    known = features.user_embedding_mean(*bagged(spark, sf), "doc_id", _dims(spark, sf))
+    known = _bag(spark, sf, features.user_embedding_mean)
     ready = features.feature_rows(rows, known.select(F.col("doc_id").alias("subject_id"), "vec"))
     scored = probe.probe(ready, "U_mean", {"LANG": "en"}, ["lang", "source"])
     wide = M.subgroup_metrics(

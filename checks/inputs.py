@@ -81,16 +81,20 @@ def users(spark, sf) -> DataFrame:
     )
 
 
+def token_rows(spark, sf, counts: DataFrame) -> DataFrame:
+    """The embedding row that the hash of every token points to."""
+    n = table(spark, sf, "embeddings").count()
+    return counts.select("token", F.pmod(hash_int(F.md5("token"), 1), F.lit(n)).alias("row"))
+
+
+def vector_rows(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def token_vectors(spark, sf, counts: DataFrame) -> DataFrame:
     """A vector for every token: the embedding row its hash points to."""
-    e = table(spark, sf, "embeddings")
-    n = e.count()
-    at = F.pmod(hash_int(F.md5("token"), 1), F.lit(n))
-    return (
-        counts.select("token", at.alias("vec_id"))
-        .join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
-        .select("token", "vec")
-    )
+    return token_rows(spark, sf, counts).join(vector_rows(spark, sf), "row").select("token", "vec")
 
 
 # ---- the same roles as SQL ------------------------------------------------------

@@ -81,3 +81,43 @@ def test_the_check_encoder_remembers_a_bounded_number_of_tokens():
     assert len(memo) <= encoders.MEMO_TOKENS
     texts = ["x" * 600_000, "y" * 600_000, "a", "b", "c"]
     assert [(p.start, p.stop) for p in encoders._calls(texts, 2)] == [(0, 1), (1, 3), (3, 5)]
+
+
+def test_tokens_that_share_vectors_travel_as_rows(spark):
+    """Lists of terms, a matrix beside the tokens, repeated keys: the same sums, and no join."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    docs = [(int(d), [f"t{i}" for i in rng.integers(60, size=int(rng.integers(0, 50)))] + [None, "gone"]) for d in [*range(40), 3, 3, 7]]
+    docs += [(90, []), (91, None), (92, [f"t{i % 60}" for i in range(3000)])]
+    matrix = rng.normal(size=(9, 5))
+    df = spark.createDataFrame(docs, "doc bigint, w array<string>").repartition(4)
+    places = spark.createDataFrame([(f"t{i}", i % 10) for i in range(60)], "token string, row bigint")
+    table = spark.createDataFrame(list(enumerate(matrix.tolist())), "row bigint, vec array<double>")
+    bags = {}
+    for d, w in docs:
+        for t in w or []:
+            if t and t != "gone" and int(t[1:]) % 10 < 9:
+                bags.setdefault(d, []).append(t)
+    sums = {d: sum(matrix[int(t[1:]) % 10] for t in w) for d, w in bags.items()}
+    once = {d: sum(matrix[int(t[1:]) % 10] for t in set(w)) for d, w in bags.items()}
+    for job, whole, want in (
+        (features.boe_sum, False, sums), (features.boe_bin, True, once),
+        (features.user_embedding_mean, False, {d: v / len(bags[d]) for d, v in sums.items()}),
+    ):
+        lists = features.bow_lists(df, "doc", F.col("w"), whole)
+        for blocks in (1, 3):
+            out = job(lists, places, "doc", matrix=table, blocks=blocks)
+            assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+            got = {r["doc"]: r for r in out.collect()}
+            assert set(got) == set(want)
+            for d, v in want.items():
+                assert got[d]["n_tokens"] == len(bags[d]) and np.allclose(got[d]["vec"], v)
+
+
+def test_whole_lists_count_a_token_of_repeated_keys_once(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a", None, "c"]), (2, ["z"]), (3, []), (4, None)], "doc bigint, w array<string>").repartition(3)
+    got = [(r["doc"], sorted(zip(r["tokens"], r["ns"]))) for r in features.bow_lists(df, "doc", F.col("w")).collect()]
+    assert sorted(got) == [(1, [("a", 3), ("b", 1), ("c", 1)]), (2, [("z", 1)])]
