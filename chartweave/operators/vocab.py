@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartweave.operators.distribution import ranked
+from chartweave.operators.features import SLICE_TOKENS, _runs, _slices
 from chartweave.session import cut_lineage
 
 # Special tokens in id order; padding is id 0.
@@ -21,6 +25,8 @@ MAX_WORD_CHARS = 100
 ROUNDS_PER_WRITE = 8
 #: Words that a task remembers the pieces of.
 MEMO_WORDS = 50_000
+#: Numbers from here on take a second short number to travel.
+SHORT = 1 << 15
 #: Documents whose words are cut at a time.
 SLICE_ROWS = 64
 
@@ -319,19 +325,192 @@ def segmented(types: DataFrame, units: DataFrame) -> DataFrame:
     return found.select("token", F.transform(out, lambda x: x["id"]).alias("ids"), F.transform(out, lambda x: x["unit"]).alias("pieces"))
 
 
-def subword_rows(docs: DataFrame, key: str, words: Column, units: DataFrame) -> DataFrame:
-    """``(key, ids, pieces)`` of documents: words are cut once per distinct word, and ids join back by
-    word, so what a document carries is integers.  A document without words has empty arrays."""
-    tokens = docs.select(key, F.posexplode_outer(words).alias("at", "token"))
-    cut = segmented(tokens.filter("token is not null"), units)
-    rows = tokens.join(cut, "token", "left").groupBy(key)
-    parts = rows.agg(F.sort_array(F.collect_list(F.struct("at", "ids", "pieces"))).alias("p"))
-    flat = lambda field, kind: F.coalesce(
-        F.flatten(F.filter(F.transform("p", lambda x: x[field]), lambda x: x.isNotNull())), F.array().cast(kind)
-    )
-    return parts.select(key, flat("ids", "array<int>").alias("ids"), flat("pieces", "array<string>").alias("pieces"))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column of numbers."""
+    return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _listed(lengths: np.ndarray, values, kind=np.int32) -> pa.ListArray:
+    ends = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values if isinstance(values, pa.Array) else pa.array(values.astype(kind)))
+
+
+def _narrow(lengths: np.ndarray, values: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Numbers as two lists of short ones, the second empty where all of a list are below ``SHORT``."""
+    of_list = np.repeat(np.arange(len(lengths)), lengths)
+    more = np.bincount(of_list, values >= SHORT, len(lengths)) > 0
+    return _listed(lengths, values % SHORT, np.int16), _listed(lengths * more, values[more[of_list]] // SHORT, np.int16)
+
+
+def _wide(low: pa.Array, more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of what ``_narrow`` made."""
+    lengths, values = _flat(low)
+    above, high = _flat(more)
+    values = values.astype(np.int64)
+    values[np.repeat(above > 0, lengths)] += high.astype(np.int64) * SHORT
+    return lengths, values
+
+
+def _runs_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``starts[i] .. starts[i] + lengths[i] - 1``, one run after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _dealt_words(blocks: int):
+    """A document's words as lists, one for each block of its words: the distinct words, how often
+    each stands in it, and its places."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, "words"):
+            n = batch.num_rows
+            sizes = pc.fill_null(batch.column("words").value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = batch.column("words").flatten()
+            there = words.is_valid().to_numpy(zero_copy_only=False)
+            place = _runs_of(np.zeros(n, np.int64), sizes)[there]
+            row = np.repeat(np.arange(n), sizes)[there]
+            at = batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)[there]
+            coded = words.drop_null().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            # A row without words has one list without words.
+            bare = np.setdiff1d(np.arange(n), row)
+            cell = np.r_[at * n + row, (bare % blocks) * n + bare]
+            code, place = np.r_[code, np.full(len(bare), -1)], np.r_[place, np.zeros(len(bare), np.int64)]
+            order = np.lexsort((code, cell))
+            cell, code, place = cell[order], code[order], place[order]
+            new = np.ones(len(cell), bool)
+            new[1:] = cell[1:] != cell[:-1]
+            word = new.copy()
+            word[1:] |= code[1:] != code[:-1]
+            word = np.flatnonzero(word)
+            counts = np.diff(np.append(word, len(cell)))
+            first = np.flatnonzero(new)
+            known, lists = code[word] >= 0, np.cumsum(new[word]) - 1
+            of = cell[first] % n
+            in_list = lambda weights: np.bincount(lists[known], weights, len(first)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((cell[first] // n).astype(np.int32)),
+                    pa.array(np.ones(len(first), np.int32)),
+                    batch.column("key").take(pa.array(of)),
+                    _listed(in_list(None), coded.dictionary.take(pa.array(code[word][known]))),
+                    _listed(in_list(None), counts[known]),
+                    *_narrow(in_list(counts[known]), place[code >= 0]),
+                ],
+                names=["block", "kind", "key", "words", "counts", "places", "more_places"],
+            )
+
+    return deal
+
+
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a block come first, with their ids as ``places``, then lists of documents, whose words
+    become the ids they are cut into."""
+    at, words, sizes, parts, known = None, [], [], [], None
+    for batch in batches:
+        for run in _runs(batch, "block", "kind"):
+            now = run.column("block")[0].as_py()
+            if now != at:
+                at, words, sizes, parts, known = now, [], [], [], None
+            if run.column("kind")[0].as_py() == 0:
+                words.append(run.column("words").flatten())
+                n, ids = _wide(run.column("places"), run.column("more_places"))
+                sizes.append(n)
+                parts.append(ids)
+                continue
+            if known is None:
+                known = pa.concat_arrays(words) if words else pa.array([], pa.string())
+                size, ids = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (sizes, parts))
+                start = np.cumsum(size) - size
+            for part in _slices([run], "words"):
+                found = pc.index_in(part.column("words").flatten(), known).to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths = size[found]
+                per_word = _listed(part.column("words").value_lengths().to_numpy(zero_copy_only=False), lengths, np.int8)
+                in_list = np.diff(np.r_[0, np.cumsum(lengths)][per_word.offsets.to_numpy()])
+                cells = _narrow(in_list, ids[_runs_of(start[found], lengths)])
+                kept = ["key", "counts", "places", "more_places"]
+                columns = [*(part.column(c) for c in kept), per_word, *cells]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lengths", "ids", "more_ids"])
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``SLICE_TOKENS`` words, of one row at least."""
+    for batch in batches:
+        lists = batch.column("p")
+        of_list = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        words = lists.flatten().flatten()[1].value_lengths().to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(np.bincount(of_list, words, batch.num_rows)), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
+def _in_order(units: dict[str, pa.Array]):
+    """The ids of each document in the order of its words, and their units."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _worded(batches):
+            lists = batch.column("p")
+            counts, places, more_places, lengths, ids, more_ids = lists.flatten().flatten()
+            of_list = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            words, count = _flat(counts)
+            word_row, length, ids = np.repeat(of_list, words), _flat(lengths)[1].astype(np.int64), _wide(ids, more_ids)[1]
+            start = np.cumsum(length) - length
+            word, place = np.repeat(np.arange(len(count)), count), _wide(places, more_places)[1]
+            row = word_row[word]
+            order = np.lexsort((place, row))
+            if ((row[order][1:] == row[order][:-1]) & (place[order][1:] == place[order][:-1])).any():
+                # Rows that repeat a key: words of one place follow their ids.
+                cut = [ids[a : a + n].tolist() for a, n in zip(start.tolist(), length.tolist())]
+                rank = np.empty(len(cut), np.int64)
+                rank[sorted(range(len(cut)), key=cut.__getitem__)] = np.arange(len(cut))
+                order = np.lexsort((rank[word], place, row))
+            word = word[order]
+            ids = pa.array(ids[_runs_of(start[word], length[word])].astype(np.int32))
+            sizes = np.bincount(row, length[np.repeat(np.arange(len(count)), count)], batch.num_rows).astype(np.int64)
+            pieces = units["unit"].take(pc.index_in(ids, units["id"]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _listed(sizes, ids), _listed(sizes, pieces)], names=["key", "ids", "pieces"])
+
+    return put
 
 
+def subword_rows(docs: DataFrame, key: str, words: Column, units: DataFrame) -> DataFrame:
+    """``(key, ids, pieces)`` of documents: words are cut once per distinct word, and ids go back to the
+    documents by word.  A document without words has empty arrays; rows that repeat a key are one
+    document, word by word.
+
+    What travels are lists: a document's distinct words and their places, one list for each block of
+    the words, then the ids in their stead.  Pieces are the units of the ids, put in last."""
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = T.StructField("key", docs.schema[key].dataType)
+    tokens = docs.select(F.explode(words).alias("token")).filter("token is not null")
+    block = lambda w: F.pmod(F.xxhash64(w), F.lit(blocks)).cast("int")
+    short = "places array<smallint>, more_places array<smallint>"
+    lists = T.StructType.fromDDL(f"words array<string>, counts array<int>, {short}").fields
+    dealt = T.StructType([*T.StructType.fromDDL("block int, kind int").fields, kind, *lists])
+    asked = docs.select(F.col(key).alias("key"), words.alias("words"), F.transform(words, block).alias("at")).mapInArrow(_dealt_words(blocks), dealt)
+    known = segmented(tokens, units).select(
+        block(F.col("token")).alias("block"),
+        F.lit(0).alias("kind"),
+        F.lit(None).cast(kind.dataType).alias("key"),
+        F.array("token").alias("words"),
+        F.array().cast("array<int>").alias("counts"),
+        F.transform("ids", lambda i: i % SHORT).cast("array<smallint>").alias("places"),
+        F.when(F.exists("ids", lambda i: i >= SHORT), F.transform("ids", lambda i: F.floor(i / SHORT)))
+        .otherwise(F.array().cast("array<bigint>"))
+        .cast("array<smallint>")
+        .alias("more_places"),
+    )
+    met = known.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    cells = "lengths array<tinyint>, ids array<smallint>, more_ids array<smallint>"
+    numbers = T.StructType.fromDDL(f"counts array<int>, {short}, {cells}").fields
+    cut = met.mapInArrow(_cut_words, T.StructType([kind, *numbers]))
+    whole = cut.groupBy("key").agg(F.collect_list(F.struct(*(f.name for f in numbers))).alias("p"))
+    named = units.select(F.col("id").cast("int").alias("id"), "unit").toArrow().combine_chunks()
+    named = {c: named[c].combine_chunks() for c in ("id", "unit")}
+    out = T.StructType([kind, *T.StructType.fromDDL("ids array<int>, pieces array<string>").fields])
+    return whole.mapInArrow(_in_order(named), out).withColumnRenamed("key", key)
 
 
 #: Score from which a type counts as an abbreviation, and the share of its uses that a stop follows.

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,40 @@ def test_words_are_cut_once_and_joined_back(spark):
         assert got[i]["pieces"] == want and got[i]["ids"] == [units.index(p) for p in want]
 
 
+@pytest.mark.parametrize("shift", [0, 40_000])
+def test_documents_travel_to_their_words_as_lists(spark, shift):
+    """Also with places and ids beyond short numbers, and with rows that repeat a key."""
+    rng = random.Random(7)
+    units = [*vocab.SPECIALS, *"abc", "##a", "##b", "##c", "ab", "##bc"]
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(40)] + ["q", None]
+    docs = [(i, rng.choices(words, k=rng.randint(0, 90))) for i in range(25)] + [(None, ["ab", "c"]), (50, []), (51, None), (52, [None])]
+    docs += [(60, ["abc", "b", "q"]), (60, ["a", None, "cab", "c"]), (70, words * 1000)]
+    table = vocab.unit_table(spark, units).withColumn("id", F.when(F.col("id") < 5, F.col("id")).otherwise(F.col("id") + shift))
+    number = {u: i + shift * (i >= 5) for i, u in enumerate(units)}
+    df = spark.createDataFrame(docs, "id int, w array<string>").repartition(3)
+    out = vocab.subword_rows(df, "id", F.col("w"), table)
+    assert "struct(at," not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    cut = lambda w: [w] if w in vocab.SPECIALS else vocab._longest_units(w, set(units))
+    want = {}
+    for i, w in docs:
+        want.setdefault(i, []).extend((at, [number[p] for p in cut(x)]) for at, x in enumerate(w or []) if x is not None)
+    named = {i: u for u, i in number.items()}
+    assert set(got) == set(want)
+    for i, placed in want.items():
+        ids = [x for _, part in sorted(placed) for x in part]
+        assert got[i]["ids"] == ids and got[i]["pieces"] == [named[x] for x in ids]
+
+
+def test_numbers_travel_as_short_ones():
+    lengths = np.array([2, 0, 3, 1])
+    values = np.array([0, 32767, 5, 32768, 9_000_000, 1])
+    low, more = vocab._narrow(lengths, values)
+    assert low.type.value_type == "int16" and more.value_lengths().to_pylist() == [0, 0, 3, 0]
+    got = vocab._wide(low, more)
+    assert got[0].tolist() == lengths.tolist() and got[1].tolist() == values.tolist()
+
+
 def test_features_hold_ids_and_no_python(spark):
     masked = spark.createDataFrame(
         [(1, -1, ["[CLS]", "x", "y", "z"], [1, 3], ["x", "q"])],
