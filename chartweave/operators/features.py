@@ -316,7 +316,8 @@ def _bag(terms, vectors, key, dims, distinct=False, mean=False, blocks=None, blo
         tasks = max(tasks, docs // SLICE_DOCS)
     if matrix is not None:
         terms, vectors = _in_rows(terms, vectors, key), matrix.select(F.col("row").cast("bigint").alias("token"), "vec")
-    vectors = cut_lineage(vectors.select("token", F.col("vec").cast("array<double>").alias("vec")))
+    vectors = vectors.filter("vec is not null").select("token", F.col("vec").cast("array<double>").alias("vec"))
+    vectors = cut_lineage(vectors)
     rows, widest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     dims = dims or widest or 0
     if blocks is None:

@@ -93,7 +93,7 @@ def test_tokens_that_share_vectors_travel_as_rows(spark):
     matrix = rng.normal(size=(9, 5))
     df = spark.createDataFrame(docs, "doc bigint, w array<string>").repartition(4)
     places = spark.createDataFrame([(f"t{i}", i % 10) for i in range(60)], "token string, row bigint")
-    table = spark.createDataFrame(list(enumerate(matrix.tolist())), "row bigint, vec array<double>")
+    table = spark.createDataFrame([*enumerate(matrix.tolist()), (9, None), (None, [0.0] * 5)], "row bigint, vec array<double>")
     bags = {}
     for d, w in docs:
         for t in w or []:
