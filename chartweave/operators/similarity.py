@@ -4,14 +4,16 @@ Every user is ranked against every other one, so the arithmetic is quadratic; th
 rows are not.  Users are packed into blocks of vectors, and blocks into groups that
 fill a task's memory.  A task holds one group and candidate blocks stream past it, so
 a block is copied once per group.  Groups that are much smaller than a task's memory are
-held together, as many as leave every core one, so copies follow memory and cores.
+held together, as many as leave every core a few, so copies follow memory and cores.
+Groups are numbered and dealt to tasks by their number, as hashes of a few keys collide.
 
 For neighbours the blocks are neighbourhoods: a user goes to the nearest of some pivot
 users, and a block knows its centre and its radius on the sphere.  Two blocks cannot
 hold a pair closer than their centres' angle less both radii.  Once each group has
 searched itself, the block pairs whose bound is below the scores found already never
 meet, and a task keeps running best lists, visits what is left by descending bound and
-skips what has fallen behind since.  Only the best ``k`` of a user leave a task.
+skips what has fallen behind since.  Products are taken in single precision first, and those that
+their error leaves a place in a list again in double.  Only the best ``k`` of a user leave a task.
 
 A ROC curve on a fixed grid needs exact counts only near its grid points, so a task
 lets the candidates pass three times: scores are counted in coarse bins first, then in
@@ -41,10 +43,16 @@ BLOCK_ROWS = 2_000
 #: Users a task holds; of vectors, and for curves of vectors and score counts.
 GROUP_ROWS = 64_000
 CURVE_ROWS = 8_000
+#: Groups that each core gets, so that the last ones do not keep the others waiting.
+TURNS = 4
 #: Users whose vectors are the pivots of neighbourhoods.
 PIVOTS = 256
 # Query rows multiplied at a time: bounds the score matrix held by a task.
 STRIPE = 256
+# Candidates that meet the lists of a group before these are brought up to date.
+BATCH_ROWS = 8_000
+# Pairs multiplied in double precision at a time.
+SLICE = 100_000
 # Scores are rounded, so a bound this close (in millionths) may still be reached.
 MARGIN = 2
 
@@ -71,18 +79,27 @@ def _packed(placed: DataFrame) -> DataFrame:
     )
 
 
-def _group_count(packed: DataFrame) -> tuple[int, int]:
-    """Groups in all, and at most in a task; ``packed`` is written already."""
-    count, most = packed.agg(F.count_distinct("task", "group"), F.max("groups")).first()
-    return count, most or 0
+def _narrowed(packed: DataFrame) -> DataFrame:
+    """``packed``, written already, with vectors of floats where doubles say no more."""
+    wider = F.exists("flat", lambda x: x.cast("float").cast("double") != x)
+    return packed if packed.filter(wider).limit(1).count() else packed.withColumn("flat", F.col("flat").cast("array<float>"))
 
 
-def _dealt(rows: DataFrame, groups: int, *order: str) -> DataFrame:
-    """A task per group of a task's users, its rows in order.  The number of partitions is fixed, as
-    the bytes of a key say little about its arithmetic; never more than there are ``groups``, as a
-    Python worker for nothing costs its start."""
-    n = max(1, min(groups, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.repartition(n, "task", "group").sortWithinPartitions("task", "group", *order)
+def _groups(packed: DataFrame) -> list:
+    """``(task, group, groups)`` of all groups, a few numbers for the driver; ``packed`` is written already."""
+    return packed.select("task", "group", "groups").distinct().orderBy("task", "group").collect()
+
+
+def _dealt(rows: DataFrame, groups: list, *order: str) -> DataFrame:
+    """Rows of the ``groups`` of tasks in order, the groups dealt to partitions one by one.  The number of
+    partitions is fixed, as the bytes of a key say little about its arithmetic; never more than there are
+    groups, as a Python worker for nothing costs its start."""
+    spark = rows.sparkSession
+    n = max(1, min(len(groups), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    numbers = [(r["task"], r["group"], i % n) for i, r in enumerate(groups)]
+    numbered = spark.createDataFrame(numbers, "task string, group int, _part int")
+    placed = rows.join(F.broadcast(numbered), ["task", "group"]).repartitionById(n, "_part")
+    return placed.drop("_part").sortWithinPartitions("task", "group", *order)
 
 
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -150,28 +167,22 @@ class _Best:
         self.score = np.full((n, k), -2 * SCALE, np.int64)
         self.id = np.full((n, k), -1, np.int64)
 
-    def add(self, at: int, s: np.ndarray, ids: np.ndarray) -> None:
-        """Offer scores ``s`` of candidates ``ids`` to the rows from ``at`` on."""
-        n, k = len(s), self.k
-        own, own_ids = self.score[at : at + n], self.id[at : at + n]
-        least = own[:, -1]
-        hits = s >= np.maximum(least, 1 - 2 * SCALE)[:, None]
-        if s.shape[1] > k and np.count_nonzero(hits) > 4 * k * n:
-            # The k-th best of the block settles most of it without sorting.
-            hits &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]
-        row, col = np.nonzero(hits)
+    def add(self, row: np.ndarray, score: np.ndarray, who: np.ndarray) -> None:
+        """Offer candidates ``who`` with their scores to rows."""
         if not len(row):
             return
-        filled, place = np.nonzero(own_ids >= 0) if (own_ids >= 0).any() else (row[:0], row[:0])
+        touched = np.unique(row)
+        filled, place = np.nonzero(self.id[touched] >= 0)
+        filled = touched[filled]
         rows = np.concatenate([filled, row])
-        score = np.concatenate([own[filled, place], s[row, col]])
-        who = np.concatenate([own_ids[filled, place], ids[col]])
+        score = np.concatenate([self.score[filled, place], score])
+        who = np.concatenate([self.id[filled, place], who])
         order = np.lexsort((who, -score, rows))
         rows = rows[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = rank < k
-        own[rows[keep], rank[keep]] = score[order][keep]
-        own_ids[rows[keep], rank[keep]] = who[order][keep]
+        keep = rank < self.k
+        self.score[rows[keep], rank[keep]] = score[order][keep]
+        self.id[rows[keep], rank[keep]] = who[order][keep]
 
 
 def _summary(vectors: np.ndarray) -> tuple[np.ndarray, float, bool]:
@@ -202,22 +213,66 @@ class _Held:
         self.table = [np.array(x) for x in zip(*map(_summary, parts))]
         self.edges = np.cumsum([0, *map(len, parts)])
         self.ids, self.vectors = np.concatenate([np.asarray(r.ids) for r in rows]), np.concatenate(parts)
+        self.narrow, self.known = self.vectors.astype(np.float32), np.sort(self.ids)
+        # Products of single precision are off by no more than this.
+        self.off = (self.vectors.shape[1] + 8) * 2.0**-24
         self.best, self.near, self.n_near = _Best(len(self.ids), k), [], 0
-        for at in range(0, len(self.ids), BLOCK_ROWS):
-            ids, vectors = self.ids[at : at + BLOCK_ROWS], self.vectors[at : at + BLOCK_ROWS]
-            for row in range(0, len(self.ids), STRIPE):
-                self._offer(row, ids, vectors)
+        self.least = np.full(len(parts), -2 * SCALE)
+        for at in range(0, len(self.ids), BATCH_ROWS):
+            ids, vectors = self.ids[at : at + BATCH_ROWS], self.vectors[at : at + BATCH_ROWS]
+            self._offer(ids, vectors, np.ones((len(parts), 1), bool), [len(ids)])
         self.least = self._worst()
 
     def _worst(self) -> np.ndarray:
         """The least score that a candidate needs to enter any list of a block."""
         return np.minimum.reduceat(self.best.score[:, -1], self.edges[:-1])
 
-    def _offer(self, at: int, ids: np.ndarray, vectors: np.ndarray) -> None:
-        part = slice(at, at + STRIPE)
-        s = _scores(self.vectors[part], vectors)
-        s[self.ids[part][:, None] == ids[None, :]] = -2 * SCALE
-        self.best.add(at, s, ids)
+    def _offer(self, ids: np.ndarray, vectors: np.ndarray, wanted: np.ndarray, sizes: list[int]) -> None:
+        """Multiply candidates, in blocks of ``sizes``, with the users of the blocks that want them."""
+        narrow = np.ascontiguousarray(vectors.astype(np.float32).T)
+        own = np.isin(ids, self.known)
+        found = []
+        for at in range(0, len(self.ids), STRIPE):
+            end = min(at + STRIPE, len(self.ids))
+            first, last = np.searchsorted(self.edges, at, "right") - 1, np.searchsorted(self.edges, end, "left")
+            take = np.repeat(wanted[first:last].any(0), sizes)
+            if not take.any():
+                continue
+            take = slice(None) if take.all() else np.flatnonzero(take)
+            mine, of = narrow[:, take], np.arange(len(ids))[take]
+            row, col = self._hits(at, end, ids[take], own[take], mine)
+            found.append((row, of[col]))
+        if found:
+            row, col = (np.concatenate(x) for x in zip(*found))
+            score = np.empty(len(row), np.int64)
+            for a in range(0, len(row), SLICE):
+                part = slice(a, a + SLICE)
+                score[part] = np.rint(np.einsum("ij,ij->i", self.vectors[row[part]], vectors[col[part]]) * SCALE)
+            self.best.add(row, score, ids[col])
+
+    def _hits(self, at: int, end: int, ids: np.ndarray, own: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Users from ``at`` to ``end`` and candidates that may be among their best, by products of single
+        precision.  A score is rounded, so it takes a millionth more."""
+        k, least = self.best.k, self.best.score[at:end, -1]
+        floor = np.where(least > -2 * SCALE, (least - 1) / SCALE - self.off, -2.0)
+        row, col, odd = [], [], not np.isfinite(narrow).all()
+        for first in range(0, narrow.shape[1], BLOCK_ROWS):
+            part = slice(first, first + BLOCK_ROWS)
+            near = self.narrow[at:end] @ narrow[:, part]
+            if odd:
+                near = np.nan_to_num(near, nan=-3.0)
+            same = np.flatnonzero(own[part])
+            if len(same):
+                near[:, same] = np.where(self.ids[at:end, None] == ids[part][same], np.float32(-3), near[:, same])
+            bare = np.flatnonzero(floor == -2.0)
+            if len(bare) and near.shape[1] > k:
+                # The k-th best of a first block says what an empty list can do without.
+                kept = np.partition(near[bare], near.shape[1] - k, axis=1)[:, -k]
+                floor[bare] = np.where(kept > -2, kept - 2 * self.off - 1 / SCALE, -2.0)
+            hit = np.flatnonzero((near >= floor.astype(np.float32)[:, None]).ravel())
+            row.append(at + hit // near.shape[1])
+            col.append(first + hit % near.shape[1])
+        return np.concatenate(row), np.concatenate(col)
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """A block of candidates; small ones are multiplied together."""
@@ -225,24 +280,16 @@ class _Held:
         if (bounds >= self.least).any():
             self.near.append((ids, vectors, bounds))
             self.n_near += len(ids)
-        if self.n_near >= BLOCK_ROWS:
+        if self.n_near >= BATCH_ROWS:
             self.finish()
 
     def finish(self) -> None:
         """Multiply what has been met."""
         if not self.near:
             return
-        sizes = [len(ids) for ids, _, _ in self.near]
         ids, vectors = (np.concatenate([x[i] for x in self.near]) for i in (0, 1))
         wanted = np.stack([b for _, _, b in self.near], 1) >= self.least[:, None]
-        for at in range(0, len(self.ids), STRIPE):
-            first = np.searchsorted(self.edges, at, "right") - 1
-            end = np.searchsorted(self.edges, min(at + STRIPE, len(self.ids)), "left")
-            take = np.repeat(wanted[first:end].any(0), sizes)
-            if take.all():
-                self._offer(at, ids, vectors)
-            elif take.any():
-                self._offer(at, ids[take], vectors[take])
+        self._offer(ids, vectors, wanted, [len(x[0]) for x in self.near])
         self.near, self.n_near, self.least = [], 0, self._worst()
 
 
@@ -253,7 +300,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield (r.task, r.group), r
 
 
-def _block_summaries(packed: DataFrame, k: int, n_groups: int) -> DataFrame:
+def _block_summaries(packed: DataFrame, k: int, groups: list) -> DataFrame:
     """Centre, angle and least useful score of each block, after a search within its group."""
 
     def of_group(key, rows):
@@ -277,12 +324,12 @@ def _block_summaries(packed: DataFrame, k: int, n_groups: int) -> DataFrame:
         if held:
             yield of_group(key, held)
 
-    return _dealt(packed, n_groups, "block").mapInPandas(
+    return _dealt(packed, groups, "block").mapInPandas(
         summed, "task string, group int, block int, centre array<double>, angle double, zero boolean, least bigint"
     )
 
 
-def _facing(packed: DataFrame, summaries: DataFrame, n_groups: int) -> DataFrame:
+def _facing(packed: DataFrame, summaries: DataFrame, numbered: list) -> DataFrame:
     """``(task, group, block, bound)``: the blocks of other groups that a group has to see.
 
     Summaries, not vectors, go to every group; a task holds its own blocks' and lets the others pass."""
@@ -313,7 +360,7 @@ def _facing(packed: DataFrame, summaries: DataFrame, n_groups: int) -> DataFrame
         if out:
             yield pd.DataFrame(out)
 
-    return _dealt(kinds, n_groups, "kind", "block").mapInPandas(needed, "task string, group int, block int, bound bigint")
+    return _dealt(kinds, numbered, "kind", "block").mapInPandas(needed, "task string, group int, block int, bound bigint")
 
 
 def facing_blocks(packed: DataFrame, k: int) -> DataFrame:
@@ -322,11 +369,11 @@ def facing_blocks(packed: DataFrame, k: int) -> DataFrame:
     ``packed`` is read several times, so it comes from a checkpoint."""
     body = ["ids", "flat"]
     query = packed.select("task", "group", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bound"), "block", *body)
-    n_groups, most = _group_count(packed)
-    if most < 2:  # a group alone sees all of its task already
+    several = [g for g in _groups(packed) if g["groups"] > 1]
+    if not several:  # a group alone sees all of its task already
         return query
     many = packed.filter("groups > 1")
-    pairs = _facing(many, cut_lineage(_block_summaries(many, k, n_groups)), n_groups)
+    pairs = _facing(many, cut_lineage(_block_summaries(many, k, several)), several)
     candidates = pairs.join(many.select("task", "block", *body), ["task", "block"]).select(
         "task", "group", F.lit(1).alias("kind"), (-F.col("bound")).alias("bound"), "block", *body
     )
@@ -337,13 +384,14 @@ def neighbour_topk(
     users: DataFrame,
     k: int,
     block_rows: int = BLOCK_ROWS,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = BLOCK_ROWS,
     pivots: int = PIVOTS,
 ) -> DataFrame:
     """``(task, user, rank, neighbour, score)``: the k most similar other users, exactly; ties go
-    to the smaller user.  A zero vector has similarity 0 to all."""
-    cores = users.sparkSession.sparkContext.defaultParallelism
-    packed = cut_lineage(_neighbourhoods(users, block_rows, group_rows, pivots, cores))
+    to the smaller user.  A zero vector has similarity 0 to all.  Groups of ``group_rows`` users are
+    held together up to ``GROUP_ROWS``, as long as each core has ``TURNS``."""
+    cores = TURNS * users.sparkSession.sparkContext.defaultParallelism
+    packed = _narrowed(cut_lineage(_neighbourhoods(users, block_rows, group_rows, pivots, cores)))
 
     def found(key, held):
         held.finish()
@@ -371,7 +419,7 @@ def neighbour_topk(
         if rows or held:
             yield from found(key, held or _Held(rows, k))
 
-    near = _dealt(facing_blocks(packed, k), _group_count(packed)[0], "kind", "bound", "block").mapInPandas(
+    near = _dealt(facing_blocks(packed, k), _groups(packed), "kind", "bound", "block").mapInPandas(
         search, "task string, user bigint, rank int, neighbour bigint, score_ppm bigint"
     )
     return near.select("task", "user", "rank", "neighbour", (F.col("score_ppm") / SCALE).alias("score"))
@@ -572,7 +620,7 @@ def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = C
         yield from _curve_rows(key, held)
 
     return (
-        _dealt(passing_blocks(packed), _group_count(packed)[0], "kind", "block")
+        _dealt(passing_blocks(packed), _groups(packed), "kind", "block")
         .mapInPandas(curves, "task string, user bigint, y string, k bigint, tpr double")
         .select("task", "user", "y", "k", (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
     )

@@ -148,3 +148,30 @@ def test_counts_of_a_curve_do_not_grow_with_the_candidates():
         for i, _, tpr in list(held.curves())[:3] if n < 2_000 else []:
             assert np.allclose(tpr, curve(s[i], y == y[i]), atol=1e-9)
     assert max(sizes) <= 20 * (S.BINS + 2 * 99 * S.MIDDLE)
+
+
+def tasks_with_users(out):
+    from pyspark.sql import functions as F
+
+    parts = out.select(F.spark_partition_id().alias("p"), "user").distinct().groupBy("p").count().collect()
+    return sorted(r["count"] for r in parts)
+
+
+def test_each_core_searches_a_few_groups(spark):
+    """A task for each of twelve groups of twenty users on four cores; hashes of their keys would collide."""
+    _, users = clustered(spark, 24, 10)
+    assert spark.sparkContext.defaultParallelism == 4
+    assert len(tasks_with_users(S.neighbour_topk(users, 2, 10, 10, 8))) == 12
+
+
+def test_neighbours_that_single_precision_cannot_tell_apart(spark):
+    rng = np.random.default_rng(9)
+    vec = rng.normal(size=(1, 16)) + np.repeat([1e-3, 2e-4], 40)[:, None] * rng.normal(size=(80, 16))
+    rows = [("t", i, "0", [float(x) for x in v]) for i, v in enumerate(vec)]
+    users = spark.createDataFrame(rows, "task string, user bigint, y string, vec array<double>")
+    s = scores(vec)
+    assert len(np.unique(s)) < 200
+    for block_rows, group_rows in ((1000, 1000), (6, 12)):
+        found = S.neighbour_topk(users, 5, block_rows, group_rows, 4).collect()
+        got = {(r["user"], r["rank"]): r["neighbour"] for r in found}
+        assert all([got[(i, r)] for r in range(1, 6)] == ranked(s, i, 5) for i in range(80))
