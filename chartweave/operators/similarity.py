@@ -15,10 +15,12 @@ meet, and a task keeps running best lists, visits what is left by descending bou
 skips what has fallen behind since.  Products are taken in single precision first, and those that
 their error leaves a place in a list again in double.  Only the best ``k`` of a user leave a task.
 
-A ROC curve on a fixed grid needs exact counts only near its grid points, so a task
-lets the candidates pass three times: scores are counted in coarse bins first, then in
-middle bins of the few coarse ones where a grid point falls, then singly in the few middle
-ones.  A user's counts are bounded by the grid, however many candidates pass.
+A ROC curve takes the scores of all candidates.  Where a task's candidates fit a worker's memory it
+holds them: the scores of a few users are sorted, and counts at the grid points are places in the
+order.  Beyond that, exact counts are needed only near the grid points, so candidates pass three
+times: scores are counted in coarse bins first, then in middle bins of the few coarse ones where a
+grid point falls, then singly in the few middle ones.  A user's counts are bounded by the grid,
+however many candidates pass.
 
 A score is the cosine rounded to six decimals and held as an integer in
 millionths, about the precision of a float32 vector.
@@ -43,6 +45,9 @@ BLOCK_ROWS = 2_000
 #: Users a task holds; of vectors, and for curves of vectors and score counts.
 GROUP_ROWS = 64_000
 CURVE_ROWS = 8_000
+#: Vectors of a task's candidates that a worker holds for curves, and scores that it sorts at a time.
+HELD_BYTES = 128 << 20
+SORT_BYTES = 32 << 20
 #: Groups that each core gets, so that the last ones do not keep the others waiting.
 TURNS = 4
 #: Users whose vectors are the pivots of neighbourhoods.
@@ -572,6 +577,66 @@ class _Counts:
                     yield self.ids[i], self.ys[i], tpr
 
 
+class _Candidates:
+    """All candidates of a task, those of a label side by side, to whom the users of a group turn."""
+
+    def __init__(self, rows: list):
+        ys = np.concatenate([np.asarray(r.ys, object) for r in rows])
+        names = {y: i for i, y in enumerate(dict.fromkeys(ys))}
+        kinds = np.array([names[y] for y in ys], np.int64)
+        order = np.argsort(kinds, kind="stable")
+        self.names, self.edges = names, np.searchsorted(kinds[order], np.arange(len(names) + 1))
+        at, place = 0, np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.columns = np.empty((len(rows[0].flat) // max(1, len(rows[0].ids)), len(order)))
+        for r in rows:
+            # Scores fall from the left once they are sorted.
+            self.columns[:, place[at : at + len(r.ids)]] = _unit(r.flat, len(r.ids)).T * -SCALE
+            at += len(r.ids)
+
+    def curves(self, rows: list) -> Iterator[tuple]:
+        """``(id, y, tpr)`` of the users of ``rows``; without other candidates a user has no curve."""
+        ids, ys = (np.concatenate([np.asarray(x, kind) for x in y]) for y, kind in zip(zip(*((r.ids, r.ys) for r in rows)), (None, object)))
+        vectors = np.concatenate([_unit(r.flat, len(r.ids)) for r in rows])
+        kinds = np.array([self.names[y] for y in ys])
+        stripe = max(1, min(STRIPE, SORT_BYTES // (4 * max(1, self.edges[-1]))))
+        for kind in np.unique(kinds):
+            mine = np.flatnonzero(kinds == kind)
+            first, end = self.edges[kind], self.edges[kind + 1]
+            if end - first == self.edges[-1]:
+                continue
+            for at in range(0, len(mine), stripe):
+                part = mine[at : at + stripe]
+                tprs = self._rates(vectors[part], first, end)
+                yield from zip(ids[part], ys[part], tprs)
+
+    def _sorted(self, vectors: np.ndarray, *ranges: tuple[int, int]) -> np.ndarray:
+        """Scores of the candidates in some ranges, each user's in order."""
+        out, done = np.empty((len(vectors), sum(b - a for a, b in ranges)), np.int32), 0
+        for a, b in ranges:
+            for at in range(a, b, BLOCK_ROWS):
+                s = vectors @ self.columns[:, at : min(b, at + BLOCK_ROWS)]
+                out[:, done : done + s.shape[1]] = np.rint(s, out=s)
+                done += s.shape[1]
+        out.sort(axis=1)
+        return out
+
+    def _rates(self, vectors: np.ndarray, first: int, end: int) -> np.ndarray:
+        """True-positive rates at the grid's false-positive rates; integers until the end, so no grid
+        point is lost to rounding."""
+        relevant = self._sorted(vectors, (first, end))
+        others = self._sorted(vectors, (0, first), (end, self.edges[-1]))
+        n, last, k = others.shape[1], GRID - 1, np.arange(GRID - 1)
+        out = np.ones((len(vectors), GRID))
+        for row, (tp, fp) in enumerate(zip(relevant, others)):
+            score = fp[k * n // last]  # of the step that the grid point falls in
+            above, until = np.searchsorted(fp, score, "left"), np.searchsorted(fp, score, "right")
+            better, reached = np.searchsorted(tp, score, "left"), np.searchsorted(tp, score, "right")
+            along = (k * n - last * above) / (last * (until - above))
+            out[row, :-1] = (better + (reached - better) * along) / len(tp)
+        return out
+
+
 def _curve_blocks(users: DataFrame, block_rows: int, group_rows: int, cores: int) -> DataFrame:
     """Packed blocks of users by hash, in groups held together as far as ``CURVE_ROWS`` and ``cores`` say."""
     size = max(1, group_rows // block_rows)
@@ -582,66 +647,80 @@ def _curve_blocks(users: DataFrame, block_rows: int, group_rows: int, cores: int
     return _packed(placed.withColumn("groups", F.ceil(groups / per).cast("int")))
 
 
-def passing_blocks(packed: DataFrame) -> DataFrame:
+def _fewer_groups(packed: DataFrame, cores: int) -> DataFrame:
+    """Neighbouring groups together, as far as each core has ``TURNS`` of all tasks' groups."""
+    per = max(1, len(_groups(packed)) // (TURNS * cores))
+    group, groups = F.floor(F.col("group") / per).cast("int"), F.ceil(F.col("groups") / per).cast("int")
+    return packed.withColumns({"group": group, "groups": groups})
+
+
+def passing_blocks(packed: DataFrame, turns: int = 3) -> DataFrame:
     """Rows that meet for the curves: a group's own blocks (``kind`` 0), then all blocks of its task in
-    each of three passes (``kind`` 1, 2, 3)."""
+    each of some passes (``kind`` 1, 2, 3)."""
     body = ["block", "ids", "ys", "flat"]
     query = packed.select("task", "group", F.lit(0).alias("kind"), *body)
-    passes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("kind")
+    passes = F.explode(F.array(*map(F.lit, range(1, turns + 1)))).alias("kind")
     candidates = packed.select("task", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *body)
     return query.unionByName(candidates.select("task", "group", passes, *body))
 
 
-def user_roc(users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = CURVE_ROWS) -> DataFrame:
+def user_roc(
+    users: DataFrame, block_rows: int = BLOCK_ROWS, group_rows: int = CURVE_ROWS, held_bytes: int = HELD_BYTES
+) -> DataFrame:
     """``(task, user, y, k, fpr, tpr)``: each user's ROC curve at fpr = k/99.
 
     A user's candidates are all users of the task, the user included; relevant are
     those with the same label.  Users whose task has no other label have no curve.
-    A block is copied three times for each group, once for each pass.  Groups of ``group_rows``
-    users are held together up to ``CURVE_ROWS``, as long as each core has one.
+    Where the vectors of every task fit ``held_bytes``, a block is copied once for each group;
+    else three times, once for each pass.  Groups of ``group_rows`` users are held together
+    up to ``CURVE_ROWS``, as long as each core has one; held candidates need no counts, so their groups
+    may be larger, as long as each core has ``TURNS``.
     """
     cores = users.sparkSession.sparkContext.defaultParallelism
-    packed = cut_lineage(_curve_blocks(users, block_rows, group_rows, cores))
+    packed = _narrowed(cut_lineage(_curve_blocks(users, block_rows, group_rows, cores)))
+    largest = packed.groupBy("task").agg(F.sum(8 * F.size("flat")).alias("n")).agg(F.max("n")).first()[0] or 0
+    held = largest <= held_bytes
+    if held:
+        packed = _fewer_groups(packed, cores)
 
     def curves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, held = None, [], None
+        key, rows, others = None, [], []
         for now, r in _grouped(batches):
             if now != key:
-                yield from _curve_rows(key, held)
-                key, rows, held = now, [], None
+                yield from _curve_rows(key, _curves_of(rows, others))
+                key, rows, others = now, [], [] if held else None
             if r.kind == 0:
                 rows.append(r)
+            elif not rows:  # hashing left all chunks of this group empty
                 continue
-            if held is None and not rows:  # hashing left all chunks of this group empty
-                continue
-            if held is None:
-                held, rows = _Counts(rows), []
-            held.meet(r.kind, np.asarray(r.ys), _unit(r.flat, len(r.ids)))
-        yield from _curve_rows(key, held)
+            elif held:
+                others.append(r)
+            else:
+                others = others or _Counts(rows)
+                others.meet(r.kind, np.asarray(r.ys), _unit(r.flat, len(r.ids)))
+        yield from _curve_rows(key, _curves_of(rows, others))
 
     return (
-        _dealt(passing_blocks(packed), _groups(packed), "kind", "block")
-        .mapInPandas(curves, "task string, user bigint, y string, k bigint, tpr double")
-        .select("task", "user", "y", "k", (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
+        _dealt(passing_blocks(packed, 1 if held else 3), _groups(packed), "kind", "block")
+        .mapInPandas(curves, "task string, user bigint, y string, tprs array<double>")
+        .select("task", "user", "y", F.posexplode("tprs").alias("k", "tpr"))
+        .select("task", "user", "y", F.col("k").cast("bigint").alias("k"), (F.col("k") / (GRID - 1)).alias("fpr"), "tpr")
     )
 
 
-def _curve_rows(key, held: _Counts | None) -> Iterator[pd.DataFrame]:
-    if held is None:
-        return
-    held.finish()
-    curves = held.curves()
+def _curves_of(rows: list, others: list | _Counts | None) -> Iterator[tuple]:
+    """Curves of the users of ``rows``, from the blocks of all candidates or the counts of them."""
+    if isinstance(others, _Counts):
+        others.finish()
+        yield from others.curves()
+    elif rows and others:
+        yield from _Candidates(others).curves(rows)
+
+
+def _curve_rows(key, curves: Iterator[tuple]) -> Iterator[pd.DataFrame]:
     while found := list(islice(curves, BLOCK_ROWS)):
         ids, ys, tprs = zip(*found)
-        yield pd.DataFrame(
-            {
-                "task": key[0],
-                "user": np.repeat(ids, GRID),
-                "y": np.repeat(np.array(ys, object), GRID),
-                "k": np.tile(np.arange(GRID), len(ids)),
-                "tpr": np.concatenate(tprs),
-            }
-        )
+        yield pd.DataFrame({"task": key[0], "user": ids, "y": np.array(ys, object), "tprs": list(tprs)})
 
 
 def mean_roc(curves: DataFrame) -> DataFrame:

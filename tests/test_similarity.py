@@ -175,3 +175,36 @@ def test_neighbours_that_single_precision_cannot_tell_apart(spark):
         found = S.neighbour_topk(users, 5, block_rows, group_rows, 4).collect()
         got = {(r["user"], r["rank"]): r["neighbour"] for r in found}
         assert all([got[(i, r)] for r in range(1, 6)] == ranked(s, i, 5) for i in range(80))
+
+
+def test_curves_of_held_and_of_passing_candidates_are_the_same(spark):
+    """Three labels in two tasks, equal vectors, and a task of one label, which has no curve."""
+    from pyspark.sql import functions as F
+
+    vec, _, users = make(spark, 60, seed=6, copies=9)
+    users = users.withColumn("y", (F.col("user") % 3).cast("string"))
+    more = users.filter("user >= 20").withColumn("task", F.lit("u"))
+    users = users.unionByName(more).unionByName(users.filter("y = '1'").withColumn("task", F.lit("v")))
+    s = scores(vec)
+    for held_bytes in (1 << 20, 0):
+        got = {}
+        for r in S.user_roc(users, 7, 14, held_bytes).collect():
+            got.setdefault((r["task"], r["user"], r["y"]), {})[r["k"]] = r["tpr"]
+        assert set(got) == {(t, i, str(i % 3)) for t in "tu" for i in range(20 * (t == "u"), 60)}
+        for (task, i, _), tprs in got.items():
+            there = np.arange(20 * (task == "u"), 60)
+            want = curve(s[i, there], there % 3 == i % 3)
+            assert np.allclose([tprs[k] for k in range(100)], want, atol=1e-9)
+
+
+def test_groups_of_curves_have_a_task_each(spark):
+    """Four groups on four cores; hashes of their keys would collide."""
+    _, _, users = make(spark, 240, seed=8)
+    assert len(tasks_with_users(S.user_roc(users, 10, 10))) == 4
+
+
+def test_held_candidates_are_copied_once(spark):
+    _, _, users = make(spark, 600, seed=8)
+    packed = S.cut_lineage(S._curve_blocks(users, 4, 8, cores=3))
+    blocks, groups = packed.count(), packed.select("group").distinct().count()
+    assert S.passing_blocks(packed, 1).filter("kind > 0").count() == blocks * groups
