@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartweave.operators.distribution import ranked
-from chartweave.operators.features import SLICE_TOKENS, _runs, _slices
+from chartweave.operators.features import SLICE_TOKENS, _slices
 from chartweave.session import cut_lineage
 
 # Special tokens in id order; padding is id 0.
@@ -25,12 +26,14 @@ MAX_WORD_CHARS = 100
 ROUNDS_PER_WRITE = 8
 #: Words that a task remembers the pieces of.
 MEMO_WORDS = 50_000
+#: Words that a task remembers the ids of.
+CUT_WORDS = 250_000
 #: Numbers from here on take a second short number to travel.
 SHORT = 1 << 15
 #: Documents whose words are cut at a time.
 SLICE_ROWS = 64
 
-WORD_TYPE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+WORD_TYPE = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s]++"
 
 
 def token_counts(docs: DataFrame, items: Column) -> DataFrame:
@@ -283,48 +286,6 @@ def unit_table(spark: SparkSession, units: Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.posexplode(whole).alias("id", "unit"))
 
 
-def segmented(types: DataFrame, units: DataFrame) -> DataFrame:
-    """``(token, ids, pieces)``: each distinct token of ``types`` cut once into units, the longest
-    first, by joins on the type table; ``units (id, unit)`` begins with the special tokens.
-
-    A token with a place where no unit fits, or of more than ``MAX_WORD_CHARS`` characters, is
-    ``[UNK]``; special tokens are units of their own.
-    """
-    known = F.broadcast(units.select("id", "unit"))
-    kinds = types.select("token").distinct()
-    short = kinds.filter((F.length("token") <= MAX_WORD_CHARS) & ~F.col("token").isin(*SPECIALS) & (F.length("token") > 0))
-    n = F.length("token")
-    starts = short.select("token", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    runs = starts.select("token", "start", F.explode(F.sequence(F.lit(1), n - F.col("start") + 1)).alias("len"))
-    mark = F.when(F.col("start") > 1, "##").otherwise("")
-    piece = F.concat(mark, F.substring(F.col("token"), F.col("start"), F.col("len"))).alias("unit")
-    longest = (
-        runs.select("token", "start", "len", piece)
-        .join(known, "unit")
-        .groupBy("token", "start")
-        .agg(F.max("len").alias("len"), F.max_by("id", "len").alias("id"), F.max_by("unit", "len").alias("unit"))
-    )
-    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<id:int,unit:string>>").alias("out"))
-
-    def step(acc, x):
-        taken = F.struct(
-            (x["start"] + x["len"]).alias("next"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["unit"].alias("unit")))).alias("out"),
-        )
-        return F.when(x["start"] == acc["next"], taken).otherwise(acc)
-
-    walked = longest.groupBy("token").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("start", "len", "id", "unit"))), none, step).alias("w")
-    )
-    whole = walked.filter(F.col("w.next") == n + 1).select("token", F.col("w.out").alias("out"))
-    special = kinds.filter(F.col("token").isin(*SPECIALS)).join(known.withColumnRenamed("unit", "token"), "token")
-    whole = whole.unionByName(special.select("token", F.array(F.struct("id", F.col("token").alias("unit"))).alias("out")))
-    found = kinds.join(whole, "token", "left")
-    unknown = F.struct(F.lit(SPECIALS.index("[UNK]")).alias("id"), F.lit("[UNK]").alias("unit"))
-    out = F.coalesce("out", F.array(unknown))
-    return found.select("token", F.transform(out, lambda x: x["id"]).alias("ids"), F.transform(out, lambda x: x["unit"]).alias("pieces"))
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and values of a list column of numbers."""
     return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
@@ -356,80 +317,77 @@ def _runs_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def _dealt_words(blocks: int):
-    """A document's words as lists, one for each block of its words: the distinct words, how often
-    each stands in it, and its places."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(units: dict[str, int]) -> Callable[[str], tuple[int, ...]]:
+    """The ids of the units that a word is cut into, the longest first.  A word with a place where no
+    unit fits, or of more than ``MAX_WORD_CHARS`` characters, is ``[UNK]``; special tokens are units of
+    their own."""
+    unknown = (SPECIALS.index("[UNK]"),)
+    whole = {u: (units[u],) if u in units else unknown for u in SPECIALS}
+    inner = {u[2:]: i for u, i in units.items() if u.startswith("##")}
+    first_most, most = (max(map(len, x), default=0) for x in (units, inner))
+
+    def cut(word: str) -> tuple[int, ...]:
+        if word in whole:
+            return whole[word]
+        n, at, known, longest, out = len(word), 0, units, first_most, []
+        if not 0 < n <= MAX_WORD_CHARS:
+            return unknown
+        while at < n:
+            for end in range(min(n, at + longest), at, -1):
+                found = known.get(word[at:end])
+                if found is not None:
+                    break
+            else:
+                return unknown
+            out.append(found)
+            at, known, longest = end, inner, most
+        return tuple(out)
+
+    return cut
+
+
+def _cut_rows(units: pa.Table, in_order: bool):
+    """Words of documents as ids, each distinct word of a slice cut once.  With ``in_order`` a row becomes
+    its ids and their units; else its words travel, with their places, to other rows of its key."""
+    by_id = {c: units[c].combine_chunks() for c in ("id", "unit")}
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, memo = _cutter(dict(zip(units["unit"].to_pylist(), units["id"].to_pylist()))), {}
         for batch in _slices(batches, "words"):
-            n = batch.num_rows
+            n, words = batch.num_rows, batch.column("words").flatten()
             sizes = pc.fill_null(batch.column("words").value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = batch.column("words").flatten()
             there = words.is_valid().to_numpy(zero_copy_only=False)
-            place = _runs_of(np.zeros(n, np.int64), sizes)[there]
-            row = np.repeat(np.arange(n), sizes)[there]
-            at = batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)[there]
+            row, place = np.repeat(np.arange(n), sizes)[there], _runs_of(np.zeros(n, np.int64), sizes)[there]
             coded = words.drop_null().dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            # A row without words has one list without words.
-            bare = np.setdiff1d(np.arange(n), row)
-            cell = np.r_[at * n + row, (bare % blocks) * n + bare]
-            code, place = np.r_[code, np.full(len(bare), -1)], np.r_[place, np.zeros(len(bare), np.int64)]
-            order = np.lexsort((code, cell))
-            cell, code, place = cell[order], code[order], place[order]
-            new = np.ones(len(cell), bool)
-            new[1:] = cell[1:] != cell[:-1]
-            word = new.copy()
-            word[1:] |= code[1:] != code[:-1]
-            word = np.flatnonzero(word)
-            counts = np.diff(np.append(word, len(cell)))
-            first = np.flatnonzero(new)
-            known, lists = code[word] >= 0, np.cumsum(new[word]) - 1
-            of = cell[first] % n
-            in_list = lambda weights: np.bincount(lists[known], weights, len(first)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((cell[first] // n).astype(np.int32)),
-                    pa.array(np.ones(len(first), np.int32)),
-                    batch.column("key").take(pa.array(of)),
-                    _listed(in_list(None), coded.dictionary.take(pa.array(code[word][known]))),
-                    _listed(in_list(None), counts[known]),
-                    *_narrow(in_list(counts[known]), place[code >= 0]),
-                ],
-                names=["block", "kind", "key", "words", "counts", "places", "more_places"],
-            )
-
-    return deal
-
-
-def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a block come first, with their ids as ``places``, then lists of documents, whose words
-    become the ids they are cut into."""
-    at, words, sizes, parts, known = None, [], [], [], None
-    for batch in batches:
-        for run in _runs(batch, "block", "kind"):
-            now = run.column("block")[0].as_py()
-            if now != at:
-                at, words, sizes, parts, known = now, [], [], [], None
-            if run.column("kind")[0].as_py() == 0:
-                words.append(run.column("words").flatten())
-                n, ids = _wide(run.column("places"), run.column("more_places"))
-                sizes.append(n)
-                parts.append(ids)
+            if len(memo) >= CUT_WORDS:
+                memo.clear()
+            known = []
+            for word in coded.dictionary.to_pylist():
+                found = memo.get(word)
+                if found is None:
+                    found = memo[word] = cut(word)
+                known.append(found)
+            length = np.fromiter(map(len, known), np.int64, len(known))
+            ids = np.fromiter(chain.from_iterable(known), np.int32, int(length.sum()))
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            ids, length = ids[_runs_of((np.cumsum(length) - length)[code], length[code])], length[code]
+            if in_order:
+                ids, sizes = pa.array(ids), np.bincount(row, length, n).astype(np.int64)
+                pieces = by_id["unit"].take(pc.index_in(ids, by_id["id"]))
+                columns = [batch.column("key"), _listed(sizes, ids), _listed(sizes, pieces)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "pieces"])
                 continue
-            if known is None:
-                known = pa.concat_arrays(words) if words else pa.array([], pa.string())
-                size, ids = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (sizes, parts))
-                start = np.cumsum(size) - size
-            for part in _slices([run], "words"):
-                found = pc.index_in(part.column("words").flatten(), known).to_numpy(zero_copy_only=False).astype(np.int64)
-                lengths = size[found]
-                per_word = _listed(part.column("words").value_lengths().to_numpy(zero_copy_only=False), lengths, np.int8)
-                in_list = np.diff(np.r_[0, np.cumsum(lengths)][per_word.offsets.to_numpy()])
-                cells = _narrow(in_list, ids[_runs_of(start[found], lengths)])
-                kept = ["key", "counts", "places", "more_places"]
-                columns = [*(part.column(c) for c in kept), per_word, *cells]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lengths", "ids", "more_ids"])
+            words_in = np.bincount(row, minlength=n)
+            columns = [
+                batch.column("key"),
+                _listed(words_in, np.ones(len(row))),
+                *_narrow(words_in, place),
+                _listed(words_in, length, np.int8),
+                *_narrow(np.bincount(row, length, n).astype(np.int64), ids),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "counts", "places", "more_places", "lengths", "ids", "more_ids"])
+
+    return cut_all
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,41 +434,26 @@ def _in_order(units: dict[str, pa.Array]):
 
 
 def subword_rows(docs: DataFrame, key: str, words: Column, units: DataFrame) -> DataFrame:
-    """``(key, ids, pieces)`` of documents: words are cut once per distinct word, and ids go back to the
-    documents by word.  A document without words has empty arrays; rows that repeat a key are one
-    document, word by word.
+    """``(key, ids, pieces)`` of documents, their words cut into ``units (id, unit)``, which begin with the
+    special tokens.  A document without words has empty arrays; rows that repeat a key are one document,
+    word by word.
 
-    What travels are lists: a document's distinct words and their places, one list for each block of
-    the words, then the ids in their stead.  Pieces are the units of the ids, put in last."""
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Narrow, as most distinct words are rare: the units are bounded and travel with the task, which cuts
+    each distinct word of a slice once.  Only where keys do repeat, which a look at the keys tells, the
+    rows are shuffled, as lists of numbers; pieces are the units of the ids, put in last."""
     kind = T.StructField("key", docs.schema[key].dataType)
-    tokens = docs.select(F.explode(words).alias("token")).filter("token is not null")
-    block = lambda w: F.pmod(F.xxhash64(w), F.lit(blocks)).cast("int")
-    short = "places array<smallint>, more_places array<smallint>"
-    lists = T.StructType.fromDDL(f"words array<string>, counts array<int>, {short}").fields
-    dealt = T.StructType([*T.StructType.fromDDL("block int, kind int").fields, kind, *lists])
-    asked = docs.select(F.col(key).alias("key"), words.alias("words"), F.transform(words, block).alias("at")).mapInArrow(_dealt_words(blocks), dealt)
-    known = segmented(tokens, units).select(
-        block(F.col("token")).alias("block"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast(kind.dataType).alias("key"),
-        F.array("token").alias("words"),
-        F.array().cast("array<int>").alias("counts"),
-        F.transform("ids", lambda i: i % SHORT).cast("array<smallint>").alias("places"),
-        F.when(F.exists("ids", lambda i: i >= SHORT), F.transform("ids", lambda i: F.floor(i / SHORT)))
-        .otherwise(F.array().cast("array<bigint>"))
-        .cast("array<smallint>")
-        .alias("more_places"),
-    )
-    met = known.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    cells = "lengths array<tinyint>, ids array<smallint>, more_ids array<smallint>"
-    numbers = T.StructType.fromDDL(f"counts array<int>, {short}, {cells}").fields
-    cut = met.mapInArrow(_cut_words, T.StructType([kind, *numbers]))
-    whole = cut.groupBy("key").agg(F.collect_list(F.struct(*(f.name for f in numbers))).alias("p"))
     named = units.select(F.col("id").cast("int").alias("id"), "unit").toArrow().combine_chunks()
-    named = {c: named[c].combine_chunks() for c in ("id", "unit")}
     out = T.StructType([kind, *T.StructType.fromDDL("ids array<int>, pieces array<string>").fields])
-    return whole.mapInArrow(_in_order(named), out).withColumnRenamed("key", key)
+    asked = docs.select(F.col(key).alias("key"), words.alias("words"))
+    if not docs.groupBy(key).count().filter("count > 1").limit(1).count():
+        return asked.mapInArrow(_cut_rows(named, True), out).withColumnRenamed("key", key)
+    lists = "counts array<int>, places array<smallint>, more_places array<smallint>"
+    cells = "lengths array<tinyint>, ids array<smallint>, more_ids array<smallint>"
+    numbers = T.StructType.fromDDL(f"{lists}, {cells}").fields
+    cut = asked.mapInArrow(_cut_rows(named, False), T.StructType([kind, *numbers]))
+    whole = cut.groupBy("key").agg(F.collect_list(F.struct(*(f.name for f in numbers))).alias("p"))
+    by_id = {c: named[c].combine_chunks() for c in ("id", "unit")}
+    return whole.mapInArrow(_in_order(by_id), out).withColumnRenamed("key", key)
 
 
 #: Score from which a type counts as an abbreviation, and the share of its uses that a stop follows.

@@ -201,10 +201,10 @@ RUNS_CTE = f"""cuts AS MATERIALIZED (SELECT unit, max(k) AS k, sum(n) AS n FROM
       FROM kinds k LEFT JOIN walk w ON w.token = k.token GROUP BY k.token)"""
 
 
-def run_units(spark, sf):
+def run_units(spark, docs):
     """``(id, unit)``: special tokens, all letters, then the commonest longer runs."""
     n = F.length("token")
-    types = word_types(spark, sf).filter(n <= vocab.MAX_WORD_CHARS)
+    types = vocab.word_types(docs).filter(n <= vocab.MAX_WORD_CHARS)
     starts = types.select("token", "n", F.explode(F.sequence(F.lit(1), n)).alias("s"))
     cuts = starts.select("token", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), n - F.col("s") + 1))).alias("k"))
     mark = F.when(F.col("s") > 1, "##").otherwise("")
@@ -227,10 +227,10 @@ def run_units(spark, sf):
     FROM each JOIN units ON unit = piece GROUP BY doc_id""",
 )
 def subword_segments(spark, sf):
-    """Whole documents in units, each distinct word cut once."""
-    docs = I.clean_documents(spark, sf)
+    """Whole documents in units; the texts are cleaned once, for the units and for the cut."""
+    docs = cut_lineage(I.clean_documents(spark, sf))
     words = F.array_remove(F.split("text", " "), "")
-    out = vocab.subword_rows(docs, "doc_id", words, run_units(spark, sf)).filter(F.size("ids") > 0)
+    out = vocab.subword_rows(docs, "doc_id", words, run_units(spark, docs)).filter(F.size("ids") > 0)
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_pieces"),

@@ -274,3 +274,15 @@ def test_notes_are_walked_a_bounded_number_of_tokens_at_a_time():
     parts = list(entities._bounded([batch]))
     sizes = [sum(len(t or []) for t in p.column("tokens").to_pylist()) for p in parts]
     assert sum(p.num_rows for p in parts) == batch.num_rows and sizes == [4 * n, 4 * n, n, 6 * n, 1]
+
+
+def test_words_are_cut_where_they_stand(spark):
+    """Distinct keys: nothing is shuffled; an empty word, and letters that look like a mark, too."""
+    units = [*vocab.SPECIALS, *"ab#", "##a", "##b", "###", "##ab", "[SEP]x"]
+    df = spark.createDataFrame([(1, ["ab", "", "##a", "[SEP]", "[SEP]x", "bab", "c"]), (2, [None, "a"])], "id int, w array<string>")
+    out = vocab.subword_rows(df, "id", F.col("w"), vocab.unit_table(spark, units))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["pieces"], r["ids"]) for r in out.collect()}
+    unk = "[UNK]"
+    assert got[1][0] == ["a", "##b", unk, "##a", "[SEP]", "[SEP]x", "b", "##ab", unk] and got[2][0] == ["a"]
+    assert all(ids == [units.index(p) for p in pieces] for pieces, ids in got.values())
