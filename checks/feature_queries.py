@@ -11,6 +11,7 @@ from checks.registry import query
 from chartweave.functions import text as X
 from chartweave.operators import encoders, features, probe, registry, tasks, vocab
 from chartweave.operators import metrics as M
+from chartweave.session import cut_lineage
 from chartweave.sources import tables
 
 TERMS = f"""(SELECT doc_id, token, count(*) AS n FROM
@@ -277,8 +278,10 @@ _BOW = f"""(SELECT doc_id, id, n FROM {TERMS} JOIN (SELECT token, row_number() O
 
 
 def _bow_features(spark, sf, name):
-    docs = I.clean_documents(spark, sf).select("doc_id", F.split("text", " ").alias("tokens"))
-    return registry.build(name, docs, "doc_id", vocabulary=vocab.token_vocab(counts(spark, sf), BOW_SIZE))
+    """Bags over the commonest words; the texts are cleaned once, for the vocabulary and for the bags."""
+    clean = cut_lineage(I.clean_documents(spark, sf))
+    known = vocab.token_vocab(vocab.token_counts(clean, F.split("text", " ")), BOW_SIZE)
+    return registry.build(name, clean.select("doc_id", F.split("text", " ").alias("tokens")), "doc_id", vocabulary=known)
 
 
 def _vector_sql(weight):

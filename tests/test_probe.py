@@ -113,3 +113,40 @@ def test_minimise_steps_every_row_by_itself():
     value = lambda x: ((scale * (x - goal) ** 2).sum(1), 2 * scale * (x - goal))
     x, norm, calls = probe.minimise(value, np.zeros((3, 2)), 1e-8)
     assert np.allclose(x, goal, atol=1e-6) and (norm <= 1e-8).all() and calls < 60
+
+
+def test_packed_rows_are_the_rows():
+    rng = np.random.default_rng(2)
+    sizes, y = np.array([3, 0, 2]), np.array([1, -1, 0])
+    for ids, w in (([0, 7, 2, 1, 7], [1.0, 255.0, 3.0, 2.0, 1.0]), ([0, 70_000, 2, 1, 7], [0.1, 1e300, -3.0, np.nan, 1.0])):
+        rows = probe._Rows(3, 70_001, None, sizes, np.array(ids, np.int32), np.array(w))
+        pack = probe._pack(0, y, rows, sizes)
+        got, labels = probe._unpacked(pack, 70_001)
+        assert labels.tolist() == y.tolist() and got.ids.tolist() == ids and got.row.tolist() == [0, 0, 0, 2, 2]
+        assert np.array_equal(got.w, w, equal_nan=True)
+    assert len(probe._pack(0, y, probe._Rows(3, 8, None, sizes, np.array([0, 7, 2, 1, 7]), np.ones(5)), sizes)["w"]) == 5
+    x = rng.normal(size=(3, 4))
+    assert np.array_equal(probe._unpacked(probe._pack(0, y, probe._Rows(3, 4, x), sizes), 4)[0].x, x)
+
+
+def test_hard_problems_remember_more_steps():
+    """Axes of unlike curvature that the scale does not see: a short memory takes more than 500 passes."""
+    rng = np.random.default_rng(0)
+    q, _ = np.linalg.qr(rng.normal(size=(120, 120)))
+    h = (q * np.logspace(0, -5, 120)) @ q.T
+    goal = q.sum(1)
+    value = lambda x: (0.5 * np.einsum("ij,jk,ik->i", x - goal, h, x - goal), (x - goal) @ h)
+    _, norm, calls = probe.minimise(value, np.zeros((1, 120)), 1e-5, 400)
+    assert norm.max() <= 1e-5 and calls < 400
+
+
+def test_every_core_reads_training_rows(spark, monkeypatch):
+    """However few partitions the rows come in; packs of three rows."""
+    rows, df = made(spark, {"two": 2}, n=90)
+    df, parts, summed = df.coalesce(1), [], probe._summed
+    monkeypatch.setattr(probe, "_summed", lambda r, n, *rest: parts.append(n) or summed(r, n, *rest))
+    monkeypatch.setattr(probe, "PACK_NUMBERS", 12)
+    _, fit = probe.fitted(df, {"two": "c1"})
+    assert fit.converged("two") and parts[0] == 1 and parts[-1] == 4
+    x, y = (np.array(v) for v in zip(*((r[4], r[3] == "c1") for r in rows if r[1] == "train")))
+    assert np.abs(objective(x, y, fit.weights[0])[1]).max() < 1e-2
